@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+CHUNK = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,19 +54,18 @@ def hashed_counts(df: DataFrame, features, bins: int) -> np.ndarray:
             [
                 pa.array([int(c[0]) // CHUNK for c in chunks], pa.int32()),
                 pa.array([(c % CHUNK).astype(np.int16) for c in chunks], pa.list_(pa.int16())),
-                pa.array([total[c] for c in chunks], pa.list_(pa.int64())),
+                pa.array([total[c].astype(np.int32) for c in chunks], pa.list_(pa.int32())),
             ],
             names=["chunk", "bin", "n"],
         )
 
-    def add(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key, rows):
         total = np.zeros(CHUNK, np.int64)
-        for batch in batches:
-            at = batch.column("bin").flatten().to_numpy().astype(np.int64)
-            np.add.at(total, at, batch.column("n").flatten().to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.int64()))], names=["chunk", "n"])
+        at = rows.column("bin").combine_chunks().flatten().to_numpy().astype(np.int64)
+        np.add.at(total, at, rows.column("n").combine_chunks().flatten().to_numpy())
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total], pa.list_(pa.int64()))})
 
-    parts = df.select("text").mapInArrow(count, "chunk int, bin array<short>, n array<bigint>")
+    parts = df.select("text").mapInArrow(count, "chunk int, bin array<short>, n array<int>")
     out = np.zeros(bins, np.int64)
     for row in parts.groupBy("chunk").applyInArrow(add, "chunk int, n array<bigint>").collect():
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = row.n[: bins - row.chunk * CHUNK]
