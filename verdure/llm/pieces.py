@@ -37,11 +37,11 @@ SPACE = "\u2581"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LINE_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words kept by a worker between batches, cells of one Viterbi matrix, remembered pairs.
-CACHE_WORDS, CELLS, PAIRS = 600_000, 1 << 20, 1 << 21
+#: Words and parts of words kept by a worker between batches, cells of one Viterbi matrix, remembered pairs.
+CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 150_000, 700_000, 1 << 19, 1 << 21
 UNIGRAM, BPE = 1, 2
 #: Rows of a batch that are worked on at once.
-ROWS = 1000
+ROWS = 500
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,7 +96,8 @@ class Pieces:
         self.bytes_of = [bytes([int(n[3:5], 16)]) if k == "byte" else b"" if k == "other" else n.replace(SPACE, " ").encode() for n, k in zip(names, kinds, strict=True)]
         self.size = np.array([len(n) for n in names], np.int64)
         pairs = {n[i : i + 2] for n in (names[j] for j in real) for i in range(len(n) - 1)}
-        self.pairs = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in pairs), np.int64)
+        self.joined = np.zeros(1 << 22, bool)
+        self.joined[self._pair(np.array([ord(p[0]) for p in pairs], np.uint64), np.array([ord(p[1]) for p in pairs], np.uint64))] = True
         if kind == BPE:
             self._learn_merges(real, keys)
 
@@ -197,20 +198,29 @@ class Pieces:
             self.pair_key[at[first]], self.pair_apart[at[first]] = some[first], apart[first]
         return out
 
-    def spans(self, unit: str) -> list[str]:
-        """unit, cut wherever no piece holds the two neighbouring characters; such a cut changes no result."""
-        if len(unit) < 2 * self.longest:
-            return [unit]
-        code = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        pair = code[:-1] << 21 | code[1:]
-        at = np.searchsorted(self.pairs, pair)
-        cut = np.flatnonzero(self.pairs[np.minimum(at, len(self.pairs) - 1)] != pair) + 1
-        edges = [0, *cut.tolist(), len(unit)]
-        return [unit[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; words of one length are advanced together."""
-        out: list[list[int]] = [[] for _ in words]
+    def spans(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """All words' parts in a row, and how many each word has.
+
+        A word is cut wherever no piece holds the two neighbouring characters,
+        which changes no result and leaves fewer different parts than words.
+        """
+        whole = "".join(words)
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        ends = np.cumsum([len(w) for w in words])
+        cut = ~self.joined[self._pair(code[:-1], code[1:])]
+        cut[ends[:-1] - 1] = True
+        edges = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(whole)]])
+        parts = np.diff(np.searchsorted(edges, ends), prepend=0)
+        at = edges.tolist()
+        return [whole[i:j] for i, j in zip(at, at[1:], strict=False)], parts.tolist()
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a << np.uint64(21) | b) * BASE >> np.uint64(42)).astype(np.int64)
+
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as the bytes of 32-bit integers; words of one length are advanced together."""
+        out = [b""] * len(words)
         by_length = defaultdict(list)
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
@@ -222,7 +232,7 @@ class Pieces:
                     out[i] = ids
         return out
 
-    def _viterbi(self, words: list[str], length: int) -> list[list[int]]:
+    def _viterbi(self, words: list[str], length: int) -> list[bytes]:
         n = len(words)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
         prefix = np.zeros((length + 1, n), np.uint64)
@@ -255,58 +265,88 @@ class Pieces:
             total = best[end - 1, odd] + (0.0 if self.kind == BPE else self.unknown_score)
             odd, total = odd[total > best[end, odd]], total[total > best[end, odd]]
             best[end, odd], last[end, odd], back[end, odd] = total, -1, 1
-        back_rows, last_rows = back.T.tolist(), last.T.tolist()
-        out = []
-        for word, steps, lasts in zip(words, back_rows, last_rows, strict=True):
-            ids, end = [], length
-            while end:
-                if lasts[end] >= 0:
-                    ids.append(lasts[end])
-                elif self.byte_ids:
-                    ids.extend(self.byte_ids.get(b, self.unknown) for b in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
-                else:
-                    ids.append(self.unknown)
-                end -= steps[end]
-            out.append(ids[::-1])
+        # all words walk back together; ids fill each row from its right end
+        ids, used = np.full((n, length), -2, np.int32), np.zeros(n, np.int64)
+        end, live = np.full(n, length), np.arange(n)
+        while len(live):
+            at = end[live]
+            used[live] += 1
+            ids[live, length - used[live]] = last[at, live]
+            end[live] = at - back[at, live]
+            live = live[end[live] > 0]
+        flat, size = ids[ids != -2].tobytes(), (4 * np.cumsum(used)).tolist()
+        out = [flat[i:j] for i, j in zip([0, *size], size, strict=False)]
+        for i in np.flatnonzero((ids == -1).any(1)).tolist():
+            out[i] = self._with_unknown(words[i], np.frombuffer(out[i], np.int32).tolist())
         return out
 
-    def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
+    def _with_unknown(self, word: str, ids: list[int]) -> bytes:
+        """ids with each -1, a character without a piece, replaced by its bytes' pieces."""
+        out, at = [], 0
+        for i in ids:
+            if i >= 0:
+                out.append(i)
+                at += int(self.size[i])
+            else:
+                raw = word[at].encode("utf-8", "surrogatepass")
+                out.extend([self.byte_ids.get(b, self.unknown) for b in raw] if self.byte_ids else [self.unknown])
+                at += 1
+        return np.array(out, np.int32).tobytes()
+
+    def encode(self, texts: list[str], cache: Cache) -> list[bytes]:
         """Each text's ids, as the bytes of 32-bit integers."""
         unit = UNIT if self.has_line_ends else LINE_UNIT
         units = [unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        fresh = list({u for row in units for u in row if u not in cache})
-        spans = [self.spans(u) for u in fresh]
-        flat = list({s for parts in spans for s in parts})
-        ids = dict(zip(flat, self.segment(flat), strict=True))
-        for unit, parts in zip(fresh, spans, strict=True):
-            cache[unit] = np.array([i for s in parts for i in ids[s]], np.int32).tobytes()
-        return [b"".join(map(cache.__getitem__, row)) for row in units]
+        words, parts_of = cache.words, cache.parts
+        fresh = list({u for row in units for u in row}.difference(words))
+        if fresh:
+            spans, counts = self.spans(fresh)
+            new = list(set(spans).difference(parts_of))
+            parts_of.update(zip(new, self.segment(new), strict=True))
+            at = 0
+            for word, n in zip(fresh, counts, strict=True):
+                words[word] = parts_of[spans[at]] if n == 1 else b"".join(map(parts_of.__getitem__, spans[at : at + n]))
+                at += n
+        out = [b"".join(map(words.__getitem__, row)) for row in units]
+        if len(words) > CACHE_WORDS:  # the words of this batch are mostly the frequent ones
+            cache.words = {u: words[u] for row in units for u in row}
+        if len(parts_of) > CACHE_PARTS:
+            parts_of.clear()
+        return out
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+class Cache:
+    """Ids of words seen, and of the parts that words are cut into."""
+
+    def __init__(self):
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+
 @lru_cache(1)
-def _loaded(model: str) -> tuple[Pieces, dict[str, bytes]]:
-    """A worker's pieces and word cache; a worker that serves several tasks keeps them."""
-    return Pieces.load(model), {}
+def _loaded(model: str) -> tuple[Pieces, Cache]:
+    """A worker's pieces and cache; a worker that serves several tasks keeps them."""
+    return Pieces.load(model), Cache()
 
 
 def _grown(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in more.items())])
 
 
-def encode(df: DataFrame, text: str = "text", to: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """df with array column ``to``: the piece ids of column ``text``.
+def encode(df: DataFrame, text: str = "text", to: str = "ids", model: str = DEFAULT_MODEL, decoded: str | None = None) -> DataFrame:
+    """df with array column ``to``: the piece ids of column ``text``; and, if named, column ``decoded``: their text.
 
-    Any columns may be there; one named like ``to`` is replaced. Null and empty
-    texts give an empty array. Needs no shuffle; a task keeps the segmentations
-    of at most CACHE_WORDS words and one batch.
+    Any columns may be there; those named like the new ones are replaced. Null
+    and empty texts give an empty array. Needs no shuffle; a task keeps the
+    segmentations of a bounded number of words, and one batch.
     """
-    rest = df.drop(to) if to != text else df
+    own = [to, *([decoded] if decoded else [])]
+    rest = df.drop(*(c for c in own if c != text))
+    kinds = {to: T.ArrayType(T.IntegerType()), **({decoded: T.StringType()} if decoded else {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cache = _loaded(model)
@@ -315,10 +355,12 @@ def encode(df: DataFrame, text: str = "text", to: str = "ids", model: str = DEFA
                 part = batch.slice(a, ROWS)
                 ids = pieces.encode([t or "" for t in part.column(text).to_pylist()], cache)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*part.schema.names, to])
+                more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+                if decoded:
+                    more.append(pa.array([pieces.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *own])
 
-    return rest.mapInArrow(run, _grown(rest, **{to: T.ArrayType(T.IntegerType())}))
+    return rest.mapInArrow(run, _grown(rest, **kinds))
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -341,5 +383,5 @@ def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     from verdure.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs))
+    back = encode(docs, decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
