@@ -10,9 +10,9 @@ from all shingles of both texts, is THRESHOLD or more. A pair of similarity
 THRESHOLD shares a key with probability 1 - (1 - THRESHOLD^ROWS)^BANDS = 0.9998.
 
 Texts of the same words are copies and go through as one. Within a key all texts
-are compared with its first; further pairs of a key are made just where their
-ends are not connected yet, so a large group costs its size, not its square, and
-no link between groups is lost.
+are compared with its first. Where that leaves a key's texts unconnected, they
+are dealt into blocks, and a task takes two blocks and returns the links that
+connect them: no pair is ever a row, and no link between groups is lost.
 
 Results: one row a document with class_id, the least id of the documents that
 links and copies connect, and class_size. Null texts and texts without words
@@ -35,6 +35,8 @@ WORDS, THRESHOLD = 5, 0.8
 BINS_LOG = 18
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
+#: Texts of a block, when the pairs of a key are made tile by tile.
+TILE = 256
 #: Random numbers of the sampling: shingles share them by TABLE hash values.
 TABLE, SEED, PART = 1 << 14, 9, 4096
 CACHE_WORDS = 1_000_000
@@ -161,6 +163,75 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, ok boolean")
 
 
+def forest(rows: list[tuple[bytes, str, bytes]], weights: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links that connect the texts (fp, text, comp) of different comp as all their links would.
+
+    An index from shingles to the texts that have them gives a text's
+    similarities to all others at once.
+    """
+    sets = [weighted_set(t, weights) for _, t, _ in rows]
+    mass = np.array([w.sum() for _, w in sets])
+    names, parent = {}, []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for _, _, comp in rows:
+        names.setdefault(comp, len(names))
+    parent = list(range(len(names)))
+    group = [names[c] for _, _, c in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(h) for h, _ in sets])
+    shingle, weight = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
+    by = np.argsort(shingle, kind="stable")
+    shingle, weight, owner = shingle[by], weight[by], owner[by]
+    out = []
+    for i, (h, w) in enumerate(sets):
+        lo, hi = np.searchsorted(shingle, h, "left"), np.searchsorted(shingle, h, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        least = np.bincount(owner[at], np.minimum(np.repeat(w, size), weight[at]), len(rows))
+        for j in np.flatnonzero(least >= THRESHOLD * (mass + mass[i] - least)).tolist():
+            p, q = root(group[i]), root(group[j])
+            if p != q:
+                parent[p] = q
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def tile_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b): links between the texts of a key (columns key, n, fp, comp) that connect what its links connect.
+
+    A key's n texts are dealt into blocks of about TILE; each two blocks meet in
+    a tile, so no task holds more than two blocks, however large a key is.
+    """
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("fp", "key"), blocks).cast("int")
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("fp", "comp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
+    rows = rows.join(texts, "fp").repartition("tile").sortWithinPartitions("tile", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, tile, held = idf.value, None, []
+
+        def links() -> pa.RecordBatch:
+            found = forest(held, weights) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for t, fp, text, comp in zip(*(batch.column(c).to_pylist() for c in ("tile", "fp", "text", "comp")), strict=True):
+                if t != tile:
+                    if held:
+                        yield links()
+                    tile, held = t, []
+                held.append((fp, text, comp))
+        if held:
+            yield links()
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, rid, class_id, class_size, first) of every row; first: whether it stands for its class."""
     spark = docs.sparkSession
@@ -187,15 +258,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     texts = checkpointed(source.join(ends, "rid").dropDuplicates(["fp"]).select("fp", "text"))
     checked = checkpointed(verified(pairs, texts, idf))
     comps = checkpointed(connected_components(checked.where("ok").select("a", "b")))
-    # pairs of a key whose ends are not connected yet: one end is not connected to the key's first text
+    # keys whose texts are not connected yet, each set of texts once: all their pairs, tile by tile
     named = comps.select(F.col("id").alias("fp"), "comp")
-    placed = members.join(named, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    placed = placed.join(named.select(F.col("fp").alias("lead"), F.col("comp").alias("lead_comp")), "lead", "left").withColumn("lead_comp", F.coalesce("lead_comp", "lead"))
-    placed = checkpointed(placed)
-    apart = placed.where("comp <> lead_comp").select("key", F.col("fp").alias("u"), F.col("comp").alias("u_comp"))
-    rest = apart.join(placed.select("key", "fp", "comp"), "key").where("comp <> u_comp").select(F.least("u", "fp").alias("a"), F.greatest("u", "fp").alias("b")).distinct()
-    rest = rest.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verified(rest, texts, idf).where("ok").select("a", "b")
+    placed = members.join(named, "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
+    sets = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark"))
+    sets = sets.where("lo <> hi").groupBy("n", "lo", "hi", "mark").agg(F.min("key").alias("key"))
+    more = tile_links(placed.join(sets.select("key", "n"), "key"), texts, idf)
     comps = checkpointed(connected_components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(more)))
 
     found = rows.select("doc", "rid", "fp").join(comps.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
