@@ -32,9 +32,12 @@ from verdure.llm.common import checkpointed, connected_components
 
 BITS, BLOCKS = 3, 5
 MIN_SIMILARITY, MIN_CHARS = 0.8, 20
-#: Rows of eight bytes that may be broadcast; more are joined by a shuffle.
+#: Rows of eight bytes that may be broadcast (four times as many line numbers); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
-_BYTES = 0x0101010101010101
+#: Counts in a long, and the bits of each.
+LANES, LANE_WIDTH = 3, 21
+#: Steps by which the common ends of two lines are found.
+STEPS = [1 << i for i in range(14, -1, -1)]
 
 
 def words_of(line: Column) -> Column:
@@ -42,31 +45,25 @@ def words_of(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def with_simhash(lines: DataFrame) -> DataFrame:
-    """lines with column sim, the 64-bit SimHash of the words in norm.
+def simhashes(lines: DataFrame) -> DataFrame:
+    """lines (rid, doc, pos, norm) with sim, the 64-bit SimHash of norm's words, and its hashes h and h2 in its place.
 
-    Votes are counted eight bits at a time in the bytes of a long, in runs of
-    127 words, so that no count overflows its byte. Each step is a column of
-    its own, lest its expression be evaluated once for every bit.
+    A word's votes are added up LANES bits at a time: a long holds LANES counts
+    of LANE_WIDTH bits, enough for lines of two million words.
     """
-
-    def lane_of(run: Column, k: int) -> Column:
-        return F.aggregate(run, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_BYTES)))
-
-    def bit(i: int) -> Column:
-        lane, byte = i % 8, i // 8
-        count = F.aggregate("votes", F.lit(0).cast("long"), lambda s, run: s + F.shiftrightunsigned(F.get(run, F.lit(lane)), byte * 8).bitwiseAND(F.lit(255)))
-        return F.when(count * 2 > F.size("hashes"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)).cast("long")
-
-    out = bit(0)
-    for i in range(1, 64):
-        out = out.bitwiseOR(bit(i))
-    hashed = lines.withColumn("hashes", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    starts = F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / 127).cast("int"))
-    runs = hashed.withColumn("runs", F.transform(starts, lambda i: F.slice("hashes", i * 127 + 1, F.lit(127))))
-    # lane k of a run holds the votes for bits k, k + 8, ...
-    votes = runs.withColumn("votes", F.transform("runs", lambda run: F.array(*(lane_of(run, k) for k in range(8)))))
-    return votes.withColumn("sim", out).drop("hashes", "runs", "votes")
+    longs = -(-64 // LANES)
+    mask = sum(1 << (LANE_WIDTH * i) for i in range(LANES))
+    # bit k + i * longs of a word's hash, moved to where lane i of long k counts it
+    spread = [sum((F.shiftleft(F.shiftrightunsigned("x", k + i * longs).bitwiseAND(F.lit(1).cast("long")), LANE_WIDTH * i) for i in range(LANES) if k + i * longs < 64), F.lit(0).cast("long")) for k in range(longs)]
+    assert mask < 1 << 63
+    words = lines.select("rid", "doc", "pos", *_line_id(), F.explode(F.split("norm", " ")).alias("w")).withColumn("x", F.xxhash64("w"))
+    votes = words.groupBy("rid", "doc", "pos", "h", "h2").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"v{k}") for k, c in enumerate(spread)))
+    sim = F.lit(0).cast("long")
+    for bit in range(64):
+        k, i = bit % longs, bit // longs
+        count = F.shiftrightunsigned(f"v{k}", LANE_WIDTH * i).bitwiseAND(F.lit((1 << LANE_WIDTH) - 1))
+        sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+    return votes.select("rid", "doc", "pos", "h", "h2", sim.alias("sim"))
 
 
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -105,13 +102,23 @@ def near_hashes(hashes: DataFrame) -> DataFrame:
     return checkpointed(twos.unionAll(stars).unionAll(rest).distinct())
 
 
+def _without_common_start(df: DataFrame, x: str, y: str) -> DataFrame:
+    """df with x and y cut after what they have in common at their start, which leaves their edit distance as it is."""
+    a, b, n = F.col(x), F.col(y), F.least(F.length(x), F.length(y))
+    start = F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda p, step: F.when((p + step <= n) & (a.substr(p + 1, step) == b.substr(p + 1, step)), p + step).otherwise(p))
+    rest = F.greatest(F.length(x), F.length(y))
+    cut = df.withColumn("_p", start + 1)
+    return cut.withColumn(x, F.when(F.col("_p") > 1, a.substr(F.col("_p"), rest)).otherwise(a)).withColumn(y, F.when(F.col("_p") > 1, b.substr(F.col("_p"), rest)).otherwise(b)).drop("_p")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, ok) for the pairs (a, b) of line ids; texts: (h, norm)."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor(longer * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    close = F.when(F.abs(F.length("x") - F.length("y")) > most, False).otherwise(F.expr("levenshtein(x, y)") <= most)
-    return both.select("a", "b", close.alias("ok"))
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
+    both = both.select("a", "b", "x", "y", most.alias("most"), (F.abs(F.length("x") - F.length("y")) <= most).alias("may"))
+    both = _without_common_start(both, "x", "y").select("a", "b", F.reverse("x").alias("x"), F.reverse("y").alias("y"), "most", "may")
+    both = _without_common_start(both, "x", "y")
+    return checkpointed(both.select("a", "b", F.when(F.col("may"), F.expr("levenshtein(x, y, most)") >= 0).otherwise(False).alias("ok")))
 
 
 def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -125,7 +132,10 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
     if rids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         rids = F.broadcast(rids)
     source = docs.withColumn("rid", F.xxhash64(F.col(key), F.col(text))).join(rids, "rid", "left_semi")
-    texts = line_rows(source, text, key).select(F.xxhash64("norm").alias("h"), "norm").join(cast.select("h"), "h", "left_semi").dropDuplicates(["h"])
+    wanted = cast.select("h").distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = line_rows(source, text, key).select(F.xxhash64("norm").alias("h"), "norm").join(wanted, "h", "left_semi").dropDuplicates(["h"])
     texts = checkpointed(texts)
     lead = cast.select("sim", "lead").distinct()
 
@@ -136,7 +146,7 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
     # one neighbour of each hash, and each hash's lines against its first one
     first = of_leads(near.groupBy("t").agg(F.min("s").alias("s"))).select("a", "b")
     own = cast.where("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b"))
-    checked = checkpointed(verified(first.unionAll(own), texts))
+    checked = verified(first.unionAll(own), texts)
     comps = checkpointed(connected_components(checked.where("ok").select("a", "b")))
     # whatever is not connected yet: pairs of near hashes, or within one, in full
     comp_of = cast.join(comps.withColumnRenamed("id", "h"), "h", "left").select("sim", "h", F.coalesce("comp", "h").alias("comp"))
@@ -154,8 +164,7 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with ``text`` replaced by the text without repeated lines, and columns n_lines, n_removed (see above)."""
     docs = docs.drop("n_lines", "n_removed")
-    lines = with_simhash(line_rows(docs, text, key)).select("rid", "doc", "pos", *_line_id(), "sim")
-    lines = checkpointed(lines)
+    lines = checkpointed(simhashes(line_rows(docs, text, key)))
     distinct = lines.groupBy("h", "h2").agg(F.min(F.struct("doc", "rid", "pos")).alias("first"), F.min("sim").alias("sim"))
     distinct = checkpointed(distinct)
     comps = checkpointed(line_groups(lines, distinct.select("h", "sim", "first.rid"), docs, text, key))
@@ -164,7 +173,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     moved = linked.join(firsts, "comp").select("h", "h2", "stay")
     stay = distinct.join(moved, ["h", "h2"], "left").select("h", "h2", F.coalesce("stay", "first").alias("stay"))
     gone = lines.join(stay, ["h", "h2"]).where(~F.struct("doc", "rid", "pos").eqNullSafe(F.col("stay")))
-    gone = gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"))
+    gone = checkpointed(gone.groupBy("rid").agg(F.collect_set("pos").alias("gone")))
+    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    if size[0] + size[1] <= 4 * BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     out = docs.withColumn("rid", F.xxhash64(F.col(key), F.col(text))).join(gone, "rid", "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("gone", i))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long")
