@@ -102,7 +102,7 @@ def phenology(passes: DataFrame, fraction: float = 0.5) -> DataFrame:
     out = rows.groupBy("field_id").agg(
         F.first("peak_date").alias("peak_date"), F.first("peak").alias("peak_value"), F.first("base").alias("base_value"),
         F.min(F.when((d <= p) & (F.col("low") == 1) & (F.col("mean") >= F.col("level")), d)).alias("start_date"),
-        F.min(F.when((d > p) & (F.col("mean") <= F.col("level")), d)).alias("end_date"), F.round(F.sum("area"), 4).alias("integral"),
+        F.min(F.when((d > p) & (F.col("mean") <= F.col("level")), d)).alias("end_date"), F.round(F.sum("area"), 8).alias("integral"),
     )
     return out.select("field_id", "peak_date", F.round("peak_value", 6).alias("peak_value"), F.round("base_value", 6).alias("base_value"), F.round(F.col("peak_value") - F.col("base_value"), 6).alias("amplitude"), "start_date", "end_date", F.datediff("end_date", "start_date").alias("season_days"), "integral")
 
@@ -114,7 +114,7 @@ def correlate(activities: DataFrame, passes: DataFrame, window: int = 30) -> Dat
     after = (d > a) & (d <= F.date_add("day", window))
     out = both.groupBy("field_id", "day", "activity").agg(F.max(F.when(d <= a, d)).alias("baseline_date"), F.max_by(v, F.when(d <= a, d)).alias("b"), F.avg(F.when(after, v)).alias("r"), F.max(F.when(after, d)).alias("response_date"), F.count(F.when(after, v)).alias("passes"))
     base = F.when(F.col("baseline_date").isNotNull(), F.col("b"))
-    return out.select("field_id", "day", "activity", "baseline_date", (F.round(base, 4) + 0.0).alias("baseline"), (F.round("r", 4) + 0.0).alias("response"), "response_date", "passes", (F.round(F.col("r") - base, 4) + 0.0).alias("delta"))
+    return out.select("field_id", "day", "activity", "baseline_date", (F.round(base, 10) + 0.0).alias("baseline"), (F.round("r", 10) + 0.0).alias("response"), "response_date", "passes", (F.round(F.col("r") - base, 10) + 0.0).alias("delta"))
 
 
 def trend(passes: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def trend(passes: DataFrame) -> DataFrame:
     rows = passes.where("mean is not null").withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("field_id", "index_name")))
     first = F.col("i") <= F.floor(F.col("n") / 2)
     out = rows.where("n >= 4").groupBy("field_id", "index_name").agg(F.avg(F.when(first, F.col("mean"))).alias("a"), F.avg(F.when(~first, F.col("mean"))).alias("b"), F.count("*").alias("passes"))
-    return out.select("field_id", "index_name", "passes", (F.round(F.col("b") - F.col("a"), 4) + 0.0).alias("change"))
+    return out.select("field_id", "index_name", "passes", (F.round(F.col("b") - F.col("a"), 10) + 0.0).alias("change"))
 
 
 def recent(passes: DataFrame, k: int, good: float | None = None) -> DataFrame:

@@ -241,7 +241,7 @@ def field_alerts(spark, sf_dir):
 @query(
     """SELECT field_id, peak_date, round(peak, 6) AS peak_value, round(base, 6) AS base_value, round(peak - base, 6) AS amplitude, start_date, end_date, CAST(end_date - start_date AS INT) AS season_days, integral FROM
       (SELECT field_id, any_value(peak_date) AS peak_date, any_value(peak) AS peak, any_value(base) AS base, min(pass_date) FILTER (pass_date <= peak_date AND low = 1 AND mean >= level) AS start_date,
-       min(pass_date) FILTER (pass_date > peak_date AND mean <= level) AS end_date, round(sum(area), 4) AS integral FROM c GROUP BY 1) x""",
+       min(pass_date) FILTER (pass_date > peak_date AND mean <= level) AS end_date, round(sum(area), 8) AS integral FROM c GROUP BY 1) x""",
     a="SELECT *, min(mean) OVER p AS base, max(mean) OVER p AS peak, count(*) OVER p AS n FROM readings WHERE mean IS NOT NULL AND index_name = 'click' WINDOW p AS (PARTITION BY field_id)",
     b="SELECT *, min(pass_date) FILTER (mean = peak) OVER (PARTITION BY field_id) AS peak_date, base + 0.5 * (peak - base) AS level FROM a WHERE n >= 3",
     c="SELECT *, max(CAST(mean < level AS INT)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, (lead(pass_date) OVER o - pass_date) * (lead(mean) OVER o + mean) / 2 AS area FROM b WINDOW o AS (PARTITION BY field_id ORDER BY pass_date)",
@@ -252,7 +252,7 @@ def phenology(spark, sf_dir):
 
 
 @query(
-    """SELECT field_id, day, activity, baseline_date, round(b, 4) + 0.0 AS baseline, round(r, 4) + 0.0 AS response, response_date, passes, round(r - b, 4) + 0.0 AS delta FROM
+    """SELECT field_id, day, activity, baseline_date, round(b, 10) + 0.0 AS baseline, round(r, 10) + 0.0 AS response, response_date, passes, round(r - b, 10) + 0.0 AS delta FROM
       (SELECT a.field_id, day, activity, max(pass_date) FILTER (pass_date <= day) AS baseline_date, arg_max(mean, pass_date) FILTER (pass_date <= day) AS b, avg(mean) FILTER (pass_date > day AND pass_date <= day + 30) AS r,
        max(pass_date) FILTER (pass_date > day AND pass_date <= day + 30) AS response_date, count(mean) FILTER (pass_date > day AND pass_date <= day + 30) AS passes FROM acts a LEFT JOIN p ON a.field_id = p.field_id GROUP BY 1, 2, 3) x""",
     acts="SELECT DISTINCT * FROM activity",
@@ -264,7 +264,7 @@ def activity_response(spark, sf_dir):
 
 
 @query(
-    "SELECT field_id, index_name, count(*) AS passes, round(avg(mean) FILTER (i > n // 2) - avg(mean) FILTER (i <= n // 2), 4) + 0.0 AS change FROM r WHERE n >= 4 GROUP BY 1, 2",
+    "SELECT field_id, index_name, count(*) AS passes, round(avg(mean) FILTER (i > n // 2) - avg(mean) FILTER (i <= n // 2), 10) + 0.0 AS change FROM r WHERE n >= 4 GROUP BY 1, 2",
     r="SELECT *, row_number() OVER (PARTITION BY field_id, index_name ORDER BY pass_date) AS i, count(*) OVER (PARTITION BY field_id, index_name) AS n FROM analysis WHERE mean IS NOT NULL",
 )
 def trend(spark, sf_dir):
