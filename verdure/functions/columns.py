@@ -106,8 +106,8 @@ def stress(health: Column) -> Column:
 
 
 def clamp01(v: Column) -> Column:
-    """P31."""
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    """P31; NULL stays NULL."""
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
 def colour(index: str, value: Column, ramp: list[tuple[int, int, int]]) -> Column:

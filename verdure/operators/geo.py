@@ -50,33 +50,31 @@ def covers(x: Column, y: Column, ring: Column) -> Column:
     return odd | (distance(x, y, ring) <= 1e-12)
 
 
-def _clip(ring: Column, axis: str, limit: Column, keep_below: bool) -> Column:
-    """The part of a convex or simple ring on one side of an axis-parallel line."""
-    other = "y" if axis == "x" else "x"
+RING = "array<struct<x:double,y:double>>"
 
-    def inside(p: Column) -> Column:
-        return (p[axis] <= limit) if keep_below else (p[axis] >= limit)
 
-    def cut(e: Column) -> Column:
-        t = F.try_divide(limit - e["a"][axis], e["b"][axis] - e["a"][axis])
-        across = e["a"][other] + t * (e["b"][other] - e["a"][other])
-        named = {axis: limit + F.lit(0.0), other: across}
-        return F.struct(named["x"].alias("x"), named["y"].alias("y"))
+def _clip(ring: Column, cut: Column) -> Column:
+    """The ring's part on one side of an axis-parallel line; cut: struct(on_x, limit, below)."""
+    on_x, limit, below = cut["on_x"], cut["limit"], cut["below"]
+    along = lambda p: F.when(on_x, p["x"]).otherwise(p["y"])
+    inside = lambda p: F.when(below, along(p) <= limit).otherwise(along(p) >= limit)
 
     def points(e: Column) -> Column:
-        a, b = inside(e["a"]), inside(e["b"])
-        end = F.struct(e["b"]["x"].alias("x"), e["b"]["y"].alias("y"))
-        return F.when(a & b, F.array(end)).when(a & ~b, F.array(cut(e))).when(~a & b, F.array(cut(e), end)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+        a, b = e["a"], e["b"]
+        t = F.coalesce(F.try_divide(limit - along(a), along(b) - along(a)), F.lit(0.0))
+        met = F.struct(F.when(on_x, limit).otherwise(a["x"] + t * (b["x"] - a["x"])).alias("x"), F.when(on_x, a["y"] + t * (b["y"] - a["y"])).otherwise(limit).alias("y"))
+        crossed = F.when(inside(a) != inside(b), F.array(met)).otherwise(F.array().cast(RING))
+        return F.concat(crossed, F.when(inside(b), F.array(F.struct(b["x"].alias("x"), b["y"].alias("y")))).otherwise(F.array().cast(RING)))
 
-    return F.flatten(F.transform(_edges(ring), points))
+    return F.flatten(F.transform(_edges(ring), points)).cast(RING)
 
 
 def box_overlap(ring: Column, box: Column) -> Column:
-    """Area that a ring shares with an axis-parallel box (struct of bounds)."""
-    out = ring
-    for axis, limit, below in (("x", box["x0"], False), ("x", box["x1"], True), ("y", box["y0"], False), ("y", box["y1"], True)):
-        out = _clip(out, axis, limit, below)
-    return area(out)
+    """Area that a ring shares with an axis-parallel box (struct of bounds): four cuts, one after the other."""
+    cuts = [F.struct(F.lit(a == "x").alias("on_x"), box[f"{a}{i}"].alias("limit"), F.lit(i == 1).alias("below")) for a in "xy" for i in (0, 1)]
+    part = F.aggregate(F.array(*cuts), ring.cast(RING), _clip)
+    # the part is bound once: its area is taken inside the same fold
+    return F.get(F.transform(F.array(part), area), F.lit(0))
 
 
 def _cells(box: Column) -> Column:

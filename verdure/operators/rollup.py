@@ -79,7 +79,7 @@ def publish_rollup(field: DataFrame, analysis: DataFrame) -> DataFrame:
 def field_scores(analysis: DataFrame) -> DataFrame:
     """A field's dimensions (canopy, nitrogen, moisture, coverage) in 0..100 and their weighted score."""
     wide = analysis.groupBy("field_id").pivot("index_name", ["ndvi", "evi2", "savi", "ndre", "ndmi"]).agg(F.avg("mean"))
-    scale = lambda c, lo, hi: F.least(F.greatest((F.col(c) - lo) / (hi - lo) * 100, F.lit(0.0)), F.lit(100.0))
+    scale = lambda c, lo, hi: F.when(F.col(c).isNotNull(), F.least(F.greatest((F.col(c) - lo) / (hi - lo) * 100, F.lit(0.0)), F.lit(100.0)))
     canopy = F.coalesce(0.6 * scale("ndvi", 0.0, 0.9) + 0.4 * scale("evi2", 0.0, 0.8), scale("ndvi", 0.0, 0.9), scale("evi2", 0.0, 0.8))
     parts = {"canopy": (canopy, 35), "nitrogen": (scale("ndre", 0.0, 0.6), 25), "moisture": (scale("ndmi", -0.3, 0.5), 25), "coverage": (scale("savi", 0.0, 0.7), 15)}
     rows = wide.select("field_id", *(c.alias(n) for n, (c, _) in parts.items()))
