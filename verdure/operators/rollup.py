@@ -85,6 +85,6 @@ def field_scores(analysis: DataFrame) -> DataFrame:
     rows = wide.select("field_id", *(c.alias(n) for n, (c, _) in parts.items()))
     total = sum((F.coalesce(F.col(n) * w, F.lit(0.0)) for n, (_, w) in parts.items()), F.lit(0.0))
     weight = sum((F.when(F.col(n).isNotNull(), w).otherwise(0) for n, (_, w) in parts.items()), F.lit(0))
-    score = F.round(F.try_divide(total, weight), 4)
+    score = F.round(F.try_divide(total, weight), 8)
     label = F.when(score >= 80, "excellent").when(score >= 65, "good").when(score >= 45, "fair").when(score >= 25, "poor").when(score.isNotNull(), "critical")
-    return rows.select("field_id", *(F.round(n, 4).alias(n) for n in parts), score.alias("score"), label.alias("label"))
+    return rows.select("field_id", *(F.round(n, 8).alias(n) for n in parts), score.alias("score"), label.alias("label"))

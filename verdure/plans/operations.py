@@ -195,10 +195,10 @@ def _scaled(n: str, lo: float, hi: float) -> str:
 
 
 @query(
-    "SELECT field_id, round(canopy, 4) AS canopy, round(nitrogen, 4) AS nitrogen, round(moisture, 4) AS moisture, round(coverage, 4) AS coverage, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 45 THEN 'fair' WHEN score >= 25 THEN 'poor' WHEN score IS NOT NULL THEN 'critical' END AS label FROM s",
+    "SELECT field_id, round(canopy, 8) AS canopy, round(nitrogen, 8) AS nitrogen, round(moisture, 8) AS moisture, round(coverage, 8) AS coverage, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 45 THEN 'fair' WHEN score >= 25 THEN 'poor' WHEN score IS NOT NULL THEN 'critical' END AS label FROM s",
     w=f"SELECT field_id, {_scaled('ndvi', 0.0, 0.9)} AS n, {_scaled('evi2', 0.0, 0.8)} AS e, {_scaled('ndre', 0.0, 0.6)} AS nitrogen, {_scaled('ndmi', -0.3, 0.5)} AS moisture, {_scaled('savi', 0.0, 0.7)} AS coverage FROM analysis GROUP BY 1",
     d="SELECT field_id, coalesce(0.6 * n + 0.4 * e, n, e) AS canopy, nitrogen, moisture, coverage FROM w",
-    s="SELECT *, round((coalesce(canopy * 35, 0) + coalesce(nitrogen * 25, 0) + coalesce(moisture * 25, 0) + coalesce(coverage * 15, 0)) / nullif(CASE WHEN canopy IS NULL THEN 0 ELSE 35 END + CASE WHEN nitrogen IS NULL THEN 0 ELSE 25 END + CASE WHEN moisture IS NULL THEN 0 ELSE 25 END + CASE WHEN coverage IS NULL THEN 0 ELSE 15 END, 0), 4) AS score FROM d",
+    s="SELECT *, round((coalesce(canopy * 35, 0) + coalesce(nitrogen * 25, 0) + coalesce(moisture * 25, 0) + coalesce(coverage * 15, 0)) / nullif(CASE WHEN canopy IS NULL THEN 0 ELSE 35 END + CASE WHEN nitrogen IS NULL THEN 0 ELSE 25 END + CASE WHEN moisture IS NULL THEN 0 ELSE 25 END + CASE WHEN coverage IS NULL THEN 0 ELSE 15 END, 0), 8) AS score FROM d",
 )
 def field_scores(spark, sf_dir):
     """Dimensions and overall score of each field."""
