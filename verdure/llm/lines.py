@@ -34,6 +34,8 @@ BITS, BLOCKS = 3, 5
 MIN_SIMILARITY, MIN_CHARS = 0.8, 20
 #: Rows of eight bytes that may be broadcast (four times as many line numbers); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Rounds in which each hash is linked to one more neighbour before all open pairs are looked at.
+ROUNDS = 2
 #: Counts in a long, and the bits of each.
 LANES, LANE_WIDTH = 3, 21
 #: Steps by which the common ends of two lines are found.
@@ -51,16 +53,14 @@ def simhashes(lines: DataFrame) -> DataFrame:
     A word's votes are added up LANES bits at a time: a long holds LANES counts
     of LANE_WIDTH bits, enough for lines of two million words.
     """
-    longs = -(-64 // LANES)
-    mask = sum(1 << (LANE_WIDTH * i) for i in range(LANES))
-    # bit k + i * longs of a word's hash, moved to where lane i of long k counts it
-    spread = [sum((F.shiftleft(F.shiftrightunsigned("x", k + i * longs).bitwiseAND(F.lit(1).cast("long")), LANE_WIDTH * i) for i in range(LANES) if k + i * longs < 64), F.lit(0).cast("long")) for k in range(longs)]
-    assert mask < 1 << 63
+    # lane i of long k counts bit k + LANE_WIDTH * i of the words' hashes; the last long counts bit 63
+    mask = F.lit(sum(1 << (LANE_WIDTH * i) for i in range(LANES)))
+    spread = [F.shiftrightunsigned("x", k).bitwiseAND(mask) for k in range(LANE_WIDTH)] + [F.shiftrightunsigned("x", 63)]
     words = lines.select("rid", "doc", "pos", *_line_id(), F.explode(F.split("norm", " ")).alias("w")).withColumn("x", F.xxhash64("w"))
     votes = words.groupBy("rid", "doc", "pos", "h", "h2").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"v{k}") for k, c in enumerate(spread)))
     sim = F.lit(0).cast("long")
     for bit in range(64):
-        k, i = bit % longs, bit // longs
+        k, i = (bit % LANE_WIDTH, bit // LANE_WIDTH) if bit < 63 else (LANE_WIDTH, 0)
         count = F.shiftrightunsigned(f"v{k}", LANE_WIDTH * i).bitwiseAND(F.lit((1 << LANE_WIDTH) - 1))
         sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0)).cast("long"))
     return votes.select("rid", "doc", "pos", "h", "h2", sim.alias("sim"))
@@ -147,7 +147,17 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
     first = of_leads(near.groupBy("t").agg(F.min("s").alias("s"))).select("a", "b")
     own = cast.where("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b"))
     checked = verified(first.unionAll(own), texts)
-    comps = checkpointed(connected_components(checked.where("ok").select("a", "b")))
+    comps = connected_components(checked.where("ok").select("a", "b"))
+    # what one neighbour leaves apart: one neighbour more of each hash, in the least component that it may join
+    for _ in range(ROUNDS):
+        at = lead.join(comps.withColumnRenamed("id", "lead"), "lead", "left").select("sim", F.coalesce("comp", "lead").alias("comp"))
+        one, two = at.select(F.col("sim").alias("s"), F.col("comp").alias("c")), at.select(F.col("sim").alias("t"), F.col("comp").alias("d"))
+        ends = of_leads(near.join(one, "s").join(two, "t").where("c <> d"))
+        ends = checkpointed(ends.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        picked = ends.groupBy("b").agg(F.min(F.struct("c", "a")).alias("x")).select("x.a", "b").unionAll(ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")).distinct()
+        checked = checkpointed(checked.unionAll(verified(picked, texts)))
+        comps = connected_components(checked.where("ok").select("a", "b"))
+    comps = checkpointed(comps)
     # whatever is not connected yet: pairs of near hashes, or within one, in full
     comp_of = cast.join(comps.withColumnRenamed("id", "h"), "h", "left").select("sim", "h", F.coalesce("comp", "h").alias("comp"))
     span = comp_of.groupBy("sim").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
