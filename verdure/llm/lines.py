@@ -2,7 +2,8 @@
 
 A line is normalised to its lower-case words. Lines of equal words count as
 copies of one *distinct line*. A distinct line's SimHash has 64 bits, each the
-majority vote of its words' hashes. Two hashes that differ in at most BITS bits
+majority vote of its different words' hashes (a word that is said often votes
+once, or lines of a few common words would all look alike). Two hashes that differ in at most BITS bits
 agree in at least BLOCKS - BITS of their BLOCKS blocks, so hashes are joined on
 every choice of that many blocks. Two distinct lines are linked if their hashes
 differ in at most BITS bits and the edit similarity of their words (1 -
@@ -48,7 +49,7 @@ def words_of(line: Column) -> Column:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """lines (rid, doc, pos, norm) with sim, the 64-bit SimHash of norm's words, and its hashes h and h2 in its place.
+    """lines (rid, doc, pos, norm) with sim, the 64-bit SimHash of norm's different words, and its hashes h and h2 in its place.
 
     A word's votes are added up LANES bits at a time: a long holds LANES counts
     of LANE_WIDTH bits, enough for lines of two million words.
@@ -56,7 +57,7 @@ def simhashes(lines: DataFrame) -> DataFrame:
     # lane i of long k counts bit k + LANE_WIDTH * i of the words' hashes; the last long counts bit 63
     mask = F.lit(sum(1 << (LANE_WIDTH * i) for i in range(LANES)))
     spread = [F.shiftrightunsigned("x", k).bitwiseAND(mask) for k in range(LANE_WIDTH)] + [F.shiftrightunsigned("x", 63)]
-    words = lines.select("rid", "doc", "pos", *_line_id(), F.explode(F.split("norm", " ")).alias("w")).withColumn("x", F.xxhash64("w"))
+    words = lines.select("rid", "doc", "pos", *_line_id(), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).withColumn("x", F.xxhash64("w"))
     votes = words.groupBy("rid", "doc", "pos", "h", "h2").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"v{k}") for k, c in enumerate(spread)))
     sim = F.lit(0).cast("long")
     for bit in range(64):
@@ -154,6 +155,8 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
         one, two = at.select(F.col("sim").alias("s"), F.col("comp").alias("c")), at.select(F.col("sim").alias("t"), F.col("comp").alias("d"))
         ends = of_leads(near.join(one, "s").join(two, "t").where("c <> d"))
         ends = checkpointed(ends.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        if not ends.limit(1).count():
+            break
         picked = ends.groupBy("b").agg(F.min(F.struct("c", "a")).alias("x")).select("x.a", "b").unionAll(ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")).distinct()
         checked = checkpointed(checked.unionAll(verified(picked, texts)))
         comps = connected_components(checked.where("ok").select("a", "b"))
