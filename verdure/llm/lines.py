@@ -78,11 +78,11 @@ def _line_id() -> list[Column]:
     return [F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2")]
 
 
-def near_hashes(hashes: DataFrame) -> DataFrame:
-    """(s, t): pairs of different SimHashes (column sim) at most BITS bits apart, s < t.
+def near_hashes(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(s, t): pairs of different SimHashes (column sim) at most BITS bits apart, s < t; and (key, sim, lead) of the keys of three hashes or more.
 
-    A path of at most two pairs within its key stands for each pair that is
-    left out: both ends are near the key's least hash.
+    Of such a key, pairs whose ends are both near its least hash, lead, are left
+    out: they are only needed where a link to lead fails.
     """
     width = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
     block = [F.shiftrightunsigned("sim", sum(width[:i])).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(BLOCKS)]
@@ -100,7 +100,7 @@ def near_hashes(hashes: DataFrame) -> DataFrame:
     far = members.where("not near").select("key", F.col("sim").alias("u"))
     rest = far.join(members.select("key", "sim"), "key").where((F.col("u") != F.col("sim")) & (apart("u", "sim") <= BITS))
     rest = rest.select(F.least("u", "sim").alias("s"), F.greatest("u", "sim").alias("t"))
-    return checkpointed(twos.unionAll(stars).unionAll(rest).distinct())
+    return checkpointed(twos.unionAll(stars).unionAll(rest).distinct()), members.select("key", "sim", "lead")
 
 
 def _without_common_start(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -124,7 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """(h, comp) of the distinct lines that are linked to others. distinct: (h, sim, rid), one row a line."""
-    near = near_hashes(distinct.select("sim").distinct())
+    near, members = near_hashes(distinct.select("sim").distinct())
     per_sim = distinct.groupBy("sim").agg(F.min("h").alias("lead"), F.count("*").alias("n"))
     ends = near.select(F.col("s").alias("sim")).unionAll(near.select(F.col("t").alias("sim")))
     wanted = per_sim.where("n > 1").select("sim").unionAll(ends).distinct()
@@ -165,6 +165,11 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
     comp_of = cast.join(comps.withColumnRenamed("id", "h"), "h", "left").select("sim", "h", F.coalesce("comp", "h").alias("comp"))
     span = comp_of.groupBy("sim").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     pairs = near.unionAll(span.where("lo <> hi").select(F.col("sim").alias("s"), F.col("sim").alias("t")))
+    # what was left out of a key: pairs with an end that isn't connected to its least hash
+    placed = members.join(span, "sim").join(span.select(F.col("sim").alias("lead"), F.col("lo").alias("lead_lo"), F.col("hi").alias("lead_hi")), "lead")
+    loose = placed.where("not (lo = hi and lead_lo = lead_hi and lo = lead_lo)").select("key", F.col("sim").alias("u"), F.col("lo").alias("u_lo"), F.col("hi").alias("u_hi"))
+    others = loose.join(placed.select("key", "sim", "lo", "hi"), "key").where("u <> sim and not (lo = hi and u_lo = u_hi and lo = u_lo)").where(F.bit_count(F.col("u").bitwiseXOR(F.col("sim"))) <= BITS)
+    pairs = pairs.unionAll(others.select(F.least("u", "sim").alias("s"), F.greatest("u", "sim").alias("t"))).distinct()
     s, t = span.select(F.col("sim").alias("s"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), span.select(F.col("sim").alias("t"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
     open_pairs = pairs.join(s, "s").join(t, "t").where("not (l1 = h1 and l2 = h2 and l1 = l2)").select("s", "t")
     x, y = comp_of.select(F.col("sim").alias("s"), F.col("h").alias("a"), F.col("comp").alias("c1")), comp_of.select(F.col("sim").alias("t"), F.col("h").alias("b"), F.col("comp").alias("c2"))

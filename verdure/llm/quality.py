@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
         model = co_train([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.drop(key).repartition(1).mapInArrow(learn, "model binary").collect()[0].model)
+    found = sample.drop(key).repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else {"share": 0.5}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
