@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1024
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_ROWS rows, so that long texts don't pile up between Spark and Python.
+
+    The session's own limit is lowered for good if it is higher.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
@@ -65,7 +77,7 @@ def hashed_counts(df: DataFrame, features, bins: int) -> np.ndarray:
         np.add.at(total, at, rows.column("n").combine_chunks().flatten().to_numpy())
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total], pa.list_(pa.int64()))})
 
-    parts = df.select("text").mapInArrow(count, "chunk int, bin array<short>, n array<int>")
+    parts = map_batches(df.select("text"), count, "chunk int, bin array<short>, n array<int>")
     out = np.zeros(bins, np.int64)
     for row in parts.groupBy("chunk").applyInArrow(add, "chunk int, n array<bigint>").collect():
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = row.n[: bins - row.chunk * CHUNK]

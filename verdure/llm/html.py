@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from verdure.llm.common import map_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 # Fixed values of the HTML standard.
@@ -242,7 +244,7 @@ def extract(df: DataFrame, html_column: str = "html", to: str = "text") -> DataF
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), texts], names=[*(batch.schema.names[i] for i in kept), to])
 
-    return rest.mapInArrow(run, T.StructType([*fields, T.StructField(to, T.StringType())]))
+    return map_batches(rest, run, T.StructType([*fields, T.StructField(to, T.StringType())]))
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:

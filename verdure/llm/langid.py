@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdure.llm.common import hashed_counts, texts_of
+from verdure.llm.common import hashed_counts, map_batches, texts_of
 
 BINS_LOG = 14
 BINS = 1 << BINS_LOG
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             weights, temperature = train([r[1:] for r in rows], len(langs))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights.astype(np.float32), float(temperature)))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    found = map_batches(sample.repartition(1), learn, "model binary").collect()
     if not found:
         return {"langs": []}
     weights, temperature = pickle.loads(found[0].model)
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 scores.append(float(min(1.0, max(0.0, p[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(run, schema)
+    return map_batches(rest, run, schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdure.llm.common import checkpointed, connected_components, hashed_counts, texts_of
+from verdure.llm.common import checkpointed, connected_components, hashed_counts, map_batches, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
 BINS_LOG = 18
@@ -39,7 +39,7 @@ SAMPLES = BANDS * ROWS
 TILE = 256
 #: Random numbers of the sampling: shingles share them by TABLE hash values.
 TABLE, SEED, PART = 1 << 14, 9, 4096
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Ids of eight bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
                 bands.append(sampler.bands(*weighted_set(t, weights)) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "rid", "fp", "bands"])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, rid bigint, fp binary, bands array<bigint>")
+    return map_batches(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, rid bigint, fp binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -160,7 +160,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             ok = [similarity(of(p, s), of(q, t)) >= THRESHOLD for p, q, s, t in zip(a, b, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, ok boolean")
+    return map_batches(both.select("a", "b", "x", "y"), run, "a binary, b binary, ok boolean")
 
 
 def forest(rows: list[tuple[bytes, str, bytes]], weights: np.ndarray) -> list[tuple[bytes, bytes]]:
@@ -229,7 +229,7 @@ def tile_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
         if held:
             yield links()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return map_batches(rows, run, "a binary, b binary")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from verdure.llm.common import map_batches
+
 PACKET, STREAMS, RATE = 960, 2, 8000
 HEADER = struct.Struct("<4sBBqIIIB")
 CAPTURE = b"OggS"
@@ -181,7 +183,7 @@ def _batches(df: DataFrame, drop: str, schema: T.StructType, row) -> DataFrame:
                 more = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *more], names=[*kept, *schema.names])
 
-    return rest.mapInArrow(run, T.StructType([*fields, *schema.fields]))
+    return map_batches(rest, run, T.StructType([*fields, *schema.fields]))
 
 
 def encode(df: DataFrame, text: str = "text", to: str = "media") -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdure.llm.common import map_batches
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 #: Words, cut at spaces, and at line ends where no piece holds one.
@@ -38,7 +40,7 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LINE_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words and parts of words kept by a worker between batches, cells of one Viterbi matrix, remembered pairs.
-CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 150_000, 700_000, 1 << 19, 1 << 21
+CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 100_000, 250_000, 1 << 19, 1 << 20
 UNIGRAM, BPE = 1, 2
 #: Rows of a batch that are worked on at once.
 ROWS = 500
@@ -360,7 +362,7 @@ def encode(df: DataFrame, text: str = "text", to: str = "ids", model: str = DEFA
                     more.append(pa.array([pieces.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *own])
 
-    return rest.mapInArrow(run, _grown(rest, **kinds))
+    return map_batches(rest, run, _grown(rest, **kinds))
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
@@ -375,7 +377,7 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str = DE
                 texts = [None if x is None else pieces.decode(x) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, to])
 
-    return rest.mapInArrow(run, _grown(rest, **{to: T.StringType()}))
+    return map_batches(rest, run, _grown(rest, **{to: T.StringType()}))
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdure.llm.common import map_batches
+
 LABELLED, POOL, ROUNDS, PER_ROUND = 12_000, 8_000, 4, 400
 TEXT_BINS, META_BINS, EPOCHS = 1 << 15, 1 << 12, 3
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 OWN = ["quality_score", "quality_pred", "text_score", "meta_score"]
 
 
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
         model = co_train([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    found = sample.drop(key).repartition(1).mapInArrow(learn, "model binary").collect()
+    found = map_batches(sample.drop(key).repartition(1), learn, "model binary").collect()
     return pickle.loads(found[0].model) if found else {"share": 0.5}
 
 
@@ -200,7 +202,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             out = [pa.array(final), pa.array((final >= 0.5).astype(np.int32)), pa.array(views[:, 0]), pa.array(views[:, 1])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *OWN])
 
-    return rest.mapInArrow(run, schema)
+    return map_batches(rest, run, schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdure.llm.common import map_batches
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,7 +33,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 LOOK = 2
 #: Pre-tokens in a leaf when built; a leaf of twice as many is split.
 LEAF = 64
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 EDITS = "array<struct<at:bigint,remove:bigint,insert:string>>"
 
 
@@ -184,7 +186,7 @@ def count(df: DataFrame, text: str = "text", edits: str | None = None, ranks: st
                 more = [pa.array(c, pa.string() if n == "edited" else pa.int64()) for n, c in zip(own, zip(*rows, strict=True), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *own])
 
-    return rest.mapInArrow(run, schema)
+    return map_batches(rest, run, schema)
 
 
 def redactions(text: Column) -> Column:

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from verdure.llm.common import map_batches
+
 SCALE, QUERY_BLOCK, CHUNK, LEAF = 256.0, 20_000, 2048, 32
 #: Components up to this are multiplied exactly in floating point.
 EXACT = float(1 << 22)
@@ -204,7 +206,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
                 at, rank = np.nonzero(best.score > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(best.id[at, rank]), pa.array(best.score[at, rank].astype(np.int64))], names=["query_id", "id", "score"])
 
-        part = data.mapInArrow(scan, "query_id bigint, id bigint, score bigint")
+        part = map_batches(data, scan, "query_id bigint, id bigint, score bigint")
         found = part if found is None else found.unionAll(part)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
