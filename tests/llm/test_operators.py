@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 html, langid, lines, mixing, near, ogg, pieces, quality, tokens, topk = (importlib.import_module(f"verdure.llm.{m}") for m in ("html", "langid", "lines", "mixing", "near", "ogg", "pieces", "quality", "tokens", "topk"))
@@ -114,6 +115,16 @@ def test_topk_odd_vectors(spark):
     assert topk.top_k(v.where("false"), v.where("false")).count() == 0
 
 
+def test_simhash_is_the_majority_of_the_words_hashes(spark):
+    """Each layout of the counts at both ends of its range, repeated words among them."""
+    norms = [" ".join([*(f"w{k}" for k in range(n)), "w0"]) for n in (1, 2, 254, 255, 256, 257, 3000)]
+    rows = spark.createDataFrame([(k, k, 0, norm) for k, norm in enumerate(norms)], "rid long, doc long, pos int, norm string")
+    for row in lines.simhashes(rows).collect():
+        hashes = [xxhash.xxh64(word, seed=42).intdigest() for word in set(norms[row.rid].split())]
+        sim = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+        assert row.sim % (1 << 64) == sim
+
+
 def test_lines_against_brute_force(spark):
     import regex
     import xxhash

@@ -37,45 +37,71 @@ MIN_SIMILARITY, MIN_CHARS = 0.8, 20
 BROADCAST_ROWS = 1 << 20
 #: Rounds in which each hash is linked to one more neighbour before all open pairs are looked at.
 ROUNDS = 2
-#: Counts in a long, and the bits of each.
-LANES, LANE_WIDTH = 3, 21
+#: (counts in a long, bits of each): a line takes the first whose half of the range holds its number of different words.
+LAYOUTS = [(7, 9), (3, 21), (2, 31)]
 #: Steps by which the common ends of two lines are found.
 STEPS = [1 << i for i in range(14, -1, -1)]
 
 
-def words_of(line: Column) -> Column:
-    """The line's normal form: its letters and digits in lower case, one space between words."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(text: Column) -> Column:
+    """The normal form of the text's lines: their letters and digits in lower case, one space between words."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _votes(hashes: Column, lanes: int, width: int) -> Column:
+    """How many of the hashes have each bit: longs v0, v1 ... of ``lanes`` counts of ``width`` bits each.
+
+    Count i of long k is that of bit k + width * i; each bit beyond these has a long of its own.
+    """
+    mask = F.lit(sum(1 << (width * i) for i in range(lanes)))
+
+    def struct(values) -> Column:
+        return F.struct(*(v.alias(f"v{k}") for k, v in enumerate(values)))
+
+    def add(votes: Column, x: Column) -> Column:
+        more = [F.shiftrightunsigned(x, k).bitwiseAND(mask) for k in range(width)] + [F.shiftrightunsigned(x, k).bitwiseAND(F.lit(1)) for k in range(lanes * width, 64)]
+        return struct(votes[f"v{k}"] + m for k, m in enumerate(more))
+
+    return F.aggregate(hashes, struct([F.lit(0).cast("long")] * (width + 64 - lanes * width)), add)
+
+
+def _majority(votes: str, n: Column, lanes: int, width: int) -> Column:
+    """The 64-bit long whose set bits are those that more than half of n hashes have.
+
+    All counts of a long are compared at once: what is added lifts just those above n / 2 to their lane's highest bit.
+    """
+    mask, top = F.lit(sum(1 << (width * i) for i in range(lanes))), 1 << (width - 1)
+    least = F.floor(n / 2) + 1
+    lift, out = F.greatest(top - least, F.lit(0)) * mask, F.lit(0).cast("long")  # rows of other layouts must not overflow
+    for k in range(width):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"{votes}.v{k}") + lift, width - 1).bitwiseAND(mask), k))
+    for k in range(width, width + 64 - lanes * width):
+        out = out.bitwiseOR(F.shiftleft((F.col(f"{votes}.v{k}") >= least).cast("long"), lanes * width + k - width))
+    return out
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
     """lines (rid, doc, pos, norm) with sim, the 64-bit SimHash of norm's different words, and its hashes h and h2 in its place.
 
-    A word's votes are added up LANES bits at a time: a long holds LANES counts
-    of LANE_WIDTH bits, enough for lines of two million words.
+    A line's votes are added up within its row, several in a long: there is no shuffle of words.
     """
-    # lane i of long k counts bit k + LANE_WIDTH * i of the words' hashes; the last long counts bit 63
-    mask = F.lit(sum(1 << (LANE_WIDTH * i) for i in range(LANES)))
-    spread = [F.shiftrightunsigned("x", k).bitwiseAND(mask) for k in range(LANE_WIDTH)] + [F.shiftrightunsigned("x", 63)]
-    words = lines.select("rid", "doc", "pos", *_line_id(), F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).withColumn("x", F.xxhash64("w"))
-    votes = words.groupBy("rid", "doc", "pos", "h", "h2").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"v{k}") for k, c in enumerate(spread)))
-    sim = F.lit(0).cast("long")
-    for bit in range(64):
-        k, i = (bit % LANE_WIDTH, bit // LANE_WIDTH) if bit < 63 else (LANE_WIDTH, 0)
-        count = F.shiftrightunsigned(f"v{k}", LANE_WIDTH * i).bitwiseAND(F.lit((1 << LANE_WIDTH) - 1))
-        sim = sim.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0)).cast("long"))
-    return votes.select("rid", "doc", "pos", "h", "h2", sim.alias("sim"))
+    hashes = F.array_distinct(F.transform(F.split("norm", " "), lambda word: F.xxhash64(word)))
+    x = lines.select("rid", "doc", "pos", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), hashes.alias("x"))
+    n, below, votes, sim = F.size("x"), 0, [], None
+    for k, (lanes, width) in enumerate(LAYOUTS):
+        most = (1 << (width - 1)) - 1
+        votes.append(F.when((n > below) & (n <= most), _votes(F.col("x"), lanes, width)).alias(f"votes{k}"))
+        own = _majority(f"votes{k}", F.col("n"), lanes, width)
+        sim, below = own if sim is None else F.coalesce(sim, own), most
+    return x.select("rid", "doc", "pos", "h", "h2", n.cast("long").alias("n"), *votes).select("rid", "doc", "pos", "h", "h2", sim.alias("sim"))
 
 
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(rid, doc, pos, norm) of each line that may be removed."""
-    rid = F.xxhash64(F.col(key), F.col(text))
-    lines = docs.select(F.col(key).alias("doc"), rid.alias("rid"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return lines.withColumn("norm", words_of("line")).where(F.length("norm") >= MIN_CHARS).drop("line")
-
-
-def _line_id() -> list[Column]:
-    return [F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2")]
+    # the id and the normal form come first, so that neither they nor the text are made again for each line
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("rid"), words_of(F.col(text)).alias("norms"))
+    lines = rows.select("doc", "rid", F.posexplode(F.split("norms", "\n")).alias("pos", "line"))
+    return lines.select("rid", "doc", "pos", F.trim("line").alias("norm")).where(F.length("norm") >= MIN_CHARS)
 
 
 def near_hashes(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
