@@ -290,3 +290,15 @@ def test_pipeline(spark):
         docs = out.checkpoint() if i < 4 else out
     rows = docs.collect()
     assert rows and all(r.round_trip for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_pipeline_gives_each_row_its_slot_after_a_reread(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = [(i, f"words of text {i}", "en", "ab"[i % 3 == 0], 9) for i in range(40)] + [(99, "twice the same", "en", "a", 9)] * 2
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    corpus_pipeline.mixed_sources(spark, docs, SMALL).repartition(7).write.parquet(f"{tmp_path}/mixed")
+    rows = corpus_pipeline.sentencepiece(spark, spark.read.parquet(f"{tmp_path}/mixed"), SMALL).collect()
+    want = mixing.mix(docs, mixing.root_weights(docs)).collect()
+    assert sorted((r.doc_id, r.slot, r.place) for r in rows) == sorted((r.doc_id, r.slot, r.place) for r in want)
+    assert len({(r.slot, r.place) for r in rows}) == len(rows) == 42
