@@ -292,6 +292,12 @@ def test_pipeline(spark):
     assert rows and all(r.round_trip for r in rows) and len({r.doc_id for r in rows}) == len(rows)
 
 
+def test_short_lines_are_copies_too(spark):
+    docs = [(1, "Menu\nfirst text that stays\n----\n\n¶ ¶"), (2, "menu!\nsecond text, another one\n ---- \n\n***"), (3, "你好\nMENU\n***"), (4, "你好。")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("second text, another one\n\n***", 2), 3: ("你好", 2), 4: ("", 1)}
+
+
 def test_pipeline_gives_each_row_its_slot_after_a_reread(spark, tmp_path):
     import corpus_pipeline
 

@@ -17,8 +17,9 @@ Links are verified for one neighbour of each hash first; further candidates are
 looked at only where their ends are not connected yet, which loses no group.
 
 Results: every row of the documents, its text without the lines that repeat an
-earlier one, and its line counts. Lines whose words have fewer than MIN_CHARS
-characters always stay, as do blank ones. Null texts stay null with 0 lines.
+earlier one, and its line counts. However short, lines take part: those without
+a letter or digit as they are, without spaces at their ends. Blank lines always
+stay. Null texts stay null with 0 lines.
 Rows equal in doc_id and text are treated alike: a line keeps its place in each.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from verdure.llm.common import checkpointed, connected_components
 
 BITS, BLOCKS = 3, 5
-MIN_SIMILARITY, MIN_CHARS = 0.8, 20
+MIN_SIMILARITY, MIN_CHARS = 0.8, 1
 #: Rows of eight bytes that may be broadcast (four times as many line numbers); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Rounds in which each hash is linked to one more neighbour before all open pairs are looked at.
@@ -99,9 +100,10 @@ def simhashes(lines: DataFrame) -> DataFrame:
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(rid, doc, pos, norm) of each line that may be removed."""
     # the id and the normal form come first, so that neither they nor the text are made again for each line
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("rid"), words_of(F.col(text)).alias("norms"))
-    lines = rows.select("doc", "rid", F.posexplode(F.split("norms", "\n")).alias("pos", "line"))
-    return lines.select("rid", "doc", "pos", F.trim("line").alias("norm")).where(F.length("norm") >= MIN_CHARS)
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("rid"), words_of(F.col(text)).alias("norms"), F.lower(text).alias("raw"))
+    lines = rows.select("doc", "rid", F.posexplode(F.arrays_zip(F.split("norms", "\n").alias("line"), F.split("raw", "\n").alias("raw"))).alias("pos", "z"))
+    norm, signs = F.trim("z.line"), F.regexp_replace("z.raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return lines.select("rid", "doc", "pos", F.when(norm != "", norm).otherwise(signs).alias("norm")).where(F.length("norm") >= MIN_CHARS)
 
 
 def near_hashes(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
