@@ -1,43 +1,55 @@
-"""Operator 7: fuzzy line dedup by SimHash, pigeonhole blocks, edit similarity and connected groups.
-
-A line is normalised to its lower-case words. Lines of equal words count as
-copies of one *distinct line*. A distinct line's SimHash has 64 bits, each the
-majority vote of its different words' hashes (a word that is said often votes
-once, or lines of a few common words would all look alike). Two hashes that differ in at most BITS bits
-agree in at least BLOCKS - BITS of their BLOCKS blocks, so hashes are joined on
-every choice of that many blocks. Two distinct lines are linked if their hashes
-differ in at most BITS bits and the edit similarity of their words (1 -
-Levenshtein distance / the longer one's length) is MIN_SIMILARITY or more.
-Of each connected group of lines the first occurrence stays, in order of
-doc_id, document hash and line number.
-
-No group's pairs are all made: within a join key every hash is compared with
-the key's least one; just those that are not near it meet the rest of the key.
-Links are verified for one neighbour of each hash first; further candidates are
-looked at only where their ends are not connected yet, which loses no group.
+"""Operator 7: fuzzy line dedup by pigeonhole blocks of words, SimHash, edit similarity and connected groups.
+
+A line is normalised to its lower-case words; lines of equal words are copies of
+one *distinct line*. A line's words are dealt by their hashes into BLOCKS blocks
+that lie on a ring. By the pigeonhole principle a few changed words leave some
+blocks as they were, so lines are joined on what begins each block: its first
+words and those that follow it on the ring, TAKE of them for short and for long
+lines. Candidates whose SimHashes (64 bits, each the majority vote of the
+different words' hashes) differ in more than BITS bits are dropped; the others
+are linked if the edit similarity of their words (1 - Levenshtein distance / the
+longer one's length) is MIN_SIMILARITY or more. Of each connected group of lines
+the first occurrence stays, in order of doc_id, document hash and line number.
+
+Why not blocks of the SimHash's own bits: similar lines differ in up to 10 of
+its 64 bits, and no choice of blocks that ten bits leave alone is selective; the
+README has the figures. The words are the votes, and a block of words is a block
+of votes that a change elsewhere doesn't touch.
+
+No key's pairs are all made. Its lines are first compared with its least one;
+where that leaves some apart, with the least one of the same key that has the
+same quarter of the SimHash; only what then is neither connected nor too far
+apart by length and SimHash meets as pairs.
 
 Results: every row of the documents, its text without the lines that repeat an
-earlier one, and its line counts. However short, lines take part: those without
-a letter or digit as they are, without spaces at their ends. Blank lines always
-stay. Null texts stay null with 0 lines.
-Rows equal in doc_id and text are treated alike: a line keeps its place in each.
+earlier one, and its line counts n_lines and n_removed (columns of these two
+names are replaced, any others stay). However short, lines take part: those
+without a letter or digit as they are, without spaces at their ends. Blank lines
+always stay. Null texts stay null with 0 lines. Rows equal in doc_id and text
+are treated alike: a line keeps its place in each. Of lines that differ over
+more than LONG letters the words are compared instead of the letters, part by
+part, which links none whose words are less similar.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.llm.common import checkpointed, connected_components
 
-BITS, BLOCKS = 3, 5
-MIN_SIMILARITY, MIN_CHARS = 0.8, 1
-#: Rows of eight bytes that may be broadcast (four times as many line numbers); more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
-#: Rounds in which each hash is linked to one more neighbour before all open pairs are looked at.
-ROUNDS = 2
+BLOCKS_LOG = 3
+#: (words that a key takes, least and most words of lines that have such keys); lines of a length that has both have both.
+TAKE = [(3, 0, 16), (4, 14, 1 << 30)]
+#: Longer lines' keys hold words of this many letters or more only, if there are at least so many.
+LETTERS, ENOUGH = 4, 8
+#: A line with more characters a word than this counts pairs of characters as its words.
+UNSPACED = 16
+BITS, MIN_SIMILARITY = 22, 0.8
+#: Lines that differ over more letters than LONG are compared word by word, in parts of PART words; a word is one of CODES.
+LONG, PART, CODES = 2048, 4096, 20_480
+#: Bytes of rows that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 1 << 25
 #: (counts in a long, bits of each): a line takes the first whose half of the range holds its number of different words.
 LAYOUTS = [(7, 9), (3, 21), (2, 31)]
 #: Steps by which the common ends of two lines are found.
@@ -49,6 +61,45 @@ def words_of(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
+def row_id(text: str, key: str) -> list[Column]:
+    """r1, r2: 128 bits that name a row by its key and text."""
+    return [F.xxhash64(F.col(key), F.col(text)).alias("r1"), F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("r2")]
+
+
+def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, r1, r2, pos, norm) of each line that may be removed."""
+    # ids and the normal form come first, so that neither they nor the text are made again for each line
+    rows = docs.select(F.col(key).alias("doc"), *row_id(text, key), words_of(F.col(text)).alias("norms"), F.lower(text).alias("raw"))
+    lines = rows.select("doc", "r1", "r2", F.posexplode(F.arrays_zip(F.split("norms", "\n").alias("line"), F.split("raw", "\n").alias("raw"))).alias("pos", "z"))
+    norm, signs = F.trim("z.line"), F.regexp_replace("z.raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return lines.select("doc", "r1", "r2", "pos", F.when(norm != "", norm).otherwise(signs).alias("norm")).where("norm <> ''")
+
+
+def with_keys(lines: DataFrame) -> DataFrame:
+    """lines (.., norm) with norm's hashes h and h2 and its join keys (array ``keys``) in its place."""
+    own = [c for c in lines.columns if c != "norm"]
+    pair = lambda chars: F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))
+    lines = lines.select(*own, "norm", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.split("norm", " ").alias("w"))
+    lines = lines.withColumn("w", F.when(F.length("norm") > UNSPACED * F.size("w"), pair(F.split("norm", ""))).otherwise(F.col("w")))
+    rings = []
+    for take, least, most in TAKE:
+        words = F.col("w")
+        if least:
+            long = F.filter("w", lambda w: F.length(w) >= LETTERS)
+            words = F.when(F.size(long) >= ENOUGH, long).otherwise(F.col("w"))
+        hashes = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+        rings.append(F.when(F.size("w").between(least, most), hashes).alias(f"x{take}"))
+    lines = lines.select(*own, "h", "h2", *rings)
+    block = lambda v: F.shiftrightunsigned(v, 64 - BLOCKS_LOG)
+    lines = lines.select("*", *(F.transform(f"x{t}", block).alias(f"b{t}") for t, *_ in TAKE), *(F.concat(f"x{t}", F.slice(f"x{t}", 1, t - 1)).alias(f"y{t}") for t, *_ in TAKE))
+    keys = []
+    for take, *_ in TAKE:
+        for k in range(1 << BLOCKS_LOG):
+            at = F.array_position(f"b{take}", F.lit(k).cast("long")).cast("int")
+            keys.append(F.when(at > 0, F.xxhash64(F.lit(take), F.slice(f"y{take}", at, F.lit(take)))))
+    return lines.select(*own, "h", "h2", F.array_distinct(F.array_compact(F.array(*keys))).alias("keys"))
+
+
 def _votes(hashes: Column, lanes: int, width: int) -> Column:
     """How many of the hashes have each bit: longs v0, v1 ... of ``lanes`` counts of ``width`` bits each.
 
@@ -82,53 +133,22 @@ def _majority(votes: str, n: Column, lanes: int, width: int) -> Column:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """lines (rid, doc, pos, norm) with sim, the 64-bit SimHash of norm's different words, and its hashes h and h2 in its place.
-
-    A line's votes are added up within its row, several in a long: there is no shuffle of words.
-    """
-    hashes = F.array_distinct(F.transform(F.split("norm", " "), lambda word: F.xxhash64(word)))
-    x = lines.select("rid", "doc", "pos", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), hashes.alias("x"))
+    """lines (.., norm) with sim, the 64-bit SimHash of norm's different words. A line's votes are added up within its row, several in a long."""
+    own, hashes = lines.columns, F.array_distinct(F.transform(F.split("norm", " "), lambda word: F.xxhash64(word)))
+    x = lines.select(*own, hashes.alias("x"))
     n, below, votes, sim = F.size("x"), 0, [], None
     for k, (lanes, width) in enumerate(LAYOUTS):
         most = (1 << (width - 1)) - 1
         votes.append(F.when((n > below) & (n <= most), _votes(F.col("x"), lanes, width)).alias(f"votes{k}"))
-        own = _majority(f"votes{k}", F.col("n"), lanes, width)
-        sim, below = own if sim is None else F.coalesce(sim, own), most
-    return x.select("rid", "doc", "pos", "h", "h2", n.cast("long").alias("n"), *votes).select("rid", "doc", "pos", "h", "h2", sim.alias("sim"))
-
+        each = _majority(f"votes{k}", F.col("n"), lanes, width)
+        sim, below = each if sim is None else F.coalesce(sim, each), most
+    return x.select(*own, n.cast("long").alias("n"), *votes).select(*own, sim.alias("sim"))
 
-def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(rid, doc, pos, norm) of each line that may be removed."""
-    # the id and the normal form come first, so that neither they nor the text are made again for each line
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("rid"), words_of(F.col(text)).alias("norms"), F.lower(text).alias("raw"))
-    lines = rows.select("doc", "rid", F.posexplode(F.arrays_zip(F.split("norms", "\n").alias("line"), F.split("raw", "\n").alias("raw"))).alias("pos", "z"))
-    norm, signs = F.trim("z.line"), F.regexp_replace("z.raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    return lines.select("rid", "doc", "pos", F.when(norm != "", norm).otherwise(signs).alias("norm")).where(F.length("norm") >= MIN_CHARS)
 
-
-def near_hashes(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(s, t): pairs of different SimHashes (column sim) at most BITS bits apart, s < t; and (key, sim, lead) of the keys of three hashes or more.
-
-    Of such a key, pairs whose ends are both near its least hash, lead, are left
-    out: they are only needed where a link to lead fails.
-    """
-    width = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
-    block = [F.shiftrightunsigned("sim", sum(width[:i])).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(BLOCKS)]
-    keys = [sum((F.shiftleft(block[i], sum(width[j] for j in chosen[:n])) for n, i in enumerate(chosen)), F.lit(c << 32).cast("long")) for c, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - BITS))]
-    keyed = hashes.select("sim", F.explode(F.array(*keys)).alias("key"))
-    spread = keyed.groupBy("key").agg(F.min("sim").alias("lead"), F.max("sim").alias("other"), F.count("*").alias("n")).where("n > 1")
-    spread = checkpointed(spread)
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    twos = spread.where((F.col("n") == 2) & (apart("lead", "other") <= BITS)).select(F.col("lead").alias("s"), F.col("other").alias("t"))
-    more = spread.where("n > 2").select("key", "lead")
-    if more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        more = F.broadcast(more)
-    members = checkpointed(keyed.join(more, "key").withColumn("near", apart("lead", "sim") <= BITS))
-    stars = members.where("near and sim <> lead").select(F.col("lead").alias("s"), F.col("sim").alias("t"))
-    far = members.where("not near").select("key", F.col("sim").alias("u"))
-    rest = far.join(members.select("key", "sim"), "key").where((F.col("u") != F.col("sim")) & (apart("u", "sim") <= BITS))
-    rest = rest.select(F.least("u", "sim").alias("s"), F.greatest("u", "sim").alias("t"))
-    return checkpointed(twos.unionAll(stars).unionAll(rest).distinct()), members.select("key", "sim", "lead")
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if its rows of about ``row_bytes`` each are counted and no more than BROADCAST_BYTES."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _without_common_start(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -140,94 +160,125 @@ def _without_common_start(df: DataFrame, x: str, y: str) -> DataFrame:
     return cut.withColumn(x, F.when(F.col("_p") > 1, a.substr(F.col("_p"), rest)).otherwise(a)).withColumn(y, F.when(F.col("_p") > 1, b.substr(F.col("_p"), rest)).otherwise(b)).drop("_p")
 
 
+def _near(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= BITS
+
+
+def _coded(text: str) -> Column:
+    """The text with each word as one character, of CODES: its edit distance is that of the words."""
+    code = F.transform(F.split(text, " "), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + 0x4E00))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
+def _longest(text: str) -> Column:
+    return F.array_max(F.transform(F.split(text, " "), lambda w: F.length(w)))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ok) for the pairs (a, b) of line ids; texts: (h, norm)."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("norm").alias("y")), "b")
-    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    both = both.select("a", "b", "x", "y", most.alias("most"), (F.abs(F.length("x") - F.length("y")) <= most).alias("may"))
-    both = _without_common_start(both, "x", "y").select("a", "b", F.reverse("x").alias("x"), F.reverse("y").alias("y"), "most", "may")
+    """Those of the pairs (a, b) of line ids that are links; texts: (id, norm, sim).
+
+    Where so few words differ that their letters can't be too many, the edit
+    distance of the words is enough; else that of the letters is taken.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, other = (texts.select(F.col("id").alias(i), F.col("norm").alias(t), F.col("sim").alias(s)) for i, t, s in (("a", "x", "s"), ("b", "y", "t")))
+    both = pairs.join(one, "a").join(other, "b")
+    share = lambda size: F.floor(size * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
+    most, words = share(F.greatest(F.length("x"), F.length("y"))), share(F.greatest(F.size(F.split("x", " ")), F.size(F.split("y", " "))))
+    both = both.where(_near("s", "t") & (F.abs(F.length("x") - F.length("y")) <= most)).select("a", "b", "x", "y", most.alias("most"), words.alias("words"))
+    both = _without_common_start(both.repartition(tasks, "a", "b"), "x", "y").select("a", "b", F.reverse("x").alias("x"), F.reverse("y").alias("y"), "most", "words")
     both = _without_common_start(both, "x", "y")
-    return checkpointed(both.select("a", "b", F.when(F.col("may"), F.expr("levenshtein(x, y, most)") >= 0).otherwise(False).alias("ok")))
+    both = both.select("a", "b", "x", "y", "most", "words", _coded("x").alias("p"), _coded("y").alias("q"), F.greatest(_longest("x"), _longest("y")).alias("longest"))
+    few = F.floor(F.col("most") / (F.col("longest") + 1)).cast("int")
+    both = both.select("a", "b", "x", "y", "most", "words", "p", "q", few.alias("few"))
+    parts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("p"), F.length("q")) / PART).cast("int"))
+    far = F.aggregate(parts, F.lit(0), lambda sum_, i: sum_ + F.levenshtein(F.col("p").substr(i * PART + 1, F.lit(PART)), F.col("q").substr(i * PART + 1, F.lit(PART))))
+    ok = F.when(F.expr("levenshtein(p, q, few)") >= 0, True).when(F.greatest(F.length("x"), F.length("y")) <= LONG, F.expr("levenshtein(x, y, most)") >= 0).otherwise(far <= F.col("words"))
+    return checkpointed(both.select("a", "b", ok.alias("ok"))).where("ok").select("a", "b")
+
+
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
 
 
 def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(h, comp) of the distinct lines that are linked to others. distinct: (h, sim, rid), one row a line."""
-    near, members = near_hashes(distinct.select("sim").distinct())
-    per_sim = distinct.groupBy("sim").agg(F.min("h").alias("lead"), F.count("*").alias("n"))
-    ends = near.select(F.col("s").alias("sim")).unionAll(near.select(F.col("t").alias("sim")))
-    wanted = per_sim.where("n > 1").select("sim").unionAll(ends).distinct()
-    cast = checkpointed(distinct.join(wanted, "sim").join(per_sim.select("sim", "lead"), "sim").select("sim", "h", "lead", "rid"))
-    rids = cast.select("rid").distinct()
-    if rids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rids = F.broadcast(rids)
-    source = docs.withColumn("rid", F.xxhash64(F.col(key), F.col(text))).join(rids, "rid", "left_semi")
-    wanted = cast.select("h").distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = line_rows(source, text, key).select(F.xxhash64("norm").alias("h"), "norm").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    texts = checkpointed(texts)
-    lead = cast.select("sim", "lead").distinct()
-
-    def of_leads(pairs: DataFrame) -> DataFrame:
-        s, t = lead.select(F.col("sim").alias("s"), F.col("lead").alias("a")), lead.select(F.col("sim").alias("t"), F.col("lead").alias("b"))
-        return pairs.join(s, "s").join(t, "t")
-
-    # one neighbour of each hash, and each hash's lines against its first one
-    first = of_leads(near.groupBy("t").agg(F.min("s").alias("s"))).select("a", "b")
-    own = cast.where("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b"))
-    checked = verified(first.unionAll(own), texts)
-    comps = connected_components(checked.where("ok").select("a", "b"))
-    # what one neighbour leaves apart: one neighbour more of each hash, in the least component that it may join
-    for _ in range(ROUNDS):
-        at = lead.join(comps.withColumnRenamed("id", "lead"), "lead", "left").select("sim", F.coalesce("comp", "lead").alias("comp"))
-        one, two = at.select(F.col("sim").alias("s"), F.col("comp").alias("c")), at.select(F.col("sim").alias("t"), F.col("comp").alias("d"))
-        ends = of_leads(near.join(one, "s").join(two, "t").where("c <> d"))
-        ends = checkpointed(ends.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        if not ends.limit(1).count():
-            break
-        picked = ends.groupBy("b").agg(F.min(F.struct("c", "a")).alias("x")).select("x.a", "b").unionAll(ends.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", "x.b")).distinct()
-        checked = checkpointed(checked.unionAll(verified(picked, texts)))
-        comps = connected_components(checked.where("ok").select("a", "b"))
-    comps = checkpointed(comps)
-    # whatever is not connected yet: pairs of near hashes, or within one, in full
-    comp_of = cast.join(comps.withColumnRenamed("id", "h"), "h", "left").select("sim", "h", F.coalesce("comp", "h").alias("comp"))
-    span = comp_of.groupBy("sim").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    pairs = near.unionAll(span.where("lo <> hi").select(F.col("sim").alias("s"), F.col("sim").alias("t")))
-    # what was left out of a key: pairs with an end that isn't connected to its least hash
-    placed = members.join(span, "sim").join(span.select(F.col("sim").alias("lead"), F.col("lo").alias("lead_lo"), F.col("hi").alias("lead_hi")), "lead")
-    loose = placed.where("not (lo = hi and lead_lo = lead_hi and lo = lead_lo)").select("key", F.col("sim").alias("u"), F.col("lo").alias("u_lo"), F.col("hi").alias("u_hi"))
-    others = loose.join(placed.select("key", "sim", "lo", "hi"), "key").where("u <> sim and not (lo = hi and u_lo = u_hi and lo = u_lo)").where(F.bit_count(F.col("u").bitwiseXOR(F.col("sim"))) <= BITS)
-    pairs = pairs.unionAll(others.select(F.least("u", "sim").alias("s"), F.greatest("u", "sim").alias("t"))).distinct()
-    s, t = span.select(F.col("sim").alias("s"), F.col("lo").alias("l1"), F.col("hi").alias("h1")), span.select(F.col("sim").alias("t"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-    open_pairs = pairs.join(s, "s").join(t, "t").where("not (l1 = h1 and l2 = h2 and l1 = l2)").select("s", "t")
-    x, y = comp_of.select(F.col("sim").alias("s"), F.col("h").alias("a"), F.col("comp").alias("c1")), comp_of.select(F.col("sim").alias("t"), F.col("h").alias("b"), F.col("comp").alias("c2"))
-    rest = open_pairs.join(x, "s").join(y, "t").where("c1 <> c2 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verified(rest, texts).where("ok").select("a", "b")
-    return connected_components(checked.where("ok").select("a", "b").unionAll(more))
+    """(h, h2, comp) of the distinct lines that are linked to others. lines: (h, keys); distinct: (h, r1, r2), one row or more a line."""
+    keyed = lines.select("h", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("other"), F.count("*").alias("n")).where("lead <> other")
+    shared = checkpointed(shared)
+    members = checkpointed(keyed.join(bounded(shared.where("n > 2").select("key", "lead"), 24), "key").distinct())
+    stars = shared.where("n = 2").select("lead", F.col("other").alias("h")).unionAll(members.where("h <> lead").select("lead", "h")).distinct()
+    stars = checkpointed(stars)
+    # the candidates' words, from the documents where they come first
+    ends = checkpointed(stars.select(F.col("lead").alias("h")).unionAll(stars.select("h")).distinct())
+    rows = distinct.join(bounded(ends, 16), "h", "left_semi").select("r1", "r2").distinct()
+    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumns(dict(zip(("r1", "r2"), row_id("_text", "_key"), strict=True)))
+    source = source.join(bounded(checkpointed(rows), 24), ["r1", "r2"], "left_semi")
+    words = line_rows(source, "_text", "_key").select(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
+    words = simhashes(words.join(bounded(ends, 16), "h", "left_semi").dropDuplicates(["h", "h2"]))
+    named = F.expr(f"cast(cast(shiftrightunsigned(h, 1) as decimal(19,0)) * {1 << 63}BD + shiftrightunsigned(h2, 1) as decimal(38,0))")
+    texts = checkpointed(words.select(named.alias("id"), "h", "h2", "norm", "sim"))
+    ids = texts.select("h", "id")
+    links = verified(stars.join(ids.select(F.col("h").alias("lead"), F.col("id").alias("a")), "lead").join(ids.withColumnRenamed("id", "b"), "h").select("a", "b"), texts)
+    comps = connected_components(links)
+    marks = texts.select("h", "id", "sim", F.length("norm").alias("size"))
+    tried = checkpointed(members.join(marks, "h").select("key", "id", "sim", "size", (F.col("h") == F.col("lead")).alias("first")))
+
+    def loose(comps: DataFrame) -> DataFrame:
+        """The keys' lines with their components, of keys that hold several."""
+        at = tried.join(comps, "id", "left").select("key", "id", "sim", "size", "first", F.coalesce("comp", "id").alias("comp"))
+        open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        return checkpointed(at.join(open_keys.select("key"), "key", "left_semi"))
+
+    # keys whose least line doesn't connect all: the least one of those with the same quarter of the SimHash
+    apart = loose(comps)
+    if _some(apart):
+        quarters = F.array(*(F.shiftrightunsigned("sim", 16 * q).bitwiseAND(F.lit(0xFFFF)) + (q << 16) for q in range(4)))
+        parts = apart.select("key", "id", "comp", F.explode(quarters).alias("quarter"))
+        leads = parts.groupBy("key", "quarter").agg(F.min("id").alias("a"), F.min_by("comp", "id").alias("c"), F.count("*").alias("n")).where("n > 1").drop("n")
+        more = parts.join(leads, ["key", "quarter"]).where("comp <> c").select("a", F.col("id").alias("b")).distinct()
+        comps = _merged(comps, verified(more, texts))
+        # what is open still: lines of a key in different components, near by length and SimHash
+        apart = loose(comps)
+        step = lambda size: F.floor(F.log(F.col(size) + 1) / F.log(F.lit(1 / MIN_SIMILARITY))).cast("int")
+        mine = apart.where("not first").select("key", F.col("id").alias("u"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("comp").alias("c"), F.explode(F.array(*(step("size") + d for d in (-1, 0, 1)))).alias("step"))
+        met = mine.join(apart.withColumn("step", step("size")), ["key", "step"]).where((F.col("c") != F.col("comp")) & _near("s", "sim") & (F.least("m", "size") >= MIN_SIMILARITY * F.greatest("m", "size") - 1e-9))
+        met = checkpointed(met.select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct())
+        if _some(met):
+            comps = _merged(comps, verified(met, texts))
+    return comps.join(texts.select("id", "h", "h2"), "id").select("h", "h2", "comp")
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the old ones and new links."""
+    if not _some(links):
+        return comps
+    return connected_components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(links))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with ``text`` replaced by the text without repeated lines, and columns n_lines, n_removed (see above)."""
-    docs = docs.drop("n_lines", "n_removed")
-    lines = checkpointed(simhashes(line_rows(docs, text, key)))
-    distinct = lines.groupBy("h", "h2").agg(F.min(F.struct("doc", "rid", "pos")).alias("first"), F.min("sim").alias("sim"))
-    distinct = checkpointed(distinct)
-    comps = checkpointed(line_groups(lines, distinct.select("h", "sim", "first.rid"), docs, text, key))
-    linked = distinct.join(comps.withColumnRenamed("id", "h"), "h")
-    firsts = linked.groupBy("comp").agg(F.min("first").alias("stay"))
-    moved = linked.join(firsts, "comp").select("h", "h2", "stay")
-    stay = distinct.join(moved, ["h", "h2"], "left").select("h", "h2", F.coalesce("stay", "first").alias("stay"))
-    gone = lines.join(stay, ["h", "h2"]).where(~F.struct("doc", "rid", "pos").eqNullSafe(F.col("stay")))
-    gone = checkpointed(gone.groupBy("rid").agg(F.collect_set("pos").alias("gone")))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    lines = checkpointed(with_keys(line_rows(docs, text, key)))
+    place = F.struct("doc", "r1", "r2", "pos")
+    distinct = checkpointed(lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    linked = checkpointed(line_groups(lines, distinct.select("h", "first.r1", "first.r2"), docs, text, key))
+    found = distinct.join(bounded(linked, 48), ["h", "h2"])
+    firsts = found.groupBy("comp").agg(F.min("first").alias("stay"))
+    moved = checkpointed(found.join(firsts, "comp").select("h", "h2", "stay"))
+    stay = distinct.join(bounded(moved, 80), ["h", "h2"], "left").where("n > 1 or stay is not null").select("h", "h2", F.coalesce("stay", "first").alias("stay"))
+    gone = lines.join(bounded(checkpointed(stay), 80), ["h", "h2"]).where(~place.eqNullSafe(F.col("stay")))
+    gone = checkpointed(gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")))
     size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    if size[0] + size[1] <= 4 * BROADCAST_ROWS:
+    if 48 * size[0] + 4 * size[1] <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    out = docs.withColumn("rid", F.xxhash64(F.col(key), F.col(text))).join(gone, "rid", "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("gone", i))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long")
-    out = out.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("rid", "gone")
+    # the row travels as one struct, so that no column's name can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), *row_id(text, key)).join(gone, ["r1", "r2"], "left")
+    body = F.col("row").getField(text)
+    kept = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains("gone", i))
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n"))).cast("long")
+    left = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    return rows.select(*(left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in own), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
