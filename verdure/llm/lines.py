@@ -6,8 +6,8 @@ that lie on a ring. By the pigeonhole principle a few changed words leave some
 blocks as they were, so lines are joined on what begins each block: its first
 words and those that follow it on the ring, TAKE of them for short and for long
 lines. Candidates whose SimHashes (64 bits, each the majority vote of the
-different words' hashes) differ in more than BITS bits are dropped; the others
-are linked if the edit similarity of their words (1 - Levenshtein distance / the
+different words' hashes) differ in more than BITS bits, or that differ in more
+than half of their words, are dropped; the others are linked if the edit similarity of their words (1 - Levenshtein distance / the
 longer one's length) is MIN_SIMILARITY or more. Of each connected group of lines
 the first occurrence stays, in order of doc_id, document hash and line number.
 
@@ -41,13 +41,13 @@ from verdure.llm.common import checkpointed, connected_components
 BLOCKS_LOG = 3
 #: (words that a key takes, least and most words of lines that have such keys); lines of a length that has both have both.
 TAKE = [(3, 0, 16), (4, 14, 1 << 30)]
-#: Longer lines' keys hold words of this many letters or more only, if there are at least so many.
+#: The second kind of keys takes words of this many letters or more only, if there are at least so many.
 LETTERS, ENOUGH = 4, 8
 #: A line with more characters a word than this counts pairs of characters as its words.
 UNSPACED = 16
-BITS, MIN_SIMILARITY = 22, 0.8
+BITS, MIN_SIMILARITY = 20, 0.8
 #: Lines that differ over more letters than LONG are compared word by word, in parts of PART words; a word is one of CODES.
-LONG, PART, CODES = 2048, 4096, 20_480
+LONG, PART, CODES = 640, 4096, 20_480
 #: Bytes of rows that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 1 << 25
 #: (counts in a long, bits of each): a line takes the first whose half of the range holds its number of different words.
@@ -78,26 +78,26 @@ def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
 def with_keys(lines: DataFrame) -> DataFrame:
     """lines (.., norm) with norm's hashes h and h2 and its join keys (array ``keys``) in its place."""
     own = [c for c in lines.columns if c != "norm"]
-    pair = lambda chars: F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit(""))))
-    lines = lines.select(*own, "norm", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.split("norm", " ").alias("w"))
-    lines = lines.withColumn("w", F.when(F.length("norm") > UNSPACED * F.size("w"), pair(F.split("norm", ""))).otherwise(F.col("w")))
-    rings = []
-    for take, least, most in TAKE:
-        words = F.col("w")
-        if least:
-            long = F.filter("w", lambda w: F.length(w) >= LETTERS)
-            words = F.when(F.size(long) >= ENOUGH, long).otherwise(F.col("w"))
-        hashes = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
-        rings.append(F.when(F.size("w").between(least, most), hashes).alias(f"x{take}"))
-    lines = lines.select(*own, "h", "h2", *rings)
-    block = lambda v: F.shiftrightunsigned(v, 64 - BLOCKS_LOG)
-    lines = lines.select("*", *(F.transform(f"x{t}", block).alias(f"b{t}") for t, *_ in TAKE), *(F.concat(f"x{t}", F.slice(f"x{t}", 1, t - 1)).alias(f"y{t}") for t, *_ in TAKE))
-    keys = []
-    for take, *_ in TAKE:
-        for k in range(1 << BLOCKS_LOG):
-            at = F.array_position(f"b{take}", F.lit(k).cast("long")).cast("int")
-            keys.append(F.when(at > 0, F.xxhash64(F.lit(take), F.slice(f"y{take}", at, F.lit(take)))))
-    return lines.select(*own, "h", "h2", F.array_distinct(F.array_compact(F.array(*keys))).alias("keys"))
+    names = [*own, "h", "h2"]
+    lines = lines.select(*own, F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm", F.split("norm", " ").alias("w"))
+    letters = F.split("norm", "")
+    pairs = F.transform(letters, lambda c, i: F.concat(c, F.coalesce(F.get(letters, i + 1), F.lit(""))))
+    lines = lines.withColumn("w", F.when(F.length("norm") > UNSPACED * F.size("w"), pairs).otherwise(F.col("w")))
+    long = F.filter("w", lambda w: F.length(w) >= LETTERS)
+    chosen = [F.col("w"), F.when(F.size(long) >= ENOUGH, long).otherwise(F.col("w"))]
+    rings = [F.when(F.size("w").between(least, most), F.sort_array(F.array_distinct(F.transform(c, lambda w: F.xxhash64(w))))) for c, (_, least, most) in zip(chosen, TAKE, strict=True)]
+    lines = lines.select(*names, *(r.alias(f"x{i}") for i, r in enumerate(rings)))
+    # where the blocks begin: their least hashes, sorted in among the words' (a block's place less the blocks before it is its first word's)
+    starts = [(k << (64 - BLOCKS_LOG)) - (1 << 63) for k in range(1 << BLOCKS_LOG)]
+    both, keys = range(len(rings)), []
+    lines = lines.select(*names, *(f"x{i}" for i in both), *(F.sort_array(F.concat(f"x{i}", F.array(*map(F.lit, starts)))).alias(f"y{i}") for i in both))
+    at = [F.array_position(f"y{i}", F.lit(a)).cast("int").alias(f"p{i}_{k}") for i in both for k, a in enumerate(starts)]
+    lines = lines.select(*names, *(f"x{i}" for i in both), *at, *((F.size(f"y{i}") + 1).alias(f"p{i}_{len(starts)}") for i in both))
+    for i, (take, *_) in enumerate(TAKE):
+        for k in range(len(starts)):
+            first = [F.get(f"x{i}", (F.col(f"p{i}_{k}") - 1 - k + j) % F.size(f"x{i}")) for j in range(take)]
+            keys.append(F.when(F.col(f"p{i}_{k + 1}") - F.col(f"p{i}_{k}") > 1, F.xxhash64(F.lit(take), *first)))
+    return lines.select(*names, F.array_compact(F.array(*keys)).alias("keys"))
 
 
 def _votes(hashes: Column, lanes: int, width: int) -> Column:
@@ -190,10 +190,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = _without_common_start(both, "x", "y")
     both = both.select("a", "b", "x", "y", "most", "words", _coded("x").alias("p"), _coded("y").alias("q"), F.greatest(_longest("x"), _longest("y")).alias("longest"))
     few = F.floor(F.col("most") / (F.col("longest") + 1)).cast("int")
-    both = both.select("a", "b", "x", "y", "most", "words", "p", "q", few.alias("few"))
+    half = F.floor(F.col("words") / (1 - MIN_SIMILARITY) / 2).cast("int") + 1
+    both = both.select("a", "b", "x", "y", "most", "words", "p", "q", few.alias("few"), half.alias("half"), (F.greatest(F.length("x"), F.length("y")) > LONG).alias("long"))
     parts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("p"), F.length("q")) / PART).cast("int"))
     far = F.aggregate(parts, F.lit(0), lambda sum_, i: sum_ + F.levenshtein(F.col("p").substr(i * PART + 1, F.lit(PART)), F.col("q").substr(i * PART + 1, F.lit(PART))))
-    ok = F.when(F.expr("levenshtein(p, q, few)") >= 0, True).when(F.greatest(F.length("x"), F.length("y")) <= LONG, F.expr("levenshtein(x, y, most)") >= 0).otherwise(far <= F.col("words"))
+    ok = F.when(F.expr("levenshtein(p, q, few)") >= 0, True).when(F.col("long"), far <= F.col("words")).when(F.expr("levenshtein(p, q, half)") < 0, False).otherwise(F.expr("levenshtein(x, y, most)") >= 0)
     return checkpointed(both.select("a", "b", ok.alias("ok"))).where("ok").select("a", "b")
 
 
