@@ -45,7 +45,7 @@ TAKE = [(3, 0, 16), (4, 14, 1 << 30)]
 LETTERS, ENOUGH = 4, 8
 #: A line with more characters a word than this counts pairs of characters as its words.
 UNSPACED = 16
-BITS, MIN_SIMILARITY = 20, 0.8
+BITS, MIN_SIMILARITY = 16, 0.8
 #: Lines that differ over more letters than LONG are compared word by word, in parts of PART words; a word is one of CODES.
 LONG, PART, CODES = 640, 4096, 20_480
 #: Bytes of rows that may be broadcast; more are joined by a shuffle.
