@@ -10,7 +10,9 @@ so that text thick in links weighs little. The subtree whose children's
 densities have the greatest sum is the main content's core; the least density
 on the path from there to body is the threshold that other subtrees of the
 content's parent need. Navigation, headers, footers, asides, forms, adverts,
-notices and comments take no part, wherever they stand.
+notices and comments take no part, wherever they stand: by tag, role or hidden
+style, or because a whole class or id consists of words for them and the node
+holds no more than half of the text (adverts: however much).
 
 Results: one row a page. Null or empty html, or a page without content, gives
 the empty text. Unclosed tags end where an enclosing tag or the page ends; a
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,11 +33,15 @@ from pyspark.sql import types as T
 
 from verdure.llm.common import map_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<", re.S)
+#: What ends a tag, or begins a quoted value in it.
+STOP = re.compile(r">|=\s*([\"'])")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -47,86 +54,137 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 NO_CONTENT_TAGS = frozenset("nav aside footer form button select input textarea script style noscript iframe template svg canvas object embed applet head title dialog menu label fieldset".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NO_CONTENT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar comment comments disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager toolbar widget copyright disclaimer".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments disqus reply replies respond response responses discussion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager toolbar widget widgets copyright disclaimer".split()
 )
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What these name is no content, however much of the text it holds.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr".split())
+#: Words that may stand beside these in a class or id without changing what it says.
+BESIDE_WORDS = frozenset("site page main top bottom left right block box area section container wrapper wrap list item bar inner outer global primary secondary user reader post and the".split())
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("bare", "children", "kept", "links", "parent", "size", "tag", "tags", "text_links")
+    __slots__ = ("bare", "children", "links", "named", "parent", "size", "tag", "tags", "text_links")
 
-    def __init__(self, tag: str, parent: Node | None, bare: bool):
-        self.tag, self.parent, self.bare, self.children = tag, parent, bare, []
+    def __init__(self, tag: str, parent: Node | None, bare: bool, named: bool):
+        """bare: takes no part; named: only because of its class or id."""
+        self.tag, self.parent, self.bare, self.named, self.children = tag, parent, bare, named, []
         self.size = self.tags = self.links = self.text_links = 0
 
 
-def _no_content(tag: str, attributes: str) -> bool:
+def _names_no_content(value: str) -> tuple[bool, bool]:
+    """Whether a class or id consists, in one of its names, of words for what is no content; and whether these may err."""
+    for name in value.split():
+        words = {w.lower() for w in PART.findall(name)}
+        if words & NO_CONTENT_WORDS and words <= NO_CONTENT_WORDS | BESIDE_WORDS:
+            return True, not words & ADVERT_WORDS
+    return False, False
+
+
+def _no_content(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Node's bare and named."""
     if tag in NO_CONTENT_TAGS:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    bare = named = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            return True, False
         if name == "role" and value.lower() in NO_CONTENT_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in NO_CONTENT_WORDS for w in WORD.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and not bare:
+            bare, named = _names_no_content(value)
+    return bare, named
+
+
+class _Path:
+    """The open elements, and where those of each tag, blocks, and elements that aren't inline stand among them.
+
+    Every element is opened and closed once and looked up without a walk, so
+    that broken pages take time in proportion to their length.
+    """
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks, self.solid = [root], defaultdict(list), [], [0]
+
+    def open(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.at[node.tag].append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+        if node.tag not in INLINE_FORMAT and node.tag != "span":
+            self.solid.append(k)
+
+    def close(self, k: int) -> None:
+        """Closes the k-th element and all in it."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+        for places in (self.blocks, self.solid):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def last(self, tags) -> int:
+        """Where the innermost open element of these tags stands; 0: none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
 
 def parse(page: str) -> Node:
-    """The page's tree; text leaves are strings, character references decoded."""
-    root = node = Node("#root", None, False)
-    at, end = 0, len(page)
+    """The page's tree; text leaves are strings, character references decoded. An unfinished tag at the end is no text."""
+    root = Node("#root", None, False, False)
+    path, at, end = _Path(root), 0, len(page)
+    last_end, last_quote = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
     while at < end:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        closing, tag, attributes = m[1], m[2], m[3]
-        if tag is None:
-            piece = m[0]
-            if piece[0] != "<":
-                node.children.append(html.unescape(piece))
-            elif piece == "<":
+        node = path.nodes[-1]
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = end if stop < 0 else stop
+            node.children.append(html.unescape(page[at:stop]))
+            at = stop
+            continue
+        m = NAME.match(page, at)
+        if m is None:
+            piece = OTHER.match(page, at)[0]
+            at += len(piece)
+            if piece == "<":
                 node.children.append("<")
             elif piece.startswith("<![CDATA["):
                 node.children.append(piece[9:].removesuffix("]]>"))
             continue
-        tag = tag.lower()
-        if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                if tag in INLINE_FORMAT and up.tag in BLOCK:
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+        begin = stop = m.end()
+        while stop <= last_end:
+            found = STOP.search(page, stop)
+            if found is None or found[1] is None:
+                break
+            stop = found.end()
+            if stop <= last_quote[found[1]]:  # else the quote is never closed and counts as any sign
+                stop = page.find(found[1], stop) + 1
+        if stop > last_end or found is None:
+            break
+        tag, attributes, at = m[1].lower(), page[begin : found.start()], found.end()
+        if page[m.start() + 1] == "/":
+            k = path.last((tag,))
+            if k and not (tag in INLINE_FORMAT and path.blocks and path.blocks[-1] > k):
+                path.close(k)
             continue
-        if tag in ENDS_P:
-            up = node
-            while up.tag in INLINE_FORMAT or up.tag == "span":
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tag in ENDS_P and path.nodes[path.solid[-1]].tag == "p":
+            path.close(path.solid[-1])
         if tag in SIBLINGS:
-            up = node
-            while up.parent is not None and up.tag not in SIBLINGS[tag] and up.tag not in SCOPE[tag]:
-                up = up.parent
-            while up.tag in SIBLINGS[tag]:
-                node = up = up.parent
-        child = Node(tag, node, _no_content(tag, attributes))
-        node.children.append(child)
+            while (k := path.last(SIBLINGS[tag])) > path.last(SCOPE[tag]):
+                path.close(k)
+        child = Node(tag, path.nodes[-1], *_no_content(tag, attributes))
+        child.parent.children.append(child)
         if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+            close = RAW_END[tag].search(page, at)
             stop = close.start() if close else end
             if tag in ("textarea", "title"):
                 child.children.append(html.unescape(page[at:stop]))
             at = page.find(">", stop) + 1 if close else end
             at = at or end
         elif tag not in VOID and not attributes.endswith("/"):
-            node = child
+            path.open(child)
     return root
 
 
@@ -147,15 +205,25 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     nodes = _nodes(root)
     # a header, unless it is inside an article and so the article's own title
+    inside = {id(None): False}
     for n in nodes:
-        if n.tag == "header" and not n.bare:
-            up = n.parent
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            n.bare = up is None
+        inside[id(n)] = inside[id(n.parent)] or n.tag in ("article", "main")
+        if inside[id(n)] and n.tag == "header":
+            n.bare = n.named = False
+        elif n.tag == "header":
+            n.bare, n.named = True, False
+    # what a class or id calls no content, unless it holds most of the text
+    for n in reversed(nodes):
+        n.size += sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        if n.parent is not None and (n.named or not n.bare):
+            n.parent.size += n.size
     for n in nodes:
+        if n.named and 2 * n.size > root.size:
+            n.bare = False
         if n.parent is not None and n.parent.bare:
             n.bare = True
+    for n in nodes:
+        n.size = 0
     for n in reversed(nodes):
         if n.bare:
             continue
@@ -186,7 +254,7 @@ def main_text(page: str | None) -> str:
         loose = sum(len(c) for c in n.children if isinstance(c, str))
         return sum(dense[id(c)] for c in n.children if isinstance(c, Node)) + (loose if n.tag not in BLOCK else 0)
 
-    blocks = [n for n in nodes if not n.bare and n.size and n.tag not in INLINE_FORMAT and n.tag != "p"]
+    blocks = [n for n in _nodes(body) if not n.bare and n.size and n.tag not in INLINE_FORMAT and n.tag != "p"]
     core = max(blocks, key=inner, default=body)
     # the whole article or main part that holds the core, if there is one
     up = core

@@ -187,7 +187,7 @@ class Pieces:
         """_apart without a limit, remembering pairs in a table of fixed size; a = -1: a character without a piece."""
         pair = a * len(self.names) + b
         slot = (pair * 0x9E3779B1 >> 7) & (PAIRS - 1)
-        known = self.pair_key[slot] == pair
+        known = (a >= 0) & (self.pair_key[slot] == pair)
         out = self.pair_apart[slot] | ~known
         fresh = np.flatnonzero(~known & (a >= 0))
         if len(fresh):
@@ -267,6 +267,8 @@ class Pieces:
             total = best[end - 1, odd] + (0.0 if self.kind == BPE else self.unknown_score)
             odd, total = odd[total > best[end, odd]], total[total > best[end, odd]]
             best[end, odd], last[end, odd], back[end, odd] = total, -1, 1
+        if not np.isfinite(best[length]).all():
+            raise ValueError("a word has no segmentation")
         # all words walk back together; ids fill each row from its right end
         ids, used = np.full((n, length), -2, np.int32), np.zeros(n, np.int64)
         end, live = np.full(n, length), np.arange(n)
