@@ -1,29 +1,29 @@
 """Operator 6: exact top-k inner products by a dual-tree search over cover trees.
 
-Vectors become whole numbers, floor(SCALE * x). Every task indexes its vectors,
-up to CHUNK at a time, in a cover tree: the children of a node lie within its
-radius, their centres are further apart than half of it and every point is
-within half of it from one. A node whose points are too far apart for that (more
-than a quarter of them would be centres) is a leaf. The queries have such a tree too. A pair of nodes is
+Vectors become whole numbers, floor(SCALE * x). They are dealt by hash into
+blocks of at most about BLOCK rows; each is indexed in a cover tree: a node's
+children are centred on up to FAN of its points, chosen each as far as possible
+from those before, so that centres are further apart than the radius within which
+they cover the node. The queries, as many copies as there are blocks, reach each
+block in batches of at most BATCH, which have such a tree too. A pair of nodes is
 skipped if no inner product between them, at most
 
     <cq, cd> + rq * |cd| + rd * |cq| + rq * rd,
 
 reaches the worst kth score of the query node's queries so far; the best pairs
-go first. Each task returns its k best per query, and the best of these are the
-result, so the search is exact.
-
-Queries are taken in blocks of about QUERY_BLOCK by hash, each broadcast to a
-scan of all vectors: what is broadcast at once has a fixed size. Results: rank 1
-to k by score, ties to the smaller id; a query never finds its own id. Vectors
-that are null or hold null or non-finite components take no part; inner products
-are taken between vectors of equal length only. Of rows with the same id each
-counts.
+go first. Each block gives its k best per query, and the best of these are the
+result, so the search is exact. A task holds one block and one batch; nothing
+goes through the driver but the number of rows.
+
+Results: rank 1 to k by score, ties to the smaller id; a query never finds its
+own id. Vectors that are null or hold null or non-finite components take no part;
+inner products are taken between vectors of equal length only. Of rows with the
+same id each counts. Scores are whole numbers, exact at any size; those beyond 64
+bits become the largest or smallest long.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +34,10 @@ from pyspark.sql.window import Window as W
 
 from verdure.llm.common import map_batches
 
-SCALE, QUERY_BLOCK, CHUNK, LEAF = 256.0, 20_000, 2048, 32
-#: Components up to this are multiplied exactly in floating point.
-EXACT = float(1 << 22)
+SCALE, BLOCK, LEAST_BLOCK, BATCH, FAN, LEAF = 256.0, 1 << 16, 1 << 12, 2048, 32, 96
+#: Sums of products below this are exact in floating point.
+EXACT = float(1 << 53)
+NONE = np.iinfo(np.int64).min
 
 
 class CoverTree:
@@ -45,8 +46,7 @@ class CoverTree:
     def __init__(self, points: np.ndarray):
         self.points, self.order = points, np.arange(len(points))
         self.centre, self.radius, self.span, self.children = [], [], [], []
-        mean = points.mean(0).round()
-        self._node(mean, 0, len(points))
+        self._node(points.mean(0), 0, len(points))
         at = 0
         while at < len(self.centre):
             self._split(at)
@@ -59,7 +59,7 @@ class CoverTree:
     def _node(self, centre: np.ndarray, lo: int, hi: int) -> int:
         off = self.points[self.order[lo:hi]] - centre
         self.centre.append(centre)
-        self.radius.append(float(np.sqrt((off * off).sum(1).max())))
+        self.radius.append(float(np.sqrt((off * off).sum(1).max())) * (1 + 1e-9))
         self.span.append((lo, hi))
         self.children.append([])
         return len(self.centre) - 1
@@ -71,78 +71,77 @@ class CoverTree:
         own = self.order[lo:hi]
         points, reach = self.points[own], self.radius[node] / 2
         off = points - self.centre[node]
-        first = int((off * off).sum(1).argmin())
-        squares = (points * points).sum(1)
-        distance = np.maximum(squares - 2 * points @ points[first] + squares[first], 0)
-        nearest, centres = np.zeros(len(own), np.int64), [first]
-        while distance.max() > reach * reach:
+        centres = [int((off * off).sum(1).argmin())]
+        off = points - points[centres[0]]
+        distance, nearest = (off * off).sum(1), np.zeros(len(own), np.int64)
+        while len(centres) < FAN and distance.max() > reach * reach:
             c = int(distance.argmax())
-            d = np.maximum(squares - 2 * points @ points[c] + squares[c], 0)
+            off = points - points[c]
+            d = (off * off).sum(1)
             closer = d < distance
             distance[closer], nearest[closer] = d[closer], len(centres)
             centres.append(c)
-            if len(centres) * 4 > len(own):  # as far apart as the points of a cube's corners: nothing to cover
-                return
+        if len(centres) == 1:
+            return
         by = np.argsort(nearest, kind="stable")
         self.order[lo:hi] = own[by]
         edges = [*np.searchsorted(nearest[by], np.arange(len(centres))).tolist(), len(own)]
         self.children[node] = [self._node(points[c], lo + a, lo + b) for c, a, b in zip(centres, edges, edges[1:], strict=False) if b > a]
 
-    def leaf(self, node: int) -> bool:
-        return not self.children[node] or self.span[node][1] - self.span[node][0] <= LEAF
-
 
 class Best:
     """The k best so far of each query, in the order of the query tree."""
 
     def __init__(self, n: int, k: int):
-        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.score, self.id = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, lo: int, hi: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: of queries lo to hi with the candidates ids; -inf: no candidate."""
+        """scores: of queries lo to hi with the candidates ids; NONE: no candidate."""
         k = self.score.shape[1]
         least = self.score[lo:hi, -1]
         if scores.shape[1] > k:
             least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
-        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        row, column = np.nonzero((scores >= least[:, None]) & (scores > NONE))
         edges = np.searchsorted(row, np.arange(len(scores) + 1))
         for r in np.unique(row).tolist():
             at = column[edges[r] : edges[r + 1]]
             score, ident = np.append(self.score[lo + r], scores[r, at]), np.append(self.id[lo + r], ids[at])
-            by = np.lexsort((ident, -score))[:k]
+            by = np.lexsort((ident, ~score))[:k]
             self.score[lo + r], self.id[lo + r] = score[by], ident[by]
 
 
-def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Best) -> int:
-    """Adds the data's best to best; ids are in the trees' order. Returns how many node pairs were compared."""
+def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Best) -> tuple[int, int]:
+    """Adds the data's best to best; ids are in the trees' order. Returns how many pairs of nodes met, and how many of vectors were scored."""
 
     def bound(q, d) -> np.ndarray:
         rq, rd = queries.radius[q], data.radius[d]
         return data.centre[d] @ queries.centre[q] + rq * data.length[d] + rd * queries.length[q] + rq * rd
 
-    stack, compared = [(0, 0, np.inf)], 0
+    stack, met, scored = [(0, 0, np.inf)], 0, 0
     while stack:
         q, d, most = stack.pop()
         lo, hi = queries.span[q]
-        worst = best.score[lo:hi, -1].min()
-        if most < worst - 0.5:  # scores are whole numbers, bounds are rounded
+        worst = float(best.score[lo:hi, -1].min())
+        slack = 0.5 + 1e-9 * abs(worst)  # bounds are rounded
+        if most < worst - slack:
             continue
-        compared += 1
-        q_leaf, d_leaf = queries.leaf(q), data.leaf(d)
-        if q_leaf and d_leaf:
+        met += 1
+        q_kids, d_kids = queries.children[q], data.children[d]
+        if not q_kids and not d_kids:
             a, b = data.span[d]
-            scores = queries.points[lo:hi] @ data.points[a:b].T
-            scores[query_ids[lo:hi, None] == data_ids[None, a:b]] = -np.inf
+            scores = (queries.points[lo:hi] @ data.points[a:b].T).astype(np.int64)
+            scores[query_ids[lo:hi, None] == data_ids[None, a:b]] = NONE
             best.add(lo, hi, scores, data_ids[a:b])
-        elif q_leaf or (not d_leaf and data.radius[d] >= queries.radius[q]):
-            kids = np.array(data.children[d])
+            scored += scores.size
+        elif not q_kids or (d_kids and data.radius[d] >= queries.radius[q]):
+            kids = np.array(d_kids)
             tops = bound(q, kids)
-            keep = tops >= worst - 0.5
+            keep = tops >= worst - slack
             kids, tops = kids[keep], tops[keep]
             stack.extend((q, int(kids[i]), float(tops[i])) for i in np.argsort(tops))
         else:
-            stack.extend((c, d, float(bound(c, d))) for c in queries.children[q])
-    return compared
+            stack.extend((c, d, float(bound(c, d))) for c in q_kids)
+    return met, scored
 
 
 def usable(embedding: str) -> Column:
@@ -150,64 +149,78 @@ def usable(embedding: str) -> Column:
     return e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def _whole(rows: list) -> np.ndarray:
-    return np.floor(SCALE * np.array(rows, np.float64))
+def _whole(rows: pa.Array, length: int) -> np.ndarray:
+    return np.floor(SCALE * rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, length)
 
 
 def _plain(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, best: Best) -> None:
     """For components too large for exact floating point: whole-number products, all of them."""
     q, d = ([[int(x) for x in row] for row in m] for m in (queries, data))
     for i, x in enumerate(q):
-        scores = np.array([[float(sum(a * b for a, b in zip(x, y, strict=True))) if query_ids[i] != data_ids[j] else -np.inf for j, y in enumerate(d)]])
+        scores = np.array([[min(max(sum(a * b for a, b in zip(x, y, strict=True)), NONE + 1), -NONE - 1) if query_ids[i] != data_ids[j] else NONE for j, y in enumerate(d)]], np.int64)
         best.add(i, i + 1, scores, data_ids)
 
 
+class _Block:
+    """A block's vectors; its tree is built when the first queries come."""
+
+    def __init__(self, length: int, k: int):
+        self.length, self.k, self.ids, self.points, self.whole, self.tree = length, k, [], [], None, None
+
+    def add(self, ids: np.ndarray, points: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.points.append(points)
+
+    def answer(self, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.whole is None:
+            self.ids, self.whole = np.concatenate(self.ids), np.concatenate(self.points)
+            self.points, self.largest = None, float(np.abs(self.whole).max())
+        best = Best(len(ids), self.k)
+        if float(np.abs(points).max()) * self.largest >= EXACT / self.length:
+            _plain(points, ids, self.whole, self.ids, best)
+        else:
+            if self.tree is None:
+                self.tree = CoverTree(self.whole)
+                self.whole, self.ids = self.tree.points, self.ids[self.tree.order]
+            tree = CoverTree(points)
+            ids = ids[tree.order]
+            search(tree, ids, self.tree, self.ids, best)
+        at, rank = np.nonzero(best.score > NONE)
+        return ids[at], best.id[at, rank], best.score[at, rank]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, <key>, score) of the rows of queries against all rows of vectors; keys are whole numbers, null keys take no part."""
-    spark = vectors.sparkSession
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pick = lambda df: df.where(usable(embedding) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     asked, data = pick(queries), pick(vectors)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        by_length = defaultdict(lambda: ([], []))
-        for i, e in zip(rows.column("id").to_pylist(), rows.column("e").to_pylist(), strict=True):
-            by_length[len(e)][0].append(i)
-            by_length[len(e)][1].append(e)
-        shared = spark.sparkContext.broadcast({n: (np.array(i, np.int64), _whole(e)) for n, (i, e) in by_length.items()})
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            state, waiting = {}, defaultdict(lambda: ([], []))
-            for n, (ids, points) in shared.value.items():
-                tree = CoverTree(points)
-                state[n] = (tree, ids[tree.order], Best(len(ids), k))
-
-            def flush(n: int) -> None:
-                ids, points = np.array(waiting[n][0], np.int64), _whole(waiting[n][1])
-                tree, query_ids, best = state[n]
-                if max(np.abs(points).max(), np.abs(tree.points).max()) > EXACT:
-                    _plain(tree.points, query_ids, points, ids, best)
-                else:
-                    data_tree = CoverTree(points)
-                    search(tree, query_ids, data_tree, ids[data_tree.order], best)
-                waiting.pop(n)
-
-            for batch in batches:
-                for i, e in zip(batch.column("id").to_pylist(), batch.column("e").to_pylist(), strict=True):
-                    if (n := len(e)) in state:
-                        waiting[n][0].append(i)
-                        waiting[n][1].append(e)
-                        if len(waiting[n][0]) >= CHUNK:
-                            flush(n)
-            for n in list(waiting):
-                flush(n)
-            for _, query_ids, best in state.values():
-                at, rank = np.nonzero(best.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(best.id[at, rank]), pa.array(best.score[at, rank].astype(np.int64))], names=["query_id", "id", "score"])
-
-        part = map_batches(data, scan, "query_id bigint, id bigint, score bigint")
-        found = part if found is None else found.unionAll(part)
+    n = data.count()
+    blocks = max(1, -(-n // BLOCK), min(tasks, n // LEAST_BLOCK))
+    rows = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asked"), "id", "e")
+    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asked"), "id", "e")
+    met = rows.unionAll(copies).withColumn("length", F.size("e")).repartition(blocks, "block", "length").sortWithinPartitions("block", "length", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
+        for batch in batches:
+            names = [batch.column(c).to_numpy() for c in ("block", "length", "asked")]
+            edges = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                own, length = (int(names[0][a]), int(names[1][a])), int(names[1][a])
+                if own != at:
+                    at, block = own, _Block(length, k)
+                for i in range(a, b, BATCH):
+                    part = batch.slice(i, min(BATCH, b - i))
+                    ids, points = part.column("id").to_numpy(), _whole(part.column("e"), length)
+                    if not names[2][a]:
+                        block.add(ids, points)
+                    elif len(block.ids):
+                        found = block.answer(ids, points)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "id", "score"])
+
+    found = map_batches(met, run, "query_id bigint, id bigint, score bigint")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
