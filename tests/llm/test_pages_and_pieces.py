@@ -118,3 +118,21 @@ def test_pages_in_spark(spark):
     got = html.extract(pages).collect()
     assert len(got) == 6 and {r.page_id: r.text for r in got if r.page_id != 2} == {1: "", 3: TEXT.strip(), None: "café ☺", 5: ("word " * 300_000).strip()}
     assert html.extract(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize(("large", "small"), [(400, 600), (1, 3000), (0, 1), (20, 0)])
+def test_weights_of_many_sources(spark, large, small):
+    rows = [(f"l{i}",) for i in range(large) for _ in range(40)] + [(f"s{i}",) for i in range(small)]
+    got = mixing.root_weights(spark.createDataFrame(rows, "source string"))
+    assert len(got) == large + small and min(got.values()) >= 1 and sum(got.values()) == max(mixing.PERIOD, mixing.TICKS * len(got))
+    assert len(mixing.schedule(got)) == sum(got.values())
+    if large and small:
+        assert got["l0"] >= got["s0"]
+
+
+def test_mixing_odd_tables(spark):
+    assert mixing.root_weights(spark.createDataFrame([], "source string")) == {}
+    rows = [(1, None, "t", 5), (1, None, "t", 5), (None, "a", None, 6), (2, "a", "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, slot bigint")
+    got = mixing.mix(docs, mixing.root_weights(docs)).collect()
+    assert len(got) == 4 and len({(r.slot, r.place) for r in got}) == 4

@@ -28,6 +28,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 PERIOD, BLOCK_ROWS = 1000, 8
+#: Ticks a source in a period at least; sources that root_weights takes: the schedule, so many ticks, is laid out on the driver.
+TICKS, MOST_SOURCES = 4, 1 << 18
+#: Ticks of a schedule that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_TICKS = 1 << 17
 #: Rows of a bucket, at most about this many; fewer where that keeps all tasks busy.
 BUCKET_ROWS = 1 << 16
 OWN = ["block", "release", "deadline", "slot", "place"]
@@ -57,16 +61,18 @@ def schedule(weights: dict[str | None, int]) -> list[tuple[str | None, int, int,
 def root_weights(df: DataFrame, source: str = "source", period: int = PERIOD) -> dict[str | None, int]:
     """Ticks in proportion to the root of each source's rows, which lifts small sources; one tick at least.
 
-    What rounding leaves goes to the largest source. More sources than ticks are an error.
+    Each source has one tick, and the rest of the period is shared out by the
+    largest remainder (ties to more rows, then by name). The period has TICKS
+    ticks a source at least. More than MOST_SOURCES sources are an error.
     """
-    rows = df.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).withColumn("q", F.floor(F.sqrt("n") * 1000)).limit(period + 1).collect()
-    if len(rows) > period:
-        raise ValueError(f"more than {period} sources: set a longer period")
-    total = sum(r.q for r in rows)
-    out = {r.s: max(1, period * r.q // total) for r in rows}
-    if rows:
-        largest = min(rows, key=lambda r: (-r.n, r.s is not None, r.s or "")).s
-        out[largest] += period - sum(out.values())
+    rows = df.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).withColumn("q", F.floor(F.sqrt("n") * 1000)).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    total, spare = sum(r.q for r in rows), max(period, TICKS * len(rows)) - len(rows)
+    out = {r.s: 1 + spare * r.q // total for r in rows}
+    by_rest = sorted(rows, key=lambda r: (-(spare * r.q % total), -r.n, r.s is not None, r.s or ""))
+    for r in by_rest[: spare + len(rows) - sum(out.values())]:
+        out[r.s] += 1
     return out
 
 
@@ -94,9 +100,9 @@ def mix(df: DataFrame, weights: dict[str | None, int], source: str = "source", k
         [(s, j, r, d, t, weights[s]) for s, j, r, d, t in schedule(weights)],
         T.StructType([T.StructField("s2", kind), *(T.StructField(n, T.LongType()) for n in ("j", "r0", "d0", "t0", "w"))]),
     )
-    # the schedule has ``period`` rows, whatever the data: it is broadcast
     ticks = plan.groupBy("s2", "w").agg(F.collect_list(F.struct("j", "r0", "d0", "t0")).alias("slots")).withColumn("slots", F.array_sort("slots"))
-    rows = rows.join(F.broadcast(ticks), F.col("s").eqNullSafe(F.col("s2")), "left")
+    ticks = F.broadcast(ticks) if period <= BROADCAST_TICKS else ticks
+    rows = rows.join(ticks, F.col("s").eqNullSafe(F.col("s2")), "left")
     turn, at = F.floor(F.col("block") / F.col("w")) * period, F.get("slots", (F.col("block") % F.col("w")).cast("int"))
     return rows.select(
         F.col("k").alias(key),
@@ -121,23 +127,24 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 OP4_SQL = f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS c FROM documents GROUP BY source),
 roots AS (SELECT source, c, CAST(floor(sqrt(c) * 1000) AS BIGINT) AS q FROM sizes),
+spare AS (SELECT greatest({PERIOD}, {TICKS} * count(*)) AS period, greatest({PERIOD}, {TICKS} * count(*)) - count(*) AS rest, sum(q) AS total FROM roots),
 shares AS (
-  SELECT source, c, greatest(1, CAST({PERIOD} * q // (SELECT sum(q) FROM roots) AS BIGINT)) AS w,
-         row_number() OVER (ORDER BY source NULLS FIRST) AS i, row_number() OVER (ORDER BY c DESC, source NULLS FIRST) AS big
-  FROM roots),
-weights AS (SELECT source, i, CAST(w + CASE WHEN big = 1 THEN {PERIOD} - (SELECT sum(w) FROM shares) ELSE 0 END AS BIGINT) AS w FROM shares),
+  SELECT source, 1 + CAST(rest * q // total AS BIGINT) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS i,
+         row_number() OVER (ORDER BY rest * q % total DESC, c DESC, source NULLS FIRST) AS turn
+  FROM roots, spare),
+weights AS (SELECT source, i, CAST(w + CASE WHEN turn <= (SELECT period FROM spare) - (SELECT sum(w) FROM shares) THEN 1 ELSE 0 END AS BIGINT) AS w FROM shares),
 lists AS (SELECT list(w ORDER BY i) AS ws FROM weights),
 slots(t, done, pick) AS (
   SELECT 0, list_transform(ws, lambda x: 0), CAST(0 AS BIGINT) FROM lists
   UNION ALL
   SELECT t + 1, list_transform(done, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p
-  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda i: done[i] < ws[i] AND done[i] * {PERIOD} // ws[i] <= t),
-                                 lambda i: ((done[i] + 1) * {PERIOD} + ws[i] - 1) // ws[i] * 100000 + i)) % 100000 AS p
-        FROM slots, lists WHERE t < {PERIOD})),
+  FROM (SELECT t, done, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda i: done[i] < ws[i] AND done[i] * period // ws[i] <= t),
+                                 lambda i: ((done[i] + 1) * period + ws[i] - 1) // ws[i] * 100000 + i)) % 100000 AS p
+        FROM slots, lists, spare WHERE t < period)),
 plan AS (SELECT source, w, t - 1 AS slot, done[pick] - 1 AS j FROM slots JOIN weights ON i = pick WHERE t > 0),
 rows AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents)
-SELECT doc_id, rows.source, r // {BLOCK_ROWS} AS block, r // {BLOCK_ROWS} * {PERIOD} // w AS release,
-       ((r // {BLOCK_ROWS} + 1) * {PERIOD} + w - 1) // w AS deadline,
-       r // {BLOCK_ROWS} // w * {PERIOD} + slot AS slot, r % {BLOCK_ROWS} AS place
-FROM rows JOIN plan ON rows.source IS NOT DISTINCT FROM plan.source AND (r // {BLOCK_ROWS}) % w = j
+SELECT doc_id, rows.source, r // {BLOCK_ROWS} AS block, r // {BLOCK_ROWS} * period // w AS release,
+       ((r // {BLOCK_ROWS} + 1) * period + w - 1) // w AS deadline,
+       r // {BLOCK_ROWS} // w * period + slot AS slot, r % {BLOCK_ROWS} AS place
+FROM spare, rows JOIN plan ON rows.source IS NOT DISTINCT FROM plan.source AND (r // {BLOCK_ROWS}) % w = j
 """
