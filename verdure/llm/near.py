@@ -1,8 +1,9 @@
 """Operator 9: near-duplicate documents by improved consistent weighted sampling.
 
 A document is the weighted set of its shingles of five lower-case words (all its
-words, if fewer): weight = occurrences * idf, idf from exact counts, over all
-documents, in BINS hash bins. Each of SAMPLES hash functions draws one shingle
+words, if fewer): weight = occurrences * idf. Shingles of at least one in COMMON
+documents have their exact idf; all rarer ones have that of one in COMMON, so
+that weights depend on shares of the documents and not on their number. Each of SAMPLES hash functions draws one shingle
 so that two documents draw the same one with probability equal to their weighted
 Jaccard similarity; BANDS bands of ROWS draws each are join keys. Pairs that
 share a key are verified: they are linked if their weighted Jaccard similarity,
@@ -10,12 +11,14 @@ from all shingles of both texts, is THRESHOLD or more. A pair of similarity
 THRESHOLD shares a key with probability 1 - (1 - THRESHOLD^ROWS)^BANDS = 0.9998.
 
 Texts of the same words are copies and go through as one. Within a key all texts
-are compared with its first. Where that leaves a key's texts unconnected, they
-are dealt into blocks, and a task takes two blocks and returns the links that
-connect them: no pair is ever a row, and no link between groups is lost.
+are compared with its first. Those that this leaves apart from the first one are dealt
+into blocks, as are all the key's texts; a task takes a block of either kind and
+returns the links that connect them: no pair is ever a row, and no link between
+groups is lost.
 
 Results: one row a document with class_id, the least id of the documents that
-links and copies connect, and class_size. Null texts and texts without words
+links and copies connect, and class_size. Rows are known by 128 bits of their id
+and text; rows equal in both are copies. Null texts and texts without words
 are in a class of their own each, class_id their own id.
 """
 
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from verdure.llm.common import checkpointed, connected_components, hashed_counts, map_batches, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
-BINS_LOG = 18
+#: idf is exact for shingles of one in COMMON documents or more: at most COMMON times as many as a document has on average.
+COMMON, BINS_LOG = 256, 18
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Texts of a block, when the pairs of a key are made tile by tile.
@@ -40,7 +44,7 @@ TILE = 256
 #: Random numbers of the sampling: shingles share them by TABLE hash values.
 TABLE, SEED, PART = 1 << 14, 9, 4096
 CACHE_WORDS = 250_000
-#: Ids of eight bytes that may be broadcast; more are joined by a shuffle.
+#: Ids of 16 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -74,10 +78,44 @@ def bins_of(text: str) -> np.ndarray:
     return np.unique((shingle_hashes(text) >> np.uint64(64 - BINS_LOG)).astype(np.int64))
 
 
-def weighted_set(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Idf:
+    """idf of shingles: exact for the common ones, one value for all others."""
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray, documents: int):
+        by = np.argsort(common)
+        self.common = common[by]
+        self.values = np.log((1 + documents) / (1 + counts[by])) + 1
+        self.other = float(np.log((1 + documents) / (1 + documents / COMMON)) + 1)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.other)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+            hit = self.common[at] == h
+            out[hit] = self.values[at[hit]]
+        return out
+
+
+def idf_of(docs: DataFrame) -> Idf:
+    """docs: column text. Counts by bins tell which shingles may be common; those are counted one by one."""
+    total = docs.count()
+    full = hashed_counts(docs, bins_of, 1 << BINS_LOG) * COMMON >= max(1, total)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t)) for t in texts_of(batch)]
+            h = np.concatenate([np.zeros(0, np.uint64), *(x[full[(x >> np.uint64(64 - BINS_LOG)).astype(np.int64)]] for x in found)])
+            h, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    rows = map_batches(docs.select("text"), count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= total).collect()
+    return Idf(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.float64), total)
+
+
+def weighted_set(text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order, and their weights."""
     h, n = np.unique(shingle_hashes(text), return_counts=True)
-    return h, (n * idf[(h >> np.uint64(64 - BINS_LOG)).astype(np.int64)]).astype(np.float64)
+    return h, n * idf.of(h)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -121,7 +159,9 @@ class Sampler:
 
 
 def _rid(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+    """128 bits that name a row by its id and text."""
+    halves = F.xxhash64(F.col(key), F.col(text)), F.xxhash64(F.lit(1), F.col(key), F.col(text))
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in halves)))
 
 
 def signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
@@ -138,7 +178,7 @@ def signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
                 bands.append(sampler.bands(*weighted_set(t, weights)) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "rid", "fp", "bands"])
 
-    return map_batches(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, rid bigint, fp binary, bands array<bigint>")
+    return map_batches(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, rid binary, fp binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -163,13 +203,13 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), run, "a binary, b binary, ok boolean")
 
 
-def forest(rows: list[tuple[bytes, str, bytes]], weights: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Links that connect the texts (fp, text, comp) of different comp as all their links would.
+def forest(rows: list[tuple[bytes, str, bytes, bool]], weights: Idf) -> list[tuple[bytes, bytes]]:
+    """Links that connect the texts (fp, text, comp, loose) of different comp as all links of the loose ones would.
 
     An index from shingles to the texts that have them gives a text's
     similarities to all others at once.
     """
-    sets = [weighted_set(t, weights) for _, t, _ in rows]
+    sets = [weighted_set(t, weights) for _, t, _, _ in rows]
     mass = np.array([w.sum() for _, w in sets])
     names, parent = {}, []
 
@@ -178,16 +218,18 @@ def forest(rows: list[tuple[bytes, str, bytes]], weights: np.ndarray) -> list[tu
             parent[i] = i = parent[parent[i]]
         return i
 
-    for _, _, comp in rows:
+    for _, _, comp, _ in rows:
         names.setdefault(comp, len(names))
     parent = list(range(len(names)))
-    group = [names[c] for _, _, c in rows]
+    group = [names[c] for _, _, c, _ in rows]
     owner = np.repeat(np.arange(len(rows)), [len(h) for h, _ in sets])
     shingle, weight = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
     by = np.argsort(shingle, kind="stable")
     shingle, weight, owner = shingle[by], weight[by], owner[by]
     out = []
     for i, (h, w) in enumerate(sets):
+        if not rows[i][3]:
+            continue
         lo, hi = np.searchsorted(shingle, h, "left"), np.searchsorted(shingle, h, "right")
         size = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
@@ -201,15 +243,18 @@ def forest(rows: list[tuple[bytes, str, bytes]], weights: np.ndarray) -> list[tu
 
 
 def tile_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """(a, b): links between the texts of a key (columns key, n, fp, comp) that connect what its links connect.
+    """(a, b): links between the texts of a key (columns key, n, apart, fp, comp, loose) that connect what its links connect.
 
-    A key's n texts are dealt into blocks of about TILE; each two blocks meet in
+    A key's n texts are dealt into blocks of about TILE, and so are the ``apart``
+    ones of them that are loose; each block of loose ones meets each of all in
     a tile, so no task holds more than two blocks, however large a key is.
     """
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fp", "key"), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("fp", "comp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
+    whole, some = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n", "apart"))
+    block = lambda n: F.pmod(F.xxhash64("fp", "key"), n).cast("int")
+    every = members.select("key", "fp", "comp", F.lit(False).alias("loose"), block(whole).alias("x"), F.explode(F.sequence(F.lit(0), some - 1)).alias("y"))
+    loose = members.where("loose").select("key", "fp", "comp", "loose", F.explode(F.sequence(F.lit(0), whole - 1)).alias("x"), block(some).alias("y"))
+    rows = every.unionAll(loose).groupBy("key", "x", "y", "fp", "comp").agg(F.max("loose").alias("loose"))
+    rows = rows.select("fp", "comp", "loose", F.xxhash64("key", "x", "y").alias("tile"))
     rows = rows.join(texts, "fp").repartition("tile").sortWithinPartitions("tile", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +265,12 @@ def tile_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for t, fp, text, comp in zip(*(batch.column(c).to_pylist() for c in ("tile", "fp", "text", "comp")), strict=True):
+            for t, fp, text, comp, loose in zip(*(batch.column(c).to_pylist() for c in ("tile", "fp", "text", "comp", "loose")), strict=True):
                 if t != tile:
                     if held:
                         yield links()
                     tile, held = t, []
-                held.append((fp, text, comp))
+                held.append((fp, text, comp, loose))
         if held:
             yield links()
 
@@ -235,10 +280,7 @@ def tile_links(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, rid, class_id, class_size, first) of every row; first: whether it stands for its class."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(text).alias("text"))
-    total = docs.count()
-    counts = hashed_counts(plain, bins_of, 1 << BINS_LOG)
-    idf = spark.sparkContext.broadcast((np.log((1 + total) / (1 + counts)) + 1).astype(np.float32))
+    idf = spark.sparkContext.broadcast(idf_of(docs.select(F.col(text).alias("text"))))
     rows = checkpointed(signatures(docs, idf, key, text))
     texts_once = rows.where("fp is not null").groupBy("fp").agg(F.min("rid").alias("rid"), F.min_by("bands", "rid").alias("bands"))
     keyed = texts_once.select("fp", "rid", F.explode("bands").alias("key"))
@@ -260,10 +302,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     comps = checkpointed(connected_components(checked.where("ok").select("a", "b")))
     # keys whose texts are not connected yet, each set of texts once: all their pairs, tile by tile
     named = comps.select(F.col("id").alias("fp"), "comp")
-    placed = members.join(named, "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
-    sets = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark"))
-    sets = sets.where("lo <> hi").groupBy("n", "lo", "hi", "mark").agg(F.min("key").alias("key"))
-    more = tile_links(placed.join(sets.select("key", "n"), "key"), texts, idf)
+    placed = members.join(named, "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"), (F.col("fp") == F.col("lead")).alias("leads"))
+    sets = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("main"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("mark"))
+    sets = sets.where("lo <> hi").groupBy("n", "lo", "hi", "mark").agg(F.min(F.struct("key", "main")).alias("one"))
+    open_ = checkpointed(placed.join(sets.select("one.key", "n", "one.main"), "key").select("key", "fp", "comp", "n", (F.col("comp") != F.col("main")).alias("loose")))
+    apart = open_.where("loose").groupBy("key").agg(F.count("*").alias("apart"))
+    more = tile_links(open_.join(apart, "key"), texts, idf)
     comps = checkpointed(connected_components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(more)))
 
     found = rows.select("doc", "rid", "fp").join(comps.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -276,12 +320,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their class: its least id (of rows equal in id and text, one)."""
-    kept = classes(docs, key, text).where("first or alone").select(F.col("rid").alias("_rid"), F.col("alone").alias("_alone"))
-    repeated = kept.where("not _alone").groupBy("_rid").count().where("count > 1").limit(1).count()
-    rows = docs.withColumn("_rid", _rid(key, text)).join(kept.distinct(), "_rid")
+    kept = classes(docs, key, text).where("first or alone").select("rid", "alone")
+    repeated = kept.where("not alone").groupBy("rid").count().where("count > 1").limit(1).count()
+    # the row travels as one struct, so that no column's name can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _rid(key, text).alias("rid")).join(kept.distinct(), "rid")
     if repeated:
-        rows = rows.where("not _alone").dropDuplicates(["_rid"]).unionByName(rows.where("_alone"))
-    return rows.select(*docs.columns)
+        rows = rows.where("not alone").dropDuplicates(["rid"]).unionByName(rows.where("alone"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
