@@ -126,43 +126,26 @@ def test_simhash_is_the_majority_of_the_words_hashes(spark):
         assert row.sim % (1 << 64) == sim
 
 
-def test_lines_against_brute_force(spark):
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _repeated(docs):
+    """Places of the lines that edit similarity alone, without SimHashes or keys, connects to an earlier one."""
     import regex
-    import xxhash
 
-    rng = random.Random(5)
-    base = [" ".join(rng.choices(WORDS, k=rng.randint(5, 40))) for _ in range(60)]
-    docs = []
-    for d in range(200):
-        own = []
-        for _ in range(rng.randint(0, 5)):
-            words = rng.choice(base).split()
-            if rng.random() < 0.6:
-                words[rng.randrange(len(words))] = rng.choice(["new", "Word!", "x1"])
-            own.append(" ".join(words))
-        docs.append((d, "\n".join(own)))
     seen = {}
     for d, t in docs:
         for p, line in enumerate(t.split("\n")):
-            n = regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
-            if len(n) >= lines.MIN_CHARS:
+            if n := regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" "):
                 seen.setdefault(n, []).append((d, p))
     norms = list(seen)
-
-    def sim(n):
-        h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))], np.uint64)
-        votes = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0) * 2 > len(h)
-        return int((votes.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    sims, parent = [sim(n) for n in norms], list(range(len(norms)))
+    parent = list(range(len(norms)))
 
     def root(i):
         while parent[i] != i:
@@ -171,16 +154,67 @@ def test_lines_against_brute_force(spark):
 
     for i, a in enumerate(norms):
         for j in range(i):
-            b = norms[j]
-            if (sims[i] ^ sims[j]).bit_count() <= lines.BITS and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            most = int(max(len(a), len(norms[j])) * 0.2 + 1e-9)
+            bags = collections.Counter(a), collections.Counter(norms[j])
+            if max((bags[0] - bags[1]).total(), (bags[1] - bags[0]).total()) <= most and _distance(a, norms[j]) <= most:
                 parent[root(i)] = root(j)
     first = {}
     for i, n in enumerate(norms):
         first[root(i)] = min(first.get(root(i), (1 << 60, 0)), min(seen[n]))
-    gone = {o for i, n in enumerate(norms) for o in seen[n] if o != first[root(i)]}
-    want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in docs}
-    got = lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.text for r in got} == want and sum(r.n_removed for r in got) == len(gone)
+    return {o for i, n in enumerate(norms) for o in seen[n] if o != first[root(i)]}
+
+
+@pytest.mark.parametrize(("words", "changes"), [((8, 15), 1), ((16, 30), 2), ((31, 80), 4)])
+def test_lines_against_edit_similarity_alone(spark, words, changes):
+    """No line goes that edit similarity doesn't connect to an earlier one, and at least 0.9 of those that it does go."""
+    rng = random.Random(words[0])
+    base = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(rng.randint(*words))) for _ in range(40)]
+    docs = []
+    for d in range(90):
+        own = []
+        for _ in range(2):
+            line = rng.choice(base).split()
+            for _ in range(rng.randint(0, changes)):
+                line[rng.randrange(len(line))] = rng.choice(["New", "word!", "x1"])
+            own.append(" ".join(line))
+        docs.append((d, "\n".join(own)))
+    want = _repeated(docs)
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = 0
+    for d, t in docs:
+        left, row = t.split("\n"), got[d].text.split("\n") if got[d].n_removed < 2 else []
+        kept = [p for p in range(2) if (d, p) not in want]
+        assert got[d].n_lines == 2 and got[d].n_removed == 2 - len(row) and all(left[p] in row for p in kept)
+        gone += got[d].n_removed
+    assert gone >= 0.9 * len(want)
+
+
+def test_long_lines_are_compared_by_words(spark):
+    rng = random.Random(8)
+    long = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(30_000)]
+    near, far = list(long), list(long)
+    for i in range(0, 30_000, 12):
+        near[i] = "changed"
+    for i in range(0, 30_000, 3):
+        far[i] = f"other{i}"
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))]
+    assert [r.n_removed for r in sorted(lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())] == [0, 1, 0]
+
+
+def test_a_group_of_near_copies_with_outliers(spark):
+    """Lines that share a key, in several clusters; all but one of each cluster go, and lines like none stay."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    shared, rows = [word() for _ in range(12)], []
+    for c in range(4):
+        own = [word() for _ in range(10)]
+        for k in range(25):
+            line = shared + own
+            if k:
+                line[12 + k % 10] = word()
+            rows.append((c * 100 + k, " ".join(line)))
+    got = {r.doc_id: r.n_removed for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if not n} == {0, 100, 200, 300}
 
 
 def test_ogg():

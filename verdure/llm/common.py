@@ -14,30 +14,36 @@ CHUNK = 1024
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For queries: batches of at most BATCH_ROWS rows in this session, so that long texts don't pile up between Spark and Python."""
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A query's table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the cluster's shared checkpoint folder and read back.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    used only where that setting is absent, as in local tests.
+    The folder is the session's ``spark.checkpoint.dir``. A temporary one is
+    used only where that setting is absent and Spark runs in one process, as in
+    local tests; a cluster without it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint()
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS rows, so that long texts don't pile up between Spark and Python.
-
-    The session's own limit is lowered for good if it is higher.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
-        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    """df.mapInArrow; the session's own batch size holds."""
     return df.mapInArrow(function, schema)
 
 
