@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from verdure.functions import columns as X
 from verdure.operators import geo, pixels, series, store, zones
 from verdure.sources import catalogue
-from verdure.streaming.collect import breaker_step, bucket_step
 
 
 def one(spark, **cols):
@@ -67,19 +66,22 @@ def test_as_of_and_snap(spark):
 @pytest.mark.parametrize(
     ("index", "values", "expected"),
     [
-        ("ndvi", (0.70, 0.52), {("drop_vs_prior", "warning")}),
-        ("ndvi", (0.80, 0.40), {("drop_vs_prior", "critical")}),
+        ("ndvi", (0.70, 0.52), {("ndvi_drop_vs_prior", "warning")}),
+        ("ndvi", (0.80, 0.40), {("ndvi_drop_vs_prior", "critical")}),
         ("ndvi", (0.70, 0.62), set()),
-        ("ndvi", (0.70, 0.72, 0.69, 0.71, 0.50), {("drop_vs_prior", "warning"), ("below_baseline", "warning")}),
-        ("ndmi", (-0.05,), {("water_stress", "warning")}),
+        ("ndvi", (0.70, 0.72, 0.69, 0.71, 0.50), {("ndvi_drop_vs_prior", "warning"), ("ndvi_below_baseline", "warning")}),
+        ("ndmi", (-0.05,), {("ndmi_water_stress", "warning")}),
         ("ndmi", (0.25,), set()),
         ("ndre", (0.40, 0.42, 0.38, 0.40, 0.40, 0.10), {("anomaly", "warning")}),
         ("ndre", (0.4, 0.4, 0.4), set()),
+        ("ndre", (0.40, 0.42, 0.38, 0.40, 0.10), {("anomaly", "warning")}),
+        ("ndvi", (0.40, 0.42, 0.38, 0.40, 0.41, 0.60), set()),
+        ("ndvi", (0.90, 0.80, 0.50), {("ndvi_drop_vs_prior", "critical"), ("ndvi_below_baseline", "warning")}),
     ],
 )
 def test_alerts(spark, index, values, expected):
     rows = spark.createDataFrame([(1, index, day(5 * i), v, 0.9) for i, v in enumerate(values)], "field_id int, index_name string, pass_date date, mean double, clear_fraction double")
-    assert {(r.kind, r.severity) for r in series.alerts(rows).collect()} == expected
+    assert {(r.code, r.level) for r in series.alerts(rows).collect()} == expected
 
 
 def test_phenology(spark):
@@ -87,6 +89,12 @@ def test_phenology(spark):
     got = {r.field_id: r for r in series.phenology(spark.createDataFrame(rows, "field_id int, pass_date date, mean double")).collect()}
     assert (got[1].peak_date, got[1].start_date, got[1].end_date, got[1].season_days, got[1].amplitude) == (day(21), day(14), day(35), 21, 0.6)
     assert got[2].start_date and got[2].end_date is None and 3 not in got
+    assert got[1].integral == pytest.approx(7 * sum(v - 0.2 for v in (0.35, 0.55, 0.80, 0.55, 0.35)))
+
+
+def test_water_deficit(spark):
+    rows = spark.createDataFrame([(1, 10.0, 40.0), (2, 30.0, 40.0), (3, 0.0, 0.0)], "field_id int, precip_mm double, et0_mm double")
+    assert [(r.field_id, r.code, r.level) for r in series.water_deficit(rows).collect()] == [(1, "water_deficit", "warning")]
 
 
 def test_correlation(spark):
@@ -116,14 +124,9 @@ def test_geometry(spark):
     assert got.e == pytest.approx(500_000, abs=1e-6) and got.n == pytest.approx(10_000_000, abs=1e-6)
 
 
-def test_zones_and_states():
+def test_zones():
     label, centres = zones.kmeans(__import__("numpy").array([0.2] * 4 + [0.8] * 4), 2)
     assert label.tolist() == [0] * 4 + [1] * 4 and centres.tolist() == pytest.approx([0.2, 0.8])
-    assert bucket_step(10, None, 0, 2, 10) == (9, True, 0) and bucket_step(0, 0, 0, 2, 10) == (0, False, 0.5) and bucket_step(1, 10, 5, 2, 5)[0] == 0
-    state = ("closed", 0, 0.0)
-    for i in range(5):
-        *state, through = breaker_step(*state, float(i), False)
-    assert state[0] == "open" and not breaker_step(*state, 10.0, True)[3] and breaker_step(*state, 100.0, True)[0] == "closed"
 
 
 def test_upsert_and_sources(spark):

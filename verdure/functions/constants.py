@@ -25,8 +25,26 @@ STRESS = {"healthy": "none", "moderate": "low", "stressed": "moderate", "critica
 # Display ranges.
 COLOUR_RANGE = {"ndvi": (-0.2, 0.9), "evi2": (-0.1, 0.8), "savi": (-0.1, 0.7), "ndre": (-0.1, 0.6), "ndmi": (-0.3, 0.5)}
 # Alert thresholds.
-MIN_CLEAR, DROP_WARNING, DROP_CRITICAL, BASELINE_WINDOW, BASELINE_LEAST, DRY_AT, Z_LIMIT, Z_LEAST, WATER_RATIO = 0.5, 0.15, 0.30, 5, 3, 0.0, 2.0, 5, 0.5
-HEALTH_HIGH, HEALTH_MEDIUM = 0.8, 0.5
-BACKFILL_MONTHS, CADENCE_DAYS, SNAP_DAYS, GDD_BASE = 18, 5, 7, 10.0
-EDGE_TOLERANCE_M, SLIVER, UTM_SPLIT, UTM_EAST, UTM_WEST = 250.0, 0.01, 30.0, 32736, 32735
-NEST_TOLERANCE, EQUAL_TOLERANCE, MIN_AREA_M2 = 0.02, 0.001, 1.0
+MIN_CLEAR = 0.5
+DROP_WARNING = 0.15
+DROP_CRITICAL = 0.30
+BASELINE_WINDOW = 5
+BASELINE_LEAST = 3
+DRY_AT = 0.0
+Z_LIMIT = 2.0
+Z_LEAST = 4
+WATER_RATIO = 0.5
+# Clear fractions from which confidence is high or medium.
+HEALTH_HIGH = 0.8
+HEALTH_MEDIUM = 0.5
+# Planning, snapping and degree days.
+BACKFILL_MONTHS = 18
+CADENCE_DAYS = 5
+SNAP_DAYS = 7
+GDD_BASE = 10.0
+# Regions and projections.
+EDGE_TOLERANCE_M = 250.0
+SLIVER = 0.01
+UTM_SPLIT = 30.0
+UTM_EAST = 32736
+UTM_WEST = 32735

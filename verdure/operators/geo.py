@@ -1,4 +1,4 @@
-"""Polygons as rings of coordinates, in column expressions.
+"""Polygons as rings of coordinates: areas, bounds, cover, distance, regions, projection."""
 
 A ring is array<struct<x: double, y: double>>; the last point may repeat the first.
 """
@@ -101,14 +101,18 @@ def assign(points: DataFrame, regions: DataFrame, tolerance_m: float = EDGE_TOLE
 
 
 def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each boundary's (id, ring) shares of the zones (zone, box) that it overlaps, slivers dropped unless all are, and the dominant one."""
-    a = boundaries.select("id", "ring", F.explode(_cells(bounds(F.col("ring")))).alias("_cell"))
+    """The zones (zone, box) that each boundary (id, ring) overlaps, as shares of its whole area, and the dominant one.
+
+    Shares under SLIVER are dropped unless all are, then the largest stays. What
+    lies outside all zones counts in the whole.
+    """
+    whole = area(F.col("ring"))
+    a = boundaries.select("id", "ring", whole.alias("whole"), F.explode(_cells(bounds(F.col("ring")))).alias("_cell"))
     b = zones.select("zone", "box", F.explode(_cells(F.col("box"))).alias("_cell"))
-    met = a.join(b, "_cell").dropDuplicates(["id", "zone"]).withColumn("shared", box_overlap(F.col("ring"), F.col("box"))).where("shared > 0")
-    by = W.partitionBy("id")
-    met = met.withColumn("share", F.col("shared") / F.sum("shared").over(by)).withColumn("_top", F.row_number().over(by.orderBy(F.desc("share"), "zone")))
+    met = a.join(b, "_cell").dropDuplicates(["id", "zone"]).withColumn("share", F.try_divide(box_overlap(F.col("ring"), F.col("box")), F.col("whole"))).where("share > 0")
+    met = met.withColumn("_top", F.row_number().over(W.partitionBy("id").orderBy(F.desc("share"), "zone")))
     kept = met.where((F.col("share") >= SLIVER) | (F.col("_top") == 1))
-    return kept.select("id", "zone", F.round("share", 6).alias("share"), (F.col("_top") == 1).alias("dominant"))
+    return kept.select("id", "zone", F.round("share", 4).alias("share"), (F.col("_top") == 1).alias("dominant"))
 
 
 def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:

@@ -31,9 +31,9 @@ def nested(records: DataFrame) -> DataFrame:
 
 
 def payload_keys(rows: DataFrame) -> DataFrame:
-    """Each farm's results and the digest that makes its payload idempotent."""
+    """Each farm's results of a pass and the digest that makes its payload idempotent."""
     one = identity(F.col("field_id"), F.col("index_name"), F.col("pass_date"), F.col("geometry_version"), F.col("scene_id"))
-    return rows.groupBy("farm_id").agg(F.count("*").alias("results"), idempotency_key(F.collect_list(one)).alias("idempotency_key"))
+    return rows.groupBy("farm_id", "pass_date").agg(F.count("*").alias("results"), idempotency_key(F.collect_list(one)).alias("idempotency_key"))
 
 
 def latest_review(notes: DataFrame) -> DataFrame:

@@ -45,23 +45,37 @@ def snap(requests: DataFrame, scenes: DataFrame, within: int = C.SNAP_DAYS) -> D
     return met.groupBy("day").agg(best.alias("x")).select("day", "x.scene_date", "x.scene_id", F.datediff("x.scene_date", "day").alias("gap"))
 
 
+STATS = ["mean", "min_val", "max_val", "p10", "p90"]
+
+
 def interpolate(requests: DataFrame, passes: DataFrame) -> DataFrame:
-    """Exact, interpolated (mean of the nearest before and after) or no_pass for each field and day."""
-    rows = passes.select("field_id", "pass_date", F.struct("mean", "clear_fraction").alias("v"))
+    """A field's pass of each day, or the average of the nearest before and after, or no_pass.
+
+    passes: field_id, pass_date, STATS, clear_fraction, confidence, resolution_m.
+    Averages ignore what is missing; confidence is the weaker one, the resolution the coarser.
+    """
+    rows = passes.select("field_id", "pass_date", F.struct(*STATS, "clear_fraction", "confidence", "resolution_m").alias("v"))
     both, day = requests.join(rows, "field_id", "left"), F.col("day")
     p, v = F.col("pass_date"), F.col("v")
     out = both.groupBy("field_id", "day").agg(F.max(F.when(p == day, v)).alias("e"), F.max_by(v, F.when(p < day, p)).alias("b"), F.min_by(v, F.when(p > day, p)).alias("a"), F.max(F.when(p < day, p)).alias("before"), F.min(F.when(p > day, p)).alias("after"))
-    b, a = F.when(F.col("before").isNotNull(), F.col("b")), F.when(F.col("after").isNotNull(), F.col("a"))
-    two = F.col("before").isNotNull() & F.col("after").isNotNull()
-    mean = F.coalesce((b["mean"] + a["mean"]) / 2, b["mean"], a["mean"])
-    kind = F.when(F.col("e").isNotNull(), "ok").when(two, "interpolated").otherwise("no_pass")
-    return out.select("field_id", "day", kind.alias("status"), F.round(F.when(kind == "ok", F.col("e")["mean"]).when(kind == "interpolated", mean), 6).alias("mean"), F.round(F.when(kind == "ok", F.col("e")["clear_fraction"]).when(kind == "interpolated", F.least(b["clear_fraction"], a["clear_fraction"])), 6).alias("clear_fraction"))
+    e, b, a = F.col("e"), F.col("b"), F.col("a")
+    kind = F.when(e.isNotNull(), "ok").when(F.col("before").isNotNull() & F.col("after").isNotNull(), "interpolated").otherwise("no_pass")
+    pick = lambda c, between: F.when(kind == "ok", e[c]).when(kind == "interpolated", between)
+    average = lambda c: F.coalesce((b[c] + a[c]) / 2, b[c], a[c])
+    rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
+    weaker = F.when(b["confidence"].isNull() | a["confidence"].isNull(), F.coalesce(b["confidence"], a["confidence"])).when(rank(b["confidence"]) <= rank(a["confidence"]), b["confidence"]).otherwise(a["confidence"])
+    return out.select(
+        "field_id", "day", kind.alias("status"), F.when(kind == "interpolated", F.col("before")).alias("before"), F.when(kind == "interpolated", F.col("after")).alias("after"),
+        *(F.round(pick(c, average(c)), 6).alias(c) for c in STATS), F.round(pick("clear_fraction", F.coalesce(average("clear_fraction"), F.lit(0.0))), 6).alias("clear_fraction"),
+        pick("confidence", weaker).alias("confidence"), pick("resolution_m", F.greatest(b["resolution_m"], a["resolution_m"])).alias("resolution_m"),
+    )
 
 
 def alerts(readings: DataFrame) -> DataFrame:
     """Q-21, W3 to W6, F1, U5: alerts of each field's latest usable pass.
 
-    One window pass computes all rules; a row's rules become rows by explode.
+    The two rules on NDVI, the one on NDMI, and z-scores of NDRE and NDMI. One
+    window pass computes all rules; a row's rules become rows by explode.
     """
     usable = readings.where(F.col("clear_fraction") >= C.MIN_CLEAR).where("mean is not null")
     by = W.partitionBy("field_id", "index_name").orderBy("pass_date")
@@ -72,31 +86,38 @@ def alerts(readings: DataFrame) -> DataFrame:
         F.avg("mean").over(prior).alias("mu"), F.stddev_pop("mean").over(prior).alias("sigma"), F.count("mean").over(prior).alias("n"),
         F.lead("pass_date").over(by).alias("next"),
     ).where("next is null")
-    vigour = F.col("index_name") == "ndvi"
+    index = F.col("index_name")
     fall, under = F.round(F.col("before") - F.col("mean"), 6), F.round(F.col("base") - F.col("mean"), 6)
     z = F.round(F.try_divide(F.col("mean") - F.col("mu"), F.when(F.col("sigma") > 1e-12, F.col("sigma"))), 4)
-    graded = lambda v: F.when(v >= C.DROP_CRITICAL, "critical").when(v >= C.DROP_WARNING, "warning")
-    made = lambda kind, severity, value, when: F.when(when & severity.isNotNull(), F.struct(F.lit(kind).alias("kind"), severity.alias("severity"), value.alias("value")))
+    made = lambda code, level, value, when: F.when(when, F.struct(F.lit(code).alias("code"), level.alias("level"), value.alias("value")))
+    warning = F.lit("warning")
     rules = F.array_compact(
         F.array(
-            made("drop_vs_prior", graded(fall), fall, vigour),
-            made("below_baseline", graded(under), under, vigour & (F.col("base_n") >= C.BASELINE_LEAST)),
-            made("water_stress", F.lit("warning"), F.col("mean"), (F.col("index_name") == "ndmi") & (F.col("mean") <= C.DRY_AT)),
-            made("anomaly", F.lit("warning"), z, (F.col("n") >= C.Z_LEAST) & (F.abs(z) >= C.Z_LIMIT)),
+            made("ndvi_drop_vs_prior", F.when(fall >= C.DROP_CRITICAL, "critical").otherwise(warning), fall, (index == "ndvi") & (fall >= C.DROP_WARNING)),
+            made("ndvi_below_baseline", warning, under, (index == "ndvi") & (F.col("base_n") >= C.BASELINE_LEAST - 1) & (under >= C.DROP_WARNING)),
+            made("ndmi_water_stress", warning, F.col("mean"), (index == "ndmi") & (F.col("mean") <= C.DRY_AT)),
+            made("anomaly", warning, z, index.isin("ndre", "ndmi") & (F.col("n") >= C.Z_LEAST) & (F.abs(z) >= C.Z_LIMIT)),
         )
     )
-    return rows.select("field_id", "index_name", "pass_date", F.explode(rules).alias("r")).select("field_id", "index_name", "pass_date", "r.kind", "r.severity", "r.value")
+    return rows.select("field_id", "index_name", "pass_date", F.explode(rules).alias("r")).select("field_id", "index_name", "pass_date", "r.code", "r.level", "r.value")
+
+
+def water_deficit(totals: DataFrame) -> DataFrame:
+    """Q-21: an alert for each field (field_id, precip_mm, et0_mm) whose rain is under half of its reference evapotranspiration, in the columns of alerts."""
+    short = totals.where((F.col("et0_mm") > 0) & (F.col("precip_mm") < C.WATER_RATIO * F.col("et0_mm")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return short.select("field_id", none("string", "index_name"), none("date", "pass_date"), F.lit("water_deficit").alias("code"), F.lit("warning").alias("level"), F.col("precip_mm").cast("double").alias("value"))
 
 
 def phenology(passes: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """Season figures of each field with three valid passes or more; the others give no row."""
+    """Season figures of each field with three valid passes or more; the others give no row. The integral is that above the base."""
     rows = passes.where("mean is not null")
     by = W.partitionBy("field_id")
     rows = rows.withColumn("base", F.min("mean").over(by)).withColumn("peak", F.max("mean").over(by)).withColumn("n", F.count("*").over(by)).where("n >= 3")
     rows = rows.withColumn("peak_date", F.min(F.when(F.col("mean") == F.col("peak"), F.col("pass_date"))).over(by)).withColumn("level", F.col("base") + fraction * (F.col("peak") - F.col("base")))
     order = by.orderBy("pass_date")
     rows = rows.withColumn("low", F.max((F.col("mean") < F.col("level")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)))
-    step = F.datediff(F.lead("pass_date").over(order), "pass_date") * (F.lead("mean").over(order) + F.col("mean")) / 2
+    step = F.datediff(F.lead("pass_date").over(order), "pass_date") * (F.lead("mean").over(order) + F.col("mean") - 2 * F.col("base")) / 2
     rows = rows.withColumn("area", step)
     p, d = F.col("peak_date"), F.col("pass_date")
     out = rows.groupBy("field_id").agg(

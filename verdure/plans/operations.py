@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +10,6 @@ from verdure.operators import geo, planning, records, rollup, store, zones
 from verdure.plans.queries import _case, _status, query
 from verdure.plans.views import view
 from verdure.sources import catalogue, inbound
-from verdure.streaming.collect import breaker_step, bucket_step
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +38,11 @@ def agro_monthly(spark, sf_dir):
 
 @query(
     "SELECT p.day, count(w.day) AS days, coalesce(sum(w.precip_mm), 0) AS rain, coalesce(sum(greatest((w.tmin_c + w.tmax_c) / 2 - 10, 0)), 0) AS gdd FROM p LEFT JOIN weather w ON w.day >= p.day - 14 AND w.day < p.day GROUP BY 1",
-    p="SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 7 = 0",
+    p="SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders",
 )
 def weather_context(spark, sf_dir):
     """J17, Q19, Q-20: weather of the 14 days before each pass, by an equi-join on the days looked back to."""
-    passes = _table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.to_date("o_orderdate").alias("day")).distinct()
+    passes = _table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     back = passes.withColumn("w", F.explode(F.sequence(F.date_sub("day", 14), F.date_sub("day", 1))))
     w = view(spark, sf_dir, "weather").select(F.col("day").alias("w"), "precip_mm", X.growing_degree_days(F.col("tmin_c"), F.col("tmax_c")).alias("g"))
     return back.join(w, "w", "left").groupBy("day").agg(F.count("g").alias("days"), F.coalesce(F.sum("precip_mm"), F.lit(0.0)).alias("rain"), F.coalesce(F.sum("g"), F.lit(0.0)).alias("gdd"))
@@ -70,12 +68,12 @@ def outbound_records(spark, sf_dir):
 
 
 @query(
-    """SELECT farm_id, count(*) AS results, sha256(string_agg(one, chr(10) ORDER BY one)) AS idempotency_key FROM
-      (SELECT farm_id, a.field_id || '|' || index_name || '|' || strftime(pass_date, '%Y-%m-%d') || '|' || a.geometry_version || '|' || scene_id AS one FROM analysis a JOIN field f ON a.field_id = f.field_id WHERE a.field_id % 10 = 0) x GROUP BY 1"""
+    """SELECT farm_id, pass_date, count(*) AS results, sha256(string_agg(one, chr(10) ORDER BY one)) AS idempotency_key FROM
+      (SELECT farm_id, pass_date, a.field_id || '|' || index_name || '|' || strftime(pass_date, '%Y-%m-%d') || '|' || a.geometry_version || '|' || scene_id AS one FROM analysis a JOIN field f ON a.field_id = f.field_id) x GROUP BY 1, 2"""
 )
 def payload_keys(spark, sf_dir):
-    """Digest of each farm's results. The tenth of the fields that is published."""
-    a = view(spark, sf_dir, "analysis").where("field_id % 10 = 0")
+    """Digest of each farm's results of each pass."""
+    a = view(spark, sf_dir, "analysis")
     return records.payload_keys(a.join(view(spark, sf_dir, "field").select("field_id", "farm_id"), "field_id"))
 
 
@@ -195,23 +193,62 @@ def _scaled(n: str, lo: float, hi: float) -> str:
 
 
 @query(
-    "SELECT field_id, round(canopy, 8) AS canopy, round(nitrogen, 8) AS nitrogen, round(moisture, 8) AS moisture, round(coverage, 8) AS coverage, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 45 THEN 'fair' WHEN score >= 25 THEN 'poor' WHEN score IS NOT NULL THEN 'critical' END AS label FROM s",
-    w=f"SELECT field_id, {_scaled('ndvi', 0.0, 0.9)} AS n, {_scaled('evi2', 0.0, 0.8)} AS e, {_scaled('ndre', 0.0, 0.6)} AS nitrogen, {_scaled('ndmi', -0.3, 0.5)} AS moisture, {_scaled('savi', 0.0, 0.7)} AS coverage FROM analysis GROUP BY 1",
+    "SELECT field_id, round(canopy, 8) AS canopy, round(nitrogen, 8) AS nitrogen, round(moisture, 8) AS moisture, round(coverage, 8) AS coverage, score, CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 65 THEN 'Good' WHEN score >= 45 THEN 'Moderate' WHEN score >= 25 THEN 'Stressed' ELSE 'Poor' END AS label, CASE WHEN score >= 65 THEN 'positive' WHEN score >= 40 THEN 'caution' WHEN score >= 15 THEN 'critical' ELSE 'neutral' END AS tone FROM s",
+    w=f"SELECT field_id, {_scaled('ndvi', -0.2, 0.9)} AS n, {_scaled('evi2', -0.1, 0.8)} AS e, {_scaled('ndre', -0.1, 0.6)} AS nitrogen, {_scaled('ndmi', -0.3, 0.5)} AS moisture, {_scaled('savi', -0.1, 0.7)} AS coverage FROM pass_stats GROUP BY 1",
     d="SELECT field_id, coalesce(0.6 * n + 0.4 * e, n, e) AS canopy, nitrogen, moisture, coverage FROM w",
-    s="SELECT *, round((coalesce(canopy * 35, 0) + coalesce(nitrogen * 25, 0) + coalesce(moisture * 25, 0) + coalesce(coverage * 15, 0)) / nullif(CASE WHEN canopy IS NULL THEN 0 ELSE 35 END + CASE WHEN nitrogen IS NULL THEN 0 ELSE 25 END + CASE WHEN moisture IS NULL THEN 0 ELSE 25 END + CASE WHEN coverage IS NULL THEN 0 ELSE 15 END, 0), 8) AS score FROM d",
+    s="SELECT *, CAST(floor(round(coalesce((coalesce(canopy * 35, 0) + coalesce(nitrogen * 25, 0) + coalesce(moisture * 25, 0) + coalesce(coverage * 15, 0)) / nullif(CASE WHEN canopy IS NULL THEN 0 ELSE 35 END + CASE WHEN nitrogen IS NULL THEN 0 ELSE 25 END + CASE WHEN moisture IS NULL THEN 0 ELSE 25 END + CASE WHEN coverage IS NULL THEN 0 ELSE 15 END, 0), 0), 8) + 0.5) AS INT) AS score FROM d",
 )
 def field_scores(spark, sf_dir):
-    """Dimensions and overall score of each field."""
-    return rollup.field_scores(view(spark, sf_dir, "analysis"))
+    """Dimensions and overall score of each field."""
+    return rollup.field_scores(view(spark, sf_dir, "pass_stats"))
+
+
+_FINDINGS = [
+    ("positive", "dense_canopy", "ndvi > 0.65 AND evi2 > 0.45"),
+    ("caution", "nitrogen_risk", "ndvi > 0.45 AND ndre < 0.22"),
+    ("positive", "nitrogen_uptake", "ndre > 0.32 AND ndvi > 0.45"),
+    ("caution", "moisture_stress", "ndvi > 0.4 AND ndmi < 0"),
+    ("critical", "severe_water_stress", "ndmi < -0.15"),
+    ("positive", "moisture_adequate", "ndmi > 0.18 AND ndvi > 0.35"),
+    ("caution", "patchy_canopy", "ndvi > 0.35 AND savi < ndvi * 0.58"),
+    ("caution", "waterlogging", "ndmi > 0.28 AND ndvi < 0.3"),
+]
+
+
+@query(
+    "SELECT field_id, CAST(row_number() OVER (PARTITION BY field_id ORDER BY k) - 1 AS INT) AS n, tone, code FROM fired",
+    m="SELECT field_id, " + ", ".join(f"avg(mean) FILTER (index_name = '{n}') AS {n}" for n in records.NAMES) + " FROM readings_by_field GROUP BY 1",
+    own="SELECT *, coalesce(ndvi < 0.1 AND evi2 < 0.1, false) AS bare FROM m",
+    several=" UNION ALL ".join(f"SELECT field_id, {k} AS k, '{tone}' AS tone, '{code}' AS code FROM own WHERE NOT bare AND {when}" for k, (tone, code, when) in enumerate(_FINDINGS)),
+    fired="SELECT * FROM several UNION ALL SELECT field_id, 0, 'critical', 'no_vegetation' FROM own WHERE bare UNION ALL SELECT field_id, 0, 'positive', 'consistent' FROM own WHERE NOT bare AND ndvi > 0.35 AND field_id NOT IN (SELECT field_id FROM several)",
+)
+def field_findings(spark, sf_dir):
+    """What each field's indices say together, in order. Every 40 readings of a user are a field's."""
+    return rollup.findings(rollup.index_means(view(spark, sf_dir, "readings_by_field")))
 
 
-@query("SELECT l_orderkey, l_linenumber, z, x, y, round(x / pow(2.0, z) * 360 - 180, 9) AS west, round((x + 1) / pow(2.0, z) * 360 - 180, 9) AS east FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 12 AS INT) AS z, CAST(l_orderkey % pow(2, l_partkey % 12) AS INT) AS x, CAST(l_suppkey % pow(2, l_partkey % 12) AS INT) AS y FROM lineitem) t")
+@query(
+    "SELECT *, " + ", ".join(f"round(100.0 * {s} / nullif(healthy + moderate + stressed + critical, 0), 0) AS {s}_pct" for s in ("healthy", "moderate", "stressed", "critical")) + ", round(100.0 * (fields - awaiting) / nullif(fields, 0), 0) AS coverage_pct FROM t",
+    f="SELECT r_name AS region, c_custkey, c_acctbal, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    farms="SELECT region, n_nationkey, count(*) AS field_count, round(sum(greatest(c_acctbal, 0)) / 100, 2) AS total_ha, count(*) FILTER (c_custkey % 4 = 0) AS awaiting, CASE n_nationkey % 5 WHEN 0 THEN 'healthy' WHEN 1 THEN 'moderate' WHEN 2 THEN 'stressed' WHEN 3 THEN 'critical' END AS overall_health FROM f GROUP BY 1, 2",
+    t="SELECT region, count(*) AS farms, CAST(sum(field_count) AS BIGINT) AS fields, round(sum(total_ha), 2) AS hectares, CAST(sum(awaiting) AS BIGINT) AS awaiting, " + ", ".join(f"count(*) FILTER (overall_health = '{s}') AS {s}" for s in ("healthy", "moderate", "stressed", "critical")) + " FROM farms GROUP BY 1",
+)
+def estate_overview(spark, sf_dir):
+    """Fields, hectares, backlog, health shares and coverage of each region's farms."""
+    c, n, r = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    kinds = F.get(F.array(*map(F.lit, ("healthy", "moderate", "stressed", "critical", None))), F.col("n_nationkey") % 5)
+    farms = rows.groupBy(F.col("r_name").alias("region"), "n_nationkey").agg(F.count("*").alias("field_count"), F.round(F.sum(F.greatest("c_acctbal", F.lit(0.0))) / 100, 2).alias("total_ha"), F.count_if(F.col("c_custkey") % 4 == 0).alias("awaiting"))
+    return rollup.estate(farms.withColumn("overall_health", kinds))
+
+
+@query("SELECT l_orderkey, l_linenumber, z, x, y, round(x / pow(2.0, z) * 360 - 180, 9) AS west, round((x + 1) / pow(2.0, z) * 360 - 180, 9) AS east, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))), 9) AS south, round(degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))), 9) AS north FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 12 AS INT) AS z, CAST(l_orderkey % pow(2, l_partkey % 12) AS INT) AS x, CAST(l_suppkey % pow(2, l_partkey % 12) AS INT) AS y FROM lineitem) t")
 def map_tiles(spark, sf_dir):
     """Bounds of map tiles."""
     n = F.pow(F.lit(2), F.col("l_partkey") % 12)
     t = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 12).cast("int").alias("z"), (F.col("l_orderkey") % n).cast("int").alias("x"), (F.col("l_suppkey") % n).cast("int").alias("y"))
-    west, _, east, _ = X.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
-    return t.select("*", F.round(west, 9).alias("west"), F.round(east, 9).alias("east"))
+    west, south, east, north = X.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
+    return t.select("*", *(F.round(v, 9).alias(k) for k, v in (("west", west), ("east", east), ("south", south), ("north", north))))
 
 
 _POINTS = "SELECT c_custkey AS id, 29 + (c_custkey * 37 % 5000) / 1000.0 AS lon, -20 + (c_custkey * 91 % 6000) / 1000.0 AS lat FROM customer"
@@ -231,7 +268,7 @@ def region_assignment(spark, sf_dir):
 
 
 @query(
-    f"SELECT id, zone, round(shared / sum(shared) OVER (PARTITION BY id), 6) AS share, row_number() OVER (PARTITION BY id ORDER BY shared DESC, zone) = 1 AS dominant FROM o WHERE shared > 0 QUALIFY shared >= 0.01 * sum(shared) OVER (PARTITION BY id) OR row_number() OVER (PARTITION BY id ORDER BY shared DESC, zone) = 1",
+    "SELECT id, zone, round(shared / (0.75 * 0.5), 4) AS share, row_number() OVER (PARTITION BY id ORDER BY shared DESC, zone) = 1 AS dominant FROM o WHERE shared > 0 QUALIFY shared >= 0.01 * 0.75 * 0.5 OR row_number() OVER (PARTITION BY id ORDER BY shared DESC, zone) = 1",
     zn="SELECT * FROM (VALUES ('I', 29.0, -20.0, 31.0, -16.0), ('II', 31.0, -20.0, 33.0, -16.0), ('III', 29.0, -16.0, 34.0, -13.0)) t(zone, x0, y0, x1, y1)",
     o=f"SELECT id, zone, greatest(0.0, least(lon + 0.75, x1) - greatest(lon, x0)) * greatest(0.0, least(lat + 0.5, y1) - greatest(lat, y0)) AS shared FROM ({_POINTS}) p CROSS JOIN zn",
 )
@@ -292,23 +329,3 @@ def healed_ids(spark, sf_dir):
     ident = F.when(F.col("s_suppkey") % 3 == 0, F.concat_ws(".", k, k, F.lit("2"))).when(F.col("s_suppkey") % 3 == 1, F.concat_ws(".", k, F.lit("2"))).otherwise(k)
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), ident.alias("id"), ident.alias("canonical_id"))
     return store.heal_ids(rows, ["n"])
-
-
-@query()
-def rate_limits(spark, sf_dir):
-    """Token bucket and circuit breaker of each user's events, in time order; tests step both by hand."""
-    e = _table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        tokens, last, state = 3.0, None, ("closed", 0, 0.0)
-        out = []
-        for at, ok in zip(rows["at"], rows["ok"], strict=True):
-            tokens, allowed, _ = bucket_step(tokens, last, at, 1 / 7200, 3.0)
-            *state, through = breaker_step(*state, at, ok)
-            last = at
-            out.append((allowed, through))
-        rows[["allowed", "through"]] = out
-        return rows[["user_id", "event_id", "allowed", "through"]]
-
-    return e.groupBy("user_id").applyInPandas(step, "user_id long, event_id long, allowed boolean, through boolean")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from verdure.functions import columns as X
 from verdure.functions.constants import BANDS, STATUS
@@ -129,40 +130,75 @@ def farm_summary(spark, sf_dir):
 
 
 @query(
-    "SELECT farm_id, pass_date, round(sum(mean * w) / sum(w), 4) AS mean, round(sum(clear_fraction * w) / sum(w), 4) AS clear_fraction, count(*) AS analyzed_fields, round(sum(w) / 10000, 2) AS hectares, "
-    + ", ".join(f"coalesce(round(100 * sum(w) FILTER (st = '{s}') / sum(w), 1), NULL) AS {s}_pct" for s in ("healthy", "moderate", "stressed", "critical"))
-    + " FROM rows GROUP BY 1, 2",
-    rows=f"SELECT farm_id, pass_date, mean, clear_fraction, coalesce(area_m2, 1.0) AS w, {_OWN} AS st FROM analysis JOIN field USING (field_id) WHERE index_name = 'ndvi' AND mean IS NOT NULL",
+    "SELECT farm_id, pass_date, scene_id, round(sum(mean * w) / sum(w) FILTER (mean IS NOT NULL), 4) AS mean, round(sum(clear_fraction * w) FILTER (mean IS NOT NULL) / sum(w) FILTER (mean IS NOT NULL), 4) AS clear_fraction, count(*) AS analyzed_fields, round(sum(w) FILTER (mean IS NOT NULL) / 10000, 2) AS hectares, "
+    + ", ".join(f"round(100 * coalesce(sum(w) FILTER (st = '{s}'), 0) / sum(w) FILTER (mean IS NOT NULL), 1) AS {s}_pct" for s in ("healthy", "moderate", "stressed", "critical"))
+    + " FROM rows GROUP BY 1, 2, 3 HAVING count(mean) > 0",
+    rows=f"SELECT farm_id, pass_date, scene_id, mean, clear_fraction, coalesce(area_m2, 1.0) AS w, CASE WHEN mean IS NOT NULL THEN {_OWN} END AS st FROM pass_stats JOIN field USING (field_id) WHERE index_name = 'ndvi'",
 )
 def farm_series(spark, sf_dir):
-    """A7, Q-24, F2: area-weighted NDVI series of every farm."""
-    return rollup.farm_series(view(spark, sf_dir, "field"), view(spark, sf_dir, "analysis"))
+    """A7, Q-24, F2: area-weighted NDVI series of every farm, a row for each scene of a day."""
+    return rollup.farm_series(view(spark, sf_dir, "field"), view(spark, sf_dir, "pass_stats"))
 
 
 @query(
-    """SELECT farm_id, field_id, crop, pass_date, mean, round(farm_mean, 4) AS farm_mean, previous, previous_date,
-      concat_ws('/', CASE WHEN mean < farm_mean - 0.15 THEN 'underperforming' END, CASE WHEN previous - mean >= 0.2 THEN 'sudden_drop' END) AS kind
-      FROM now JOIN farm_now USING (farm_id) WHERE mean < farm_mean - 0.15 OR coalesce(previous - mean >= 0.2, false)""",
-    rows="SELECT farm_id, field_id, crop, pass_date, mean, coalesce(area_m2, 1.0) AS w, lag(mean) OVER o AS previous, lag(pass_date) OVER o AS previous_date FROM analysis JOIN field USING (field_id) WHERE index_name = 'ndvi' WINDOW o AS (PARTITION BY field_id ORDER BY pass_date)",
-    now="SELECT * FROM rows WHERE mean IS NOT NULL AND (farm_id, pass_date) IN (SELECT farm_id, max(pass_date) FROM rows GROUP BY 1)",
-    farm_now="SELECT farm_id, sum(mean * w) / sum(w) AS farm_mean FROM now GROUP BY 1",
+    """SELECT farm_id, pass_date, field_id, crop, round(coalesce(area_m2, 0.0) / 10000, 2) AS field_area_hectares, round(mean, 4) AS field_value, round(farm_mean, 4) AS farm_average, st AS status,
+      concat_ws('/', CASE WHEN low THEN 'underperforming' END, CASE WHEN fallen THEN 'sudden_drop' END) AS anomaly_type,
+      concat_ws('; ', CASE WHEN low THEN 'NDVI is ' || round(farm_mean - mean, 2) || ' below farm average (' || round(farm_mean, 2) || ')' END,
+        CASE WHEN fallen THEN 'NDVI dropped by ' || round(previous - mean, 2) || ' from ' || round(previous, 2) || ' on ' || strftime(previous_date, '%Y-%m-%d') END) AS detail FROM judged WHERE low OR fallen""",
+    rows="SELECT farm_id, field_id, crop, area_m2, pass_date, index_name, mean FROM pass_stats JOIN field USING (field_id)",
+    latest="SELECT farm_id, max(pass_date) AS pass_date FROM rows GROUP BY 1",
+    now=f"SELECT *, {_OWN} AS st FROM rows JOIN latest USING (farm_id, pass_date) WHERE index_name = 'ndvi' AND mean IS NOT NULL",
+    farm_now="SELECT farm_id, sum(mean * coalesce(area_m2, 1.0)) / sum(coalesce(area_m2, 1.0)) AS farm_mean FROM now GROUP BY 1",
+    before="SELECT field_id, mean AS previous, pass_date AS previous_date FROM (SELECT r.*, row_number() OVER (PARTITION BY field_id ORDER BY r.pass_date DESC) AS n FROM rows r JOIN latest l ON r.farm_id = l.farm_id AND r.pass_date < l.pass_date WHERE index_name = 'ndvi') x WHERE n = 1",
+    judged="SELECT *, mean < farm_mean - 0.15 AS low, coalesce(previous - mean >= 0.2, false) AS fallen FROM now JOIN farm_now USING (farm_id) LEFT JOIN before USING (field_id)",
 )
 def farm_anomalies(spark, sf_dir):
-    """A8, Q-23, J16, W2: fields below their farm or fallen suddenly."""
-    return rollup.farm_anomalies(view(spark, sf_dir, "field"), view(spark, sf_dir, "analysis"))
+    """A8, Q-23, J16, W2: fields below their farm or fallen suddenly, in the latest pass over all indices."""
+    return rollup.farm_anomalies(view(spark, sf_dir, "field"), view(spark, sf_dir, "pass_stats"))
 
 
-_CONF = "CASE WHEN {0} >= 0.8 THEN 'high' WHEN {0} >= 0.5 THEN 'medium' ELSE 'low' END"
+_KEYS = ", ".join(rollup.PROVENANCE)
 
 
 @query(
-    f"""SELECT farm_id, field_id, index_name, pass_date, geometry_version, mean, min_val AS min, max_val AS max, clear_fraction, {_CONF.format("clear_fraction")} AS confidence FROM rows
-      UNION ALL SELECT farm_id, CAST(NULL AS BIGINT), index_name, pass_date, geometry_version, round(sum(mean * w) / sum(w), 4), min(min_val), max(max_val), round(sum(clear_fraction * w) / sum(w), 4), {_CONF.format("min(clear_fraction)")} FROM rows GROUP BY farm_id, index_name, pass_date, geometry_version""",
-    rows="SELECT a.*, farm_id, coalesce(area_m2, 1.0) AS w FROM analysis a JOIN field f ON a.field_id = f.field_id",
+    f"""SELECT farm_id, field_id, {_KEYS}, mean, std, min_val AS min, max_val AS max, p10, p90, clear_fraction, confidence FROM rows
+      UNION ALL SELECT farm_id, CAST(NULL AS BIGINT), {_KEYS}, round(sum(mean * w) / sum(w) FILTER (mean IS NOT NULL), 4), round(sum(std * w) / sum(w) FILTER (std IS NOT NULL), 4), min(min_val), max(max_val), min(p10), max(p90),
+      round(sum(coalesce(clear_fraction, 0) * w) / sum(w), 4), CASE max(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 END) WHEN 2 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END FROM rows GROUP BY farm_id, {_KEYS}""",
+    rows="SELECT p.*, f.farm_id, coalesce(g.area_m2, 1.0) AS w FROM pass_stats p JOIN field f ON p.field_id = f.field_id LEFT JOIN field_area g ON g.field_id = p.field_id AND g.geometry_version = p.geometry_version",
 )
 def publish_rollup(spark, sf_dir):
-    """Field rows and farm rows for publishing."""
-    return rollup.publish_rollup(view(spark, sf_dir, "field"), view(spark, sf_dir, "analysis"))
+    """Field rows and farm rows, one of these for each provenance."""
+    return rollup.publish_rollup(view(spark, sf_dir, "field"), view(spark, sf_dir, "pass_stats"), view(spark, sf_dir, "field_area"))
+
+
+@query(
+    f"SELECT field_id, pass_date, min(clear_fraction) AS clear_fraction, CASE WHEN min(clear_fraction) >= 0.8 THEN 'high' WHEN min(clear_fraction) >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, coalesce(max(band) FILTER (index_name = 'ndvi'), arg_min(band, index_name) FILTER (band IS NOT NULL), 'unknown') AS headline, string_agg(index_name || '=' || coalesce(band, 'no clear pixels'), ';' ORDER BY index_name) AS readings FROM r GROUP BY 1, 2",
+    r=f"SELECT p.field_id, pass_date, index_name, coalesce(clear_fraction, 0) AS clear_fraction, {_case('index_name', 'mean', 'crop')} AS band FROM pass_stats p JOIN field f ON p.field_id = f.field_id",
+)
+def pass_evidence(spark, sf_dir):
+    """What a pass shows: least clear fraction, its confidence, each index's band and the headline."""
+    rows = view(spark, sf_dir, "pass_stats").join(view(spark, sf_dir, "field").select("field_id", "crop"), "field_id")
+    rows = rows.select("field_id", "pass_date", "index_name", F.coalesce("clear_fraction", F.lit(0)).alias("clear_fraction"), X.classify(F.col("index_name"), F.col("mean"), F.col("crop")).alias("band"))
+    clear, band = F.min("clear_fraction"), F.col("band")
+    line = F.concat("index_name", F.lit("="), F.coalesce("band", F.lit("no clear pixels")))
+    headline = F.coalesce(F.max(F.when(F.col("index_name") == "ndvi", band)), F.min_by(band, F.when(band.isNotNull(), F.col("index_name"))), F.lit("unknown"))
+    return rows.groupBy("field_id", "pass_date").agg(clear.alias("clear_fraction"), X.confidence(clear).alias("confidence"), headline.alias("headline"), F.array_join(F.array_sort(F.collect_list(line)), ";").alias("readings"))
+
+
+@query("SELECT field_id, index_name, pass_date, mean, clear_fraction, CAST(row_number() OVER (PARTITION BY field_id, index_name ORDER BY pass_date) AS INT) AS n FROM pass_stats")
+def field_series(spark, sf_dir):
+    """T1, Q-02: each index of a field in order of its passes (n)."""
+    n = F.row_number().over(W.partitionBy("field_id", "index_name").orderBy("pass_date"))
+    return view(spark, sf_dir, "pass_stats").select("field_id", "index_name", "pass_date", "mean", "clear_fraction", n.alias("n"))
+
+
+@query("SELECT field_id, pass_date + CAST(scene_id AS INT) AS created, pass_date, index_name, scene_id, provider, formula_version, CAST(row_number() OVER (PARTITION BY field_id ORDER BY pass_date + CAST(scene_id AS INT) DESC, pass_date DESC, index_name, scene_id) AS INT) AS n FROM pass_stats")
+def field_audit(spark, sf_dir):
+    """T2, Q-05: a field's stored facts, the latest written first (n). A fact is written as many days after its pass as its scene's number."""
+    created = F.date_add("pass_date", F.col("scene_id").cast("int"))
+    order = W.partitionBy("field_id").orderBy(F.desc("created"), F.desc("pass_date"), "index_name", "scene_id")
+    rows = view(spark, sf_dir, "pass_stats").withColumn("created", created)
+    return rows.select("field_id", "created", "pass_date", "index_name", "scene_id", "provider", "formula_version", F.row_number().over(order).alias("n"))
 
 
 @query("SELECT field_id, pass_date, scene_id, clear_fraction FROM (SELECT *, row_number() OVER (PARTITION BY field_id, pass_date ORDER BY clear_fraction DESC, scene_id) AS n FROM analysis) x WHERE n = 1")
@@ -188,54 +224,57 @@ def as_of(spark, sf_dir):
     """SELECT day, scene_date, scene_id, CAST(scene_date - day AS INT) AS gap FROM (SELECT day, scene_date, scene_id, row_number() OVER (PARTITION BY day ORDER BY abs(scene_date - day), scene_date, scene_id) AS n
       FROM asked JOIN scenes ON abs(scene_date - day) <= 7) x WHERE n = 1""",
     asked="SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem",
-    scenes="SELECT CAST(o_orderdate AS DATE) AS scene_date, max(o_orderkey) AS scene_id FROM orders WHERE o_orderkey % 97 = 0 GROUP BY 1",
+    scenes="SELECT last_day(CAST(o_orderdate AS DATE)) AS scene_date, max(o_orderkey) AS scene_id FROM orders GROUP BY 1",
 )
 def snap_dates(spark, sf_dir):
-    """Nearest scene within seven days of each requested day. Every 97th order is a scene."""
+    """Nearest scene within seven days of each requested day. A month's last day has the scene."""
     asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day")).distinct()
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 97 = 0")
-    return series.snap(asked, orders.groupBy(F.to_date("o_orderdate").alias("scene_date")).agg(F.max("o_orderkey").alias("scene_id")))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return series.snap(asked, orders.groupBy(F.last_day(F.to_date("o_orderdate")).alias("scene_date")).agg(F.max("o_orderkey").alias("scene_id")))
+
+
+_RANK = "CASE {0}.confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 
 
 @query(
-    """SELECT field_id, day, CASE WHEN e IS NOT NULL THEN 'ok' WHEN b IS NOT NULL AND a IS NOT NULL THEN 'interpolated' ELSE 'no_pass' END AS status,
-      round(coalesce(e.m, CASE WHEN b IS NOT NULL AND a IS NOT NULL THEN (b.m + a.m) / 2 END), 6) AS mean, round(coalesce(e.c, CASE WHEN b IS NOT NULL AND a IS NOT NULL THEN least(b.c, a.c) END), 6) AS clear_fraction FROM
-      (SELECT r.field_id, r.day, max(v) FILTER (pass_date = day) AS e, arg_max(v, pass_date) FILTER (pass_date < day) AS b, arg_min(v, pass_date) FILTER (pass_date > day) AS a
-       FROM requests r LEFT JOIN rows p ON r.field_id = p.field_id GROUP BY 1, 2) x""",
+    "SELECT field_id, day, status, CASE WHEN status = 'interpolated' THEN before END AS before, CASE WHEN status = 'interpolated' THEN after END AS after, "
+    + ", ".join(f"round(CASE status WHEN 'ok' THEN e.{c} WHEN 'interpolated' THEN coalesce((b.{c} + a.{c}) / 2, b.{c}, a.{c}{', 0' if c == 'clear_fraction' else ''}) END, 6) AS {c}" for c in (*series.STATS, "clear_fraction"))
+    + f""", CASE status WHEN 'ok' THEN e.confidence WHEN 'interpolated' THEN CASE WHEN b.confidence IS NULL OR a.confidence IS NULL THEN coalesce(b.confidence, a.confidence) WHEN {_RANK.format("b")} <= {_RANK.format("a")} THEN b.confidence ELSE a.confidence END END AS confidence,
+      CASE status WHEN 'ok' THEN e.resolution_m WHEN 'interpolated' THEN greatest(b.resolution_m, a.resolution_m) END AS resolution_m FROM
+      (SELECT *, CASE WHEN e IS NOT NULL THEN 'ok' WHEN before IS NOT NULL AND after IS NOT NULL THEN 'interpolated' ELSE 'no_pass' END AS status FROM
+       (SELECT r.field_id, r.day, max(v) FILTER (pass_date = day) AS e, arg_max(v, pass_date) FILTER (pass_date < day) AS b, arg_min(v, pass_date) FILTER (pass_date > day) AS a, max(pass_date) FILTER (pass_date < day) AS before, min(pass_date) FILTER (pass_date > day) AS after
+        FROM requests r LEFT JOIN rows p ON r.field_id = p.field_id GROUP BY 1, 2) x) y""",
     requests="SELECT DISTINCT field_id, day FROM activity",
-    rows="SELECT field_id, pass_date, {'m': mean, 'c': clear_fraction} AS v FROM analysis WHERE index_name = 'ndvi'",
+    rows=f"SELECT field_id, pass_date, {{{', '.join(repr(c) + ': ' + c for c in (*series.STATS, 'clear_fraction', 'confidence', 'resolution_m'))}}} AS v FROM pass_stats WHERE index_name = 'ndvi'",
 )
 def interpolated_passes(spark, sf_dir):
-    """J13, A20 to A22, Q-07, Q11: value at each requested day, exact or interpolated."""
+    """J13, A20 to A22, Q-07, Q11: statistics at each requested day, of a pass or between two."""
     asked = view(spark, sf_dir, "activity").select("field_id", "day").distinct()
-    return series.interpolate(asked, view(spark, sf_dir, "analysis").where("index_name = 'ndvi'"))
-
-
-_KIND = "CASE index_name WHEN 'click' THEN 'ndvi' WHEN 'view' THEN 'ndmi' ELSE 'ndre' END"
-_RULES = """SELECT * FROM ({0}) r WHERE severity IS NOT NULL""".format(
-    " UNION ALL ".join(
-        f"SELECT field_id, index_name, pass_date, '{kind}' AS kind, {sev} AS severity, {val} AS value FROM last WHERE {cond}"
-        for kind, sev, val, cond in (
-            ("drop_vs_prior", "CASE WHEN fall >= 0.3 THEN 'critical' WHEN fall >= 0.15 THEN 'warning' END", "fall", "index_name = 'ndvi'"),
-            ("below_baseline", "CASE WHEN under >= 0.3 THEN 'critical' WHEN under >= 0.15 THEN 'warning' END", "under", "index_name = 'ndvi' AND base_n >= 3"),
-            ("water_stress", "'warning'", "mean", "index_name = 'ndmi' AND mean <= 0.0"),
-            ("anomaly", "'warning'", "z", "n >= 5 AND abs(z) >= 2.0"),
-        )
+    return series.interpolate(asked, view(spark, sf_dir, "pass_stats").where("index_name = 'ndvi'"))
+
+
+_RULES = " UNION ALL ".join(
+    f"SELECT field_id, index_name, pass_date, '{code}' AS code, {level} AS level, {value} AS value FROM last WHERE {when}"
+    for code, level, value, when in (
+        ("ndvi_drop_vs_prior", "CASE WHEN fall >= 0.3 THEN 'critical' ELSE 'warning' END", "fall", "index_name = 'ndvi' AND fall >= 0.15"),
+        ("ndvi_below_baseline", "'warning'", "under", "index_name = 'ndvi' AND usable >= 3 AND under >= 0.15"),
+        ("ndmi_water_stress", "'warning'", "mean", "index_name = 'ndmi' AND mean <= 0.0"),
+        ("anomaly", "'warning'", "z", "index_name IN ('ndre', 'ndmi') AND usable >= 5 AND abs(z) >= 2.0"),
     )
 )
 
 
 @query(
-    _RULES,
-    w="""SELECT *, lag(mean) OVER o AS before, quantile_cont(mean, 0.5) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS base, count(mean) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS base_n,
+    _RULES + " UNION ALL SELECT field_id, NULL, NULL, 'water_deficit', 'warning', precip_mm FROM field_water WHERE et0_mm > 0 AND precip_mm < 0.5 * et0_mm",
+    w="""SELECT *, lag(mean) OVER o AS before, quantile_cont(mean, 0.5) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS base,
       avg(mean) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mu, stddev_pop(mean) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sigma,
-      count(mean) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, lead(pass_date) OVER o AS nxt
+      count(mean) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS usable, lead(pass_date) OVER o AS nxt
       FROM analysis WHERE clear_fraction >= 0.5 WINDOW o AS (PARTITION BY field_id, index_name ORDER BY pass_date)""",
     last="SELECT *, round(before - mean, 6) AS fall, round(base - mean, 6) AS under, round((mean - mu) / CASE WHEN sigma > 1e-12 THEN sigma END, 4) AS z FROM w WHERE nxt IS NULL",
 )
 def field_alerts(spark, sf_dir):
-    """Q-21, W3 to W6, F1, U5, Q15: drop, baseline, water and z-score alerts."""
-    return series.alerts(view(spark, sf_dir, "analysis"))
+    """Q-21, W3 to W6, F1, U5, Q15: drop, baseline, water-stress, z-score and water-deficit alerts."""
+    return series.alerts(view(spark, sf_dir, "analysis")).unionByName(series.water_deficit(view(spark, sf_dir, "field_water")))
 
 
 @query(
@@ -244,7 +283,7 @@ def field_alerts(spark, sf_dir):
        min(pass_date) FILTER (pass_date > peak_date AND mean <= level) AS end_date, round(sum(area), 8) AS integral FROM c GROUP BY 1) x""",
     a="SELECT *, min(mean) OVER p AS base, max(mean) OVER p AS peak, count(*) OVER p AS n FROM readings WHERE mean IS NOT NULL AND index_name = 'click' WINDOW p AS (PARTITION BY field_id)",
     b="SELECT *, min(pass_date) FILTER (mean = peak) OVER (PARTITION BY field_id) AS peak_date, base + 0.5 * (peak - base) AS level FROM a WHERE n >= 3",
-    c="SELECT *, max(CAST(mean < level AS INT)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, (lead(pass_date) OVER o - pass_date) * (lead(mean) OVER o + mean) / 2 AS area FROM b WINDOW o AS (PARTITION BY field_id ORDER BY pass_date)",
+    c="SELECT *, max(CAST(mean < level AS INT)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low, (lead(pass_date) OVER o - pass_date) * ((lead(mean) OVER o - base) + (mean - base)) / 2 AS area FROM b WINDOW o AS (PARTITION BY field_id ORDER BY pass_date)",
 )
 def phenology(spark, sf_dir):
     """W7, Q-25, Q20: season start, peak, end and integral."""

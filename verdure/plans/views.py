@@ -28,6 +28,20 @@ VIEWS = {
     "activity": "SELECT user_id AS field_id, CAST(ts AS DATE) AS day, event_type AS activity FROM events WHERE event_type = 'purchase'",
 }
 
+# passes with what publishing needs: two or three scenes of a day, statistics that are missing here and there, provenance
+VIEWS["pass_stats"] = f"""SELECT field_id, pass_date, index_name, CASE WHEN scene_id % 13 > 0 THEN mean END AS mean, min_val, max_val,
+      CASE WHEN scene_id % 7 > 0 THEN round((max_val - min_val) / 4, 6) + 0.0 END AS std, round(min_val + 0.01, 6) + 0.0 AS p10, CASE WHEN scene_id % 5 > 0 THEN round(max_val - 0.01, 6) + 0.0 END AS p90,
+      CASE WHEN scene_id % 17 > 0 THEN clear_fraction END AS clear_fraction, geometry_version, scene_id % 3 AS scene_id,
+      CASE WHEN scene_id % 2 = 0 THEN 'server' ELSE 'window' END AS provider, concat('S', CAST(scene_id % 3 AS STRING)) AS provider_scene_id, '1' AS formula_version,
+      CASE WHEN scene_id % 4 = 0 THEN 'backfill' ELSE 'live' END AS processing_mode, CAST(CASE WHEN index_name IN ('ndre', 'ndmi') THEN 20 ELSE 10 END AS INT) AS resolution_m,
+      CASE WHEN scene_id % 3 = 0 THEN NULL WHEN clear_fraction >= 0.8 THEN 'high' WHEN clear_fraction >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM ({VIEWS["analysis"]}) every_pass"""
+# areas of a field's first two geometry versions; the third is unknown
+VIEWS["field_area"] = """SELECT c_custkey AS field_id, CAST(1 AS INT) AS geometry_version, CASE WHEN c_acctbal > 0 THEN c_acctbal * 100 END AS area_m2 FROM customer
+      UNION ALL SELECT c_custkey, CAST(2 AS INT), CASE WHEN c_acctbal > 0 THEN c_acctbal * 120 END FROM customer"""
+VIEWS["readings_by_field"] = """SELECT user_id AS field_id, CASE event_id % 5 WHEN 0 THEN 'ndvi' WHEN 1 THEN 'evi2' WHEN 2 THEN 'savi' WHEN 3 THEN 'ndre' ELSE 'ndmi' END AS index_name,
+      round(value * (0.2 + user_id % 7 * 0.15) / 100 - CASE event_id % 5 WHEN 3 THEN 0.2 WHEN 4 THEN 0.3 ELSE 0 END, 6) AS mean FROM events"""
+VIEWS["field_water"] = "SELECT c_custkey AS field_id, CAST(c_custkey % 50 AS DOUBLE) AS precip_mm, CAST(c_custkey % 90 AS DOUBLE) AS et0_mm FROM customer"
+
 
 def needed(sql: str) -> list[str]:
     """The views that a statement names, those that they need first."""

@@ -1,12 +1,10 @@
-"""Incremental collection and per-key state."""
+"""Incremental collection."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from verdure.operators.planning import outstanding
@@ -18,38 +16,3 @@ def collect(scenes: DataFrame, processed: Callable[[], DataFrame], sink: Callabl
     Late scenes are kept; only those that were processed before are left out.
     """
     return scenes.writeStream.foreachBatch(lambda batch, n: sink(outstanding(batch, processed()), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def bucket_step(tokens: float, last: float | None, now: float, rate: float, capacity: float, cost: float = 1.0) -> tuple[float, bool, float]:
-    """X11: (tokens left, allowed, seconds to wait) after a request; a clock that runs backwards gives no credit."""
-    tokens = min(capacity, tokens + max(0.0, now - last) * rate) if last is not None else tokens
-    return (tokens - cost, True, 0.0) if tokens >= cost else (tokens, False, (cost - tokens) / rate)
-
-
-def breaker_step(state: str, failures: int, opened: float, now: float, ok: bool, most: int = 5, rest: float = 60.0) -> tuple[str, int, float, bool]:
-    """(state, failures, opened at, whether the call went through) after a call that would end well or not."""
-    if state == "open" and now - opened < rest:
-        return state, failures, opened, False
-    state = "half_open" if state == "open" else state
-    if ok:
-        return "closed", 0, 0.0, True
-    failures += 1
-    return ("open", failures, now, True) if state == "half_open" or failures >= most else ("closed", failures, opened, True)
-
-
-def rate_limited(requests: DataFrame, rate: float, capacity: float) -> DataFrame:
-    """A stream of (key, at seconds) with allowed and wait, by a token bucket for each key."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, None)
-        for rows in parts:
-            out = []
-            for at in rows.sort_values("at")["at"].tolist():
-                tokens, allowed, wait = bucket_step(tokens, last, at, rate, capacity)
-                last = at if last is None else max(last, at)
-                out.append((key[0], at, allowed, wait))
-            yield pd.DataFrame(out, columns=["key", "at", "allowed", "wait"])
-        state.update((tokens, last))
-
-    kinds = dict(requests.dtypes)
-    return requests.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, at double, allowed boolean, wait double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
