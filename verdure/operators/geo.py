@@ -1,4 +1,4 @@
-"""Polygons as rings of coordinates: areas, bounds, cover, distance, regions, projection."""
+"""Polygons as rings of coordinates, in column expressions.
 
 A ring is array<struct<x: double, y: double>>; the last point may repeat the first.
 """
