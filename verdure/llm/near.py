@@ -43,7 +43,7 @@ SAMPLES = BANDS * ROWS
 TILE = 256
 #: Random numbers of the sampling: shingles share them by TABLE hash values.
 TABLE, SEED, PART = 1 << 14, 9, 4096
-CACHE_WORDS = 250_000
+CACHE_WORDS = 60_000
 #: Ids of 16 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -177,6 +177,7 @@ def signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
                 fps.append(xxhash.xxh128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
                 bands.append(sampler.bands(*weighted_set(t, weights)) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "rid", "fp", "bands"])
+        _words.clear()  # the worker lives on
 
     return map_batches(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, rid binary, fp binary, bands array<bigint>")
 

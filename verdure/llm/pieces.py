@@ -40,10 +40,10 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LINE_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words and parts of words kept by a worker between batches, cells of one Viterbi matrix, remembered pairs.
-CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 100_000, 250_000, 1 << 19, 1 << 20
+CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 50_000, 80_000, 1 << 17, 1 << 20
 UNIGRAM, BPE = 1, 2
 #: Rows of a batch that are worked on at once.
-ROWS = 500
+ROWS = 100
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:

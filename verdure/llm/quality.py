@@ -33,7 +33,7 @@ from verdure.llm.common import map_batches
 
 LABELLED, POOL, ROUNDS, PER_ROUND = 12_000, 8_000, 4, 400
 TEXT_BINS, META_BINS, EPOCHS = 1 << 15, 1 << 12, 3
-CACHE_WORDS = 250_000
+CACHE_WORDS = 60_000
 OWN = ["quality_score", "quality_pred", "text_score", "meta_score"]
 
 
