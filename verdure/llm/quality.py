@@ -3,15 +3,19 @@
 Two views of a document are classified separately: its text (hashed words and
 shape: shares of letters, digits, capitals and signs, word and line lengths,
 repetition) and its metadata (source, language, length). Both start from the
-labelled documents; in each of ROUNDS rounds either classifier labels, from a
-pool of unlabelled documents, those it is most confident of, in the labels'
-proportion, for the *other* one to learn from. Then each view's scores are
-calibrated on held-back labels and a logistic combination of both scores all
-documents.
-
-Labelled and unlabelled rows for training are hash ranges of the ids, about
-LABELLED and POOL rows; everything is learned from them in one task, and the
-model's size is fixed. Results: one row a document with quality_score (0 to 1),
+labelled documents; in each of ROUNDS rounds either classifier labels, of *all*
+documents without a label, the part it is most confident of (CONFIDENT of them
+in the first round, twice as many in the second and so on), in the labels'
+proportion, for the *other* one to learn from; then both go over the labelled
+ones again. At the end each view's scores are calibrated on held-back labels and
+a logistic combination of both scores all documents.
+
+Labelled rows are a hash range of the ids, about LABELLED rows, which one task
+learns from as hashed features. What the rounds learn from grows with the input
+and stays where it is: every task trains a copy of the models on its own rows,
+and the copies are averaged (at most SHARDS of them). The model's size is fixed.
+Features are made once and checkpointed. Of equally confident rows a share is
+taken by a hash of their ids. Results: one row a document with quality_score (0 to 1),
 quality_pred (1 if it is 0.5 or more), text_score and meta_score. Null texts
 count as empty, null metadata as a value of its own. Without labels of both
 kinds all scores are the labels' share of 1, or 0.5 if there are none.
@@ -29,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdure.llm.common import map_batches
+from verdure.llm.common import CHUNK, checkpointed, map_batches
 
-LABELLED, POOL, ROUNDS, PER_ROUND = 12_000, 8_000, 4, 400
+LABELLED, ROUNDS, CONFIDENT, SHARDS = 12_000, 4, 0.02, 4096
 TEXT_BINS, META_BINS, EPOCHS = 1 << 15, 1 << 12, 3
+#: Margins count as equal within 1 / STEPS.
+STEPS = 64
+FEATURES = "order bigint, y int, used array<short>, v array<float>, meta array<short>"
 CACHE_WORDS = 60_000
 OWN = ["quality_score", "quality_pred", "text_score", "meta_score"]
 
@@ -74,13 +81,15 @@ def text_view(text: str) -> tuple[np.ndarray, np.ndarray]:
         _steps("words", np.log2(1 + len(words)), 0.5),
     ]
     extra = np.array([zlib.crc32(f"#{s}".encode()) % TEXT_BINS for s in shape], np.int64)
-    return np.append(used, extra), np.append(v, np.full(len(shape), 0.5))
+    used, at = np.unique(np.append(used, extra), return_inverse=True)  # a bin comes once, or a step would count for one of its places only
+    return used, np.bincount(at, np.append(v, np.full(len(shape), 0.5)))
 
 
 def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     length = "none" if n_chars is None else str(int(2 * np.log2(1 + max(0, n_chars))))
     names = [f"source:{source}", f"lang:{lang}", f"length:{length}", f"both:{source}:{lang}"]
-    return np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % META_BINS for n in names], np.int64), np.ones(len(names))
+    used = np.unique(np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % META_BINS for n in names], np.int64))
+    return used, np.ones(len(used))
 
 
 def _sigmoid(x):
@@ -94,6 +103,11 @@ class Logistic:
         self.w, self.g = np.zeros(bins + 1), np.full(bins + 1, 1e-2)
         self.bins = bins
 
+    def copy(self) -> Logistic:
+        other = Logistic(self.bins)
+        other.w, other.g = self.w.copy(), self.g.copy()
+        return other
+
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Logistic:
         for _ in range(epochs):
             for (used, v), y in zip(rows, labels.tolist(), strict=True):
@@ -120,61 +134,194 @@ def _dense_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(texts: list, metas: list, labels: np.ndarray) -> dict:
-    """labels: 0, 1, or -1 for the pool. Returns both views' weights, calibrations and the combination."""
-    known = np.flatnonzero(labels >= 0)
-    if len(set(labels[known].tolist())) < 2:
-        return {"share": float(labels[known].mean()) if len(known) else 0.5}
-    held, fit = known[::4], np.setdiff1d(known, known[::4])
-    if len(set(labels[fit].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
-        held = fit = known
-    views = [(texts, Logistic(TEXT_BINS)), (metas, Logistic(META_BINS))]
-    for rows, model in views:
-        model.fit([rows[i] for i in fit], labels[fit])
-    pool, share = np.flatnonzero(labels < 0), float(labels[fit].mean())
-    for _ in range(ROUNDS):
-        if len(pool) < 2:
-            break
-        picked = []
-        for rows, model in views:
-            order = pool[np.argsort(model.margin([rows[i] for i in pool]), kind="stable")]
-            n = min(PER_ROUND, len(pool) // 2)
-            good = max(1, round(n * share))
-            bad = max(1, n - good)
-            picked.append((np.append(order[:bad], order[-good:]), np.append(np.zeros(bad), np.ones(good))))
-        for (rows, model), (at, y) in zip(views, reversed(picked), strict=True):
-            model.fit([rows[i] for i in at], y, 1)
-            model.fit([rows[i] for i in fit], labels[fit], 1)
-        pool = np.setdiff1d(pool, np.append(picked[0][0], picked[1][0]))
-    y = labels[held].astype(np.float64)
-    margins = np.stack([model.margin([rows[i] for i in held]) for rows, model in views], 1)
+def trained(known: list[tuple], models: list[Logistic], epochs: int) -> list[Logistic]:
+    """models, one a view, after ``epochs`` more over labelled rows (features of each view, label)."""
+    y = np.array([r[2] for r in known])
+    return [m.fit([r[i] for r in known], y, epochs) for i, m in enumerate(models)]
+
+
+def calibrated(held: list[tuple], models: list[Logistic]) -> dict:
+    """The model to score with: both views' weights, their calibrations on held-back rows and the combination."""
+    y = np.array([r[2] for r in held], np.float64)
+    margins = np.stack([m.margin([r[i] for r in held]) for i, m in enumerate(models)], 1)
     calibrations = [_dense_logistic(margins[:, [i]], y) for i in (0, 1)]
-    calibrated = np.stack([margins[:, i] * c[0] + c[1] for i, c in enumerate(calibrations)], 1)
-    return {"weights": [m.w.astype(np.float32) for _, m in views], "calibrations": calibrations, "mix": _dense_logistic(calibrated, y)}
+    each = np.stack([margins[:, i] * c[0] + c[1] for i, c in enumerate(calibrations)], 1)
+    return {"weights": [m.w.astype(np.float32) for m in models], "calibrations": calibrations, "mix": _dense_logistic(each, y)}
+
+
+def _parts(known: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """(rows to fit, rows held back for calibration): three of four and one of four; all for both if a part lacks a label."""
+    fit, held = [r for i, r in enumerate(known) if i % 4], known[::4]
+    return (fit, held) if min(len({r[2] for r in part}) for part in (fit, held)) == 2 else (known, known)
+
+
+def _rows(batch: pa.RecordBatch) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """The features of both views of each row of a batch of FEATURES."""
+    out = []
+    for used, v in (("used", "v"), ("meta", None)):
+        column = batch.column(used)
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = np.ones(len(flat)) if v is None else batch.column(v).values.to_numpy(zero_copy_only=False).astype(np.float64)
+        out.append([(flat[i:j], values[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
+    return out
+
+
+def _steps_of(batch: pa.RecordBatch, models: list[Logistic]) -> np.ndarray:
+    """Both views' margins of a batch of FEATURES, in steps of 1 / STEPS."""
+    out = []
+    for (used, v), m in zip((("used", "v"), ("meta", None)), models, strict=True):
+        column = batch.column(used)
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = m.w[flat] if v is None else m.w[flat] * batch.column(v).values.to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        sums = np.bincount(at, values[offsets[0] : offsets[-1]], batch.num_rows) + m.w[-1]
+        out.append(np.floor(np.clip(sums, -35, 35) * STEPS).astype(np.int64))
+    return np.stack(out)
+
+
+def _tie(batch: pa.RecordBatch) -> np.ndarray:
+    """A number from 0 to 1 that decides among equally confident rows."""
+    return (batch.column("order").to_numpy() * 40_503 % (1 << 30)) / (1 << 30)
+
+
+def _cut(steps: np.ndarray, n: np.ndarray, k: int) -> tuple[int, float]:
+    """(step, share): the k first rows are those of earlier steps and this share of that step's. steps: in order, with their counts."""
+    at = int(np.searchsorted(np.cumsum(n), k))
+    return int(steps[at]), float((k - n[:at].sum()) / n[at])
+
+
+def confident(counts: np.ndarray, share: float, part: float) -> tuple | None:
+    """Cuts for the ``part`` of all rows that a view is surest of, ``share`` of them good: (bad cut, good cut).
+
+    counts: rows (step, n) in order of step. None with fewer than two rows.
+    """
+    total = int(counts[:, 1].sum()) if len(counts) else 0
+    if total < 2:
+        return None
+    n = min(max(2, int(total * part)), total // 2 * 2)
+    good = min(n - 1, max(1, round(n * share)))
+    return _cut(counts[:, 0], counts[:, 1], n - good), _cut(counts[::-1, 0], counts[::-1, 1], good)
+
+
+def picked(steps: np.ndarray, tie: np.ndarray, cuts: tuple | None) -> np.ndarray:
+    """Pseudo-labels: 0 below the bad cut, 1 above the good one, -1 between."""
+    if cuts is None:
+        return np.full(len(steps), -1)
+    (low, a), (high, b) = cuts
+    bad, good = (steps < low) | ((steps == low) & (tie < a)), (steps > high) | ((steps == high) & (1 - tie <= b))
+    return np.where(bad & ~good, 0, np.where(good & ~bad, 1, -1))
+
+
+def _pickled(df: DataFrame, function) -> object:
+    """What function makes of all rows of df, which are few, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(function(batches))], pa.binary())], names=["value"])
+
+    found = map_batches(df, run, "value binary").collect()
+    return pickle.loads(found[0].value) if found else None
+
+
+def _exchange(pool: DataFrame, models: list[Logistic], share: float, part: float) -> list[Logistic]:
+    """The models after one round over the whole pool.
+
+    One pass counts the rows of each step of both views' margins, which gives
+    the cuts; a second trains either view on what the other one is sure of. Its
+    tasks all start from the same weights, and what they change is averaged by
+    their numbers of rows.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast(models)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 70 * STEPS + 1), np.int64)
+        for batch in batches:
+            for view, steps in enumerate(_steps_of(batch, shared.value)):
+                total[view] += np.bincount(steps + 35 * STEPS, minlength=total.shape[1])
+        view, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(at - 35 * STEPS), pa.array(total[view, at])], names=["view", "step", "n"])
+
+    counts = map_batches(pool, count, "view int, step bigint, n bigint").groupBy("view", "step").agg(F.sum("n").alias("n")).collect()
+    cuts = [confident(np.array(sorted((r.step, r.n) for r in counts if r.view == view), np.int64).reshape(-1, 2), share, part) for view in (0, 1)]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, n = [m.copy() for m in shared.value], [0, 0]
+        for batch in batches:
+            steps, tie, rows = _steps_of(batch, shared.value), _tie(batch), None
+            for view in (0, 1):
+                labels = picked(steps[1 - view], tie, cuts[1 - view])
+                at = np.flatnonzero(labels >= 0)
+                if len(at):
+                    rows = rows or _rows(batch)
+                    local[view].fit([rows[view][i] for i in at], labels[at], 1)
+                    n[view] += len(at)
+        for view in (0, 1):
+            changes = np.stack([local[view].w - shared.value[view].w, local[view].g - shared.value[view].g]) * n[view]
+            for chunk in range(0, changes.shape[1], CHUNK) if n[view] else ():
+                w, g = changes[:, chunk : chunk + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([view], pa.int32()), pa.array([chunk], pa.int32()), pa.array([n[view]]), pa.array([w], pa.list_(pa.float64())), pa.array([g], pa.list_(pa.float64()))], names=["view", "chunk", "n", "w", "g"])
+
+    def add(key, rows):
+        n = rows.column("n").to_numpy().sum()
+        w, g = (np.vstack(rows.column(c).to_numpy()).sum(0) / n for c in ("w", "g"))
+        return pa.table({"view": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "w": pa.array([w], pa.list_(pa.float64())), "g": pa.array([g], pa.list_(pa.float64()))})
+
+    changes = map_batches(pool.coalesce(SHARDS), train, "view int, chunk int, n bigint, w array<double>, g array<double>")
+    out = [m.copy() for m in models]
+    for r in changes.groupBy("view", "chunk").applyInArrow(add, "view int, chunk int, w array<double>, g array<double>").collect():
+        out[r.view].w[r.chunk : r.chunk + CHUNK] += r.w
+        out[r.view].g[r.chunk : r.chunk + CHUNK] += r.g
+    shared.unpersist()
+    return out
+
+
+def features(docs: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """FEATURES of every document with a key: order (a hash of it), y (its label or null) and both views. truth: (key, y), bounded."""
+    rows = docs.where(F.col(key).isNotNull()).join(F.broadcast(truth), key, "left").select(F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("order"), "y", "text", "source", "lang", "n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars"))
+            text, meta = [], []
+            for t, s, lang, n in zip(*columns, strict=True):
+                text.append(text_view(t or ""))
+                meta.append(meta_view(s, lang, n)[0].astype(np.int16))
+            lists = [pa.array([u.astype(np.int16) for u, _ in text], pa.list_(pa.int16())), pa.array([v.astype(np.float32) for _, v in text], pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), *lists], names=["order", "y", "used", "v", "meta"])
+
+    return map_batches(rows, run, FEATURES)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> dict:
     """The model. docs: key, text, source, lang, n_chars; labels: key, label (repeated labels: the majority, ties to 1)."""
     order = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    n_docs = max(1, docs.count())
     given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    n_labels = max(1, given.count())
-    a, b = min(1.0, LABELLED / n_labels) * (1 << 30), min(1.0, POOL / n_docs) * (1 << 30)
-    truth = given.where(order < a).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    sample = docs.select(key, "text", "source", "lang", "n_chars").where(F.col(key).isNotNull()).withColumn("order", order).where(F.col("order") < max(a, b))
-    sample = sample.join(truth, key, "left").where(F.col("y").isNotNull() | (F.col("order") < b))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+    least = min(1.0, LABELLED / max(1, given.count())) * (1 << 30)
+    truth = given.where(order < least).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    rows = checkpointed(features(docs, truth, key))
+    known, pool = checkpointed(rows.where("y is not null").repartition(1)), rows.where("y is null")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> list[tuple]:
+        out = []
         for batch in batches:
-            for r in batch.to_pylist():
-                rows.append((r["order"], text_view(r["text"] or ""), meta_view(r["source"], r["lang"], r["n_chars"]), -1 if r["y"] is None else r["y"]))
-        rows.sort(key=lambda r: (r[0], r[3], len(r[1][0])))
-        model = co_train([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    found = map_batches(sample.drop(key).repartition(1), learn, "model binary").collect()
-    return pickle.loads(found[0].model) if found else {"share": 0.5}
+            out += zip(batch.column("order").to_pylist(), *_rows(batch), batch.column("y").to_pylist(), strict=True)
+        out.sort(key=lambda r: (r[0], r[3], len(r[1][0])))
+        return [r[1:] for r in out]
+
+    def start(batches: Iterator[pa.RecordBatch]) -> tuple:
+        rows = read(batches)
+        share = float(np.mean([r[2] for r in rows])) if rows else 0.5
+        if len({r[2] for r in rows}) < 2:
+            return share, None
+        part = _parts(rows)[0]
+        return float(np.mean([r[2] for r in part])), trained(part, [Logistic(TEXT_BINS), Logistic(META_BINS)], EPOCHS)
+
+    share, models = _pickled(known, start) or (0.5, None)
+    if models is None:
+        return {"share": share}
+    for i in range(ROUNDS):
+        models = _exchange(pool, models, share, CONFIDENT * (i + 1))
+        models = _pickled(known, lambda batches, m=models: trained(_parts(read(batches))[0], m, 1))
+    return _pickled(known, lambda batches: calibrated(_parts(read(batches))[1], models))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
