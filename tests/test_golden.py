@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdure.functions import columns as X
-from verdure.operators import geo, pixels, series, store, zones
+from verdure.operators import geo, pixels, records, series, store, zones
 from verdure.sources import catalogue
 
 
@@ -139,3 +139,22 @@ def test_upsert_and_sources(spark):
     body = '{"latitude":1,"longitude":2,"daily":{"time":["2024-01-01"],"temperature_2m_min":[null],"temperature_2m_max":[20],"temperature_2m_mean":[null],"precipitation_sum":[1]}}'
     w = catalogue.daily_weather(spark.createDataFrame([(body,)], "json string")).first()
     assert (w.tmin_c, w.tmax_c, w.tmean_c, w.precip_mm) == (0.0, 20.0, None, 1.0)
+
+
+def test_boundary_keys_and_matches(spark):
+    ring = lambda *points: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
+    a = geo.boundary_key(ring((0, 0), (2, 0), (2, 1), (0, 1)))
+    same = (ring((2, 1), (0, 1), (0, 0), (2, 0), (2, 1)), ring((0, 1), (2, 1), (2, 0), (0, 0)), ring((1e-8, -1e-8), (2, 0), (2, 1), (0, 1)))
+    got = one(spark, other=a == geo.boundary_key(ring((0, 0), (2, 0), (2, 1.001), (0, 1))), none=geo.boundary_key(F.lit(None).cast(geo.RING)), empty=geo.boundary_key(F.array().cast(geo.RING)), **{f"s{i}": a == geo.boundary_key(r) for i, r in enumerate(same)})
+    assert (got.other, got.none, got.empty) == (False, None, None) and got.s0 and got.s1 and got.s2
+    points = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    incoming = spark.createDataFrame([(1, "a", "x", points), (2, "a", None, points), (3, "b", "x", points), (4, "a", "y", points)], f"id int, farm_id string, canonical_id string, ring {geo.RING}")
+    stored = spark.createDataFrame([(7, "a", "x", (0.0, 0.0, 1.0, 2.0)), (9, "a", None, (0.0, 0.0, 1.0, 1.0)), (8, "a", None, (0.0, 0.0, 1.0, 1.0005)), (6, "a", None, (0.0, 0.0, 1.0, 1.1))], "field_id int, farm_id string, canonical_id string, box struct<x0:double,y0:double,x1:double,y1:double>")
+    assert sorted(map(tuple, geo.ingest_match(incoming, stored).collect())) == [(1, 7, "updated"), (2, 8, "unchanged"), (3, None, "created"), (4, 8, "unchanged")]
+    farms = stored.where("field_id in (6, 7)").select(F.when(F.col("field_id") == 6, "a").otherwise("c").alias("farm_id"), F.struct(F.lit(0.01).alias("x0"), F.lit(0.0).alias("y0"), F.lit(5.0).alias("x1"), F.lit(5.0).alias("y1")).alias("box"))
+    assert sorted(map(tuple, geo.nesting(incoming, farms).collect()))[0] == (1, "a", 0.01, True) and geo.nesting(incoming, farms).where("id = 3").first().nested is None
+
+
+def test_csv_lines(spark):
+    rows = spark.createDataFrame([('a,"b', 0.5, None), (None, 2.0, 3)], "name string, v double, n int")
+    assert [r.line for r in records.csv_lines(rows, ["name", "v", "n"]).collect()] == ['"a,""b",0.5,', ",2.0,3"]

@@ -48,3 +48,9 @@ SLIVER = 0.01
 UTM_SPLIT = 30.0
 UTM_EAST = 32736
 UTM_WEST = 32735
+# Share of a field that may lie outside its farm, share by which equal boundaries may differ, decimals of a boundary's key.
+NESTING_TOLERANCE = 0.02
+EQUAL_TOLERANCE = 0.001
+KEY_DECIMALS = 6
+# Columns of the results' CSV export.
+CSV_COLUMNS = ("canonical_field_id", "index_name", "pass_date", "mean", "min", "max", "std", "p10", "p90", "clear_fraction", "confidence", "resolution_m")

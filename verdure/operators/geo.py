@@ -1,4 +1,4 @@
-"""Polygons as rings of coordinates, in column expressions.
+"""Polygons as rings of coordinates, in column expressions.
 
 A ring is array<struct<x: double, y: double>>; the last point may repeat the first.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from verdure.functions.constants import EDGE_TOLERANCE_M, SLIVER
+from verdure.functions.constants import EDGE_TOLERANCE_M, EQUAL_TOLERANCE, KEY_DECIMALS, NESTING_TOLERANCE, SLIVER
 
 CELL = 1.0
 
@@ -115,6 +115,71 @@ def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
     return kept.select("id", "zone", F.round("share", 4).alias("share"), (F.col("_top") == 1).alias("dominant"))
 
 
+def _bound(value: Column, function) -> Column:
+    """function of a value that is computed once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def canonical(ring: Column) -> Column:
+    """The ring with rounded coordinates, not closed, from its least point towards the lesser of that one's neighbours."""
+    rounded = F.transform(ring, lambda p: F.struct((F.round(p["x"], KEY_DECIMALS) + 0.0).alias("x"), (F.round(p["y"], KEY_DECIMALS) + 0.0).alias("y")))
+    opened = _bound(rounded, lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+
+    def turned(r: Column) -> Column:
+        at = F.array_position(r, F.array_min(r)).cast("int")
+        return F.concat(F.slice(r, at, F.size(r)), F.slice(r, F.lit(1), at - 1))
+
+    def wound(r: Column) -> Column:
+        return F.when(F.get(r, F.lit(1)) > F.get(r, F.size(r) - 1), F.concat(F.slice(r, 1, 1), F.reverse(F.slice(r, F.lit(2), F.size(r))))).otherwise(r)
+
+    return F.when(F.size(ring) > 0, _bound(_bound(opened, turned), wound))
+
+
+def boundary_key(ring: Column) -> Column:
+    """Digest of a ring that neither its first point nor its direction nor its closing point changes. Empty or null: null."""
+    return F.sha2(F.array_join(F.transform(canonical(ring), lambda p: F.format_string(f"%.{KEY_DECIMALS}f %.{KEY_DECIMALS}f", p["x"], p["y"])), ";"), 256)
+
+
+def box_area(box: Column) -> Column:
+    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+
+
+def outside_share(ring: Column, box: Column) -> Column:
+    """Share of a ring's area outside a box; all of it if it has no area."""
+    return F.coalesce(F.lit(1.0) - F.try_divide(box_overlap(ring, box), area(ring)), F.lit(1.0))
+
+
+def nesting(fields: DataFrame, farms: DataFrame, tolerance: float = NESTING_TOLERANCE) -> DataFrame:
+    """Each field (id, farm_id, ring) with its share outside its farm (farm_id, box) and whether that is tolerated; no farm: null."""
+    met = fields.join(farms.select("farm_id", "box"), "farm_id", "left")
+    share = F.when(F.col("box").isNotNull(), F.round(outside_share(F.col("ring"), F.col("box")), 9))
+    return met.select("id", "farm_id", share.alias("outside")).withColumn("nested", F.col("outside") <= tolerance)
+
+
+def equivalent(ring: Column, box: Column, tolerance: float = EQUAL_TOLERANCE) -> Column:
+    """whether a ring and a box differ by no more than so much of the larger one. Without any area they are equal."""
+    a, b = area(ring), box_area(box)
+    return F.coalesce(F.round(F.try_divide(a + b - 2 * box_overlap(ring, box), F.greatest(a, b)), 9) <= tolerance, F.lit(True))
+
+
+def ingest_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """the stored field that each incoming one is, and whether its boundary changed.
+
+    incoming: (id, farm_id, canonical_id, ring); existing: (field_id, farm_id,
+    canonical_id, box). The same canonical id in the farm decides; a field without
+    such a match is the least stored one of the farm that has no canonical id and
+    an equivalent boundary (met by grid cells). action: created, updated, unchanged.
+    """
+    stored = existing.select("field_id", "farm_id", "canonical_id", "box")
+    by_id = incoming.join(stored, ["farm_id", "canonical_id"]).groupBy("id").agg(F.min_by(F.struct("field_id", equivalent(F.col("ring"), F.col("box")).alias("same")), "field_id").alias("m"))
+    rest = incoming.join(by_id.select("id"), "id", "left_anti")
+    tiles = stored.where("canonical_id is null").select("field_id", "farm_id", "box", F.explode(_cells(F.col("box"))).alias("_cell"))
+    near = rest.withColumn("_cell", F.explode(_cells(bounds(F.col("ring"))))).join(tiles, ["farm_id", "_cell"]).where(equivalent(F.col("ring"), F.col("box")))
+    by_place = near.groupBy("id").agg(F.struct(F.min("field_id").alias("field_id"), F.lit(True).alias("same")).alias("m"))
+    out = incoming.select("id").join(by_id.unionAll(by_place), "id", "left")
+    return out.select("id", "m.field_id", F.when(F.col("m").isNull(), "created").when(F.col("m.same"), "unchanged").otherwise("updated").alias("action"))
+
+
 def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     """Easting and northing on a southern UTM zone (EPSG 327xx), by the series of sixth order in the third flattening."""
     f = 1 / 298.257223563

@@ -1,12 +1,13 @@
-"""Outbound records and payloads."""
+"""Outbound records and payloads."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verdure.functions.columns import clamp01, classify, dotted_id, idempotency_key, identity, status, stress
+from verdure.functions.constants import CSV_COLUMNS
 
 NAMES = ["ndvi", "evi2", "savi", "ndre", "ndmi"]
 
@@ -40,3 +41,19 @@ def latest_review(notes: DataFrame) -> DataFrame:
     """The note of each field and date that was reviewed last; unreviewed ones come last."""
     order = W.partitionBy("field_id", "pass_date").orderBy(F.desc_nulls_last("reviewed_at"), "note_id")
     return notes.where("published").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def _cell(name: str, kind: str) -> Column:
+    """A value as CSV text: null is empty, doubles have six decimals at most, text with separators is quoted."""
+    v = F.col(name)
+    if kind in ("double", "float"):
+        v = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v.cast("double")), "0+$", ""), r"\.$", ".0")
+        return F.when(F.col(name).isNull(), "").otherwise(v)
+    v = F.coalesce(v.cast("string"), F.lit(""))
+    return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+
+def csv_lines(rows: DataFrame, columns=CSV_COLUMNS) -> DataFrame:
+    """Rows with ``line``, the fixed columns as a line of CSV; the columns' names are the header."""
+    kinds = dict(rows.dtypes)
+    return rows.withColumn("line", F.concat_ws(",", *(_cell(c, kinds[c]) for c in columns)))

@@ -280,6 +280,67 @@ def region_composition(spark, sf_dir):
     return geo.composition(boundaries, z)
 
 
+_BOX = "floor((lon - 29) / 1.5) * 1.5 + 29 AS x0, floor((lat + 20) / 1.5) * 1.5 - 20 AS y0"
+
+
+def _rings(points: DataFrame, grow: float = 0.0) -> DataFrame:
+    """points with ring, a rectangle of 0.75 + grow by 0.5 from each."""
+    p = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    return points.withColumn("ring", F.array(p(0.0, 0.0), p(0.75 + grow, 0.0), p(0.75 + grow, 0.5), p(0.0, 0.5)))
+
+
+@query(
+    f"SELECT id, sha256(printf('%.6f %.6f;%.6f %.6f;%.6f %.6f;%.6f %.6f', lon, lat, lon, lat + 0.5, lon + 0.75, lat + 0.5, lon + 0.75, lat)) AS boundary_key FROM ({_POINTS}) p"
+)
+def boundary_keys(spark, sf_dir):
+    """The key of each boundary, written from another corner, in another direction, closed or not, and with noise."""
+    r = _rings(_points(spark, sf_dir)).withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] + 1e-9).alias("x"), (p["y"] - 1e-9).alias("y"))))
+    k = (F.col("id") % 4).cast("int")
+    r = r.withColumn("ring", F.concat(F.slice("ring", k + 1, F.lit(4)), F.slice("ring", F.lit(1), k)))
+    r = r.withColumn("ring", F.when(F.col("id") % 3 == 0, F.reverse("ring")).otherwise(F.col("ring")))
+    r = r.withColumn("ring", F.when(F.col("id") % 5 == 0, F.concat("ring", F.slice("ring", 1, 1))).otherwise(F.col("ring")))
+    return r.select("id", geo.boundary_key(F.col("ring")).alias("boundary_key"))
+
+
+@query(
+    """SELECT id, farm_id, outside, outside <= 0.02 AS nested FROM (SELECT id, CAST(x0 * 100 + y0 AS STRING) AS farm_id,
+      round(1 - (least(lon + 0.75, x0 + 1.5) - lon) * (least(lat + 0.5, y0 + 1.5) - lat) / (0.75 * 0.5), 9) + 0.0 AS outside FROM b) x""",
+    b=f"SELECT *, {_BOX} FROM ({_POINTS}) p",
+)
+def field_nesting(spark, sf_dir):
+    """The share of each field outside its farm and whether that is tolerated."""
+    fields = _rings(_points(spark, sf_dir)).selectExpr("*", *_BOX.split(", ")).withColumn("farm_id", (F.col("x0") * 100 + F.col("y0")).cast("string"))
+    farms = fields.select("farm_id", F.struct("x0", "y0", (F.col("x0") + 1.5).alias("x1"), (F.col("y0") + 1.5).alias("y1")).alias("box")).dropDuplicates(["farm_id"])
+    out = geo.nesting(fields.select("id", "farm_id", "ring"), farms)
+    return out.withColumn("outside", F.col("outside") + 0.0)
+
+
+@query(
+    f"SELECT id, CASE WHEN id % 7 > 0 THEN id END AS field_id, CASE WHEN id % 7 = 0 THEN 'created' WHEN id % 3 = 0 AND id % 2 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM ({_POINTS}) p WHERE NOT (id % 7 > 0 AND id % 3 = 0 AND id % 2 = 1) UNION ALL SELECT id, NULL, 'created' FROM ({_POINTS}) p WHERE id % 7 > 0 AND id % 3 = 0 AND id % 2 = 1"
+)
+def ingest_match(spark, sf_dir):
+    """F9, F12, Q-13: incoming fields against the stored ones. Fields of even ids have canonical ids, each seventh isn't stored, the boundary of each third grew."""
+    p = _points(spark, sf_dir).withColumn("farm_id", F.col("id")).withColumn("canonical_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("f"), F.col("id").cast("string"))))
+    grown = F.when(F.col("id") % 3 == 0, 0.01).otherwise(0.0)
+    incoming = _rings(p, grown).select("id", "farm_id", "canonical_id", "ring")
+    stored = p.where("id % 7 > 0").select(F.col("id").alias("field_id"), "farm_id", "canonical_id", F.struct(F.col("lon").alias("x0"), F.col("lat").alias("y0"), (F.col("lon") + 0.75).alias("x1"), (F.col("lat") + 0.5).alias("y1")).alias("box"))
+    return geo.ingest_match(incoming, stored)
+
+
+_NUMBER = "coalesce(regexp_replace(regexp_replace(printf('%.6f', {}), '0+$', ''), '\\.$', '.0'), '')"
+
+
+@query(
+    "SELECT field_id, pass_date, index_name, scene_id, geometry_version, concat_ws(',', field_id, index_name, pass_date, "
+    + ", ".join(_NUMBER.format(c) for c in ("mean", "min_val", "max_val", "std", "p10", "p90", "clear_fraction"))
+    + ", coalesce(confidence, ''), resolution_m) AS line FROM pass_stats"
+)
+def results_csv(spark, sf_dir):
+    """Each result as a line of the fixed CSV export."""
+    rows = view(spark, sf_dir, "pass_stats").select("*", F.col("field_id").alias("canonical_field_id"), F.col("min_val").alias("min"), F.col("max_val").alias("max"))
+    return records.csv_lines(rows).select("field_id", "pass_date", "index_name", "scene_id", "geometry_version", "line")
+
+
 @query()
 def utm_positions(spark, sf_dir):
     """Projected positions; tests hold them against published values."""
