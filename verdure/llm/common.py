@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder: what the session's ``spark.checkpoint.dir`` names.
 
-    The folder is the session's ``spark.checkpoint.dir``. A temporary one is
-    used only where that setting is absent and Spark runs in one process, as in
-    local tests; a cluster without it is an error.
+    A temporary one is used only where that setting is absent and Spark runs in
+    one process, as in local tests; a cluster without it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed Parquet table in a new folder of the shared checkpoint folder, so that each later step reads its own columns only."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow; the session's own batch size holds."""
     return df.mapInArrow(function, schema)
