@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdure.llm import html, langid, lines, mixing, near, ogg, pieces, quality, tokens, topk
+from verdure.llm import divergence, html, langid, lines, mixing, near, ogg, pieces, quality, resample, tokens, topk, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         ogg.op8_ogg,
         near.op9_near_dedup,
         langid.op10_language_id,
+        urls.op11_url_filters,
+        resample.op12_importance_resampling,
+        divergence.op13_divergence,
     )
 }
-SQL = {"op4_mixing": mixing.OP4_SQL, "op6_topk": topk.OP6_SQL}
+SQL = {"op4_mixing": mixing.OP4_SQL, "op6_topk": topk.OP6_SQL, "op11_url_filters": urls.OP11_SQL, "op12_importance_resampling": resample.OP12_SQL, "op13_divergence": divergence.OP13_SQL}
