@@ -52,5 +52,6 @@ UTM_WEST = 32735
 NESTING_TOLERANCE = 0.02
 EQUAL_TOLERANCE = 0.001
 KEY_DECIMALS = 6
+LEAST_AREA_M2 = 1.0
 # Columns of the results' CSV export.
 CSV_COLUMNS = ("canonical_field_id", "index_name", "pass_date", "mean", "min", "max", "std", "p10", "p90", "clear_fraction", "confidence", "resolution_m")

@@ -1,18 +1,14 @@
-"""Polygons as rings of coordinates, in column expressions.
+"""Rings and geometries in column expressions: area, bounds, keys, projection.
 
 A ring is array<struct<x: double, y: double>>; the last point may repeat the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from verdure.functions.constants import EDGE_TOLERANCE_M, EQUAL_TOLERANCE, KEY_DECIMALS, NESTING_TOLERANCE, SLIVER
-
-CELL = 1.0
 
+from verdure.functions.constants import KEY_DECIMALS
 
 def _edges(ring: Column) -> Column:
     """Array of (a, b): the ring's edges, closed."""
@@ -31,90 +27,6 @@ def bounds(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def _segment_distance(x: Column, y: Column, e: Column) -> Column:
-    ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-    dx, dy = bx - ax, by - ay
-    t = F.coalesce(F.least(F.greatest(F.try_divide((x - ax) * dx + (y - ay) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return F.sqrt(F.pow(ax + t * dx - x, 2) + F.pow(ay + t * dy - y, 2))
-
-
-def distance(x: Column, y: Column, ring: Column) -> Column:
-    """Distance of a point from a ring's edges, in its units."""
-    return F.array_min(F.transform(_edges(ring), lambda e: _segment_distance(x, y, e)))
-
-
-def covers(x: Column, y: Column, ring: Column) -> Column:
-    """Q21: whether a ring covers a point; its edges count as inside."""
-    crossing = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < F.try_divide((e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]), e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
-    odd = F.aggregate(_edges(ring), F.lit(False), lambda s, e: s != F.coalesce(crossing(e), F.lit(False)))
-    return odd | (distance(x, y, ring) <= 1e-12)
-
-
-RING = "array<struct<x:double,y:double>>"
-
-
-def _clip(ring: Column, cut: Column) -> Column:
-    """The ring's part on one side of an axis-parallel line; cut: struct(on_x, limit, below)."""
-    on_x, limit, below = cut["on_x"], cut["limit"], cut["below"]
-    along = lambda p: F.when(on_x, p["x"]).otherwise(p["y"])
-    inside = lambda p: F.when(below, along(p) <= limit).otherwise(along(p) >= limit)
-
-    def points(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        t = F.coalesce(F.try_divide(limit - along(a), along(b) - along(a)), F.lit(0.0))
-        met = F.struct(F.when(on_x, limit).otherwise(a["x"] + t * (b["x"] - a["x"])).alias("x"), F.when(on_x, a["y"] + t * (b["y"] - a["y"])).otherwise(limit).alias("y"))
-        crossed = F.when(inside(a) != inside(b), F.array(met)).otherwise(F.array().cast(RING))
-        return F.concat(crossed, F.when(inside(b), F.array(F.struct(b["x"].alias("x"), b["y"].alias("y")))).otherwise(F.array().cast(RING)))
-
-    return F.flatten(F.transform(_edges(ring), points)).cast(RING)
-
-
-def box_overlap(ring: Column, box: Column) -> Column:
-    """Area that a ring shares with an axis-parallel box (struct of bounds): four cuts, one after the other."""
-    cuts = [F.struct(F.lit(a == "x").alias("on_x"), box[f"{a}{i}"].alias("limit"), F.lit(i == 1).alias("below")) for a in "xy" for i in (0, 1)]
-    part = F.aggregate(F.array(*cuts), ring.cast(RING), _clip)
-    # the part is bound once: its area is taken inside the same fold
-    return F.get(F.transform(F.array(part), area), F.lit(0))
-
-
-def _cells(box: Column) -> Column:
-    """Grid cells that a box touches."""
-    span = lambda a, b: F.sequence(F.floor(a / CELL).cast("long"), F.floor(b / CELL).cast("long"))
-    return F.flatten(F.transform(span(box["x0"], box["x1"]), lambda i: F.transform(span(box["y0"], box["y1"]), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-
-
-def assign(points: DataFrame, regions: DataFrame, tolerance_m: float = EDGE_TOLERANCE_M) -> DataFrame:
-    """The region (id, ring) that covers each point (id, lon, lat), ties to the least id, and whether its edge is near.
-
-    Points and regions meet by equality of grid cells, never all with all. Points
-    outside all regions have a null region.
-    """
-    at = points.withColumn("_cell", F.struct(F.floor(F.col("lon") / CELL).cast("long").alias("i"), F.floor(F.col("lat") / CELL).cast("long").alias("j")))
-    tiles = regions.select(F.col("id").alias("region_id"), "ring", F.explode(_cells(bounds(F.col("ring")))).alias("_cell"))
-    met = at.join(tiles, "_cell").where(covers(F.col("lon"), F.col("lat"), F.col("ring")))
-    metres = F.lit(111_320.0)
-    flat = F.transform("ring", lambda p: F.struct((p["x"] * metres * F.cos(F.radians("lat"))).alias("x"), (p["y"] * metres).alias("y")))
-    near = distance(F.col("lon") * metres * F.cos(F.radians("lat")), F.col("lat") * metres, flat) <= tolerance_m
-    first = met.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("region_id"))).where("_n = 1")
-    first = first.select("id", "region_id", near.alias("boundary_adjacent"))
-    return points.join(first, "id", "left")
-
-
-def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
-    """The zones (zone, box) that each boundary (id, ring) overlaps, as shares of its whole area, and the dominant one.
-
-    Shares under SLIVER are dropped unless all are, then the largest stays. What
-    lies outside all zones counts in the whole.
-    """
-    whole = area(F.col("ring"))
-    a = boundaries.select("id", "ring", whole.alias("whole"), F.explode(_cells(bounds(F.col("ring")))).alias("_cell"))
-    b = zones.select("zone", "box", F.explode(_cells(F.col("box"))).alias("_cell"))
-    met = a.join(b, "_cell").dropDuplicates(["id", "zone"]).withColumn("share", F.try_divide(box_overlap(F.col("ring"), F.col("box")), F.col("whole"))).where("share > 0")
-    met = met.withColumn("_top", F.row_number().over(W.partitionBy("id").orderBy(F.desc("share"), "zone")))
-    kept = met.where((F.col("share") >= SLIVER) | (F.col("_top") == 1))
-    return kept.select("id", "zone", F.round("share", 4).alias("share"), (F.col("_top") == 1).alias("dominant"))
-
-
 def _bound(value: Column, function) -> Column:
     """function of a value that is computed once."""
     return F.get(F.transform(F.array(value), function), F.lit(0))
@@ -137,47 +49,17 @@ def canonical(ring: Column) -> Column:
 
 def boundary_key(ring: Column) -> Column:
     """Digest of a ring that neither its first point nor its direction nor its closing point changes. Empty or null: null."""
-    return F.sha2(F.array_join(F.transform(canonical(ring), lambda p: F.format_string(f"%.{KEY_DECIMALS}f %.{KEY_DECIMALS}f", p["x"], p["y"])), ";"), 256)
-
-
-def box_area(box: Column) -> Column:
-    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
-
-
-def outside_share(ring: Column, box: Column) -> Column:
-    """Share of a ring's area outside a box; all of it if it has no area."""
-    return F.coalesce(F.lit(1.0) - F.try_divide(box_overlap(ring, box), area(ring)), F.lit(1.0))
-
-
-def nesting(fields: DataFrame, farms: DataFrame, tolerance: float = NESTING_TOLERANCE) -> DataFrame:
-    """Each field (id, farm_id, ring) with its share outside its farm (farm_id, box) and whether that is tolerated; no farm: null."""
-    met = fields.join(farms.select("farm_id", "box"), "farm_id", "left")
-    share = F.when(F.col("box").isNotNull(), F.round(outside_share(F.col("ring"), F.col("box")), 9))
-    return met.select("id", "farm_id", share.alias("outside")).withColumn("nested", F.col("outside") <= tolerance)
-
+    return F.sha2(_ring_text(ring), 256)
 
-def equivalent(ring: Column, box: Column, tolerance: float = EQUAL_TOLERANCE) -> Column:
-    """whether a ring and a box differ by no more than so much of the larger one. Without any area they are equal."""
-    a, b = area(ring), box_area(box)
-    return F.coalesce(F.round(F.try_divide(a + b - 2 * box_overlap(ring, box), F.greatest(a, b)), 9) <= tolerance, F.lit(True))
 
+def _ring_text(ring: Column) -> Column:
+    return F.array_join(F.transform(canonical(ring), lambda p: F.format_string(f"%.{KEY_DECIMALS}f %.{KEY_DECIMALS}f", p["x"], p["y"])), ";")
 
-def ingest_match(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """the stored field that each incoming one is, and whether its boundary changed.
 
-    incoming: (id, farm_id, canonical_id, ring); existing: (field_id, farm_id,
-    canonical_id, box). The same canonical id in the farm decides; a field without
-    such a match is the least stored one of the farm that has no canonical id and
-    an equivalent boundary (met by grid cells). action: created, updated, unchanged.
-    """
-    stored = existing.select("field_id", "farm_id", "canonical_id", "box")
-    by_id = incoming.join(stored, ["farm_id", "canonical_id"]).groupBy("id").agg(F.min_by(F.struct("field_id", equivalent(F.col("ring"), F.col("box")).alias("same")), "field_id").alias("m"))
-    rest = incoming.join(by_id.select("id"), "id", "left_anti")
-    tiles = stored.where("canonical_id is null").select("field_id", "farm_id", "box", F.explode(_cells(F.col("box"))).alias("_cell"))
-    near = rest.withColumn("_cell", F.explode(_cells(bounds(F.col("ring"))))).join(tiles, ["farm_id", "_cell"]).where(equivalent(F.col("ring"), F.col("box")))
-    by_place = near.groupBy("id").agg(F.struct(F.min("field_id").alias("field_id"), F.lit(True).alias("same")).alias("m"))
-    out = incoming.select("id").join(by_id.unionAll(by_place), "id", "left")
-    return out.select("id", "m.field_id", F.when(F.col("m").isNull(), "created").when(F.col("m.same"), "unchanged").otherwise("updated").alias("action"))
+def geometry_key(g: Column) -> Column:
+    """Digest of polygons with holes; neither their order, that of holes, nor how a ring is written changes it. Empty or null: null."""
+    polygon = lambda p: F.array_join(F.concat(F.array(_ring_text(p[0])), F.array_sort(F.transform(F.slice(p, F.lit(2), F.size(p)), _ring_text))), "|")
+    return F.when(F.size(g) > 0, F.sha2(F.array_join(F.array_sort(F.transform(g, polygon)), "/"), 256))
 
 
 def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:

@@ -259,30 +259,6 @@ def _points(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(k.alias("id"), (29 + (k * 37 % 5000) / 1000.0).cast("double").alias("lon"), (-20 + (k * 91 % 6000) / 1000.0).cast("double").alias("lat"))
 
 
-@query(f"SELECT id, lon, lat, CASE WHEN lat < -19 OR lat > -15 OR lon > 33 THEN NULL WHEN lon <= 31 THEN 'A' ELSE 'B' END AS region_id, CASE WHEN lon <= 33 AND lat BETWEEN -19 AND -15 THEN least(CASE WHEN lon <= 31 THEN least(lon - 29, 31 - lon) ELSE least(lon - 31, 33 - lon) END * cos(radians(lat)), lat + 19, -15 - lat) * 111320.0 <= 250 END AS boundary_adjacent FROM ({_POINTS}) p")
-def region_assignment(spark, sf_dir):
-    """The region that covers each point; on a shared edge the first by id."""
-    box = lambda a, b: [(a, -19.0), (b, -19.0), (b, -15.0), (a, -15.0)]
-    regions = spark.createDataFrame([("A", box(29.0, 31.0)), ("B", box(31.0, 33.0))], "id string, ring array<struct<x:double,y:double>>")
-    return geo.assign(_points(spark, sf_dir), regions)
-
-
-@query(
-    "SELECT id, zone, round(shared / (0.75 * 0.5), 4) AS share, row_number() OVER (PARTITION BY id ORDER BY shared DESC, zone) = 1 AS dominant FROM o WHERE shared > 0 QUALIFY shared >= 0.01 * 0.75 * 0.5 OR row_number() OVER (PARTITION BY id ORDER BY shared DESC, zone) = 1",
-    zn="SELECT * FROM (VALUES ('I', 29.0, -20.0, 31.0, -16.0), ('II', 31.0, -20.0, 33.0, -16.0), ('III', 29.0, -16.0, 34.0, -13.0)) t(zone, x0, y0, x1, y1)",
-    o=f"SELECT id, zone, greatest(0.0, least(lon + 0.75, x1) - greatest(lon, x0)) * greatest(0.0, least(lat + 0.5, y1) - greatest(lat, y0)) AS shared FROM ({_POINTS}) p CROSS JOIN zn",
-)
-def region_composition(spark, sf_dir):
-    """J11, Q-18: shares of the zones in each boundary and the dominant one."""
-    p = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
-    boundaries = _points(spark, sf_dir).select("id", F.array(p(0.0, 0.0), p(0.75, 0.0), p(0.75, 0.5), p(0.0, 0.5)).alias("ring"))
-    z = spark.createDataFrame([("I", (29.0, -20.0, 31.0, -16.0)), ("II", (31.0, -20.0, 33.0, -16.0)), ("III", (29.0, -16.0, 34.0, -13.0))], "zone string, box struct<x0:double,y0:double,x1:double,y1:double>")
-    return geo.composition(boundaries, z)
-
-
-_BOX = "floor((lon - 29) / 1.5) * 1.5 + 29 AS x0, floor((lat + 20) / 1.5) * 1.5 - 20 AS y0"
-
-
 def _rings(points: DataFrame, grow: float = 0.0) -> DataFrame:
     """points with ring, a rectangle of 0.75 + grow by 0.5 from each."""
     p = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
@@ -302,31 +278,6 @@ def boundary_keys(spark, sf_dir):
     return r.select("id", geo.boundary_key(F.col("ring")).alias("boundary_key"))
 
 
-@query(
-    """SELECT id, farm_id, outside, outside <= 0.02 AS nested FROM (SELECT id, CAST(x0 * 100 + y0 AS STRING) AS farm_id,
-      round(1 - (least(lon + 0.75, x0 + 1.5) - lon) * (least(lat + 0.5, y0 + 1.5) - lat) / (0.75 * 0.5), 9) + 0.0 AS outside FROM b) x""",
-    b=f"SELECT *, {_BOX} FROM ({_POINTS}) p",
-)
-def field_nesting(spark, sf_dir):
-    """The share of each field outside its farm and whether that is tolerated."""
-    fields = _rings(_points(spark, sf_dir)).selectExpr("*", *_BOX.split(", ")).withColumn("farm_id", (F.col("x0") * 100 + F.col("y0")).cast("string"))
-    farms = fields.select("farm_id", F.struct("x0", "y0", (F.col("x0") + 1.5).alias("x1"), (F.col("y0") + 1.5).alias("y1")).alias("box")).dropDuplicates(["farm_id"])
-    out = geo.nesting(fields.select("id", "farm_id", "ring"), farms)
-    return out.withColumn("outside", F.col("outside") + 0.0)
-
-
-@query(
-    f"SELECT id, CASE WHEN id % 7 > 0 THEN id END AS field_id, CASE WHEN id % 7 = 0 THEN 'created' WHEN id % 3 = 0 AND id % 2 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM ({_POINTS}) p WHERE NOT (id % 7 > 0 AND id % 3 = 0 AND id % 2 = 1) UNION ALL SELECT id, NULL, 'created' FROM ({_POINTS}) p WHERE id % 7 > 0 AND id % 3 = 0 AND id % 2 = 1"
-)
-def ingest_match(spark, sf_dir):
-    """F9, F12, Q-13: incoming fields against the stored ones. Fields of even ids have canonical ids, each seventh isn't stored, the boundary of each third grew."""
-    p = _points(spark, sf_dir).withColumn("farm_id", F.col("id")).withColumn("canonical_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("f"), F.col("id").cast("string"))))
-    grown = F.when(F.col("id") % 3 == 0, 0.01).otherwise(0.0)
-    incoming = _rings(p, grown).select("id", "farm_id", "canonical_id", "ring")
-    stored = p.where("id % 7 > 0").select(F.col("id").alias("field_id"), "farm_id", "canonical_id", F.struct(F.col("lon").alias("x0"), F.col("lat").alias("y0"), (F.col("lon") + 0.75).alias("x1"), (F.col("lat") + 0.5).alias("y1")).alias("box"))
-    return geo.ingest_match(incoming, stored)
-
-
 _NUMBER = "coalesce(regexp_replace(regexp_replace(printf('%.6f', {}), '0+$', ''), '\\.$', '.0'), '')"
 
 
@@ -341,14 +292,6 @@ def results_csv(spark, sf_dir):
     return records.csv_lines(rows).select("field_id", "pass_date", "index_name", "scene_id", "geometry_version", "line")
 
 
-@query()
-def utm_positions(spark, sf_dir):
-    """Projected positions; tests hold them against published values."""
-    p = _points(spark, sf_dir)
-    e, n = geo.to_utm(F.col("lon"), F.col("lat"), X.utm_zone(F.col("lon")))
-    return p.select("id", X.utm_zone(F.col("lon")).alias("epsg"), F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
-
-
 @query()
 def productivity_zones(spark, sf_dir):
     """M1 to M5, Q-25: zones of each field; tests hold k-means against hand-made fields."""
