@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdure.functions.constants import BANDS, CLEAR_CLASSES, COLOUR_RANGE, GDD_BASE, HEALTH_HIGH, HEALTH_MEDIUM, INDEX_RANGE, STATUS, STRESS, UTM_EAST, UTM_SPLIT, UTM_WEST
+from verdure.functions.constants import BANDS, CLEAR_CLASSES, COLOUR_RANGE, COMPOSITES, DIVERGING_RAMP, GDD_BASE, HEALTH_HIGH, HEALTH_MEDIUM, INDEX_RANGE, MOISTURE_RAMP, STATUS, STRESS, UTM_EAST, UTM_SPLIT, UTM_WEST, VEGETATION_RAMP
 
 
 def finite(v: Column) -> Column:
@@ -110,16 +110,37 @@ def clamp01(v: Column) -> Column:
     return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
-def colour(index: str, value: Column, ramp: list[tuple[int, int, int]]) -> Column:
-    """Colour (array r, g, b) of a value on a piecewise linear ramp over the index's display range."""
-    lo, hi = COLOUR_RANGE[index]
-    at = clamp01((value - lo) / (hi - lo)) * (len(ramp) - 1)
-    left = F.least(F.floor(at), F.lit(len(ramp) - 2)).cast("int")
-    stops = F.array(*(F.array(*map(F.lit, c)) for c in ramp))
+def display_range(index: str, difference: bool = False) -> tuple[float, float]:
+    """The range over which an index is drawn; a difference of two passes as far to both sides of 0."""
+    lo, hi = COLOUR_RANGE[index.lower()]
+    reach = max(abs(lo), abs(hi))
+    return (-reach, reach) if difference else (lo, hi)
+
+
+def ramp(index: str, difference: bool = False) -> list[tuple[int, int, int]]:
+    """The colours of an index, or of a difference, from low to high."""
+    stops = DIVERGING_RAMP if difference else MOISTURE_RAMP if index.lower() == "ndmi" else VEGETATION_RAMP
+    return [tuple(int(c[i : i + 2], 16) for i in (1, 3, 5)) for c in stops]
+
+
+def colour(index: str, value: Column, difference: bool = False) -> Column:
+    """P25: colour (array r, g, b) of a value on a piecewise linear ramp over the index's display range; null stays null."""
+    (lo, hi), colours = display_range(index, difference), ramp(index, difference)
+    at = clamp01((value - lo) / (hi - lo)) * (len(colours) - 1)
+    left = F.least(F.floor(at), F.lit(len(colours) - 2)).cast("int")
+    stops = F.array(*(F.array(*map(F.lit, c)) for c in colours))
     a, b, part = F.get(stops, left), F.get(stops, left + 1), at - left
     return F.when(value.isNotNull(), F.array(*(F.round(F.get(a, F.lit(i)) + (F.get(b, F.lit(i)) - F.get(a, F.lit(i))) * part).cast("int") for i in range(3))))
 
 
+def composite(kind: str, bands: dict[str, Column]) -> Column:
+    """Colour (array r, g, b) of reflectances in true or false colour; null if one is. A band that is absent is an error."""
+    if missing := [b for b, _ in COMPOSITES[kind] if b not in bands]:
+        raise ValueError(f"{kind} needs {', '.join(missing)}")
+    shades = [F.round(clamp01(bands[b] / top) * 255).cast("int") for b, top in COMPOSITES[kind]]
+    return F.when(~F.exists(F.array(*shades), lambda x: x.isNull()), F.array(*shades))
+
+
 def hatch(row: Column, col: Column, masked: Column) -> Column:
     """Alpha of the hatch over masked pixels."""
     return F.when(((row + col) % 8 < 3) & masked, 140).otherwise(0)

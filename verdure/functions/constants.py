@@ -24,6 +24,15 @@ STATUS = {"dense": "healthy", "vigorous": "healthy", "developing": "moderate", "
 STRESS = {"healthy": "none", "moderate": "low", "stressed": "moderate", "critical": "high"}
 # Display ranges.
 COLOUR_RANGE = {"ndvi": (-0.2, 0.9), "evi2": (-0.1, 0.8), "savi": (-0.1, 0.7), "ndre": (-0.1, 0.6), "ndmi": (-0.3, 0.5)}
+# Colour ramps, low to high.
+VEGETATION_RAMP = ("#a50026", "#d73027", "#f46d43", "#fdae61", "#fee08b", "#d9ef8b", "#a6d96a", "#66bd63", "#1a9850", "#006837")
+MOISTURE_RAMP = ("#8c510a", "#bf812d", "#dfc27d", "#f6e8c3", "#f5f5f5", "#c7eae5", "#80cdc1", "#35978f", "#01665e")
+DIVERGING_RAMP = ("#a50026", "#d73027", "#f46d43", "#fdae61", "#fee08b", "#ffffbf", "#d9ef8b", "#a6d96a", "#66bd63", "#1a9850", "#006837")
+# Bands of the composites and the reflectances they are stretched over.
+COMPOSITES = {"rgb": (("B04", 0.3), ("B03", 0.3), ("B02", 0.3)), "fcc": (("B08", 0.45), ("B04", 0.3), ("B03", 0.3))}
+# Longest side of a preview in pixels, and of a fetched grid.
+PREVIEW_PIXELS = 512
+GRID_PIXELS = 2500
 # Alert thresholds.
 MIN_CLEAR = 0.5
 DROP_WARNING = 0.15

@@ -74,3 +74,24 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     east = x + sum((k * F.cos(2 * j * y) * F.sinh(2 * j * x) for j, k in enumerate(alpha, 1)), F.lit(0.0))
     north = y + sum((k * F.sin(2 * j * y) * F.cosh(2 * j * x) for j, k in enumerate(alpha, 1)), F.lit(0.0))
     return 500_000 + 0.9996 * a * east, 10_000_000 + 0.9996 * a * north
+
+
+def from_utm(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a position on a southern UTM zone, the inverse of to_utm."""
+    f = 1 / 298.257223563
+    n, e = f / (2 - f), (f * (2 - f)) ** 0.5
+    a = 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    y, x = (north - 10_000_000) / (0.9996 * a), (east - 500_000) / (0.9996 * a)
+    v = y - sum((k * F.sin(2 * j * y) * F.cosh(2 * j * x) for j, k in enumerate(beta, 1)), F.lit(0.0))
+    u = x - sum((k * F.cos(2 * j * y) * F.sinh(2 * j * x) for j, k in enumerate(beta, 1)), F.lit(0.0))
+    t = F.sin(v) / F.sqrt(F.pow(F.sinh(u), 2) + F.pow(F.cos(v), 2))
+
+    def latitude(t: Column) -> Column:
+        s = t / F.sqrt(1 + t * t)
+        for _ in range(5):
+            s = F.tanh(F.asinh(t) + e * F.atanh(e * s))
+        return s
+
+    lat = F.degrees(F.asin(_bound(t, latitude)))
+    return F.degrees(F.atan2(F.sinh(u), F.cos(v))) + (zone % 100) * 6 - 183, lat

@@ -32,23 +32,29 @@ def clear_fraction(scl: Column, inside: Column) -> Column:
 def analyse(pixels: DataFrame, keys: list[str], bands: dict[str, Column], offset: Column, quantification: Column, scl: Column | None, inside: Column, indices: list[str] | None = None, override: Column | None = None) -> DataFrame:
     """Digital numbers to one row of statistics per key and index.
 
-    All indices come from one projection of one scan, unpivoted before a single
-    aggregation. Without scl the clear fraction is override, or the finite part.
+    All indices come from one projection of one scan and one aggregation a key,
+    unpivoted after it. Without scl the clear fraction is override, or the finite part.
     """
     names = indices or index_names()
     rho = {b: reflectance(c.cast("double"), offset, quantification) for b, c in bands.items()}
     base = pixels.select(*keys, inside.alias("_in"), (clear(scl) if scl is not None else F.lit(True)).alias("_clear"), *(c.alias(f"_{b}") for b, c in rho.items()))
-    wide = base.select(*keys, "_in", "_clear", *(index_value(n, {b: F.col(f"_{b}") for b in bands}).alias(n) for n in names))
-    long = wide.unpivot([*keys, "_in", "_clear"], names, "index_name", "value")
-    stats = zonal_stats(long, [*keys, "index_name"], include=F.col("_in") & F.col("_clear"))
+    wide = base.select(*keys, "_in", "_clear", *(index_value(n, {b: F.col(f"_{b}") for b in bands}).alias(n) for n in names), *([override.alias("_override")] if override is not None else []))
+    ok = F.col("_in") & F.col("_clear")
     if scl is not None:
-        share = F.count_if(F.col("_in") & F.col("_clear"))
-        part = long.groupBy(*keys, "index_name").agg(F.coalesce(F.try_divide(share, F.count_if("_in")), F.lit(0.0)).alias("clear_fraction"))
+        share = lambda n: F.try_divide(F.count_if(ok), F.count_if("_in"))
     elif override is not None:
-        part = long.groupBy(*keys, "index_name").agg(F.first(override).alias("clear_fraction"))
+        share = lambda n: F.first("_override")
     else:
-        part = long.groupBy(*keys, "index_name").agg(F.coalesce(F.try_divide(F.count_if(F.col("_in") & F.col("value").isNotNull()), F.count_if("_in")), F.lit(0.0)).alias("clear_fraction"))
-    out = stats.join(part, [*keys, "index_name"])
+        share = lambda n: F.try_divide(F.count_if(F.col("_in") & F.col(n).isNotNull()), F.count_if("_in"))
+    aggs = []
+    for n in names:
+        v = F.when(ok, F.col(n))
+        p = F.percentile(v, F.array(*map(F.lit, (0.05, 0.1, 0.9, 0.95))))
+        clear_part = share(n) if override is not None and scl is None else F.coalesce(share(n), F.lit(0.0))
+        parts = {"count": F.count(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "std": F.stddev_pop(v), "_p": p, "clear_fraction": clear_part}
+        aggs.append(F.struct(F.lit(n).alias("index_name"), *(c.alias(k) for k, c in parts.items())))
+    long = wide.groupBy(*keys).agg(F.array(*aggs).alias("_s")).select(*keys, F.explode("_s").alias("_s"))
+    out = long.select(*keys, "_s.index_name", *(f"_s.{c}" for c in ("count", "mean", "min", "max", "std")), *(F.get("_s._p", F.lit(i)).alias(n) for i, n in enumerate(("p5", "p10", "p90", "p95"))), "_s.clear_fraction")
     return out.withColumn("confidence", confidence(F.col("clear_fraction"))).withColumn("formula_version", F.lit(FORMULA_VERSION))
 
 

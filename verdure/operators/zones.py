@@ -1,11 +1,22 @@
-"""M1 to M4: productivity zones by k-means over each field's temporal pixel means."""
+"""M1 to M5: productivity zones by k-means over each field's temporal pixel means, and their polygons."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from verdure.operators import planar
+from verdure.operators.lineage import components
+from verdure.operators.overlay import MULTI, packed
+
+#: Rows of a raster whose runs one task joins.
+BAND_ROWS = 64
+#: Groups in which a key's areas are traced.
+TRACE_GROUPS = 16
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
@@ -40,3 +51,79 @@ def productivity_zones(pixels: DataFrame, k: int = 3, seed: int = 0, min_valid:
 
     kinds = dict(means.dtypes)
     return means.groupBy("field_id").applyInPandas(cluster, f"field_id {kinds['field_id']}, px_row {kinds['px_row']}, px_col {kinds['px_col']}, mean double, zone int")
+
+
+def _joined(rows: list[tuple[int, int, int, int]]) -> list[int]:
+    """A code of the part that each run (row, first, last, zone) belongs to, runs of neighbouring rows being one part where they touch: the least of row * 2^31 + first."""
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    order = sorted(range(len(rows)), key=lambda i: rows[i])
+    by_row: dict[int, list[int]] = {}
+    for i in order:
+        by_row.setdefault(rows[i][0], []).append(i)
+    for r, own in by_row.items():
+        above, j = by_row.get(r - 1, []), 0
+        for i in own:
+            while j < len(above) and rows[above[j]][2] < rows[i][1]:
+                j += 1
+            k = j
+            while k < len(above) and rows[above[k]][1] <= rows[i][2]:
+                if rows[above[k]][3] == rows[i][3]:
+                    a, b = root(i), root(above[k])
+                    parent[max(a, b, key=lambda x: rows[x])] = min(a, b, key=lambda x: rows[x])
+                k += 1
+    return [rows[root(i)][0] * (1 << 31) + rows[root(i)][1] for i in range(len(rows))]
+
+
+def zone_polygons(labels: DataFrame, keys: list[str], grids: DataFrame | None = None) -> DataFrame:
+    """M5: keys, zone, pixels, geometry of every connected area of one zone (over edges, not corners), with holes.
+
+    labels: keys, px_row, px_col, zone; pixels with a null zone are in none.
+    Spark makes runs of equal pixels in a row; runs of BAND_ROWS rows are joined
+    in a task, bands by connected components over the runs on their borders, and
+    each area is traced by itself. With grids (keys, x0, y0, res) coordinates
+    are the grid's, else columns and minus rows. A repeated pixel counts once, with its least zone.
+    """
+    kinds = ", ".join(f"{k} {labels.schema[k].dataType.simpleString()}" for k in keys)
+    px = labels.where("zone IS NOT NULL").groupBy(*keys, F.col("px_row").cast("bigint").alias("row"), F.col("px_col").cast("bigint").alias("col")).agg(F.min("zone").cast("bigint").alias("zone"))
+    line = W.partitionBy(*keys, "row").orderBy("col")
+    fresh = F.coalesce((F.col("col") != F.lag("col").over(line) + 1) | (F.col("zone") != F.lag("zone").over(line)), F.lit(True))
+    runs = px.withColumn("run", F.sum(fresh.cast("int")).over(line)).groupBy(*keys, "row", "run").agg(F.min("col").alias("first"), F.max("col").alias("last"), F.min("zone").alias("zone"))
+    runs = runs.drop("run").withColumn("band", F.floor(F.col("row") / BAND_ROWS))
+
+    def join(rows: pa.Table) -> pa.Table:
+        part = _joined(list(zip(*(rows.column(c).to_pylist() for c in ("row", "first", "last", "zone")), strict=True)))
+        return rows.drop_columns(["band"]).append_column("part", pa.array(part, pa.int64()))
+
+    runs = runs.select(*keys, "band", "row", "first", "last", "zone").groupBy(*keys, "band").applyInArrow(join, f"{kinds}, row bigint, first bigint, last bigint, zone bigint, part bigint")
+    node = F.to_json(F.struct(*keys, "part"), {"ignoreNullFields": "false"})
+    named = runs.withColumn("node", node)
+    upper = named.where(F.pmod("row", F.lit(BAND_ROWS)) == BAND_ROWS - 1).select(*keys, (F.col("row") + 1).alias("row"), "zone", F.col("first").alias("f"), F.col("last").alias("l"), F.col("node").alias("a"))
+    lower = named.where(F.pmod("row", F.lit(BAND_ROWS)) == 0)
+    edges = lower.join(upper, [*keys, "row", "zone"]).where("first <= l AND f <= last").select("a", F.col("node").alias("b"))
+    whole = named.join(components(edges).withColumnRenamed("id", "node"), "node", "left").withColumn("area", F.coalesce("comp", "node"))
+
+    def trace(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parts: dict[str, list[tuple[int, int, int]]] = {}
+        zone = {}
+        for area, z, *run in zip(*(rows.column(c).to_pylist() for c in ("area", "zone", "row", "first", "last")), strict=True):
+            parts.setdefault(area, []).append(tuple(run))
+            zone[area] = z
+        values = {k: pa.array([v.as_py()] * len(parts), v.type) for k, v in zip(keys, key, strict=False)}
+        sizes = pa.array([sum(b - a + 1 for _, a, b in own) for own in parts.values()], pa.int64())
+        return pa.table({**values, "zone": pa.array(list(zone.values()), pa.int64()), "pixels": sizes, "geometry": packed([planar.traced(own) for own in parts.values()])})
+
+    # areas of a key share a few groups, each whole in one
+    whole = whole.withColumn("share", F.pmod(F.xxhash64("area"), F.lit(TRACE_GROUPS)))
+    out = whole.select(*keys, "share", "area", "row", "first", "last", "zone").groupBy(*keys, "share").applyInArrow(trace, f"{kinds}, zone bigint, pixels bigint, geometry {MULTI}")
+    if grids is None:
+        return out
+    place = lambda p: F.struct((F.col("x0") + p["x"] * F.col("res")).alias("x"), (F.col("y0") + p["y"] * F.col("res")).alias("y"))
+    moved = F.transform("geometry", lambda g: F.transform(g, lambda r: F.transform(r, place)))
+    return out.join(grids.select(*keys, "x0", "y0", "res"), keys).select(*keys, "zone", "pixels", moved.alias("geometry"))
