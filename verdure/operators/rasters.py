@@ -127,7 +127,8 @@ def tiles(raster: DataFrame, grids: DataFrame, keys: list[str], zooms: list[int]
     lat = F.degrees(F.atan(F.sinh(F.lit(3.141592653589793) * (1 - 2 * (F.col("gy") + 0.5) / n))))
     px = px.withColumns({"lon": lon, "lat": lat})
     e, north = to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
-    px = px.withColumns({"c": F.floor((e - F.col("x0")) / F.col("res")), "r": F.floor((F.col("y0") - north) / F.col("res"))})
+    # generated, so that the projection is computed once and no filter repeats it
+    px = px.select("*", F.inline(F.array(F.struct(F.floor((e - F.col("x0")) / F.col("res")).alias("c"), F.floor((F.col("y0") - north) / F.col("res")).alias("r")))))
     px = px.where((F.col("c") >= 0) & (F.col("c") < F.col("width")) & (F.col("r") >= 0) & (F.col("r") < F.col("height")))
     px = px.withColumns({"px_row": F.floor(F.col("r") / F.col("factor")), "px_col": F.floor(F.col("c") / F.col("factor"))})
     source = raster.join(g.select(*keys, "factor").distinct(), keys)
