@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +40,11 @@ SPACE = "\u2581"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LINE_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words and parts of words kept by a worker between batches, cells of one Viterbi matrix, remembered pairs.
-CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 50_000, 80_000, 1 << 17, 1 << 20
+#: Words and parts of words in a generation of a worker's cache, cells of one Viterbi matrix, remembered pairs.
+CACHE_WORDS, CACHE_PARTS, CELLS, PAIRS = 150_000, 150_000, 1 << 19, 1 << 20
 UNIGRAM, BPE = 1, 2
-#: Rows of a batch that are worked on at once.
-ROWS = 100
+#: Characters that are worked on at once, at least a whole text.
+CHARS = 1 << 22
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -302,20 +303,19 @@ class Pieces:
         unit = UNIT if self.has_line_ends else LINE_UNIT
         units = [unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words, parts_of = cache.words, cache.parts
-        fresh = list({u for row in units for u in row}.difference(words))
+        seen = {u for row in units for u in row}
+        fresh = words.missing(seen)
         if fresh:
             spans, counts = self.spans(fresh)
-            new = list(set(spans).difference(parts_of))
-            parts_of.update(zip(new, self.segment(new), strict=True))
-            at = 0
+            new = parts_of.missing(set(spans))
+            parts_of.now.update(zip(new, self.segment(new), strict=True))
+            at, own = 0, parts_of.now
             for word, n in zip(fresh, counts, strict=True):
-                words[word] = parts_of[spans[at]] if n == 1 else b"".join(map(parts_of.__getitem__, spans[at : at + n]))
+                words.now[word] = own[spans[at]] if n == 1 else b"".join(map(own.__getitem__, spans[at : at + n]))
                 at += n
-        out = [b"".join(map(words.__getitem__, row)) for row in units]
-        if len(words) > CACHE_WORDS:  # the words of this batch are mostly the frequent ones
-            cache.words = {u: words[u] for row in units for u in row}
-        if len(parts_of) > CACHE_PARTS:
-            parts_of.clear()
+        out = [b"".join(map(words.now.__getitem__, row)) for row in units]
+        words.turn(CACHE_WORDS)
+        parts_of.turn(CACHE_PARTS)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -323,12 +323,30 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+class Kept:
+    """Ids by string in two generations: what is asked for moves to the present one, and when that is full the one before goes. So frequent strings stay."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those that neither generation has; the others are in the present one afterwards."""
+        rest = wanted.difference(self.now)
+        old = rest.intersection(self.before)
+        self.now.update((u, self.before[u]) for u in old)
+        return list(rest - old)
+
+    def turn(self, most: int) -> None:
+        if len(self.now) > most:
+            self.before, self.now = self.now, {}
+
+
 class Cache:
     """Ids of words seen, and of the parts that words are cut into."""
 
     def __init__(self):
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Kept(), Kept()
 
 
 @lru_cache(1)
@@ -337,6 +355,18 @@ def _loaded(model: str) -> tuple[Pieces, Cache]:
     return Pieces.load(model), Cache()
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about CHARS bytes of a text column, or elements of a list column."""
+    kind = batch.column(column).type
+    size = pc.binary_length if pa.types.is_string(kind) or pa.types.is_large_string(kind) else pc.list_value_length
+    total, first = np.cumsum(pc.fill_null(size(batch.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+    while first < batch.num_rows:
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + CHARS, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _grown(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in more.items())])
 
@@ -355,8 +385,7 @@ def encode(df: DataFrame, text: str = "text", to: str = "ids", model: str = DEFA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cache = _loaded(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
+            for part in _slices(batch, text):
                 ids = pieces.encode([t or "" for t in part.column(text).to_pylist()], cache)
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
@@ -374,8 +403,7 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", model: str = DE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = _loaded(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
+            for part in _slices(batch, ids):
                 texts = [None if x is None else pieces.decode(x) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, to])
 
