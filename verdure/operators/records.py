@@ -31,6 +31,32 @@ def nested(records: DataFrame) -> DataFrame:
     return flat.unionByName(plots.select("field", "pass_date", F.lit("sub_plots").alias("scope"), "record"))
 
 
+def pushable(passes: DataFrame) -> DataFrame:
+    """F19, Q-10: the results that a finished job pushes: passes that are ok, or averaged from two.
+
+    An averaged one goes under the date that was asked for (else its scenes'),
+    with the scene ``avg:a+b``, the earlier scene's provider, and the mean of
+    both clear fractions. Passes without a date are an error's sign and left out.
+    passes: status, index_name, requested_date, pass_date, scene_id, provider,
+    processing_mode, clear_fraction, mean, and before and after, structs of pass_date, scene_id, provider, clear_fraction.
+    """
+    two = F.col("status") == "interpolated"
+    a, b = (lambda c: F.col(f"before.{c}")), (lambda c: F.col(f"after.{c}"))
+    scenes = F.concat(F.lit("avg:"), F.coalesce(a("scene_id"), F.lit("")), F.lit("+"), F.coalesce(b("scene_id"), F.lit("")))
+    scene = F.when(F.coalesce(a("scene_id"), b("scene_id")).isNotNull(), scenes).otherwise("interpolated")
+    rows = passes.where("status IN ('ok', 'interpolated')").select(
+        "index_name",
+        F.when(two, F.coalesce("requested_date", a("pass_date"), "pass_date")).otherwise(F.col("pass_date")).alias("pass_date"),
+        "mean",
+        F.when(two, F.coalesce((a("clear_fraction") + b("clear_fraction")) / 2, "clear_fraction", F.lit(0.0))).otherwise(F.coalesce("clear_fraction", F.lit(0.0))).alias("clear_fraction"),
+        F.when(two, F.coalesce(a("provider"), b("provider"), F.lit("interpolated"))).otherwise(F.coalesce("provider", F.lit("unknown"))).alias("provider"),
+        F.when(two, scene).otherwise(F.coalesce("scene_id", F.lit("unknown"))).alias("scene_id"),
+        F.when(two, "interpolated").otherwise(F.coalesce("processing_mode", F.lit("unknown"))).alias("processing_mode"),
+        *(c for c in passes.columns if c not in ("status", "index_name", "requested_date", "pass_date", "mean", "clear_fraction", "provider", "scene_id", "processing_mode", "before", "after")),
+    )
+    return rows.where("pass_date IS NOT NULL")
+
+
 def payload_keys(rows: DataFrame) -> DataFrame:
     """Each farm's results of a pass and the digest that makes its payload idempotent."""
     one = identity(F.col("field_id"), F.col("index_name"), F.col("pass_date"), F.col("geometry_version"), F.col("scene_id"))
