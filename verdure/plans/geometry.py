@@ -222,3 +222,31 @@ def geometry_keys(spark, sf_dir):
     shell, hole = ring(0.0, 0.0, 0.75, 0.5), ring(0.1, 0.1, 0.25, 0.125)
     turned = F.when(F.col("id") % 2 == 0, F.reverse(hole)).otherwise(F.concat(F.slice(hole, 3, 2), F.slice(hole, 1, 2)))
     return p.select("id", geo.geometry_key(shape(shell, turned)).alias("boundary_key"))
+
+
+@query(
+    """SELECT concat('layer-', farm_id, '.geojson') AS file, CAST(CASE WHEN farm_id % 9 <> 2 THEN n - 1 END AS INT) AS position, CASE WHEN id % 13 > 0 AND farm_id % 9 <> 2 THEN concat('lot ', id) END AS name,
+      CASE WHEN farm_id % 9 = 2 THEN 'name column ''NAME'' not in layer' WHEN id % 6 = 4 THEN 'empty or missing geometry' WHEN id % 13 = 0 THEN concat('missing name in column ''NAME', chr(39))
+      WHEN id % 6 = 2 THEN 'geometry must be polygonal, got ''Point''' WHEN id % 6 = 3 THEN 'geometry area below 1.0 m² (degenerate)' END AS reason, farm_id % 9 <> 2 AND id % 13 > 0 AND id % 6 = 1 AS repaired
+      FROM (SELECT *, row_number() OVER (PARTITION BY farm_id ORDER BY id) AS n FROM lots) x WHERE farm_id % 9 <> 2 OR n = 1""",
+    lots=LOTS,
+)
+def uploaded_layers(spark, sf_dir):
+    """S26, K27, Q-19, H13 to H15: uploaded GeoJSON layers, one a farm, feature by feature: names, repairs, and why one is skipped; some layers lack the name column."""
+    from verdure.sources import layers
+
+    rows = lots(spark, sf_dir)
+    k, ring = F.col("id") % 6, slanted(F.col("u"), F.col("v"), F.col("u") + F.col("w"), F.col("v") + 0.003)
+    tiny = slanted(F.col("u"), F.col("v"), F.col("u") + 1e-7, F.col("v") + 1e-7)
+    made = F.when(k == 1, F.array(ring[0], ring[2], ring[1], ring[3])).when(k == 3, tiny).when(k.isin(0, 5), ring)
+    closed = F.transform(F.concat(made, F.slice(made, 1, 1)), lambda p: F.array(p["x"], p["y"]))
+    polygon = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")))
+    shape_text = F.when(k == 2, '{"type": "Point", "coordinates": [30, -18]}').when(k == 4, "null").otherwise(polygon)
+    name = F.when(F.col("id") % 13 > 0, F.concat(F.lit('"lot '), F.col("id"), F.lit('"'))).otherwise("null")
+    column = F.when(F.col("farm_id") % 9 == 2, "TITLE").otherwise("NAME")
+    feature = F.concat(F.lit('{"type": "Feature", "properties": {"'), column, F.lit('": '), name, F.lit('}, "geometry": '), shape_text, F.lit("}"))
+    # a farm has forty lots at most
+    files = rows.groupBy("farm_id").agg(F.array_sort(F.collect_list(F.struct("id", feature.alias("f")))).alias("fs"))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.transform("fs", lambda x: x["f"]), ", "), F.lit("]}"))
+    raw = files.select(F.concat(F.lit("layer-"), F.col("farm_id"), F.lit(".geojson")).alias("path"), text.cast("binary").alias("content"))
+    return layers.parse_layers(raw, "NAME").select("file", "position", "name", "reason", "repaired")

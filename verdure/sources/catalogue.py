@@ -1,8 +1,8 @@
-"""Catalogue, product, weather and vector sources as DataFrames of parsed JSON and XML."""
+"""Catalogue, product and weather sources as DataFrames of parsed JSON and XML."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURE = "id string, properties struct<datetime:string,start_datetime:string,`eo:cloud_cover`:double>, assets map<string,struct<href:string>>"
@@ -47,20 +47,3 @@ def daily_weather(raw: DataFrame, column: str = "json") -> DataFrame:
     rows = raw.select(w["latitude"].alias("lat"), w["longitude"].alias("lon"), F.explode(days).alias("x"))
     zero = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0.0))
     return rows.select("lat", "lon", F.to_date("x.t").alias("day"), zero("lo").alias("tmin_c"), zero("hi").alias("tmax_c"), F.col("x.mid").alias("tmean_c"), zero("rain").alias("precip_mm"))
-
-
-def vector_features(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(features, skipped) of a GeoJSON file; a feature without a polygon or the name is skipped with its position."""
-    raw = spark.read.option("multiLine", True).schema("features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>").json(path)
-    rows = raw.select(F.posexplode("features").alias("position", "f"))
-    rows = rows.select("position", F.try_element_at("f.properties", F.lit(name)).alias("name"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
-    ok = F.col("name").isNotNull() & F.coalesce(F.col("kind").isin("Polygon", "MultiPolygon"), F.lit(False))
-    why = F.when(F.col("name").isNull(), "no name").otherwise("no polygon")
-    return rows.where(ok), rows.where(~ok).select("position", why.alias("reason"))
-
-
-def mock_scenes(spark: SparkSession, start: str, end: str, step_days: int = 5, most: int = 8) -> DataFrame:
-    """Scenes every five days with a cloud share that depends on the scene's id alone."""
-    days = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL {step_days} DAY)) AS day").orderBy("day").limit(most)
-    ident = F.concat(F.lit("MOCK_"), F.date_format("day", "yyyyMMdd"))
-    return days.select(ident.alias("scene_id"), "day", (F.conv(F.substring(F.sha2(ident, 256), 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * 80).alias("cloud_pct"))
