@@ -64,3 +64,16 @@ KEY_DECIMALS = 6
 LEAST_AREA_M2 = 1.0
 # Columns of the results' CSV export.
 CSV_COLUMNS = ("canonical_field_id", "index_name", "pass_date", "mean", "min", "max", "std", "p10", "p90", "clear_fraction", "confidence", "resolution_m")
+# Columns of the client's CSV export.
+CLIENT_CSV_COLUMNS = ("requested_date", "pass_date", "before_pass_date", "after_pass_date", "status", "mean", "min", "max", "p10", "p90", "clear_fraction", "confidence", "resolution_m", "pixels", "scene_id")
+# Activities that a reading's context names, and days that it looks back.
+CONTEXT_ACTIVITIES = ("planting", "fertilizer", "spray", "irrigation")
+ACTIVITY_DAYS = 30
+# The farms' clocks; page of the activity feed.
+LOCAL_OFFSET = "+02:00"
+FEED_ROWS = 14
+# Comparison groups (planned in the domain, an extension here).
+GROUP_QUORUM = 0.5
+GROUP_WINDOW_DAYS = 14
+GROUP_LEAST = 5
+MAD_LIMIT = 2.0

@@ -407,3 +407,31 @@ def match_fields(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     same = equivalent(F.col("ga"), F.col("gb"))
     action = F.when(F.col("field_id").isNull(), F.when(F.col("derived"), "derived_from_farm").otherwise("created")).when(same, "unchanged").otherwise("updated_geometry")
     return out.select("id", "farm_id", "field_id", action.alias("action"))
+
+
+def boundary_versions(seen: DataFrame) -> DataFrame:
+    """field_id, version (from 1), geometry, valid_from, valid_to from observations (field_id, at, geometry) in order of at.
+
+    A version opens where the boundary is no longer equivalent to that of the
+    last version, so a slow drift opens one once it adds up. A task walks through its
+    fields' observations in order and keeps one boundary at a time. Observations without a geometry are passed over.
+    """
+    kinds = dict(seen.dtypes)
+
+    def walk(batches):
+        field, kept, version = None, None, 0
+        for batch in batches:
+            keep, numbers = [], []
+            for i, (key, g) in enumerate(zip(batch.column("field_id").to_pylist(), geometries(batch.column("geometry")), strict=True)):
+                fresh = key != field or version == 0
+                if fresh or not _equal(kept, g):
+                    field, kept, version = key, g, 1 if fresh else version + 1
+                    keep.append(i)
+                    numbers.append(version)
+            if keep:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep)).columns, pa.array(numbers, pa.int32())], names=["field_id", "at", "geometry", "version"])
+
+    rows = seen.where(F.size("geometry") > 0).select("field_id", "at", "geometry").repartition("field_id").sortWithinPartitions("field_id", "at")
+    opened = rows.mapInArrow(walk, f"field_id {kinds['field_id']}, at {kinds['at']}, geometry {MULTI}, version int")
+    until = F.lead("at").over(W.partitionBy("field_id").orderBy("version"))
+    return opened.select("field_id", "version", "geometry", F.col("at").alias("valid_from"), until.alias("valid_to"))

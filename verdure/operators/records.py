@@ -15,9 +15,8 @@ NAMES = ["ndvi", "evi2", "savi", "ndre", "ndmi"]
 def metrics(rows: DataFrame) -> DataFrame:
     """One record per canonical id and date; of several scenes the last wins, NDVI is classified without crop."""
     ids = dotted_id(F.col("canonical_id"))
-    wide = rows.groupBy("canonical_id", "pass_date").pivot("index_name", NAMES).agg(F.max_by("mean", "scene_id"))
-    first = rows.groupBy("canonical_id", "pass_date").agg(F.min_by("clear_fraction", F.struct("scene_id", "index_name")).alias("clear"))
-    out = wide.join(first, ["canonical_id", "pass_date"])
+    one = [F.max_by(F.when(F.col("index_name") == n, F.col("mean")), F.when(F.col("index_name") == n, F.col("scene_id"))).alias(n) for n in NAMES]
+    out = rows.groupBy("canonical_id", "pass_date").agg(*one, F.min_by("clear_fraction", F.struct("scene_id", "index_name")).alias("clear"))
     health = F.when(F.col("ndvi").isNotNull(), status(classify(F.lit("ndvi"), F.col("ndvi"))))
     key = F.concat_ws("-", F.lit("sat"), F.lit("2"), F.replace("canonical_id", F.lit("."), F.lit("-")), F.date_format("pass_date", "yyyy-MM-dd"))
     return out.select("canonical_id", "pass_date", ids["field"].alias("field"), ids["sub_plot"].alias("sub_plot"), ids["scope"].alias("scope"), *NAMES, F.round((1 - F.col("clear")) * 100, 1).alias("cloud_pct"), health.alias("health"), F.round(clamp01(F.col("ndvi")), 2).alias("score"), F.when(health.isNotNull(), stress(health)).alias("stress"), key.alias("external_id"))
@@ -69,12 +68,37 @@ def latest_review(notes: DataFrame) -> DataFrame:
     return notes.where("published").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def number_text(v: Column) -> Column:
+    """A double as text with the fewest digits that give it back: plain from 0.0001 up to 10^16, else with an exponent of two digits; null stays null."""
+
+    def spelled(p: Column) -> Column:
+        whole, power = F.regexp_replace(F.regexp_replace(p, r"e.*$|\.|^-", ""), "0+$", ""), F.regexp_extract(p, r"e([+-][0-9]+)$", 1).cast("int")
+        return F.get(F.transform(F.array(F.struct(F.when(whole == "", "0").otherwise(whole).alias("whole"), power.alias("power"))), placed), F.lit(0))
+
+    def placed(d: Column) -> Column:
+        whole, power, size = d["whole"], d["power"], F.length(d["whole"])
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole)
+        large = F.when(size > power + 1, F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.substring(whole, power + 2, size))).otherwise(F.concat(F.rpad(whole, power + 1, F.lit("0")), F.lit(".0")))
+        exponent = F.abs(power).cast("string")
+        far = F.concat(F.substring(whole, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(whole, F.lit(2), size))).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(exponent, F.greatest(F.length(exponent), F.lit(2)), F.lit("0")))
+        return F.when((power < 0) & (power >= -4), small).when((power >= 0) & (power < 16), large).otherwise(far)
+
+    def chosen(x: Column) -> Column:
+        tried = F.transform(F.array(*(F.format_string(f"%.{n}e", x) for n in (14, 15, 16))), lambda t: t)
+        short = F.get(F.filter(tried, lambda t: t.cast("double") == x), F.lit(0))
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+        body = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise(F.get(F.transform(F.array(short), spelled), F.lit(0)))
+        return F.concat(sign, body)
+
+    # each step's value is bound once
+    return F.when(v.isNotNull(), F.get(F.transform(F.array(v.cast("double")), chosen), F.lit(0)))
+
+
 def _cell(name: str, kind: str) -> Column:
-    """A value as CSV text: null is empty, doubles have six decimals at most, text with separators is quoted."""
+    """A value as CSV text: null is empty, doubles are whole, text with separators is quoted."""
     v = F.col(name)
     if kind in ("double", "float"):
-        v = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v.cast("double")), "0+$", ""), r"\.$", ".0")
-        return F.when(F.col(name).isNull(), "").otherwise(v)
+        return F.coalesce(number_text(v), F.lit(""))
     v = F.coalesce(v.cast("string"), F.lit(""))
     return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 

@@ -109,14 +109,14 @@ def geometry_versions(spark, sf_dir):
 
 @query(
     """SELECT field_id, greatest(coalesce(cursor_date, d), coalesce(d, cursor_date)) AS cursor_date, CASE WHEN d IS NOT NULL AND (cursor_date IS NULL OR d > cursor_date) THEN s ELSE last_scene_id END AS last_scene_id FROM st FULL JOIN
-      (SELECT field_id, max(pass_date) AS d, max({'d': pass_date, 's': scene_id}).s AS s FROM analysis WHERE field_id % 2 = 0 GROUP BY 1) x USING (field_id)""",
-    st="SELECT field_id, max(pass_date) AS cursor_date, CAST(max(scene_id) AS BIGINT) AS last_scene_id FROM analysis WHERE field_id % 3 = 0 AND pass_date < DATE '2000-01-01' GROUP BY 1",
+      (SELECT field_id, max(pass_date) AS d, max({'d': pass_date, 's': scene_id}).s AS s FROM analysis WHERE pass_date >= DATE '2000-01-01' GROUP BY 1) x USING (field_id)""",
+    st="SELECT field_id, max(pass_date) AS cursor_date, CAST(max(scene_id) AS BIGINT) AS last_scene_id FROM analysis WHERE pass_date < DATE '2000-01-01' GROUP BY 1",
 )
 def forward_cursor(spark, sf_dir):
     """Cursors move forward only."""
     a = view(spark, sf_dir, "analysis")
-    state = a.where("field_id % 3 = 0 and pass_date < date'2000-01-01'").groupBy("field_id").agg(F.max("pass_date").alias("cursor_date"), F.max("scene_id").alias("last_scene_id"))
-    return store.record_poll(state, a.where("field_id % 2 = 0").select("field_id", F.col("pass_date").alias("scene_date"), "scene_id"))
+    state = a.where("pass_date < date'2000-01-01'").groupBy("field_id").agg(F.max("pass_date").alias("cursor_date"), F.max("scene_id").alias("last_scene_id"))
+    return store.record_poll(state, a.where("pass_date >= date'2000-01-01'").select("field_id", F.col("pass_date").alias("scene_date"), "scene_id"))
 
 
 @query(
@@ -163,10 +163,10 @@ def pipeline_health(spark, sf_dir):
     return planning.health_alerts(s)
 
 
-@query("SELECT r_regionkey AS layer_id, r_name AS name, count(n_nationkey) FILTER (n_nationkey % 2 = 0) AS boundaries FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
+@query("SELECT r_regionkey AS layer_id, r_name AS name, count(n_nationkey) AS boundaries FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def layer_counts(spark, sf_dir):
     """J6, T12, Q-16, H10: layers with their boundaries; layers without any stay."""
-    n = _table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
+    n = _table(spark, sf_dir, "nation")
     r = _table(spark, sf_dir, "region")
     return r.join(n, r.r_regionkey == n.n_regionkey, "left").groupBy(F.col("r_regionkey").alias("layer_id"), F.col("r_name").alias("name")).agg(F.count("n_nationkey").alias("boundaries"))
 
@@ -278,17 +278,18 @@ def boundary_keys(spark, sf_dir):
     return r.select("id", geo.boundary_key(F.col("ring")).alias("boundary_key"))
 
 
-_NUMBER = "coalesce(regexp_replace(regexp_replace(printf('%.6f', {}), '0+$', ''), '\\.$', '.0'), '')"
+_NUMBER = "coalesce(CAST({} AS VARCHAR), '')"
 
 
 @query(
     "SELECT field_id, pass_date, index_name, scene_id, geometry_version, concat_ws(',', field_id, index_name, pass_date, "
-    + ", ".join(_NUMBER.format(c) for c in ("mean", "min_val", "max_val", "std", "p10", "p90", "clear_fraction"))
+    + ", ".join(_NUMBER.format(c) for c in ("mean / 3", "min_val / 7", "max_val * 1e7 / 3", "std / 1e4", "p10 / 1e7", "p90 / 3", "clear_fraction"))
     + ", coalesce(confidence, ''), resolution_m) AS line FROM pass_stats"
 )
 def results_csv(spark, sf_dir):
-    """Each result as a line of the fixed CSV export."""
-    rows = view(spark, sf_dir, "pass_stats").select("*", F.col("field_id").alias("canonical_field_id"), F.col("min_val").alias("min"), F.col("max_val").alias("max"))
+    """Each result as a line of the fixed CSV export, every number with all its digits."""
+    c = {"mean": F.col("mean") / 3, "min": F.col("min_val") / 7, "max": F.col("max_val") * 1e7 / 3, "std": F.col("std") / 1e4, "p10": F.col("p10") / 1e7, "p90": F.col("p90") / 3}
+    rows = view(spark, sf_dir, "pass_stats").withColumns({"canonical_field_id": F.col("field_id"), **c})
     return records.csv_lines(rows).select("field_id", "pass_date", "index_name", "scene_id", "geometry_version", "line")
 
 

@@ -172,23 +172,23 @@ def publish_rollup(spark, sf_dir):
 
 
 @query(
-    f"SELECT field_id, pass_date, min(clear_fraction) AS clear_fraction, CASE WHEN min(clear_fraction) >= 0.8 THEN 'high' WHEN min(clear_fraction) >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, coalesce(max(band) FILTER (index_name = 'ndvi'), arg_min(band, index_name) FILTER (band IS NOT NULL), 'unknown') AS headline, string_agg(index_name || '=' || coalesce(band, 'no clear pixels'), ';' ORDER BY index_name) AS readings FROM r GROUP BY 1, 2",
-    r=f"SELECT p.field_id, pass_date, index_name, coalesce(clear_fraction, 0) AS clear_fraction, {_case('index_name', 'mean', 'crop')} AS band FROM pass_stats p JOIN field f ON p.field_id = f.field_id",
+    f"SELECT field_id, pass_date, scene_id, min(clear_fraction) AS clear_fraction, CASE WHEN min(clear_fraction) >= 0.8 THEN 'high' WHEN min(clear_fraction) >= 0.5 THEN 'medium' ELSE 'low' END AS confidence, coalesce(max(band) FILTER (index_name = 'ndvi'), arg_min(band, index_name) FILTER (band IS NOT NULL), 'unknown') AS headline, string_agg(index_name || '=' || coalesce(band, 'no clear pixels'), ';' ORDER BY index_name) AS readings FROM r GROUP BY 1, 2, 3",
+    r=f"SELECT p.field_id, pass_date, scene_id, index_name, coalesce(clear_fraction, 0) AS clear_fraction, {_case('index_name', 'mean', 'crop')} AS band FROM pass_stats p JOIN field f ON p.field_id = f.field_id",
 )
 def pass_evidence(spark, sf_dir):
-    """What a pass shows: least clear fraction, its confidence, each index's band and the headline."""
+    """What a pass, one scene of a day, shows: least clear fraction, its confidence, each index's band and the headline."""
     rows = view(spark, sf_dir, "pass_stats").join(view(spark, sf_dir, "field").select("field_id", "crop"), "field_id")
-    rows = rows.select("field_id", "pass_date", "index_name", F.coalesce("clear_fraction", F.lit(0)).alias("clear_fraction"), X.classify(F.col("index_name"), F.col("mean"), F.col("crop")).alias("band"))
+    rows = rows.select("field_id", "pass_date", "scene_id", "index_name", F.coalesce("clear_fraction", F.lit(0)).alias("clear_fraction"), X.classify(F.col("index_name"), F.col("mean"), F.col("crop")).alias("band"))
     clear, band = F.min("clear_fraction"), F.col("band")
     line = F.concat("index_name", F.lit("="), F.coalesce("band", F.lit("no clear pixels")))
     headline = F.coalesce(F.max(F.when(F.col("index_name") == "ndvi", band)), F.min_by(band, F.when(band.isNotNull(), F.col("index_name"))), F.lit("unknown"))
-    return rows.groupBy("field_id", "pass_date").agg(clear.alias("clear_fraction"), X.confidence(clear).alias("confidence"), headline.alias("headline"), F.array_join(F.array_sort(F.collect_list(line)), ";").alias("readings"))
+    return rows.groupBy("field_id", "pass_date", "scene_id").agg(clear.alias("clear_fraction"), X.confidence(clear).alias("confidence"), headline.alias("headline"), F.array_join(F.array_sort(F.collect_list(line)), ";").alias("readings"))
 
 
-@query("SELECT field_id, index_name, pass_date, mean, clear_fraction, CAST(row_number() OVER (PARTITION BY field_id, index_name ORDER BY pass_date) AS INT) AS n FROM pass_stats")
+@query("SELECT field_id, index_name, pass_date, mean, clear_fraction, CAST(row_number() OVER (PARTITION BY field_id, index_name ORDER BY pass_date, scene_id) AS INT) AS n FROM pass_stats")
 def field_series(spark, sf_dir):
     """T1, Q-02: each index of a field in order of its passes (n)."""
-    n = F.row_number().over(W.partitionBy("field_id", "index_name").orderBy("pass_date"))
+    n = F.row_number().over(W.partitionBy("field_id", "index_name").orderBy("pass_date", "scene_id"))
     return view(spark, sf_dir, "pass_stats").select("field_id", "index_name", "pass_date", "mean", "clear_fraction", n.alias("n"))
 
 
