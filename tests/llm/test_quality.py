@@ -105,3 +105,14 @@ def test_partitions_change_little(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet").where("doc_id % 2 = 0")
     one, many = (quality.score(docs, quality.fit(docs.repartition(n, "doc_id"), labels)).select("doc_id", "quality_pred") for n in (1, 7))
     assert one.exceptAll(many).count() <= 0.02 * docs.count()
+
+
+def test_labels_beyond_the_sample_stay_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"words and more words {i}", "s", "en", 20, i, True, 5) for i in range(40)], "doc_id bigint, text string, source string, lang string, n_chars bigint, y int, learn boolean, truth_key int")
+    truth = spark.createDataFrame([(i, i % 2, i < 10) for i in range(25)], "truth_key bigint, y int, learn boolean")
+    got = quality.features(docs, truth, "doc_id").collect()
+    assert len(got) == 25 and sum(r.y is not None for r in got) == 10
+    labels = spark.createDataFrame([(i, i % 2) for i in range(25)], "doc_id bigint, quality int")
+    for most in (quality.BROADCAST_LABELS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LABELS", most)
+        assert quality.score(docs, quality.fit(docs, labels)).count() == 40

@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from verdure.llm.common import CHUNK, checkpointed, map_batches
 
 LABELLED, ROUNDS, CONFIDENT, SHARDS = 12_000, 4, 0.02, 4096
+#: Labels up to which their ids are broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 1 << 18
 TEXT_BINS, META_BINS, EPOCHS = 1 << 15, 1 << 12, 3
 #: Margins count as equal within 1 / STEPS.
 STEPS = 64
@@ -275,8 +277,10 @@ def _exchange(pool: DataFrame, models: list[Logistic], share: float, part: float
 
 
 def features(docs: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """FEATURES of every document with a key: order (a hash of it), y (its label or null) and both views. truth: (key, y), bounded."""
-    rows = docs.where(F.col(key).isNotNull()).join(F.broadcast(truth), key, "left").select(F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("order"), "y", "text", "source", "lang", "n_chars")
+    """FEATURES of every document with a key that is not labelled without being learned from: order (a hash of its key), y (its label or null) and both views. truth: (truth_key, y, learn)."""
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("own_key"), "text", "source", "lang", "n_chars")
+    rows = own.join(truth, F.col("own_key") == F.col("truth_key"), "left").where("learn IS NULL OR learn")
+    rows = rows.select(F.pmod(F.xxhash64("own_key"), F.lit(1 << 30)).alias("order"), "y", "text", "source", "lang", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,12 +296,16 @@ def features(docs: DataFrame, truth: DataFrame, key: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> dict:
-    """The model. docs: key, text, source, lang, n_chars; labels: key, label (repeated labels: the majority, ties to 1)."""
-    order = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    least = min(1.0, LABELLED / max(1, given.count())) * (1 << 30)
-    truth = given.where(order < least).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    rows = checkpointed(features(docs, truth, key))
+    """The model. docs: key, text, source, lang, n_chars; labels: key, label (repeated labels: the majority, ties to 1).
+
+    A hash sample of about LABELLED labels is learned from; documents with any
+    other label are neither learned from nor pseudo-labelled. Null keys have no part in the fit.
+    """
+    given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("truth_key"), F.col(label).alias("label"))
+    n = given.count()
+    learn = F.pmod(F.xxhash64("truth_key"), F.lit(1 << 30)) < min(1.0, LABELLED / max(1, n)) * (1 << 30)
+    truth = given.groupBy("truth_key").agg((F.avg("label") >= 0.5).cast("int").alias("y")).withColumn("learn", learn)
+    rows = checkpointed(features(docs, F.broadcast(truth) if n <= BROADCAST_LABELS else truth, key))
     known, pool = checkpointed(rows.where("y is not null").repartition(1)), rows.where("y is null")
 
     def read(batches: Iterator[pa.RecordBatch]) -> list[tuple]:
