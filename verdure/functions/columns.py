@@ -31,11 +31,6 @@ _INDICES = {
 }
 
 
-def register_index(name: str, bands: tuple[str, ...], valid: tuple[float, float], formula) -> None:
-    """Adds an index; formula takes {band: column}."""
-    _INDICES[name.lower()], INDEX_RANGE[name.lower()] = (bands, formula), valid
-
-
 def index_names() -> list[str]:
     return list(_INDICES)
 

@@ -15,16 +15,25 @@ def best_scene(passes: DataFrame) -> DataFrame:
     return passes.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def as_of(requests: DataFrame, passes: DataFrame, min_clear: float = C.MIN_CLEAR) -> DataFrame:
-    """For each (field_id, day): the pass at or before, the one after, and the nearer one, ties to before.
+def _timeline(asked: DataFrame, passes: DataFrame, value: Column) -> DataFrame:
+    """asked (field_id, day, ...) with p and n: structs of the date d and value v of the last pass on or before the day, and of the first one after it.
 
-    An equi-join on the field with conditional aggregates, so neither side is
-    broadcast and one field's rows alone meet.
+    Passes and requests of a field stand in one line of time, so each field is
+    sorted once and read from both ends: no request meets all of its field's passes.
+    Of several passes of a day the greatest value counts.
     """
-    good = passes.where(F.col("clear_fraction") >= min_clear).groupBy("field_id", "pass_date").agg(F.max("clear_fraction").alias("clear_fraction"))
-    both = requests.join(good, "field_id", "left")
-    day = F.col("day")
-    out = both.groupBy("field_id", "day").agg(F.max(F.when(F.col("pass_date") <= day, F.col("pass_date"))).alias("before"), F.min(F.when(F.col("pass_date") > day, F.col("pass_date"))).alias("after"))
+    daily = passes.groupBy("field_id", F.col("pass_date").alias("day")).agg(F.max(value).alias("v"))
+    line = asked.withColumn("_q", F.lit(1)).unionByName(daily.select("field_id", "day", F.struct(F.col("day").alias("d"), "v").alias("_p"), F.lit(0).alias("_q")), allowMissingColumns=True)
+    own = W.partitionBy("field_id")
+    back, on = own.orderBy("day", "_q").rowsBetween(W.unboundedPreceding, 0), own.orderBy(F.desc("day"), F.desc("_q")).rowsBetween(W.unboundedPreceding, 0)
+    found = line.withColumns({"p": F.last("_p", ignorenulls=True).over(back), "n": F.last("_p", ignorenulls=True).over(on)})
+    return found.where("_q = 1").drop("_q", "_p")
+
+
+def as_of(requests: DataFrame, passes: DataFrame, min_clear: float = C.MIN_CLEAR) -> DataFrame:
+    """For each (field_id, day): the pass at or before, the one after, and the nearer one, ties to before."""
+    good = passes.where(F.col("clear_fraction") >= min_clear)
+    out = _timeline(requests.select("field_id", "day").distinct(), good, F.col("clear_fraction")).select("field_id", "day", F.col("p.d").alias("before"), F.col("n.d").alias("after"))
     b, a = F.datediff("before", "day"), F.datediff("after", "day")
     nearer = F.when(F.col("after").isNull() | (F.abs(b) <= F.abs(a)), F.coalesce("before", "after")).otherwise(F.col("after"))
     return out.select("field_id", "day", "before", b.alias("before_gap"), "after", a.alias("after_gap"), nearer.alias("resolved"))
@@ -54,12 +63,10 @@ def interpolate(requests: DataFrame, passes: DataFrame) -> DataFrame:
     passes: field_id, pass_date, STATS, clear_fraction, confidence, resolution_m.
     Averages ignore what is missing; confidence is the weaker one, the resolution the coarser.
     """
-    rows = passes.select("field_id", "pass_date", F.struct(*STATS, "clear_fraction", "confidence", "resolution_m").alias("v"))
-    both, day = requests.join(rows, "field_id", "left"), F.col("day")
-    p, v = F.col("pass_date"), F.col("v")
-    out = both.groupBy("field_id", "day").agg(F.max(F.when(p == day, v)).alias("e"), F.max_by(v, F.when(p < day, p)).alias("b"), F.min_by(v, F.when(p > day, p)).alias("a"), F.max(F.when(p < day, p)).alias("before"), F.min(F.when(p > day, p)).alias("after"))
-    e, b, a = F.col("e"), F.col("b"), F.col("a")
-    kind = F.when(e.isNotNull(), "ok").when(F.col("before").isNotNull() & F.col("after").isNotNull(), "interpolated").otherwise("no_pass")
+    out = _timeline(requests.select("field_id", "day").distinct(), passes, F.struct(*STATS, "clear_fraction", "confidence", "resolution_m"))
+    e, b, a = (F.col(c) for c in ("p.v", "p.v", "n.v"))
+    out = out.withColumns({"before": F.col("p.d"), "after": F.col("n.d")})
+    kind = F.when(F.col("before") == F.col("day"), "ok").when(F.col("before").isNotNull() & F.col("after").isNotNull(), "interpolated").otherwise("no_pass")
     pick = lambda c, between: F.when(kind == "ok", e[c]).when(kind == "interpolated", between)
     average = lambda c: F.coalesce((b[c] + a[c]) / 2, b[c], a[c])
     rank = lambda c: F.when(c == "high", 2).when(c == "medium", 1).otherwise(0)
@@ -130,10 +137,11 @@ def phenology(passes: DataFrame, fraction: float = 0.5) -> DataFrame:
 
 def correlate(activities: DataFrame, passes: DataFrame, window: int = 30) -> DataFrame:
     """Baseline (last pass at or before) and mean response in the days after each activity."""
-    both = activities.join(passes.where("mean is not null").select("field_id", "pass_date", "mean"), "field_id", "left")
-    d, a, v = F.col("pass_date"), F.col("day"), F.col("mean")
-    after = (d > a) & (d <= F.date_add("day", window))
-    out = both.groupBy("field_id", "day", "activity").agg(F.max(F.when(d <= a, d)).alias("baseline_date"), F.max_by(v, F.when(d <= a, d)).alias("b"), F.avg(F.when(after, v)).alias("r"), F.max(F.when(after, d)).alias("response_date"), F.count(F.when(after, v)).alias("passes"))
+    good = passes.where("mean is not null").groupBy("field_id", "pass_date").agg(F.max("mean").alias("mean"))
+    line = _timeline(activities.distinct(), good, F.col("mean")).select("field_id", "day", "activity", F.col("p.d").alias("baseline_date"), F.col("p.v").alias("b"))
+    both = line.unionByName(good.select("field_id", F.col("pass_date").alias("day"), F.col("mean").alias("_v")), allowMissingColumns=True)
+    later = W.partitionBy("field_id").orderBy(F.unix_date("day")).rangeBetween(1, window)
+    out = both.withColumns({"r": F.avg("_v").over(later), "response_date": F.max(F.when(F.col("_v").isNotNull(), F.col("day"))).over(later), "passes": F.count("_v").over(later)}).where("activity is not null")
     base = F.when(F.col("baseline_date").isNotNull(), F.col("b"))
     return out.select("field_id", "day", "activity", "baseline_date", (F.round(base, 10) + 0.0).alias("baseline"), (F.round("r", 10) + 0.0).alias("response"), "response_date", "passes", (F.round(F.col("r") - base, 10) + 0.0).alias("delta"))
 

@@ -316,13 +316,13 @@ def stac_search(spark, sf_dir):
 
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS farm_id, CAST(c_custkey AS VARCHAR) AS canonical_id, c_name AS name, c_mktsegment AS crop FROM customer UNION ALL SELECT CAST(c_nationkey AS VARCHAR), c_custkey || '.1', 'plot', NULL FROM customer WHERE c_custkey % 2 = 0")
 def inbound_fields(spark, sf_dir):
-    """S27 to S30, J20, Q-12: nested and flat payloads to fields and sub-plots. One payload a farm is made from customers."""
-    c = _table(spark, sf_dir, "customer").withColumn("fid", F.col("c_custkey").cast("string")).withColumn("farm", F.col("c_nationkey").cast("string"))
+    """S27 to S30, J20, Q-12: nested and flat payloads to fields and sub-plots. Payloads of a hundred fields at most are made from customers."""
+    c = _table(spark, sf_dir, "customer").withColumn("fid", F.col("c_custkey").cast("string")).withColumn("farm", F.col("c_nationkey").cast("string")).withColumn("part", F.floor(F.col("c_custkey") / 100))
     plot = F.when(F.col("c_custkey") % 2 == 0, F.array(F.struct(F.lit("1").alias("plot_id"), F.lit("plot").alias("name"))))
-    nested = c.where("c_nationkey % 2 = 0").groupBy("farm").agg(F.collect_list(F.struct(F.col("fid").alias("field_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("crop"), plot.alias("sub_plots"))).alias("fields"))
+    nested = c.where("c_nationkey % 2 = 0").groupBy("farm", "part").agg(F.collect_list(F.struct(F.col("fid").alias("field_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("crop"), plot.alias("sub_plots"))).alias("fields"))
     nested = nested.select(F.to_json(F.struct(F.array(F.struct(F.col("farm").alias("farm_id"), "fields")).alias("farms"))).alias("json"))
     flat_plot = F.when(F.col("c_custkey") % 2 == 0, F.struct(F.lit("1").alias("plotId"), F.col("fid").alias("fieldId"), F.lit("plot").alias("name")))
-    flat = c.where("c_nationkey % 2 = 1").groupBy("farm").agg(F.collect_list(F.struct(F.col("fid").alias("fieldId"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("crop"))).alias("fields"), F.collect_list(flat_plot).alias("subPlots"))
+    flat = c.where("c_nationkey % 2 = 1").groupBy("farm", "part").agg(F.collect_list(F.struct(F.col("fid").alias("fieldId"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("crop"))).alias("fields"), F.collect_list(flat_plot).alias("subPlots"))
     flat = flat.select(F.to_json(F.struct(F.col("farm").alias("farmId"), "fields", "subPlots")).alias("json"))
     return inbound.farm_rows(nested.unionByName(flat))
 
@@ -334,3 +334,54 @@ def healed_ids(spark, sf_dir):
     ident = F.when(F.col("s_suppkey") % 3 == 0, F.concat_ws(".", k, k, F.lit("2"))).when(F.col("s_suppkey") % 3 == 1, F.concat_ws(".", k, F.lit("2"))).otherwise(k)
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), ident.alias("id"), ident.alias("canonical_id"))
     return store.heal_ids(rows, ["n"])
+
+
+@query(
+    """SELECT field, pass_date, 'field' AS scope, '{"external_id":"' || external_id || '"' || CASE WHEN health IS NULL THEN '' ELSE ',"health":"' || health || '"' END || '}' AS record FROM r WHERE plot = ''
+       UNION ALL SELECT field, pass_date, 'sub_plots', '[' || string_agg('{"sub_plot":' || plot || ',"external_id":"' || external_id || '"' || CASE WHEN health IS NULL THEN '' ELSE ',"health":"' || health || '"' END || '}', ',' ORDER BY CAST(plot AS INT)) || ']' FROM r WHERE plot <> '' GROUP BY 1, 2""",
+    r="SELECT CAST(field_id // 3 AS INT) AS field, CASE field_id % 3 WHEN 0 THEN '' ELSE CAST(field_id % 3 AS VARCHAR) END AS plot, pass_date, 'x-' || field_id AS external_id, CASE WHEN field_id % 5 > 0 THEN 'healthy' END AS health FROM (SELECT DISTINCT field_id, pass_date FROM analysis) a",
+)
+def nested_records(spark, sf_dir):
+    """Records of fields, and those of sub-plots nested by field and date."""
+    a = view(spark, sf_dir, "analysis").select("field_id", "pass_date").distinct()
+    k = F.col("field_id") % 3
+    rows = a.select(F.floor(F.col("field_id") / 3).cast("int").alias("field"), F.when(k > 0, k.cast("int")).alias("sub_plot"), F.when(k > 0, "sub_plot").otherwise("field").alias("scope"), "pass_date", F.concat(F.lit("x-"), "field_id").alias("external_id"), F.when(F.col("field_id") % 5 > 0, "healthy").alias("health"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("stress"))
+    return records.nested(rows)
+
+
+@query("SELECT field_id, pass_date, index_name, 'cog/v' || geometry_version || '/' || field_id || '/S' || scene_id || '/' || index_name || '.tif' AS key FROM analysis")
+def raster_keys(spark, sf_dir):
+    """Where each result's raster is kept."""
+    a = view(spark, sf_dir, "analysis")
+    return a.select("field_id", "pass_date", "index_name", X.storage_key(F.col("geometry_version"), F.col("field_id"), F.concat(F.lit("S"), "scene_id"), F.col("index_name")).alias("key"))
+
+
+@query("SELECT 'S' || event_id AS scene_id, CAST(ts AS TIMESTAMP) AS sensed_at, value / 5 AS cloud_pct FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND event_id % 7 > 0 AND value / 5 <= 12 ORDER BY ts, 'S' || event_id LIMIT 100")
+def scene_search(spark, sf_dir):
+    """The first hundred scenes of a period with little cloud; those without a figure don't count."""
+    e = _table(spark, sf_dir, "events")
+    items = e.select(F.concat(F.lit("S"), "event_id").alias("scene_id"), F.col("ts").cast("timestamp").alias("sensed_at"), F.when(F.col("event_id") % 7 > 0, F.col("value") / 5).alias("cloud_pct"))
+    return catalogue.search(items, "2024-01-05", "2024-01-20", 12.0)
+
+
+@query("SELECT s_suppkey AS scene_id, CAST(10000 + s_suppkey % 3 AS DOUBLE) AS quantification, CASE WHEN s_suppkey % 4 > 0 THEN '05.0' || s_suppkey % 10 END AS baseline, CASE WHEN s_suppkey % 2 = 0 THEN -1000.0 - s_suppkey END AS offset_3 FROM supplier")
+def product_offsets(spark, sf_dir):
+    """Quantification, baseline and offsets of product descriptions in XML, with and without prefixes."""
+    k = F.col("s_suppkey")
+    part = lambda tag, text, more="": F.concat(F.lit(f"<n:{tag}{more}>"), text.cast("string"), F.lit(f"</n:{tag}>"))
+    body = F.concat(F.lit('<n:P xmlns:n="u">'), part("BOA_QUANTIFICATION_VALUE", 10000 + k % 3), F.when(k % 4 > 0, part("PROCESSING_BASELINE", F.concat(F.lit("05.0"), k % 10))).otherwise(""), F.when(k % 2 == 0, part("BOA_ADD_OFFSET", -1000 - k, ' band_id="3"')).otherwise(""), F.lit("</n:P>"))
+    found = catalogue.product_metadata(_table(spark, sf_dir, "supplier").select(k.alias("scene_id"), body.alias("xml")))
+    return found.select("scene_id", "quantification", "baseline", F.try_element_at("offsets", F.lit("3")).alias("offset_3"))
+
+
+@query("SELECT CAST(s_nationkey AS DOUBLE) AS lat, day, coalesce(lo, 0) AS tmin_c, hi AS tmax_c, CASE WHEN s_nationkey % 2 = 0 THEN hi - 5 END AS tmean_c, coalesce(CASE WHEN s_nationkey % 3 > 0 THEN rain END, 0) AS precip_mm FROM (SELECT DISTINCT s_nationkey FROM supplier) s, (SELECT day, CASE WHEN tmin_c < 17 THEN tmin_c END AS lo, tmax_c AS hi, precip_mm AS rain FROM weather) w")
+def weather_responses(spark, sf_dir):
+    """Columnar weather of places, one row a place and day; what is missing is 0 but for the mean."""
+    w = view(spark, sf_dir, "weather").agg(F.array_sort(F.collect_list(F.struct("day", "tmin_c", "tmax_c", "precip_mm"))).alias("d"))
+    n = F.col("s_nationkey")
+    each = lambda f, kind: F.transform("d", f).cast(f"array<{kind}>")
+    daily = F.struct(each(lambda x: F.date_format(x["day"], "yyyy-MM-dd"), "string").alias("time"), each(lambda x: F.when(x["tmin_c"] < 17, x["tmin_c"]), "double").alias("temperature_2m_min"), each(lambda x: x["tmax_c"], "double").alias("temperature_2m_max"), each(lambda x: F.when(n % 2 == 0, x["tmax_c"] - 5), "double").alias("temperature_2m_mean"), each(lambda x: F.when(n % 3 > 0, x["precip_mm"]), "double").alias("precipitation_sum"))
+    # a season of one place is one response
+    body = F.to_json(F.struct(n.cast("double").alias("latitude"), F.lit(30.0).alias("longitude"), daily.alias("daily")), {"ignoreNullFields": "false"})
+    places = _table(spark, sf_dir, "supplier").select("s_nationkey").distinct()
+    return catalogue.daily_weather(places.join(F.broadcast(w)).select(body.alias("json"))).select("lat", "day", "tmin_c", "tmax_c", "tmean_c", "precip_mm")
