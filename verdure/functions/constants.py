@@ -77,3 +77,6 @@ GROUP_QUORUM = 0.5
 GROUP_WINDOW_DAYS = 14
 GROUP_LEAST = 5
 MAD_LIMIT = 2.0
+# Dates of a request at most, and degrees that its area may span.
+REQUEST_DATES = 24
+AREA_SPAN_DEGREES = 2.0
