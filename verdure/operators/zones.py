@@ -40,9 +40,14 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100, tol: float =
     return rank[np.abs(x[:, None] - c).argmin(1)], c[order]
 
 
+def temporal_means(pixels: DataFrame, min_valid: int = 1) -> DataFrame:
+    """M1: (field_id, px_row, px_col, mean) over the valid observations of each pixel; pixels with fewer than min_valid are left out."""
+    return pixels.groupBy("field_id", "px_row", "px_col").agg(F.avg("value").alias("mean"), F.count("value").alias("n")).where(F.col("n") >= min_valid).drop("n")
+
+
 def productivity_zones(pixels: DataFrame, k: int = 3, seed: int = 0, min_valid: int = 1) -> DataFrame:
     """(field_id, px_row, px_col, mean, zone): a field's pixels are averaged over time by Spark; one field, bounded by its size, is clustered in one task."""
-    means = pixels.groupBy("field_id", "px_row", "px_col").agg(F.avg("value").alias("mean"), F.count("value").alias("n")).where(F.col("n") >= min_valid).drop("n")
+    means = temporal_means(pixels, min_valid)
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["px_row", "px_col"]).reset_index(drop=True)

@@ -295,7 +295,7 @@ def results_csv(spark, sf_dir):
 
 @query()
 def productivity_zones(spark, sf_dir):
-    """M1 to M5, Q-25: zones of each field; tests hold k-means against hand-made fields."""
+    """M1 to M4, Q-25: zones of each field; tests hold k-means against hand-made fields."""
     px = view(spark, sf_dir, "pixel")
     v = X.index_value("ndvi", {b: X.reflectance(F.col(b.lower()).cast("double"), F.lit(-1000.0), F.lit(10000.0)) for b in ("B08", "B04")})
     return zones.productivity_zones(px.select("field_id", "px_row", "px_col", v.alias("value")))

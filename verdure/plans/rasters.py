@@ -215,3 +215,11 @@ def farm_union_series(spark, sf_dir):
     rho = {b: X.reflectance(F.col(b.lower()).cast("double"), F.lit(-1000.0), F.lit(10000.0)) for b in ("B08", "B04", "B05", "B11")}
     ok = F.col("inside") & X.clear(F.col("scl"))
     return hit.groupBy("farm_id").agg(F.count_if(ok).alias("clear"), F.count_if("inside").alias("covered"), F.round(F.avg(F.when(ok, X.index_value("ndvi", rho))), 6).alias("mean"))
+
+
+@query(f"SELECT field_id, px_row, px_col, round(avg({_RHO['B08']}), 6) AS mean FROM pixel GROUP BY 1, 2, 3 HAVING count({_RHO['B08']}) >= 2")
+def temporal_means(spark, sf_dir):
+    """M1: the mean over time of each pixel with at least two valid observations."""
+    px = view(spark, sf_dir, "pixel")
+    v = X.reflectance(F.col("b08").cast("double"), F.lit(-1000.0), F.lit(10000.0))
+    return zones.temporal_means(px.select("field_id", "px_row", "px_col", v.alias("value")), 2).withColumn("mean", F.round("mean", 6))
