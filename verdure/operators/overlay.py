@@ -292,16 +292,15 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame
     Rows stand in cells of their own size. For each size that either side has
     (few: they grow four-fold), both sides' cells are brought to the coarser one.
     """
-    own = a.withColumn("_at", F.explode(_cells(F.col("abox"))))
-    other = b.withColumn("_bt", F.explode(_cells(F.col("bbox"))))
-    both = [0] + [r[0] for r in own.select("_at.level").union(other.select("_bt.level")).distinct().collect()]
-    up = lambda c, k: F.floor(F.col(f"{c}.{k}") / F.pow(F.lit(4.0), F.col("_level") - F.col(f"{c}.level"))).cast("long")
-    levels = F.explode(F.filter(F.array(*map(F.lit, sorted(set(both)))), lambda x: x >= F.col("_own"))).alias("_level")
+    own, other = (df.withColumn("_cells", _cells(F.col(c))).withColumn("_own", F.get("_cells", F.lit(0))["level"]) for df, c in ((a, "abox"), (b, "bbox")))
+    both = {0} | {r[0] for r in own.select("_own").union(other.select("_own")).distinct().collect()}
+    levels = F.explode(F.filter(F.array(*map(F.lit, sorted(both))), lambda x: x >= F.col("_own"))).alias("_level")
+    up = lambda v: F.floor(v / F.pow(F.lit(4.0), F.col("_level") - F.col("_own"))).cast("long")
+    cells = F.explode(F.array_distinct(F.transform("_cells", lambda c: F.struct(F.col("_level").alias("_level"), up(c["i"]).alias("i"), up(c["j"]).alias("j"))))).alias("_cell")
     side = []
-    for df, c in ((own, "_at"), (other, "_bt")):
-        rest = [x for x in df.columns if x != c]
-        spread = df.withColumn("_own", F.col(f"{c}.level")).select(*rest, c, levels)
-        side.append(spread.select(*rest, F.col(f"{c}.level").alias(f"{c}l"), F.struct("_level", up(c, "i").alias("i"), up(c, "j").alias("j")).alias("_cell")).distinct())
+    for df, c in ((own, "_atl"), (other, "_btl")):
+        rest = [x for x in df.columns if x not in ("_cells", "_own")]
+        side.append(df.select(*rest, "_cells", "_own", levels).select(*rest, F.col("_own").alias(c), cells))
     met = side[0].join(side[1], [*(keys or []), "_cell"]).where(F.col("_cell._level") == F.greatest("_atl", "_btl"))
     first = lambda x: F.floor(F.greatest(F.col(f"abox.{x}0"), F.col(f"bbox.{x}0")) / (F.lit(CELL) * F.pow(F.lit(4.0), F.col("_cell._level")))).cast("long")
     touch = " AND ".join(f"abox.{x}0 <= bbox.{x}1 AND bbox.{x}0 <= abox.{x}1" for x in "xy")
@@ -321,39 +320,47 @@ def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(geometries(a), geometries(b), strict=True):
-            zone = zone_of(planar.centroid(x)[0]) if x and planar.centroid(x) else None
-            parts = [projected(g, zone) for g in (x, y or [])] if zone else None
+            middle = planar.centroid(x) if x else None
+            parts = [projected(g, zone_of(middle[0])) for g in (x, y or [])] if middle else None
             both, whole = planar.area_where(parts, _both, lambda s: s[0]) if parts else (0.0, 0.0)
             out.append(both / whole if whole > 0 else 0.0)
         return pa.array(out, pa.float64())
 
-    share = F.arrow_udf(_annotated(run, 2), "double")
+    share = F.arrow_udf(_annotated(run, 2), "double").asNondeterministic()  # else the filter on it would compute it again
     a = boundaries.select("id", F.col("geometry").alias("ga"), box(F.col("geometry")).alias("abox")).where("abox.x0 IS NOT NULL")
     b = zones.select("zone", F.col("geometry").alias("gb"), box(F.col("geometry")).alias("bbox")).where("bbox.x0 IS NOT NULL")
-    met = _met(a, b).select("id", "zone", share("ga", "gb").alias("share")).where("share > 0").groupBy("id", "zone").agg(F.sum("share").alias("share"))
+    # overlay is dear: its pairs are dealt out evenly, however few rows they are
+    tasks = int(boundaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _met(a, b).repartition(tasks, "id", "zone").select("id", "zone", share("ga", "gb").alias("share")).where("share > 0").groupBy("id", "zone").agg(F.sum("share").alias("share"))
     met = met.withColumn("_top", F.row_number().over(W.partitionBy("id").orderBy(F.desc("share"), "zone")))
     kept = met.where((F.col("share") >= SLIVER) | (F.col("_top") == 1) & (F.col("share") < SLIVER)).withColumn("share", F.round("share", 4))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("share"), "zone")) == 1
     return kept.select("id", "zone", "share", best.alias("dominant"))
 
 
-def _where(px: np.ndarray, py: np.ndarray, shapes: list[Geometry | None], tolerance_m: float) -> list[bool | None]:
-    """Of each point: whether the geometry covers it, edges included (None: not), and lies within so many metres of its border."""
-    out: list[bool | None] = []
-    for x, y, g in zip(px.tolist(), py.tolist(), shapes, strict=True):
-        e = planar.edges(g or [])
-        d = e[:, 2:] - e[:, :2]
-
-        def gap(e, d, x, y):
-            t = np.clip(((x - e[:, 0]) * d[:, 0] + (y - e[:, 1]) * d[:, 1]) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-            return np.hypot(e[:, 0] + t * d[:, 0] - x, e[:, 1] + t * d[:, 1] - y).min(initial=np.inf)
-
-        if not planar.covers_point([r for p in g or [] for r in p], x, y) and gap(e, d, x, y) > 1e-12:
-            out.append(None)
-            continue
-        zone = zone_of(x)
-        m = np.column_stack([*planar.to_utm(e[:, 0], e[:, 1], zone), *planar.to_utm(e[:, 2], e[:, 3], zone)])
-        out.append(bool(gap(m, m[:, 2:] - m[:, :2], *planar.to_utm(np.float64(x), np.float64(y), zone)) <= tolerance_m))
+def _gap(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each point's distance from the nearest of the edges."""
+    d = e[:, 2:] - e[:, :2]
+    t = np.clip(((x[:, None] - e[:, 0]) * d[:, 0] + (y[:, None] - e[:, 1]) * d[:, 1]) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return np.hypot(e[:, 0] + t * d[:, 0] - x[:, None], e[:, 1] + t * d[:, 1] - y[:, None]).min(axis=1, initial=np.inf)
+
+
+def _near_border(x: np.ndarray, y: np.ndarray, g: Geometry, tolerance_m: float) -> list[bool | None]:
+    """Of each point: None where the geometry, edges included, does not cover it, else whether its border lies within so many metres."""
+    out: list[bool | None] = [None] * len(x)
+    e = planar.edges(g)
+    step = max(1, planar.CELLS // max(1, len(e)))
+    for i in range(0, len(x), step):
+        px, py = x[i : i + step], y[i : i + step]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            right = ((e[:, 1] > py[:, None]) != (e[:, 3] > py[:, None])) & (e[:, 0] + (py[:, None] - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1]) > px[:, None])
+        covered = (right.sum(axis=1) % 2 == 1) | (_gap(e, px, py) <= 1e-12)
+        for zone in (UTM_EAST, UTM_WEST):
+            mine = np.flatnonzero(covered & ((px >= UTM_SPLIT) == (zone == UTM_EAST)))
+            if len(mine):
+                m = np.column_stack([*planar.to_utm(e[:, 0], e[:, 1], zone), *planar.to_utm(e[:, 2], e[:, 3], zone)])
+                for j, near in zip(mine.tolist(), (_gap(m, *planar.to_utm(px[mine], py[mine], zone)) <= tolerance_m).tolist(), strict=True):
+                    out[i + j] = near
     return out
 
 
@@ -361,15 +368,21 @@ def assign(points: DataFrame, regions: DataFrame, tolerance_m: float = EDGE_TOLE
     """The region (region_id, geometry) that covers each point (id, lon, lat), ties to the least id, and whether its border is near.
 
     Points meet regions by grid cells; distances are metres on the point's UTM
-    zone. Points outside all regions, and points without a place, have null.
+    zone. region_id is never null and names one geometry. Points outside all regions, and points without a place, have null.
     """
 
-    def run(px: pa.Array, py: pa.Array, g: pa.Array) -> pa.Array:
-        return pa.array(_where(px.to_numpy(zero_copy_only=False), py.to_numpy(zero_copy_only=False), geometries(g), tolerance_m), pa.bool_())
+    def run(px: pa.Array, py: pa.Array, region: pa.Array, g: pa.Array) -> pa.Array:
+        # points of one region are worked on together
+        x, y, out = px.to_numpy(zero_copy_only=False), py.to_numpy(zero_copy_only=False), np.full(len(px), None, object)
+        which = region.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        for r in np.unique(which):
+            rows = np.flatnonzero(which == r)
+            out[rows] = _near_border(x[rows], y[rows], geometries(g.take(pa.array(rows[:1])))[0] or [], tolerance_m)
+        return pa.array(out.tolist(), pa.bool_())
 
     a = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("id", "lon", "lat", F.struct(F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).alias("abox"))
     b = regions.select("region_id", "geometry", box(F.col("geometry")).alias("bbox")).where("bbox.x0 IS NOT NULL")
-    found = _met(a, b).select("id", "region_id", F.arrow_udf(run, "boolean")("lon", "lat", "geometry").alias("near")).where("near IS NOT NULL")
+    found = _met(a, b).select("id", "region_id", F.arrow_udf(run, "boolean").asNondeterministic()("lon", "lat", "region_id", "geometry").alias("near")).where("near IS NOT NULL")
     first = found.groupBy("id").agg(F.min_by(F.struct("region_id", "near"), "region_id").alias("m"))
     return points.join(first, "id", "left").select("id", "lon", "lat", "m.region_id", F.col("m.near").alias("boundary_adjacent"))
 
