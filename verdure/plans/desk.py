@@ -117,7 +117,7 @@ def series_envelope(spark, sf_dir):
 
 
 @query(
-    "SELECT scenario, 'p95' AS metric, p95 AS measured, 200.0 AS threshold, coalesce(p95 <= 200, FALSE) AS passed FROM q UNION ALL SELECT scenario, 'mean', mean, 25.0, coalesce(mean >= 25, FALSE) FROM q WHERE scenario <> 'A'",
+    "SELECT scenario, 'p95' AS metric, p95 AS measured, CAST(200 AS DOUBLE) AS threshold, coalesce(p95 <= 200, FALSE) AS passed FROM q UNION ALL SELECT scenario, 'mean', mean, CAST(25 AS DOUBLE), coalesce(mean >= 25, FALSE) FROM q WHERE scenario <> 'A'",
     q="SELECT l_returnflag AS scenario, CAST(quantile_disc(l_quantity * 5, 0.95) AS DOUBLE) AS p95, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1",
 )
 def target_report(spark, sf_dir):

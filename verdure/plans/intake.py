@@ -81,7 +81,7 @@ def _window():
 
 
 @query(
-    """SELECT l.id AS region_id, concat('region ', l.id) AS name, CASE WHEN l.id % 6 = 5 THEN 'geometry is empty' END AS reason, composition, dominant, CASE WHEN l.id % 6 <> 5 THEN 1 END AS captured FROM lots l
+    """SELECT l.id AS region_id, concat('region ', l.id) AS name, CASE WHEN l.id % 6 = 5 THEN 'geometry is empty' END AS reason, composition, dominant, CAST(CASE WHEN l.id % 6 <> 5 THEN 1 END AS BIGINT) AS captured FROM lots l
       LEFT JOIN (SELECT id, string_agg(concat(zone, '=', printf('%.4f', share)), ',' ORDER BY share DESC, zone) AS composition, arg_min(zone, (1 - share) * 100 + CASE zone WHEN 'I' THEN 0 WHEN 'II' THEN 1e-6 ELSE 2e-6 END) AS dominant FROM shares GROUP BY 1) s ON s.id = l.id AND l.id % 6 <> 5""",
     lots=LOTS,
     zn=_ZONES.format(n=_N_ZONES, id="n"),

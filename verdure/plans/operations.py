@@ -364,7 +364,7 @@ def scene_search(spark, sf_dir):
     return catalogue.search(items, "2024-01-05", "2024-01-20", 12.0)
 
 
-@query("SELECT s_suppkey AS scene_id, CAST(10000 + s_suppkey % 3 AS DOUBLE) AS quantification, CASE WHEN s_suppkey % 4 > 0 THEN '05.0' || s_suppkey % 10 END AS baseline, CASE WHEN s_suppkey % 2 = 0 THEN -1000.0 - s_suppkey END AS offset_3 FROM supplier")
+@query("SELECT s_suppkey AS scene_id, CAST(10000 + s_suppkey % 3 AS DOUBLE) AS quantification, CASE WHEN s_suppkey % 4 > 0 THEN '05.0' || s_suppkey % 10 END AS baseline, CASE WHEN s_suppkey % 2 = 0 THEN CAST(-1000 - s_suppkey AS DOUBLE) END AS offset_3 FROM supplier")
 def product_offsets(spark, sf_dir):
     """Quantification, baseline and offsets of product descriptions in XML, with and without prefixes."""
     k = F.col("s_suppkey")

@@ -97,7 +97,7 @@ _LABELS = "SELECT field_id, px_row, px_col, CAST(floor(avg(b08) / 2000) AS BIGIN
 
 
 @query(
-    "SELECT field_id, zone, count(*) AS areas, sum(pixels) AS pixels, max(pixels) AS largest, sum(pixels) * 100.0 AS m2 FROM (SELECT field_id, zone, comp, count(*) AS pixels FROM (SELECT id, any_value(field_id) AS field_id, any_value(zone) AS zone, min(other) AS comp FROM reach GROUP BY id) a GROUP BY 1, 2, 3) b GROUP BY 1, 2",
+    "SELECT field_id, zone, count(*) AS areas, CAST(sum(pixels) AS BIGINT) AS pixels, max(pixels) AS largest, CAST(sum(pixels) * 100 AS DOUBLE) AS m2 FROM (SELECT field_id, zone, comp, count(*) AS pixels FROM (SELECT id, any_value(field_id) AS field_id, any_value(zone) AS zone, min(other) AS comp FROM reach GROUP BY id) a GROUP BY 1, 2, 3) b GROUP BY 1, 2",
     cells=f"SELECT *, field_id * 10000 + px_row * 100 + px_col AS id FROM ({_LABELS}) x",
     links="SELECT a.id, b.id AS other FROM cells a JOIN cells b ON a.field_id = b.field_id AND a.zone = b.zone AND abs(a.px_row - b.px_row) + abs(a.px_col - b.px_col) = 1",
     walk="WITH RECURSIVE w(id, other) AS (SELECT id, id FROM cells UNION SELECT w.id, l.other FROM w JOIN links l ON w.other = l.id) SELECT * FROM w",
@@ -195,7 +195,7 @@ def raster_preview(spark, sf_dir):
     """M8, H6: a preview of each field's moisture, its longer side of no more than 16 pixels."""
     px = view(spark, sf_dir, "pixel")
     out = rasters.painted(rasters.preview(_index_raster(spark, px, "ndmi"), grids(px), BY, longest=16), "ndmi")
-    return out.select("field_id", "row", "col", F.round("value", 6).alias("value"), F.get("rgba", F.lit(1)).alias("g"))
+    return out.select("field_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.round("value", 6).alias("value"), F.get("rgba", F.lit(1)).alias("g"))
 
 
 @query(
