@@ -12,6 +12,11 @@ from verdure.functions.constants import CSV_COLUMNS
 NAMES = ["ndvi", "evi2", "savi", "ndre", "ndmi"]
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """A double rounded as the number that it is, scaled: 0.285 * 100 lies below 28.5 and gives 0.28, where round goes by its shortest text and gives 0.29."""
+    return F.round(v * 10.0**digits) / 10.0**digits
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """One record per canonical id and date; of several scenes the last wins, NDVI is classified without crop."""
     ids = dotted_id(F.col("canonical_id"))
@@ -19,7 +24,7 @@ def metrics(rows: DataFrame) -> DataFrame:
     out = rows.groupBy("canonical_id", "pass_date").agg(*one, F.min_by("clear_fraction", F.struct("scene_id", "index_name")).alias("clear"))
     health = F.when(F.col("ndvi").isNotNull(), status(classify(F.lit("ndvi"), F.col("ndvi"))))
     key = F.concat_ws("-", F.lit("sat"), F.lit("2"), F.replace("canonical_id", F.lit("."), F.lit("-")), F.date_format("pass_date", "yyyy-MM-dd"))
-    return out.select("canonical_id", "pass_date", ids["field"].alias("field"), ids["sub_plot"].alias("sub_plot"), ids["scope"].alias("scope"), *NAMES, F.round((1 - F.col("clear")) * 100, 1).alias("cloud_pct"), health.alias("health"), F.round(clamp01(F.col("ndvi")), 2).alias("score"), F.when(health.isNotNull(), stress(health)).alias("stress"), key.alias("external_id"))
+    return out.select("canonical_id", "pass_date", ids["field"].alias("field"), ids["sub_plot"].alias("sub_plot"), ids["scope"].alias("scope"), *NAMES, rounded((1 - F.col("clear")) * 100, 1).alias("cloud_pct"), health.alias("health"), rounded(clamp01(F.col("ndvi")), 2).alias("score"), F.when(health.isNotNull(), stress(health)).alias("stress"), key.alias("external_id"))
 
 
 def nested(records: DataFrame) -> DataFrame:
