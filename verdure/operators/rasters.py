@@ -15,7 +15,6 @@ from verdure.functions.constants import BAND_RESOLUTION, GRID_PIXELS, PREVIEW_PI
 from verdure.operators.geo import from_utm, to_utm
 from verdure.operators.pixels import analyse
 
-SPANS = "array<struct<first:bigint,last:bigint>>"
 TILE = 256
 
 
@@ -25,36 +24,53 @@ def grid_size(west: Column, south: Column, east: Column, north: Column, res: Col
     return pixels((north - south) * 111_320.0), pixels((east - west) * 111_320.0 * F.cos(F.radians((south + north) / 2)))
 
 
-def spans(shapes: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
-    """For every row of a grid that a geometry (in degrees) meets: keys, px_row, spans (first, last column) of pixels whose centre it covers.
-
-    Corners are projected to the grid. Every edge is turned into its crossings
-    with the rows' centre lines, and a row's crossings, from west to east, bound
-    its spans by turns (even-odd, so holes and parts need no care). Geometries without area have none.
-    """
-    point = lambda p: F.struct(*(c.alias(n) for c, n in zip(to_utm(p["x"], p["y"], F.col("epsg")), ("x", "y"), strict=True)))
-    rings = F.transform(F.flatten(F.col(geometry)), lambda r: F.transform(r, point))
-    edge = lambda r: F.arrays_zip(r.alias("a"), F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)).alias("b"))
-    base = shapes.select(*keys, "x0", "y0", "res", "height", "width", F.explode(F.flatten(F.transform(rings, edge))).alias("e"))
-    ax, ay, bx, by = (F.col(f"e.{p}.{c}") for p in "ab" for c in "xy")
-    # centre lines between the ends: those at y0 - (r + 0.5) res in (low, high]
-    line = lambda y: (F.col("y0") - y) / F.col("res") - 0.5
-    first, last = F.greatest(F.ceil(line(F.greatest(ay, by))), F.lit(0)), F.least(F.ceil(line(F.least(ay, by))) - 1, F.col("height") - 1)
-    rows = base.where((ay != by) & (first <= last)).select(*keys, "x0", "res", "width", "e", "y0", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("px_row"))
-    y = F.col("y0") - (F.col("px_row") + 0.5) * F.col("res")
-    at = (ax + (y - ay) * (bx - ax) / (by - ay) - F.col("x0")) / F.col("res") - 0.5
-    met = rows.withColumn("at", at).groupBy(*keys, "px_row").agg(F.array_sort(F.collect_list("at")).alias("at"), F.first("width").alias("width"))
-    bound = lambda i: F.struct(F.greatest(F.ceil(F.get("at", (2 * i).cast("int"))), F.lit(0)).alias("first"), F.least(F.ceil(F.get("at", (2 * i + 1).cast("int"))) - 1, F.col("width") - 1).alias("last"))
-    found = F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1), bound)
-    return met.where(F.size("at") > 1).select(*keys, "px_row", F.filter(found, lambda s: s["first"] <= s["last"]).cast(SPANS).alias("spans")).where(F.size("spans") > 0)
+def _near_edges(shapes: DataFrame, keys: list[str], geometry: str) -> DataFrame:
+    """For every row of a grid: keys, px_row, epsg, x0, y0, res, edges: a geometry's edges, in degrees, whose latitudes the row's centre line may meet."""
+    ring = lambda r: F.arrays_zip(r.alias("a"), F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)).alias("b"))
+    # a ring wholly beside the grid is crossed an even number of times, or never
+    long, high = F.col("width") * F.col("res"), F.col("height") * F.col("res")
+    ends = [from_utm(F.col("x0") + i * long, F.col("y0") - j * high, F.col("epsg")) for i in (0, 1) for j in (0, 1)]
+    base = shapes.select(*keys, "x0", "y0", "res", "epsg", "height", "width", F.col(geometry).alias("_g"), F.array(*(x for x, _ in ends)).alias("_lon"), F.array(*(y for _, y in ends)).alias("_lat"))
+    # rows and columns are bent by less than this on the way between corners
+    pad = ((long * long + high * high) / 6_000_000 + 2 * F.col("res")) / 100_000 / F.cos(F.radians(F.array_max(F.transform("_lat", F.abs))))
+    box = {f"_{k}": e for k, e in (("w", F.array_min("_lon") - pad), ("e", F.array_max("_lon") + pad), ("s", F.array_min("_lat") - pad), ("n", F.array_max("_lat") + pad))}
+    some = lambda r, test: F.exists(r, test)
+    met = lambda r: some(r, lambda p: p["x"] >= F.col("_w")) & some(r, lambda p: p["x"] <= F.col("_e")) & some(r, lambda p: p["y"] >= F.col("_s")) & some(r, lambda p: p["y"] <= F.col("_n"))
+    # generated, so that no function of a ring's points computes it again
+    base = base.select("*", F.inline(F.array(F.struct(*(e.alias(k) for k, e in box.items()))))).withColumn("_g", F.filter(F.flatten("_g"), met))
+    base = base.select(*keys, "x0", "y0", "res", "epsg", "height", "width", F.explode(F.flatten(F.transform("_g", ring))).alias("e")).where("e.a.y <> e.b.y")
+    # along a parallel the northing changes with the distance from the middle of the zone, by its square; a row and 3 % are spared
+    d, wide = F.col("x0") - 500_000, F.col("width") * F.col("res")
+    far, near = F.greatest(F.abs(d), F.abs(d + wide)), F.greatest(d, -d - wide, F.lit(0.0))
+    bend = lambda lat, by: F.tan(F.radians(lat)) * by * by / 2 / 6_370_000
+    spare = lambda lat: F.abs(bend(lat, far)) * 0.03 + F.col("res")
+    line = lambda lat, off: (F.col("y0") - to_utm(F.col("epsg") % 100 * 6.0 - 183, lat, F.col("epsg"))[1] - off) / F.col("res") - 0.5
+    south, north = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
+    first = F.greatest(F.floor(line(north, F.greatest(bend(north, near), bend(north, far)) + spare(north))), F.lit(0))
+    last = F.least(F.ceil(line(south, F.least(bend(south, near), bend(south, far)) - spare(south))), F.col("height") - 1)
+    rows = base.where(first <= last).select(*keys, "x0", "y0", "res", "epsg", "e", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("px_row"))
+    return rows.groupBy(*keys, "px_row", "epsg", "x0", "y0", "res").agg(F.collect_list("e").alias("edges"))
 
 
 def inside(pixels: DataFrame, shapes: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
-    """pixels with the column inside: whether the geometry of their keys covers their centre; one equi-join by row."""
-    lines = spans(shapes, keys, geometry).withColumn("px_row", F.col("px_row").cast(pixels.schema["px_row"].dataType))
-    met = pixels.join(lines, [*keys, "px_row"], "left")
-    hit = F.exists("spans", lambda s: F.col("px_col").between(s["first"], s["last"]))
-    return met.withColumn("inside", F.coalesce(hit, F.lit(False))).drop("spans")
+    """pixels with the column inside: whether the geometry of their keys, whose edges are straight in degrees, covers their centre.
+
+    One equi-join by row brings the edges that the row may meet; of these, those
+    that the centre's parallel crosses to its east are counted (even-odd).
+    """
+    lines = _near_edges(shapes, keys, geometry).withColumn("px_row", F.col("px_row").cast(pixels.schema["px_row"].dataType))
+    met = pixels.join(lines.select(*keys, "px_row", F.struct("epsg", "x0", "y0", "res", "edges").alias("_line")), [*keys, "px_row"], "left")
+    at = lambda c: F.col(f"_line.{c}")
+    lon, lat = from_utm(at("x0") + (F.col("px_col") + 0.5) * at("res"), at("y0") - (F.col("px_row") + 0.5) * at("res"), at("epsg"))
+    met = met.select("*", F.inline(F.array(F.struct(lon.alias("_lon"), lat.alias("_lat")))))
+
+    def east(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        across = (a["y"] > F.col("_lat")) != (b["y"] > F.col("_lat"))
+        return across & (a["x"] + (F.col("_lat") - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"]) > F.col("_lon"))
+
+    hit = F.size(F.filter(at("edges"), east)) % 2 == 1
+    return met.withColumn("inside", F.coalesce(F.when(at("epsg").isNotNull(), hit), F.lit(False))).drop("_line", "_lon", "_lat")
 
 
 def by_resolution(names: list[str] | None = None) -> dict[int, list[str]]:
