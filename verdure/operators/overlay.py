@@ -308,6 +308,20 @@ def _met(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame
     return met.where(touch).where((F.col("_cell.i") == first("x")) & (F.col("_cell.j") == first("y"))).drop("_cell", "_atl", "_btl")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out to all tasks: what follows is dear for each row, however few bytes that is."""
+    return df.repartition(_tasks(df), *keys)
+
+
+def _shape_key(g: Column) -> Column:
+    """Digest of a geometry's points as they stand."""
+    return F.sha2(F.to_json(g), 256)
+
+
 def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
     """J11, Q-18: the zones that each boundary (id, geometry) overlaps, as shares of its area, and the dominant one.
 
@@ -315,6 +329,7 @@ def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
     Zones under SLIVER are dropped unless all are, then the largest stays.
     Shares are of UTM areas, the boundary's whole counting what lies outside all zones; dominant is the
     largest rounded share, ties to the first name. Boundaries without overlap have no row.
+    Boundaries of one shape are laid over the zones once.
     """
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -327,11 +342,13 @@ def composition(boundaries: DataFrame, zones: DataFrame) -> DataFrame:
         return pa.array(out, pa.float64())
 
     share = F.arrow_udf(_annotated(run, 2), "double").asNondeterministic()  # else the filter on it would compute it again
-    a = boundaries.select("id", F.col("geometry").alias("ga"), box(F.col("geometry")).alias("abox")).where("abox.x0 IS NOT NULL")
+    named = boundaries.select("id", _shape_key(F.col("geometry")).alias("shape"), F.col("geometry").alias("ga"))
+    a = named.groupBy("shape").agg(F.first("ga").alias("ga")).withColumn("abox", box(F.col("ga"))).where("abox.x0 IS NOT NULL")
     b = zones.select("zone", F.col("geometry").alias("gb"), box(F.col("geometry")).alias("bbox")).where("bbox.x0 IS NOT NULL")
     # overlay is dear: its pairs are dealt out evenly, however few rows they are
-    tasks = int(boundaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = _met(a, b).repartition(tasks, "id", "zone").select("id", "zone", share("ga", "gb").alias("share")).where("share > 0").groupBy("id", "zone").agg(F.sum("share").alias("share"))
+    tasks = _tasks(boundaries)
+    met = _met(a, b).repartition(tasks, "shape", "zone").select("shape", "zone", share("ga", "gb").alias("share")).where("share > 0").groupBy("shape", "zone").agg(F.sum("share").alias("share"))
+    met = named.select("id", "shape").join(met, "shape").groupBy("id", "zone").agg(F.sum("share").alias("share"))
     met = met.withColumn("_top", F.row_number().over(W.partitionBy("id").orderBy(F.desc("share"), "zone")))
     kept = met.where((F.col("share") >= SLIVER) | (F.col("_top") == 1) & (F.col("share") < SLIVER)).withColumn("share", F.round("share", 4))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("share"), "zone")) == 1
@@ -380,11 +397,13 @@ def assign(points: DataFrame, regions: DataFrame, tolerance_m: float = EDGE_TOLE
             out[rows] = _near_border(x[rows], y[rows], geometries(g.take(pa.array(rows[:1])))[0] or [], tolerance_m)
         return pa.array(out.tolist(), pa.bool_())
 
-    a = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("id", "lon", "lat", F.struct(F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).alias("abox"))
-    b = regions.select("region_id", "geometry", box(F.col("geometry")).alias("bbox")).where("bbox.x0 IS NOT NULL")
-    found = _met(a, b).select("id", "region_id", F.arrow_udf(run, "boolean").asNondeterministic()("lon", "lat", "region_id", "geometry").alias("near")).where("near IS NOT NULL")
-    first = found.groupBy("id").agg(F.min_by(F.struct("region_id", "near"), "region_id").alias("m"))
-    return points.join(first, "id", "left").select("id", "lon", "lat", "m.region_id", F.col("m.near").alias("boundary_adjacent"))
+    a = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct().select("lon", "lat", F.struct(F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).alias("abox"))
+    # of regions of one shape the least takes all
+    b = regions.groupBy(_shape_key(F.col("geometry")).alias("shape")).agg(F.min("region_id").alias("region_id"), F.first("geometry").alias("geometry")).drop("shape")
+    b = b.withColumn("bbox", box(F.col("geometry"))).where("bbox.x0 IS NOT NULL")
+    found = _met(a, b).select("lon", "lat", "region_id", F.arrow_udf(run, "boolean").asNondeterministic()("lon", "lat", "region_id", "geometry").alias("near")).where("near IS NOT NULL")
+    first = found.groupBy("lon", "lat").agg(F.min_by(F.struct("region_id", "near"), "region_id").alias("m"))
+    return points.join(first, ["lon", "lat"], "left").select("id", "lon", "lat", "m.region_id", F.col("m.near").alias("boundary_adjacent"))
 
 
 def match_fields(incoming: DataFrame, stored: DataFrame) -> DataFrame:
