@@ -75,8 +75,8 @@ def ingest(farms: DataFrame, fields: DataFrame, stored: DataFrame) -> DataFrame:
         kind, g = overlay.from_geojson(F.col("boundary"))
         return df.withColumn("v", overlay.validated(kind, g, F.col("epsg")))
 
-    f = checkpointed(checked(fields))
-    own = checkpointed(checked(farms))
+    f = checkpointed(checked(overlay.dealt(fields, "id")))
+    own = checkpointed(checked(overlay.dealt(farms, "farm_id")))
     label = F.concat(F.lit("field"), F.when(F.col("canonical_id").isNotNull(), F.concat(F.lit(" ("), F.col("canonical_id"), F.lit(")"))).otherwise(""), F.lit(": "), F.col("v.reason"))
     broken = f.where(~F.col("v.ok")).groupBy("farm_id").agg(F.min_by(label, "id").alias("field_reason"))
     has = f.groupBy("farm_id").agg(F.count("*").alias("n_fields"))
@@ -104,7 +104,7 @@ def drawn_regions(drawn: DataFrame, zones: DataFrame, farms: DataFrame) -> DataF
     A region is never clipped; it may span several zones, or none.
     """
     kind, g = overlay.from_geojson(F.col("boundary"))
-    made = checkpointed(drawn.select("region_id", "name", overlay.validated(kind, g, F.lit(4326)).alias("v")))
+    made = checkpointed(overlay.dealt(drawn, "region_id").select("region_id", "name", overlay.validated(kind, g, F.lit(4326)).alias("v")))
     good = made.where("v.ok").select("region_id", F.col("v.geometry").alias("geometry"))
     parts = overlay.composition(good.withColumnRenamed("region_id", "id"), zones)
     line = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "zone"))), lambda p: F.concat(p["zone"], F.lit("="), F.format_string("%.4f", -p["s"])))
