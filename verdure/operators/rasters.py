@@ -7,11 +7,16 @@ pixel, rows going south), epsg (UTM zone), height and width.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdure.functions.columns import colour, composite, index_bands, index_names
 from verdure.functions.constants import BAND_RESOLUTION, GRID_PIXELS, PREVIEW_PIXELS
+from verdure.operators import planar
 from verdure.operators.geo import from_utm, to_utm
 from verdure.operators.pixels import analyse
 
@@ -122,34 +127,60 @@ def overview_factor(z: Column, lat: Column, res: Column, size: int = TILE) -> Co
     return F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(metres / res)), F.lit(0))).cast("long")
 
 
+def _numbers(rows: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
+    """Of a batch of a raster's pixels: row, column, side in metres, x0, y0, zone, and the tile pixels around the world at z."""
+    row, col, factor, x0, y0, res, epsg, z = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("px_row", "px_col", "factor", "x0", "y0", "res", "epsg", "z"))
+    return row, col, factor * res, x0, y0, epsg, size * 2.0**z
+
+
 def tiles(raster: DataFrame, grids: DataFrame, keys: list[str], zooms: list[int], size: int = TILE, value: str = "value") -> DataFrame:
     """Keys, z, x, y, row, col, value of every tile pixel that has a value at its centre.
 
-    Every pixel of a tile looks up the raster at its centre (Web Mercator to
-    degrees to UTM), in the coarsest overview that is no coarser than the tile;
-    the raster is met by one equi-join on its pixels. Only pixels within the grid's bounds are made.
+    A tile's pixel takes the raster's at its centre (Web Mercator to degrees to
+    UTM), in the coarsest overview that is no coarser than the tile. The raster's
+    pixels with a value name the few tile pixels around them, and those whose
+    centre falls back into them stay: rows are made for values only, and the raster meets nothing but its grid.
     """
-    n = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("z"))
     ends = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("end")
-    lon, lat = from_utm(F.col("x0") + F.col("end.i") * F.col("width") * F.col("res"), F.col("y0") - F.col("end.j") * F.col("height") * F.col("res"), F.col("epsg"))
-    named = grids.select(*keys, "x0", "y0", "res", "epsg", "height", "width", ends).withColumns({"lon": lon, "lat": lat})
-    bounds = named.groupBy(*keys, "x0", "y0", "res", "epsg", "height", "width").agg(*(f(c).alias(k) for k, f, c in (("west", F.min, "lon"), ("east", F.max, "lon"), ("south", F.min, "lat"), ("north", F.max, "lat"))))
-    g = bounds.withColumn("z", F.explode(F.array(*map(F.lit, zooms)))).withColumn("factor", overview_factor(F.col("z"), F.col("south"), F.col("res"), size))
-    mercator = lambda lat: (1 - F.asinh(F.tan(F.radians(lat))) / 3.141592653589793) / 2 * n
-    span = lambda lo, hi: F.sequence((F.floor(lo) - 1).cast("long"), (F.floor(hi) + 1).cast("long"))
-    px = g.withColumn("gx", F.explode(span((F.col("west") + 180) / 360 * n, (F.col("east") + 180) / 360 * n)))
-    px = px.withColumn("gy", F.explode(span(mercator(F.col("north")), mercator(F.col("south"))))).drop("west", "east", "south", "north")
-    lon = (F.col("gx") + 0.5) / n * 360 - 180
-    lat = F.degrees(F.atan(F.sinh(F.lit(3.141592653589793) * (1 - 2 * (F.col("gy") + 0.5) / n))))
-    px = px.withColumns({"lon": lon, "lat": lat})
-    e, north = to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
-    # generated, so that the projection is computed once and no filter repeats it
-    px = px.select("*", F.inline(F.array(F.struct(F.floor((e - F.col("x0")) / F.col("res")).alias("c"), F.floor((F.col("y0") - north) / F.col("res")).alias("r")))))
-    px = px.where((F.col("c") >= 0) & (F.col("c") < F.col("width")) & (F.col("r") >= 0) & (F.col("r") < F.col("height")))
-    px = px.withColumns({"px_row": F.floor(F.col("r") / F.col("factor")), "px_col": F.floor(F.col("c") / F.col("factor"))})
-    source = raster.join(g.select(*keys, "factor").distinct(), keys)
-    source = source.groupBy(*keys, "factor", F.floor(F.col("px_row") / F.col("factor")).alias("px_row"), F.floor(F.col("px_col") / F.col("factor")).alias("px_col")).agg(F.avg(value).alias("value"))
-    met = px.join(source.where("value IS NOT NULL"), [*keys, "factor", "px_row", "px_col"])
+    _, lat = from_utm(F.col("x0") + F.col("end.i") * F.col("width") * F.col("res"), F.col("y0") - F.col("end.j") * F.col("height") * F.col("res"), F.col("epsg"))
+    grid = ["x0", "y0", "res", "epsg", "height", "width"]
+    south = grids.select(*keys, *grid, ends).withColumn("lat", lat).groupBy(*keys, *grid).agg(F.min("lat").alias("south"))
+    g = south.withColumn("z", F.explode(F.array(*map(F.lit, zooms)))).withColumn("factor", overview_factor(F.col("z"), F.col("south"), F.col("res"), size))
+    g = g.groupBy(*keys, "factor").agg(F.first(F.struct(*grid)).alias("grid"), F.collect_list("z").alias("zs"))
+    cell = [F.floor(F.col(c) / F.col("factor")).cast("long").alias(c) for c in ("px_row", "px_col")]
+    source = raster.where(F.col(value).isNotNull()).join(g.select(*keys, "factor"), keys)
+    source = source.groupBy(*keys, "factor", *cell).agg(F.avg(value).alias("value")).where("value IS NOT NULL")
+    source = source.join(g, [*keys, "factor"]).select(*keys, "factor", "px_row", "px_col", "value", "grid.*", F.explode("zs").alias("z"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            row, col, side, x0, y0, zone, n = _numbers(rows, size)
+            west = np.full(len(n), np.inf)
+            box = [west, -west, west, -west]
+            for i in (0, 1):
+                for j in (0, 1):
+                    lon, lat = planar.from_utm(x0 + (col + i) * side, y0 - (row + j) * side, zone)
+                    for k, at in ((0, (lon + 180) / 360 * n), (2, (1 - np.arcsinh(np.tan(np.radians(lat))) / np.pi) / 2 * n)):
+                        box[k], box[k + 1] = np.minimum(box[k], at), np.maximum(box[k + 1], at)
+            # the sides of a pixel are bent by less than this, in pixels of the tile
+            pad = 0.05 + (box[1] - box[0]) * side / 1_000_000
+            ends = [np.ceil(box[0] - pad - 0.5), np.floor(box[1] + pad - 0.5), np.ceil(box[2] - pad - 0.5), np.floor(box[3] + pad - 0.5)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(e.astype(np.int64)) for e in ends)], [*rows.schema.names, "_x0", "_x1", "_y0", "_y1"])
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            row, col, side, x0, y0, zone, n = _numbers(rows, size)
+            gx, gy, res, height, width = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("gx", "gy", "res", "height", "width"))
+            lat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (gy + 0.5) / n))))
+            e, north = planar.to_utm((gx + 0.5) / n * 360 - 180, lat, zone)
+            c, r, factor = np.floor((e - x0) / res), np.floor((y0 - north) / res), side / res
+            ok = (c >= 0) & (c < width) & (r >= 0) & (r < height) & (r // factor == row) & (c // factor == col)
+            yield rows.filter(pa.array(ok))
+
+    near = source.mapInArrow(around, kinds + ", _x0 bigint, _x1 bigint, _y0 bigint, _y1 bigint").where("_x0 <= _x1 AND _y0 <= _y1")
+    near = near.select("*", F.explode(F.sequence("_x0", "_x1")).alias("gx")).select(*source.columns, "gx", F.explode(F.sequence("_y0", "_y1")).alias("gy"))
+    met = near.mapInArrow(hit, kinds + ", gx bigint, gy bigint")
     part = lambda c: (F.floor(F.col(c) / size).cast("long"), F.pmod(F.col(c), F.lit(size)).cast("int"))
     (x, col), (y, row) = part("gx"), part("gy")
     return met.select(*keys, "z", x.alias("x"), y.alias("y"), row.alias("row"), col.alias("col"), "value")
@@ -158,7 +189,8 @@ def tiles(raster: DataFrame, grids: DataFrame, keys: list[str], zooms: list[int]
 def painted(rows: DataFrame, index: str, difference: bool = False, value: str = "value") -> DataFrame:
     """rows with rgba: the colour of the value on the index's ramp, opaque; transparent black where it is null."""
     rgb = colour(index, F.col(value), difference)
-    return rows.withColumn("rgba", F.coalesce(F.concat(rgb, F.array(F.lit(255))), F.array(*map(F.lit, (0, 0, 0, 0)))))
+    # generated, so that channels that are taken from it do not compute it again
+    return rows.select("*", F.inline(F.array(F.struct(F.coalesce(F.concat(rgb, F.array(F.lit(255))), F.array(*map(F.lit, (0, 0, 0, 0)))).alias("rgba")))))
 
 
 def pictured(pixels: DataFrame, kind: str, bands: dict[str, Column], covered: Column) -> DataFrame:
