@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from verdure.functions.columns import clamp01, classify, dotted_id, idempotency_key, identity, status, stress
@@ -75,28 +78,19 @@ def latest_review(notes: DataFrame) -> DataFrame:
 
 def number_text(v: Column) -> Column:
     """A double as text with the fewest digits that give it back: plain from 0.0001 up to 10^16, else with an exponent of two digits; null stays null."""
-
-    def spelled(p: Column) -> Column:
-        whole, power = F.regexp_replace(F.regexp_replace(p, r"e.*$|\.|^-", ""), "0+$", ""), F.regexp_extract(p, r"e([+-][0-9]+)$", 1).cast("int")
-        return F.get(F.transform(F.array(F.struct(F.when(whole == "", "0").otherwise(whole).alias("whole"), power.alias("power"))), placed), F.lit(0))
-
-    def placed(d: Column) -> Column:
-        whole, power, size = d["whole"], d["power"], F.length(d["whole"])
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole)
-        large = F.when(size > power + 1, F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.substring(whole, power + 2, size))).otherwise(F.concat(F.rpad(whole, power + 1, F.lit("0")), F.lit(".0")))
-        exponent = F.abs(power).cast("string")
-        far = F.concat(F.substring(whole, 1, 1), F.when(size > 1, F.concat(F.lit("."), F.substring(whole, F.lit(2), size))).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(exponent, F.greatest(F.length(exponent), F.lit(2)), F.lit("0")))
-        return F.when((power < 0) & (power >= -4), small).when((power >= 0) & (power < 16), large).otherwise(far)
-
-    def chosen(x: Column) -> Column:
-        tried = F.transform(F.array(*(F.format_string(f"%.{n}e", x) for n in (14, 15, 16))), lambda t: t)
-        short = F.get(F.filter(tried, lambda t: t.cast("double") == x), F.lit(0))
-        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-        body = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise(F.get(F.transform(F.array(short), spelled), F.lit(0)))
-        return F.concat(sign, body)
-
-    # each step's value is bound once
-    return F.when(v.isNotNull(), F.get(F.transform(F.array(v.cast("double")), chosen), F.lit(0)))
+    return _shortest(v.cast("double"))
+
+
+@F.arrow_udf(T.StringType())
+def _shortest(v: pa.Array) -> pa.Array:
+    size = pc.abs(v)
+    plain = pc.or_(pc.and_(pc.greater_equal(size, 1e-3), pc.less(size, 1e6)), pc.equal(size, 0.0))
+    text = pc.cast(v, pa.string())
+    text = pc.if_else(pc.match_substring(text, "."), text, pc.binary_join_element_wise(text, "0", "."))
+    if pc.all(plain).as_py() is not False:
+        return text
+    far = pa.array([repr(x) for x in v.filter(pc.invert(plain)).to_pylist()], pa.string())
+    return pc.replace_with_mask(text, pc.fill_null(pc.invert(plain), False), far)
 
 
 def _cell(name: str, kind: str) -> Column:
