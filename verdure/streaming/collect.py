@@ -32,15 +32,22 @@ def fresh(scenes: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cursor, last, seen = state.get if state.exists else (None, None, "")
         known = set(seen.split("\n")) if seen else set()
-        rows = pd.concat(list(batches))
-        rows = rows[rows["scene_id"].notna() & rows["sensed_on"].notna()].sort_values(["sensed_on", "scene_id"], kind="stable").drop_duplicates("scene_id")
-        rows = rows[~rows["scene_id"].isin(known)]
-        if len(rows):
-            best = rows.iloc[-1]
-            if cursor is None or best["sensed_on"] > cursor:
-                cursor, last = best["sensed_on"], best["scene_id"]
-            state.update((cursor, last, "\n".join([*([seen] if seen else []), *rows["scene_id"]])))
-            yield rows.assign(cursor=cursor, last_scene=last)[names]
+        rows = pd.concat(held) if len(held := list(batches)) > 1 else held[0]
+        # plain lists: most fields bring a few rows, for which each call of pandas costs more than all the rest
+        ids, days = rows["scene_id"].tolist(), rows["sensed_on"].tolist()
+        given = sorted((d, s, i) for i, (d, s) in enumerate(zip(days, ids, strict=True)) if not (pd.isna(d) or pd.isna(s)))
+        kept = []
+        for d, s, i in given:
+            if s not in known:
+                known.add(s)
+                kept.append((d, s, i))
+        if kept:
+            if cursor is None or kept[-1][0] > cursor:
+                cursor, last = kept[-1][:2]
+            state.update((cursor, last, "\n".join([*([seen] if seen else []), *(s for _, s, _ in kept)])))
+            out = rows.take([i for *_, i in kept])
+            out["cursor"], out["last_scene"] = cursor, last
+            yield out[names]
 
     return scenes.groupBy("field_id").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
