@@ -57,6 +57,15 @@ def packed(rows: list[Geometry | None]) -> pa.Array:
     return pa.ListArray.from_arrays(ends([len(g) for g in closed]), middle, mask=pa.array([g is None for g in rows]))
 
 
+def boxes(x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """Geometries of one ring each, whose points, closed, are the rows of x and y."""
+    n, points = x.shape
+    ends = lambda step: pa.array(np.arange(n + 1, dtype=np.int32) * step)
+    flat = pa.StructArray.from_arrays([pa.array(x.ravel()), pa.array(y.ravel())], fields=list(_POINT))
+    ring = pa.ListArray.from_arrays(ends(points), flat)
+    return pa.ListArray.from_arrays(ends(1), pa.ListArray.from_arrays(ends(1), ring))
+
+
 def zone_of(lon: float) -> int:
     return UTM_EAST if lon >= UTM_SPLIT else UTM_WEST
 

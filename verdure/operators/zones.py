@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verdure.operators import planar
-from verdure.operators.lineage import components
-from verdure.operators.overlay import MULTI, packed
+from verdure.operators.lineage import checkpointed, components
+from verdure.operators.overlay import MULTI, boxes, packed
 
 #: Rows of a raster whose runs one task joins.
 BAND_ROWS = 64
-#: Groups in which a key's areas are traced.
-TRACE_GROUPS = 16
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +88,39 @@ def _joined(rows: list[tuple[int, int, int, int]]) -> list[int]:
     return [rows[root(i)][0] * (1 << 31) + rows[root(i)][1] for i in range(len(rows))]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Batches of sorted rows cut anew, so that no group of equal values is cut, each with its groups' first and last places."""
+    rest = None
+    for more in chain(batches, [None]):
+        if more is None:
+            rows = rest
+        else:
+            rows = more if rest is None else pa.concat_batches([rest, more])
+        if rows is None or not rows.num_rows:
+            continue
+        starts = np.zeros(rows.num_rows, bool)
+        starts[0] = True
+        for k in by:
+            v = rows.column(k)
+            a, b = v.slice(1), v.slice(0, len(v) - 1)
+            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+            starts[1:] |= differ.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(starts).tolist()
+        if more is None:
+            at.append(rows.num_rows)
+        else:
+            # the last group may go on
+            rest, rows = rows.slice(at[-1]), rows.slice(0, at[-1])
+        if rows.num_rows:
+            yield rows, list(pairwise(at))
+
+
 def zone_polygons(labels: DataFrame, keys: list[str], grids: DataFrame | None = None) -> DataFrame:
     """M5: keys, zone, pixels, geometry of every connected area of one zone (over edges, not corners), with holes.
 
     labels: keys, px_row, px_col, zone; pixels with a null zone are in none.
     Spark makes runs of equal pixels in a row; runs of BAND_ROWS rows are joined
-    in a task, bands by connected components over the runs on their borders, and
+    in a task, many of them one after the other, bands by connected components over the runs on their borders, and
     each area is traced by itself. With grids (keys, x0, y0, res) coordinates
     are the grid's, else columns and minus rows. A repeated pixel counts once, with its least zone.
     """
@@ -102,31 +131,45 @@ def zone_polygons(labels: DataFrame, keys: list[str], grids: DataFrame | None =
     runs = px.withColumn("run", F.sum(fresh.cast("int")).over(line)).groupBy(*keys, "row", "run").agg(F.min("col").alias("first"), F.max("col").alias("last"), F.min("zone").alias("zone"))
     runs = runs.drop("run").withColumn("band", F.floor(F.col("row") / BAND_ROWS))
 
-    def join(rows: pa.Table) -> pa.Table:
-        part = _joined(list(zip(*(rows.column(c).to_pylist() for c in ("row", "first", "last", "zone")), strict=True)))
-        return rows.drop_columns(["band"]).append_column("part", pa.array(part, pa.int64()))
+    bands = [*keys, "band"]
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _groups(batches, bands):
+            runs_ = [rows.column(c).to_pylist() for c in ("row", "first", "last", "zone")]
+            part = [p for i, j in group for p in _joined(list(zip(*(c[i:j] for c in runs_), strict=True)))]
+            yield rows.append_column("part", pa.array(part, pa.int64()))
 
-    runs = runs.select(*keys, "band", "row", "first", "last", "zone").groupBy(*keys, "band").applyInArrow(join, f"{kinds}, row bigint, first bigint, last bigint, zone bigint, part bigint")
-    node = F.to_json(F.struct(*keys, "part"), {"ignoreNullFields": "false"})
-    named = runs.withColumn("node", node)
+    runs = runs.select(*bands, "row", "first", "last", "zone").repartition(*bands).sortWithinPartitions(*bands)
+    runs = runs.mapInArrow(joined, f"{kinds}, band bigint, row bigint, first bigint, last bigint, zone bigint, part bigint").drop("band")
+    # read three times
+    named = checkpointed(runs.withColumn("node", F.to_json(F.struct(*keys, "part"), {"ignoreNullFields": "false"})))
     upper = named.where(F.pmod("row", F.lit(BAND_ROWS)) == BAND_ROWS - 1).select(*keys, (F.col("row") + 1).alias("row"), "zone", F.col("first").alias("f"), F.col("last").alias("l"), F.col("node").alias("a"))
     lower = named.where(F.pmod("row", F.lit(BAND_ROWS)) == 0)
     edges = lower.join(upper, [*keys, "row", "zone"]).where("first <= l AND f <= last").select("a", F.col("node").alias("b"))
     whole = named.join(components(edges).withColumnRenamed("id", "node"), "node", "left").withColumn("area", F.coalesce("comp", "node"))
 
-    def trace(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        parts: dict[str, list[tuple[int, int, int]]] = {}
-        zone = {}
-        for area, z, *run in zip(*(rows.column(c).to_pylist() for c in ("area", "zone", "row", "first", "last")), strict=True):
-            parts.setdefault(area, []).append(tuple(run))
-            zone[area] = z
-        values = {k: pa.array([v.as_py()] * len(parts), v.type) for k, v in zip(keys, key, strict=False)}
-        sizes = pa.array([sum(b - a + 1 for _, a, b in own) for own in parts.values()], pa.int64())
-        return pa.table({**values, "zone": pa.array(list(zone.values()), pa.int64()), "pixels": sizes, "geometry": packed([planar.traced(own) for own in parts.values()])})
-
-    # areas of a key share a few groups, each whole in one
-    whole = whole.withColumn("share", F.pmod(F.xxhash64("area"), F.lit(TRACE_GROUPS)))
-    out = whole.select(*keys, "share", "area", "row", "first", "last", "zone").groupBy(*keys, "share").applyInArrow(trace, f"{kinds}, zone bigint, pixels bigint, geometry {MULTI}")
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _groups(batches, ["area"]):
+            names = [*keys, "zone", "pixels", "geometry"]
+            # areas of a single run, the most, are boxes
+            at = np.array(group)
+            alone = at[:, 1] - at[:, 0] == 1
+            if alone.any():
+                lone = rows.take(pa.array(at[alone, 0]))
+                row, first, last = (lone.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("row", "first", "last"))
+                x, y = np.stack([first, last + 1, last + 1, first, first], 1), np.stack([-row - 1, -row - 1, -row, -row, -row - 1], 1)
+                yield pa.RecordBatch.from_arrays([*(lone.column(k) for k in [*keys, "zone"]), pa.array((last - first + 1).astype(np.int64)), boxes(x, y)], names)
+            group = [g for g, one in zip(group, alone, strict=True) if not one]
+            if group:
+                runs_ = [rows.column(c).to_pylist() for c in ("row", "first", "last")]
+                own = [list(zip(*(c[i:j] for c in runs_), strict=True)) for i, j in group]
+                sizes = pa.array([sum(b - a + 1 for _, a, b in one) for one in own], pa.int64())
+                starts = pa.array([i for i, _ in group], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(rows.column(k).take(starts) for k in [*keys, "zone"]), sizes, packed([planar.traced(one) for one in own])], names)
+
+    # each area whole in one task
+    whole = whole.select(*keys, "area", "row", "first", "last", "zone").repartition("area").sortWithinPartitions("area", "row", "first")
+    out = whole.mapInArrow(trace, f"{kinds}, zone bigint, pixels bigint, geometry {MULTI}")
     if grids is None:
         return out
     place = lambda p: F.struct((F.col("x0") + p["x"] * F.col("res")).alias("x"), (F.col("y0") + p["y"] * F.col("res")).alias("y"))
