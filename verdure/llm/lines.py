@@ -19,7 +19,8 @@ of votes that a change elsewhere doesn't touch.
 No key's pairs are all made. Its lines are first compared with its least one;
 where that leaves some apart, with the least one of the same key that has the
 same quarter of the SimHash; only what then is neither connected nor too far
-apart by length and SimHash meets as pairs.
+apart by length and SimHash is compared line by line, within the join: pairs
+that are no links are never made.
 
 Results: every row of the documents, its text without the lines that repeat an
 earlier one, and its line counts n_lines and n_removed (columns of these two
@@ -48,6 +49,8 @@ UNSPACED = 16
 BITS, MIN_SIMILARITY = 16, 0.8
 #: Lines that differ over more letters than LONG are compared word by word, in parts of PART words; a word is one of CODES.
 LONG, PART, CODES = 640, 4096, 20_480
+#: The lines of a key that are compared one by one stand in shares of SHARE, in MOST_SHARES at most.
+SHARE, MOST_SHARES = 256, 64
 #: Bytes of rows that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 1 << 25
 #: (counts in a long, bits of each): a line takes the first whose half of the range holds its number of different words.
@@ -174,6 +177,24 @@ def _longest(text: str) -> Column:
     return F.array_max(F.transform(F.split(text, " "), lambda w: F.length(w)))
 
 
+def may_link() -> Column:
+    """Whether lines x and y, coded as p and q, may be a link: true for all that ``verified`` keeps, false for nearly all that it drops.
+
+    Here the ends that two lines share are not cut off. That leaves the distance
+    of the letters as it is and adds four at most to that of the words. A pair
+    with more differing words than this allows is a link only if all its letters
+    that differ stand in a part with short words; then much of one end is shared.
+    """
+    share = lambda size: f"cast(floor({size} * {1 - MIN_SIMILARITY} + 1e-9) as int)"
+    size, n = "greatest(length(x), length(y))", "greatest(length(p), length(q))"
+    half = f"cast({share(n)} / {1 - MIN_SIMILARITY} / 2 as int) + 6"
+    near, same_end = f"levenshtein(x, y, {share(size)}) >= 0", lambda h: f"(left(x, {h}) = left(y, {h}) OR right(x, {h}) = right(y, {h}))"
+    short = f"(levenshtein(p, q, {half}) >= 0 OR {same_end(f'cast({size} / 4 as int)')}) AND {near}"
+    end = same_end(f"cast(least(8 * {size} / ({n} + 16), ({size} - {LONG}) / 2) as int)")
+    long = f"levenshtein(p, q, {share(n)} + 8) >= 0 OR {end} AND ({size} > {4 * LONG} OR {near})"
+    return F.expr(f"CASE WHEN {size} <= {LONG} THEN {short} ELSE {long} END")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of line ids that are links; texts: (id, norm, sim).
 
@@ -202,6 +223,20 @@ def _some(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
+def _met(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of one key, in different components, that may be links. apart: (key, id, sim, size, comp); texts: (id, norm)."""
+    step = F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1 / MIN_SIMILARITY))).cast("int")
+    # large groups are dealt out: each line has one share of those that it is compared with
+    groups = apart.groupBy("key").agg(F.least(F.lit(MOST_SHARES), F.ceil(F.count("*") / SHARE)).cast("int").alias("shares"))
+    own = apart.groupBy("id").agg(F.collect_set("key").alias("keys")).join(texts.select("id", "norm", _coded("norm").alias("code")), "id")
+    rows = apart.join(groups, "key").join(own, "id").withColumn("step", step)
+    one = rows.select("key", F.explode(F.array(*(F.col("step") + d for d in (-1, 0, 1)))).alias("step"), F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), F.col("id").alias("a"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("comp").alias("c"), "keys", F.col("norm").alias("x"), F.col("code").alias("p"))
+    other = rows.select("key", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("share"), F.col("id").alias("b"), F.col("sim").alias("t"), "size", "comp", F.col("keys").alias("its"), F.col("norm").alias("y"), F.col("code").alias("q"))
+    fits = (F.col("a") < F.col("b")) & (F.col("c") != F.col("comp")) & _near("s", "t") & (F.least("m", "size") >= MIN_SIMILARITY * F.greatest("m", "size") - 1e-9)
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "its"))
+    return one.join(other, ["key", "step", "share"]).where(fits & once & may_link()).select("a", "b")
+
+
 def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """(h, h2, comp) of the distinct lines that are linked to others. lines: (h, keys); distinct: (h, r1, r2), one row or more a line."""
     keyed = lines.select("h", F.explode("keys").alias("key"))
@@ -239,12 +274,9 @@ def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: st
         leads = parts.groupBy("key", "quarter").agg(F.min("id").alias("a"), F.min_by("comp", "id").alias("c"), F.count("*").alias("n")).where("n > 1").drop("n")
         more = parts.join(leads, ["key", "quarter"]).where("comp <> c").select("a", F.col("id").alias("b")).distinct()
         comps = _merged(comps, verified(more, texts))
-        # what is open still: lines of a key in different components, near by length and SimHash
-        apart = loose(comps)
-        step = lambda size: F.floor(F.log(F.col(size) + 1) / F.log(F.lit(1 / MIN_SIMILARITY))).cast("int")
-        mine = apart.where("not first").select("key", F.col("id").alias("u"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("comp").alias("c"), F.explode(F.array(*(step("size") + d for d in (-1, 0, 1)))).alias("step"))
-        met = mine.join(apart.withColumn("step", step("size")), ["key", "step"]).where((F.col("c") != F.col("comp")) & _near("s", "sim") & (F.least("m", "size") >= MIN_SIMILARITY * F.greatest("m", "size") - 1e-9))
-        met = checkpointed(met.select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct())
+        # what is open still: lines of a key in different components, near by length and SimHash; the least one has met all
+        apart = loose(comps).where("not first")
+        met = checkpointed(_met(apart, texts))
         if _some(met):
             comps = _merged(comps, verified(met, texts))
     return comps.join(texts.select("id", "h", "h2"), "id").select("h", "h2", "comp")
