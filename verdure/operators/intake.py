@@ -41,7 +41,12 @@ def refused(today: Column, known: list[str]) -> Column:
 
 def result_key(geometry: Column, index: Column, scene: Column) -> Column:
     """What a computed pass is found again by: the area's digest, the index, the formula's version and the scene."""
-    return F.concat_ws(":", geometry_key(geometry), index, F.lit(FORMULA_VERSION), scene)
+    return area_result_key(geometry_key(geometry), index, scene)
+
+
+def area_result_key(area: Column, index: Column, scene: Column) -> Column:
+    """result_key by the area's digest, which is dear: where an area has many passes, it is made once and joined to them."""
+    return F.concat_ws(":", area, index, F.lit(FORMULA_VERSION), scene)
 
 
 def scene_unit(field: Column, scene: Column, version: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdure.functions import columns as X
 from verdure.operators import intake, overlay
+from verdure.operators.geo import geometry_key
 from verdure.plans.geometry import _N_ZONES, _OVER, _ZONES, LOTS, lot_shape, lots, shape, slanted
 from verdure.plans.queries import query
 from verdure.plans.views import view
@@ -113,6 +114,8 @@ def work_units(spark, sf_dir):
 )
 def uncomputed_passes(spark, sf_dir):
     """Passes over areas that are not among the results yet, by their keys."""
-    rows = view(spark, sf_dir, "analysis").join(lots(spark, sf_dir), F.col("field_id") == F.col("id"))
-    keyed = rows.select(intake.result_key(lot_shape(), F.col("index_name"), F.col("scene_id").cast("string")).alias("key"), "scene_id")
+    # an area's digest is made once, before the join, and not for each of its passes; digests are larger than Spark reckons, so they aren't broadcast
+    areas = overlay.dealt(lots(spark, sf_dir), "id").select("id", geometry_key(lot_shape()).alias("area")).hint("merge")
+    rows = view(spark, sf_dir, "analysis").join(areas, F.col("field_id") == F.col("id"))
+    keyed = rows.select(intake.area_result_key(F.col("area"), F.col("index_name"), F.col("scene_id").cast("string")).alias("key"), "scene_id")
     return intake.uncomputed(keyed, keyed.where("scene_id % 3 = 0")).select("key")
