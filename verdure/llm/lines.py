@@ -59,48 +59,47 @@ LAYOUTS = [(7, 9), (3, 21), (2, 31)]
 STEPS = [1 << i for i in range(14, -1, -1)]
 
 
-def words_of(text: Column) -> Column:
-    """The normal form of the text's lines: their letters and digits in lower case, one space between words."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-
-
 def row_id(text: str, key: str) -> list[Column]:
     """r1, r2: 128 bits that name a row by its key and text."""
     return [F.xxhash64(F.col(key), F.col(text)).alias("r1"), F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("r2")]
 
 
 def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, r1, r2, pos, norm) of each line that may be removed."""
-    # ids and the normal form come first, so that neither they nor the text are made again for each line
-    rows = docs.select(F.col(key).alias("doc"), *row_id(text, key), words_of(F.col(text)).alias("norms"), F.lower(text).alias("raw"))
-    lines = rows.select("doc", "r1", "r2", F.posexplode(F.arrays_zip(F.split("norms", "\n").alias("line"), F.split("raw", "\n").alias("raw"))).alias("pos", "z"))
-    norm, signs = F.trim("z.line"), F.regexp_replace("z.raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    return lines.select("doc", "r1", "r2", "pos", F.when(norm != "", norm).otherwise(signs).alias("norm")).where("norm <> ''")
+    """(doc, r1, r2, pos, norm, w) of each line that may be removed: norm is its normal form, w the words of that, letters and digits in lower case."""
+    rows = docs.select(F.col(key).alias("doc"), *row_id(text, key), F.lower(text).alias("raw"))
+    lines = rows.select("doc", "r1", "r2", F.posexplode(F.split("raw", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^\s\p{Z}]"))
+    lines = lines.select("doc", "r1", "r2", "pos", "line", F.array_remove(F.split("line", r"[^\p{L}\p{N}]+"), "").alias("w"))
+    norm = F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(F.regexp_replace("line", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    lines = lines.select("doc", "r1", "r2", "pos", norm.alias("norm"), "w")
+    return lines.withColumn("w", F.when(F.size("w") > 0, F.col("w")).otherwise(F.split("norm", " ")))
 
 
 def with_keys(lines: DataFrame) -> DataFrame:
-    """lines (.., norm) with norm's hashes h and h2 and its join keys (array ``keys``) in its place."""
-    own = [c for c in lines.columns if c != "norm"]
+    """lines (.., norm, w) with norm's hashes h and h2 and its join keys (array ``keys``) in their place."""
+    own = [c for c in lines.columns if c not in ("norm", "w")]
     names = [*own, "h", "h2"]
-    lines = lines.select(*own, F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm", F.split("norm", " ").alias("w"))
     letters = F.split("norm", "")
     pairs = F.transform(letters, lambda c, i: F.concat(c, F.coalesce(F.get(letters, i + 1), F.lit(""))))
-    lines = lines.withColumn("w", F.when(F.length("norm") > UNSPACED * F.size("w"), pairs).otherwise(F.col("w")))
-    long = F.filter("w", lambda w: F.length(w) >= LETTERS)
-    chosen = [F.col("w"), F.when(F.size(long) >= ENOUGH, long).otherwise(F.col("w"))]
-    rings = [F.when(F.size("w").between(least, most), F.sort_array(F.array_distinct(F.transform(c, lambda w: F.xxhash64(w))))) for c, (_, least, most) in zip(chosen, TAKE, strict=True)]
+    words = F.when(F.length("norm") > UNSPACED * F.size("w"), pairs).otherwise(F.col("w"))
+    lines = lines.select(*own, F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), words.alias("w"))
+    takes = [F.size("w").between(least, most) for _, least, most in TAKE]
+    lines = lines.select(*names, "w", F.when(takes[1], F.filter("w", lambda w: F.length(w) >= LETTERS)).alias("long"))
+    chosen = [F.col("w"), F.when(F.size("long") >= ENOUGH, F.col("long")).otherwise(F.col("w"))]
+    rings = [F.when(taken, F.sort_array(F.array_distinct(F.transform(c, lambda w: F.xxhash64(w))))) for c, taken in zip(chosen, takes, strict=True)]
     lines = lines.select(*names, *(r.alias(f"x{i}") for i, r in enumerate(rings)))
     # where the blocks begin: their least hashes, sorted in among the words' (a block's place less the blocks before it is its first word's)
     starts = [(k << (64 - BLOCKS_LOG)) - (1 << 63) for k in range(1 << BLOCKS_LOG)]
-    both, keys = range(len(rings)), []
+    both = range(len(rings))
     lines = lines.select(*names, *(f"x{i}" for i in both), *(F.sort_array(F.concat(f"x{i}", F.array(*map(F.lit, starts)))).alias(f"y{i}") for i in both))
-    at = [F.array_position(f"y{i}", F.lit(a)).cast("int").alias(f"p{i}_{k}") for i in both for k, a in enumerate(starts)]
-    lines = lines.select(*names, *(f"x{i}" for i in both), *at, *((F.size(f"y{i}") + 1).alias(f"p{i}_{len(starts)}") for i in both))
-    for i, (take, *_) in enumerate(TAKE):
-        for k in range(len(starts)):
-            first = [F.get(f"x{i}", (F.col(f"p{i}_{k}") - 1 - k + j) % F.size(f"x{i}")) for j in range(take)]
-            keys.append(F.when(F.col(f"p{i}_{k + 1}") - F.col(f"p{i}_{k}") > 1, F.xxhash64(F.lit(take), *first)))
-    return lines.select(*names, F.array_compact(F.array(*keys)).alias("keys"))
+    at = [F.array(*(F.array_position(f"y{i}", F.lit(a)).cast("int") - 1 - k for k, a in enumerate(starts)), F.size(f"x{i}")) for i in both]
+    lines = lines.select(*names, *(f"x{i}" for i in both), *(F.when(F.col(f"x{i}").isNotNull(), a).alias(f"p{i}") for i, a in enumerate(at)))
+
+    def keys(i: int, take: int) -> Column:
+        full = F.filter(F.sequence(F.lit(0), F.lit(len(starts) - 1)), lambda k: F.get(f"p{i}", k) < F.get(f"p{i}", k + 1))
+        found = F.transform(full, lambda k: F.xxhash64(F.lit(take), *(F.get(f"x{i}", (F.get(f"p{i}", k) + j) % F.size(f"x{i}")) for j in range(take))))
+        return F.when(F.col(f"x{i}").isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
+
+    return lines.select(*names, F.concat(*(keys(i, take) for i, (take, *_) in enumerate(TAKE))).alias("keys"))
 
 
 def _votes(hashes: Column, lanes: int, width: int) -> Column:
@@ -196,97 +195,104 @@ def may_link() -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of line ids that are links; texts: (id, norm, sim).
+    """Those of the pairs (a, b) of line ids that are links; texts: (id, norm, sim), and perhaps what ``described`` adds.
 
     Where so few words differ that their letters can't be too many, the edit
-    distance of the words is enough; else that of the letters is taken.
+    distance of the words is enough; else that of the letters is taken, without
+    what the two lines share at their ends.
     """
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one, other = (texts.select(F.col("id").alias(i), F.col("norm").alias(t), F.col("sim").alias(s)) for i, t, s in (("a", "x", "s"), ("b", "y", "t")))
-    both = pairs.join(one, "a").join(other, "b")
+    texts = texts if "code" in texts.columns else described(texts)
+    names = {"id": "ab", "norm": "xy", "sim": "st", "code": "pq", "longest": "mn"}
+    one, other = (texts.select(*(F.col(c).alias(n[i]) for c, n in names.items())) for i in (0, 1))
     share = lambda size: F.floor(size * (1 - MIN_SIMILARITY) + 1e-9).cast("int")
-    most, words = share(F.greatest(F.length("x"), F.length("y"))), share(F.greatest(F.size(F.split("x", " ")), F.size(F.split("y", " "))))
-    both = both.where(_near("s", "t") & (F.abs(F.length("x") - F.length("y")) <= most)).select("a", "b", "x", "y", most.alias("most"), words.alias("words"))
-    both = _without_common_start(both.repartition(tasks, "a", "b"), "x", "y").select("a", "b", F.reverse("x").alias("x"), F.reverse("y").alias("y"), "most", "words")
+    both = pairs.join(one, "a").join(other, "b").where(_near("s", "t") & (F.abs(F.length("x") - F.length("y")) <= share(F.greatest(F.length("x"), F.length("y")))))
+    both = both.select("a", "b", "x", "y", "p", "q", share(F.greatest(F.length("x"), F.length("y"))).alias("most"), share(F.greatest(F.length("p"), F.length("q"))).alias("words"), F.greatest("m", "n").alias("longest"))
+    both = both.withColumn("few", F.floor(F.col("most") / (F.col("longest") + 1)).cast("int"))
+    both = both.select("a", "b", "x", "y", "most", "words", F.expr("levenshtein(p, q, few) >= 0").alias("sure"))
+    # the rest is for pairs that are not sure: of the others the texts are null
+    unsure = [F.when(~F.col("sure"), F.col(c)).alias(c) for c in ("x", "y")]
+    both = _without_common_start(both.select("a", "b", *unsure, "most", "words", "sure"), "x", "y").select("a", "b", F.reverse("x").alias("x"), F.reverse("y").alias("y"), "most", "words", "sure")
     both = _without_common_start(both, "x", "y")
-    both = both.select("a", "b", "x", "y", "most", "words", _coded("x").alias("p"), _coded("y").alias("q"), F.greatest(_longest("x"), _longest("y")).alias("longest"))
+    both = both.select("a", "b", "x", "y", "most", "words", "sure", _coded("x").alias("p"), _coded("y").alias("q"), F.greatest(_longest("x"), _longest("y")).alias("longest"))
     few = F.floor(F.col("most") / (F.col("longest") + 1)).cast("int")
     half = F.floor(F.col("words") / (1 - MIN_SIMILARITY) / 2).cast("int") + 1
-    both = both.select("a", "b", "x", "y", "most", "words", "p", "q", few.alias("few"), half.alias("half"), (F.greatest(F.length("x"), F.length("y")) > LONG).alias("long"))
+    both = both.select("a", "b", "x", "y", "most", "words", "sure", "p", "q", few.alias("few"), half.alias("half"), (F.greatest(F.length("x"), F.length("y")) > LONG).alias("long"))
     parts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("p"), F.length("q")) / PART).cast("int"))
     far = F.aggregate(parts, F.lit(0), lambda sum_, i: sum_ + F.levenshtein(F.col("p").substr(i * PART + 1, F.lit(PART)), F.col("q").substr(i * PART + 1, F.lit(PART))))
-    ok = F.when(F.expr("levenshtein(p, q, few)") >= 0, True).when(F.col("long"), far <= F.col("words")).when(F.expr("levenshtein(p, q, half)") < 0, False).otherwise(F.expr("levenshtein(x, y, most)") >= 0)
+    ok = F.when(F.col("sure"), True).when(F.expr("levenshtein(p, q, few)") >= 0, True).when(F.col("long"), far <= F.col("words")).when(F.expr("levenshtein(p, q, half)") < 0, False).otherwise(F.expr("levenshtein(x, y, most)") >= 0)
     return checkpointed(both.select("a", "b", ok.alias("ok"))).where("ok").select("a", "b")
 
 
+def described(texts: DataFrame) -> DataFrame:
+    """texts (id, norm, ..) with their words as characters (code) and the letters of their longest word."""
+    return texts.withColumns({"code": _coded("norm"), "longest": _longest("norm")})
+
+
 def _some(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
 def _met(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of one key, in different components, that may be links. apart: (key, id, sim, size, comp); texts: (id, norm)."""
+    """Pairs (a, b) of lines of one key, in different components, that may be links. apart: (key, id, sim, size, comp); texts: (id, norm, code)."""
     step = F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1 / MIN_SIMILARITY))).cast("int")
     # large groups are dealt out: each line has one share of those that it is compared with
     groups = apart.groupBy("key").agg(F.least(F.lit(MOST_SHARES), F.ceil(F.count("*") / SHARE)).cast("int").alias("shares"))
-    own = apart.groupBy("id").agg(F.collect_set("key").alias("keys")).join(texts.select("id", "norm", _coded("norm").alias("code")), "id")
+    own = apart.groupBy("id").agg(F.collect_set("key").alias("keys")).join(texts.select("id", "norm", "code"), "id")
     rows = apart.join(groups, "key").join(own, "id").withColumn("step", step)
-    one = rows.select("key", F.explode(F.array(*(F.col("step") + d for d in (-1, 0, 1)))).alias("step"), F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), F.col("id").alias("a"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("comp").alias("c"), "keys", F.col("norm").alias("x"), F.col("code").alias("p"))
+    # lines of one step meet once, and those of a step the ones of the next
+    one = rows.select("key", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), F.col("id").alias("a"), F.col("step").alias("own"), F.col("sim").alias("s"), F.col("size").alias("m"), F.col("comp").alias("c"), "keys", F.col("norm").alias("x"), F.col("code").alias("p"))
     other = rows.select("key", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares").cast("long") - 1)).alias("share"), F.col("id").alias("b"), F.col("sim").alias("t"), "size", "comp", F.col("keys").alias("its"), F.col("norm").alias("y"), F.col("code").alias("q"))
-    fits = (F.col("a") < F.col("b")) & (F.col("c") != F.col("comp")) & _near("s", "t") & (F.least("m", "size") >= MIN_SIMILARITY * F.greatest("m", "size") - 1e-9)
+    fits = ((F.col("own") < F.col("step")) | (F.col("a") < F.col("b"))) & (F.col("c") != F.col("comp")) & _near("s", "t") & (F.least("m", "size") >= MIN_SIMILARITY * F.greatest("m", "size") - 1e-9)
     once = F.col("key") == F.array_min(F.array_intersect("keys", "its"))
     return one.join(other, ["key", "step", "share"]).where(fits & once & may_link()).select("a", "b")
 
 
 def line_groups(lines: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(h, h2, comp) of the distinct lines that are linked to others. lines: (h, keys); distinct: (h, r1, r2), one row or more a line."""
+    """(h, h2, comp) of the distinct lines that are linked to others. lines: (h, keys); distinct: (h, r1, r2), one row or more a line.
+
+    Here h names a line. Of lines that differ but share h, one takes part.
+    """
     keyed = lines.select("h", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("other"), F.count("*").alias("n")).where("lead <> other")
     shared = checkpointed(shared)
     members = checkpointed(keyed.join(bounded(shared.where("n > 2").select("key", "lead"), 24), "key").distinct())
-    stars = shared.where("n = 2").select("lead", F.col("other").alias("h")).unionAll(members.where("h <> lead").select("lead", "h")).distinct()
-    stars = checkpointed(stars)
+    stars = shared.where("n = 2").select(F.col("lead").alias("a"), F.col("other").alias("b")).unionAll(members.where("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")))
     # the candidates' words, from the documents where they come first
-    ends = checkpointed(stars.select(F.col("lead").alias("h")).unionAll(stars.select("h")).distinct())
-    rows = distinct.join(bounded(ends, 16), "h", "left_semi").select("r1", "r2").distinct()
+    ends = checkpointed(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    ends = bounded(ends, 16)
+    rows = distinct.join(ends, "h", "left_semi").select("r1", "r2").distinct()
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumns(dict(zip(("r1", "r2"), row_id("_text", "_key"), strict=True)))
     source = source.join(bounded(checkpointed(rows), 24), ["r1", "r2"], "left_semi")
     words = line_rows(source, "_text", "_key").select(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
-    words = simhashes(words.join(bounded(ends, 16), "h", "left_semi").dropDuplicates(["h", "h2"]))
-    named = F.expr(f"cast(cast(shiftrightunsigned(h, 1) as decimal(19,0)) * {1 << 63}BD + shiftrightunsigned(h2, 1) as decimal(38,0))")
-    texts = checkpointed(words.select(named.alias("id"), "h", "h2", "norm", "sim"))
-    ids = texts.select("h", "id")
-    links = verified(stars.join(ids.select(F.col("h").alias("lead"), F.col("id").alias("a")), "lead").join(ids.withColumnRenamed("id", "b"), "h").select("a", "b"), texts)
-    comps = connected_components(links)
-    marks = texts.select("h", "id", "sim", F.length("norm").alias("size"))
-    tried = checkpointed(members.join(marks, "h").select("key", "id", "sim", "size", (F.col("h") == F.col("lead")).alias("first")))
-
-    def loose(comps: DataFrame) -> DataFrame:
-        """The keys' lines with their components, of keys that hold several."""
-        at = tried.join(comps, "id", "left").select("key", "id", "sim", "size", "first", F.coalesce("comp", "id").alias("comp"))
-        open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return checkpointed(at.join(open_keys.select("key"), "key", "left_semi"))
-
-    # keys whose least line doesn't connect all: the least one of those with the same quarter of the SimHash
-    apart = loose(comps)
-    if _some(apart):
-        quarters = F.array(*(F.shiftrightunsigned("sim", 16 * q).bitwiseAND(F.lit(0xFFFF)) + (q << 16) for q in range(4)))
-        parts = apart.select("key", "id", "comp", F.explode(quarters).alias("quarter"))
-        leads = parts.groupBy("key", "quarter").agg(F.min("id").alias("a"), F.min_by("comp", "id").alias("c"), F.count("*").alias("n")).where("n > 1").drop("n")
-        more = parts.join(leads, ["key", "quarter"]).where("comp <> c").select("a", F.col("id").alias("b")).distinct()
-        comps = _merged(comps, verified(more, texts))
-        # what is open still: lines of a key in different components, near by length and SimHash; the least one has met all
-        apart = loose(comps).where("not first")
-        met = checkpointed(_met(apart, texts))
-        if _some(met):
-            comps = _merged(comps, verified(met, texts))
-    return comps.join(texts.select("id", "h", "h2"), "id").select("h", "h2", "comp")
+    words = words.join(ends, "h", "left_semi").dropDuplicates(["h"]).withColumnRenamed("h", "id")
+    texts = checkpointed(simhashes(described(words)))
+    tried = members.join(texts.select(F.col("id").alias("h"), "sim", F.length("norm").alias("size")), "h")
+    tried = checkpointed(tried.select("key", F.col("h").alias("id"), "sim", "size", (F.col("h") == F.col("lead")).alias("first")))
+    # a key's lines meet its least one, and the least of those that have the same quarter of the SimHash
+    quarters = F.array(*(F.xxhash64("key", F.lit(q), F.shiftrightunsigned("sim", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)))
+    parts = tried.select("id", F.explode(quarters).alias("part"))
+    leads = parts.groupBy("part").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").drop("b")
+    near = parts.join(leads, "part").where("a <> id").select("a", F.col("id").alias("b"))
+    comps = connected_components(verified(stars.unionAll(near).distinct(), texts))
+    # what is open still: lines of a key in different components, near by length and SimHash; the least one has met all
+    apart = tried.where("not first").join(bounded(comps, 16), "id", "left").select("key", "id", "sim", "size", F.coalesce("comp", "id").alias("comp"))
+    open_keys = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    apart = checkpointed(apart.join(open_keys.select("key"), "key", "left_semi"))
+    met = checkpointed(_met(apart, texts))
+    if _some(met):
+        comps = _merged(comps, verified(met, texts))
+    return comps.join(texts.select("id", "h2"), "id").select(F.col("id").alias("h"), "h2", "comp")
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of the old ones and new links."""
+    """Components of the old ones and new links, which join old components or lines that have none."""
     if not _some(links):
         return comps
-    return connected_components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(links))
+    for end in ("a", "b"):
+        links = links.join(comps.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    joined = connected_components(links.select("a", "b"))
+    old = comps.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("whole")), "comp", "left").select("id", F.coalesce("whole", "comp").alias("comp"))
+    return old.unionAll(joined.join(comps, "id", "left_anti"))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
