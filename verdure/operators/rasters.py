@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdure.functions.columns import colour, composite, index_bands, index_names
+from verdure.functions.columns import colour, composite, index_bands, index_names, steady_mean
 from verdure.functions.constants import BAND_RESOLUTION, GRID_PIXELS, PREVIEW_PIXELS
 from verdure.operators import planar
 from verdure.operators.geo import from_utm, to_utm
@@ -149,7 +149,7 @@ def tiles(raster: DataFrame, grids: DataFrame, keys: list[str], zooms: list[int]
     g = g.groupBy(*keys, "factor").agg(F.first(F.struct(*grid)).alias("grid"), F.collect_list("z").alias("zs"))
     cell = [F.floor(F.col(c) / F.col("factor")).cast("long").alias(c) for c in ("px_row", "px_col")]
     source = raster.where(F.col(value).isNotNull()).join(g.select(*keys, "factor"), keys)
-    source = source.groupBy(*keys, "factor", *cell).agg(F.avg(value).alias("value")).where("value IS NOT NULL")
+    source = source.groupBy(*keys, "factor", *cell).agg(steady_mean(F.col(value), F.col("factor")).alias("value")).where("value IS NOT NULL")
     source = source.join(g, [*keys, "factor"]).select(*keys, "factor", "px_row", "px_col", "value", "grid.*", F.explode("zs").alias("z"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
 
@@ -203,4 +203,5 @@ def preview(raster: DataFrame, grids: DataFrame, keys: list[str], longest: int =
     """M8, H6: keys, row, col, value of the whole raster, reduced by block means so that its longer side has no more than so many pixels."""
     step = grids.select(*keys, F.ceil(F.greatest("height", "width") / longest).alias("step"))
     met = raster.join(step, keys)
-    return met.groupBy(*keys, F.floor(F.col("px_row") / F.col("step")).alias("row"), F.floor(F.col("px_col") / F.col("step")).alias("col")).agg(F.avg(value).alias("value"))
+    cell = [F.floor(F.col(c) / F.col("step")).alias(to) for c, to in (("px_row", "row"), ("px_col", "col"))]
+    return met.groupBy(*keys, "step", *cell).agg(steady_mean(F.col(value), F.col("step")).alias("value")).drop("step")

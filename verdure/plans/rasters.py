@@ -133,7 +133,7 @@ ZOOMS = (12, 14)
 
 def _index_raster(spark, px: DataFrame, name: str = "ndvi") -> DataFrame:
     rho = {b: X.reflectance(F.col(b.lower()).cast("double"), F.lit(-1000.0), F.lit(10000.0)) for b in ("B08", "B04", "B05", "B11")}
-    return px.groupBy("field_id", "px_row", "px_col").agg(F.avg(X.index_value(name, rho)).alias("value"))
+    return px.groupBy("field_id", "px_row", "px_col").agg(X.steady_mean(X.index_value(name, rho)).alias("value"))
 
 
 _TILE = "2 * pi() * 6378137.0::DOUBLE"
