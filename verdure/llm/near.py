@@ -43,39 +43,41 @@ SAMPLES = BANDS * ROWS
 TILE = 256
 #: Random numbers of the sampling: shingles share them by TABLE hash values.
 TABLE, SEED, PART = 1 << 14, 9, 4096
-CACHE_WORDS = 60_000
 #: Ids of 16 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+def word_hashes(words: list[str]) -> np.ndarray:
+    """xxh64 of each word; joined digests are read at once, which costs less than a cache of words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64) if words else np.zeros(0, np.uint64)
 
 
-_words = _Words()
-
-
-def shingle_hashes(text: str) -> np.ndarray:
-    """Hash of each shingle of the text, with repetitions."""
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    w = np.fromiter(map(_words.__getitem__, text.lower().split()), np.uint64)
+def shingle_hashes(text: str | list[str]) -> np.ndarray:
+    """Hash of each shingle of the text, or of its words, with repetitions."""
+    w = word_hashes(text.lower().split() if isinstance(text, str) else text)
     n = len(w)
     size = min(n, WORDS)
     if not size:
         return w
     h = w[: n - size + 1].copy()
     for i in range(1, size):
-        h = h * _BASE + w[i : n - size + 1 + i]
+        h *= _BASE
+        h += w[i : n - size + 1 + i]
     h ^= h >> np.uint64(31)
-    return h * _MIX
+    h *= _MIX
+    return h
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs; for the few of a text less costly than np.unique."""
+    x = np.sort(x)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[starts], np.diff(starts, append=len(x))
 
 
 def bins_of(text: str) -> np.ndarray:
-    return np.unique((shingle_hashes(text) >> np.uint64(64 - BINS_LOG)).astype(np.int64))
+    return distinct((shingle_hashes(text) >> np.uint64(64 - BINS_LOG)).astype(np.int64))[0]
 
 
 class Idf:
@@ -103,7 +105,7 @@ def idf_of(docs: DataFrame) -> Idf:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t)) for t in texts_of(batch)]
+            found = [distinct(shingle_hashes(t))[0] for t in texts_of(batch)]
             h = np.concatenate([np.zeros(0, np.uint64), *(x[full[(x >> np.uint64(64 - BINS_LOG)).astype(np.int64)]] for x in found)])
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -112,9 +114,9 @@ def idf_of(docs: DataFrame) -> Idf:
     return Idf(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.float64), total)
 
 
-def weighted_set(text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in order, and their weights."""
-    h, n = np.unique(shingle_hashes(text), return_counts=True)
+def weighted_set(text: str | list[str], idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of the text, or of its words, in order, and their weights."""
+    h, n = distinct(shingle_hashes(text))
     return h, n * idf.of(h)
 
 
@@ -127,13 +129,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 class Sampler:
-    def __init__(self, seed: int = SEED):
+    """Draws of the hash functions. Those of a shingle of weight ``usual``, as most have, depend on its place in the table only and are looked up there."""
+
+    def __init__(self, usual: float = 1.0, seed: int = SEED):
         rng = np.random.default_rng(seed)
         shape = (TABLE, SAMPLES)
         self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
         self.inverse = 1 / self.r
         self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
         self.beta = rng.random(shape, np.float32)
+        self.usual = usual
+        self.value, self.step = (np.ascontiguousarray(x.T) for x in self.draws(np.arange(TABLE), np.full(TABLE, usual)))
+
+    def draws(self, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, step) of shingles at these rows of the table, by function; the least value is drawn."""
+        r, beta = self.r[row], self.beta[row]
+        t = np.floor(np.log(weight).astype(np.float32)[:, None] * self.inverse[row] + beta)
+        return self.log_c[row] - r * (t - beta) - r, t
 
     def bands(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The join keys of a weighted set that isn't empty."""
@@ -141,15 +153,21 @@ class Sampler:
         drawn, step = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
         every = np.arange(SAMPLES)
         for a in range(0, len(h), PART):
-            part = h[a : a + PART]
+            part, w = h[a : a + PART], weight[a : a + PART]
             row = (part & np.uint64(TABLE - 1)).astype(np.int64)
-            r, beta = self.r[row], self.beta[row]
-            t = np.floor(np.log(weight[a : a + PART]).astype(np.float32)[:, None] * self.inverse[row] + beta)
-            value = self.log_c[row] - r * (t - beta) - r
-            at = value.argmin(0)
-            least = value[at, every]
+            value = self.value.take(row, axis=1, mode="clip")
+            own = np.flatnonzero(w != self.usual)
+            if len(own):
+                v, t = self.draws(row[own], w[own])
+                value[:, own] = v.T
+            at = value.argmin(1)
+            least, its = value[every, at], self.step[every, row[at]]
+            if len(own):
+                place = np.minimum(np.searchsorted(own, at), len(own) - 1)
+                is_own = own[place] == at
+                its[is_own] = t[place[is_own], every[is_own]]
             better = least < best
-            best[better], drawn[better], step[better] = least[better], part[at[better]], t[at, every][better]
+            best[better], drawn[better], step[better] = least[better], part[at[better]], its[better]
         x = (drawn ^ step.astype(np.int64).astype(np.uint64) * _BASE).reshape(BANDS, ROWS)
         key = np.arange(BANDS, dtype=np.uint64)
         for i in range(ROWS):
@@ -169,15 +187,15 @@ def signatures(docs: DataFrame, idf, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), _rid(key, text).alias("rid"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, weights = Sampler(), idf.value
+        weights = idf.value
+        sampler = Sampler(weights.other)
         for batch in batches:
             fps, bands = [], []
             for t in texts_of(batch):
                 words = t.lower().split()
-                fps.append(xxhash.xxh128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
-                bands.append(sampler.bands(*weighted_set(t, weights)) if words else None)
+                fps.append(xxhash.xxh128_digest(" ".join(words)) if words else None)
+                bands.append(sampler.bands(*weighted_set(words, weights)) if words else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "rid", "fp", "bands"])
-        _words.clear()  # the worker lives on
 
     return map_batches(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, rid binary, fp binary, bands array<bigint>")
 
